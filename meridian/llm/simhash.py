@@ -1,0 +1,224 @@
+"""SimHash near-dedup with bit-sliced comparison.
+
+Fingerprints are 64 bits, one for each document. Two documents link if their
+fingerprints differ in at most `radius` bits. Of five blocks of bits at least
+two agree in any such pair (radius 3), so each distinct fingerprint goes to one
+bucket for each pair of blocks; a bucket's fingerprints are stored as vertical bit
+planes, and carry-save counters update the distances of 64 fingerprints at a
+time. A tile whose every distance has passed the radius is left early.
+
+Defined cases: null, empty and blank texts have fingerprint 0 and link like any
+others. A text of fewer words than a shingle is one shingle. Rows that repeat a
+doc_id are each fingerprinted and returned. A null doc_id is never a component's
+name. Columns other than id and text are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate, combinations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import LOWER, as_bytes, components, cut, map_batches
+
+SEED = 42
+TILE = 256
+#: A bucket with more fingerprints than this is dealt again by a further block of equal bits.
+HOT = 20_000
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """Unsigned SimHash over shingles of `width` words; a bit is set if it is in over half the shingles."""
+    words = text.translate(LOWER).split() if text else []
+    if not words:
+        return 0
+    line = b" ".join(words)
+    if len(words) <= width:
+        return xxhash.xxh64_intdigest(line, SEED)
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *(e + 1 for e in ends[: len(words) - width])]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(line[s:e], SEED) for s, e in zip(starts, ends[width - 1 :], strict=True)], dtype="<u8")
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
+    return map_batches(rows, run, "doc_id long, fp long")
+
+
+def planes(fps: np.ndarray) -> np.ndarray:
+    """Vertical bit planes: (64, words), lane j of word w is fingerprint 64 w + j."""
+    n = -(-len(fps) // 64) * 64
+    padded = np.zeros(n, "<u8")
+    padded[: len(fps)] = fps
+    bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").copy().view("<u8")
+
+
+def within(queries: np.ndarray, vertical: np.ndarray, radius: int) -> np.ndarray | None:
+    """Lanes within the radius of each query, as words of bits; None once every lane has passed it."""
+    digits = [np.zeros((len(queries), vertical.shape[1]), np.uint64) for _ in range(radius.bit_length())]
+    over = np.zeros_like(digits[0]) if digits else np.zeros((len(queries), vertical.shape[1]), np.uint64)
+    flips = np.uint64(0) - ((queries[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1))
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for b in range(64):
+        carry = vertical[b][None, :] ^ flips[b][:, None]
+        for k, digit in enumerate(digits):
+            digits[k], carry = digit ^ carry, digit & carry
+        over |= carry
+        if b % 8 == 7 and (over == full).all():
+            return None
+    # What the counters hold may still be over a radius that isn't 2^k - 1.
+    above, equal = np.zeros_like(over), np.full_like(over, full)
+    for k in reversed(range(len(digits))):
+        if radius >> k & 1:
+            equal &= digits[k]
+        else:
+            above |= equal & digits[k]
+            equal &= ~digits[k]
+    return ~(over | above)
+
+
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union the pairs (a, b) in root, an array in which every entry names its set's least member."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def link_buckets(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint the least index it is joined with inside its bucket (bucket is sorted)."""
+    root = np.arange(len(fps))
+    for at in range(0, len(fps), TILE):
+        last = np.searchsorted(bucket, bucket[min(at + TILE, len(fps)) - 1], "right")
+        for to in range(at, last, 4096):
+            vertical = planes(fps[to : min(to + 4096, last)])
+            near = within(fps[at : at + TILE], vertical, radius)
+            if near is None:
+                continue
+            i, w = np.nonzero(near)
+            bits = np.unpackbits(near[i, w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            k, j = np.nonzero(bits)
+            a, b = i[k] + at, w[k] * 64 + j + to
+            keep = (b < last) & (b > a)
+            a, b = a[keep], b[keep]
+            keep = bucket[a] == bucket[b]
+            merge(root, a[keep], b[keep])
+    return root
+
+
+def _link(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            group = rows.column("bucket").to_numpy()
+            fps, rep = rows.column("fp").to_numpy().view(np.uint64), rows.column("rep").to_numpy()
+            root = link_buckets(fps, np.cumsum(np.r_[0, group[1:] != group[:-1]]), radius)
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[root[moved]])], ["a", "b"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < 20_000:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            group = rows.column("bucket").to_numpy()
+            whole = int(np.searchsorted(group == group[-1], True))  # the last bucket may go on
+            if whole:
+                yield done(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+            else:
+                held = rows.to_batches()
+        if held and sum(x.num_rows for x in held):
+            yield done(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def masks(radius: int) -> list[int]:
+    """Masks of all choices of 2 among radius + 2 even blocks of 64 bits: a pair within the radius agrees under one."""
+    blocks = radius + 2
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    one = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
+    return [one[i] | one[j] for i, j in combinations(range(blocks), 2)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _parts(mask: int, radius: int) -> list[int]:
+    """The bits outside mask in radius + 1 parts, each with mask: a pair within the radius agrees under one."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(radius + 1)]
+
+
+def links(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
+    """Edges (a, b) between representatives (fp, rep) that span every set of fingerprints within the radius.
+
+    All links are compared, but a bucket hands on only a spanning set of them.
+    """
+    wide = masks(radius)
+    keyed = fps.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(wide)])).alias("s")).select("fp", "rep", "s.t", "s.key")
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").select("t", "key", (F.col("n") > hot).alias("hot"))
+    fine = [_parts(m, radius) for m in wide]
+    shared = keyed.join(sizes, ["t", "key"])
+    again = F.array(*[
+        F.struct(F.lit(p + 1).alias("p"), F.element_at(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(f[p]))) for f in fine]), F.col("t") + 1).alias("k"))
+        for p in range(radius + 1)
+    ])
+    dealt = shared.select("fp", "rep", "t", F.explode(F.when(F.col("hot"), again).otherwise(F.array(F.struct(F.lit(0).alias("p"), F.col("key").alias("k"))))).alias("s"))
+    rows = dealt.select("fp", "rep", F.xxhash64("t", "s.p", "s.k").alias("bucket"))
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "fp").select("bucket", "fp", "rep")
+    return map_batches(ready, _link(radius), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id is the least doc_id reachable over links."""
+    marked = cut(fingerprints(docs, width, id_col, text_col), "simhash")
+    groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-groups")
+    found = components(links(groups.filter("rep IS NOT NULL"), radius))
+    named = groups.join(found, groups.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, width: int = 5) -> DataFrame:
+    """The documents without near duplicates: of each component the row with the least doc_id stays.
+
+    Rows that repeat this doc_id all carry the same id; of them one stays. Rows
+    with a null doc_id stay, since they can't be told apart.
+    """
+    ids = near_duplicates(docs, radius, width)
+    stay = cut(ids.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-stay")
+    once, more = stay.filter("n = 1").select("doc_id"), stay.filter("n > 1").select("doc_id")
+    repeated = docs.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(once, "doc_id", "left_semi").unionByName(repeated).unionByName(docs.filter("doc_id IS NULL"))
