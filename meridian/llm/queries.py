@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, linededup, rules, simhash, warc
+from . import fmindex, linededup, rules, simhash, suffixdedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,13 +33,18 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return fmindex.digest(fmindex.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.dedup_substrings(_table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op3_line_dedup, op4_warc_index_merge, op5_benchmark_decontamination, op9_quality_rules)
+    for f in (op1_simhash_near_dedup, op3_line_dedup, op4_warc_index_merge, op5_benchmark_decontamination, op7_suffix_array_dedup, op9_quality_rules)
 }
 
 ORACLE_SQL = {
