@@ -35,7 +35,7 @@ from .common import small_batches
 
 WIDTH, GRAM = 50, 16
 #: Bytes of text in a batch of documents, and in a group of hashes or of stretches.
-BATCH, HASHES, STRETCHES = 2 << 20, 16 << 20, 4 << 20
+BATCH, HASHES, STRETCHES = 2 << 20, 16 << 20, 2 << 20
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 
@@ -249,14 +249,33 @@ def _find(width: int):
             docs = np.frombuffer(b"".join([blobs["docs"][i] for i in full]), "<i8")
             rows, starts, counts = (np.frombuffer(b"".join([blobs[c][i] for i in full]), "<u4").astype(np.int64) for c in ("rows", "starts", "lengths"))
             source = np.repeat(full, [len(blobs["docs"][i]) // 8 for i in full])
-            data = np.frombuffer(b"".join([blobs["data"][i] for i in full]), np.uint8)
-            begin = np.r_[0, np.cumsum(counts + width - 1)[:-1]]
-            places = _spread(begin, counts)
-            piece = np.repeat(np.arange(len(counts)), counts)
-            gone = earlier(data, places, docs[piece], width)
+            data = b"".join([blobs["data"][i] for i in full])
+            ends = np.cumsum(counts + width - 1)
+            begin = ends - (counts + width - 1)
+            # Equal stretches meet here: one stands for all, with the least document; later ones go whole.
+            text_of: dict[bytes, int] = {}
+            same = np.array([text_of.setdefault(data[a:z], len(text_of)) for a, z in zip(begin.tolist(), ends.tolist(), strict=True)])
+            least = np.full(len(text_of), np.iinfo(np.int64).max)
+            np.minimum.at(least, same, docs)
+            one = np.zeros(len(text_of), np.int64)
+            one[same] = np.arange(len(same))
+            whole = docs > least[same]
+            sizes = counts[one]
+            joined = np.frombuffer(b"".join(text_of), np.uint8)
+            places = _spread(np.cumsum(sizes + width - 1) - (sizes + width - 1), sizes)
+            piece = np.repeat(np.arange(len(sizes)), sizes)
+            gone = earlier(joined, places, least[piece], width)
             first, length = _runs(gone, piece)
-            own = piece[first]
-            at = starts[own] + places[first] - begin[own]
+            into = first - (np.cumsum(sizes) - sizes)[piece[first]]
+            # The runs of a text hold for each stretch that has it in its least document.
+            owner = piece[first]
+            edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
+            stays = np.flatnonzero(~whole)
+            n_runs = (edges[1:] - edges[:-1])[same[stays]]
+            pick = _spread(edges[same[stays]], n_runs)
+            own = np.concatenate([np.repeat(stays, n_runs), np.flatnonzero(whole)])
+            at = starts[own] + np.concatenate([into[pick], np.zeros(whole.sum(), np.int64)])
+            length = np.concatenate([length[pick], counts[whole]])
             for i in full:
                 mine = source[own] == i
                 if mine.any():
