@@ -132,7 +132,7 @@ def score_share(flags: list[Column]) -> Column:
 
 def quality(chars: Column, components: dict[str, Column], weights: dict[str, float] = QUALITY_WEIGHTS) -> Column:
     """Weighted components, capped for stubs, within [0, 1]."""
-    raw = sum((c * weights[k] for k, c in components.items()), F.lit(0.0))
+    raw = F.round(sum((c * weights[k] for k, c in components.items()), F.lit(0.0)), 9)  # so that ties round alike in any order of the sum
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(chars < STUB_CHARS, F.least(raw, F.lit(STUB_CAP))).otherwise(raw))), 4)
 
 

@@ -48,7 +48,7 @@ ROLES = ("featured", "reviewed", "mentioned")
 def lead_mention(mentions: DataFrame) -> DataFrame:
     """Of each article the mention by role, then id: the LATERAL top one as a window."""
     rank = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role"))
-    return best_of(mentions, ["article_id"], [F.when(rank == 0, len(ROLES) + 1).otherwise(rank), F.col("id")])
+    return best_of(mentions, ["article_id"], [F.when(rank == 0, len(ROLES) + 1).otherwise(rank), F.col("id"), F.col("place_id")])
 
 
 def evidence(places: DataFrame, mentions: DataFrame) -> DataFrame:
