@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _value(data: bytes, at: int):
@@ -42,7 +43,7 @@ def unserialize(text: str | None):
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def php_to_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if (v := unserialize(t)) is None else json.dumps(v))
 
