@@ -57,21 +57,26 @@ def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return later.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + (width - 1))))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents with a new text, and n_lines and n_removed (null texts: 0 lines)."""
-    gone = covered(docs, width).select(F.col("doc_id").alias("__id"), "gone")
+def _judged(docs: DataFrame, width: int) -> DataFrame:
+    """docs with __lines, __removed and __kept."""
+    gone = covered(docs, width).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     joined = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
-    removed = F.coalesce(F.size(F.col("gone")), F.lit(0))
-    kept = F.concat_ws("\n", F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains(F.col("gone"), i)))
+    kept = F.concat_ws("\n", F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains(F.col("__gone"), i)))
     return joined.withColumns(
         {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long"),
-            "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(removed).cast("long"),
-            "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept),
+            "__lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long"),
+            "__removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
+            "__kept": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept),
         }
-    ).drop("__id", "gone")
+    ).drop("__id", "__gone")
+
+
+def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents with a new text, and n_lines and n_removed (in place of columns so named; null texts: 0 lines)."""
+    return _judged(docs, width).withColumns({"text": F.col("__kept"), "n_lines": F.col("__lines"), "n_removed": F.col("__removed")}).drop("__lines", "__removed", "__kept")
 
 
 def drop_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents with repeated lines removed; those of which no line is left go."""
-    return dedup_lines(docs, width).filter("n_removed = 0 OR n_removed < n_lines").drop("n_lines", "n_removed")
+    """The documents with repeated lines removed; those of which no line is left go. Columns stay as they are."""
+    left = _judged(docs, width).filter("__removed = 0 OR __removed < __lines")
+    return left.withColumn("text", F.col("__kept")).drop("__lines", "__removed", "__kept")

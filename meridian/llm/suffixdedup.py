@@ -144,10 +144,11 @@ def _rows(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
 def _hashes(docs: list[int | None], texts: list[bytes], n: int, width: int):
     """Stretches of documents with an id, their distinct hashes by group, and each stretch's among them."""
     text, first, count, value = stretches([b"" if d is None else t for d, t in zip(docs, texts, strict=True)], width)
-    known = np.unique(value)
-    known = known[np.lexsort((known & _U(0xFFFFFFFF), (known >> _U(32)) % _U(n)))]
-    ranked = np.argsort(known)
-    which = ranked[np.searchsorted(known[ranked], value)]
+    known, which = np.unique(value, return_inverse=True)
+    order = np.lexsort((known & _U(0xFFFFFFFF), (known >> _U(32)) % _U(n)))
+    place = np.empty(len(known), np.int64)
+    place[order] = np.arange(len(known))
+    known, which = known[order], place[which]
     return text, first, count, value, known, which
 
 
@@ -167,13 +168,16 @@ def _list(n: int, width: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         docs, texts = _rows(table)
         text, _, _, _, known, which = _hashes(docs, texts, n, width)
-        own = np.unique(np.stack([which, np.array([d or 0 for d in docs], np.int64)[text]]), axis=1) if len(text) else np.zeros((2, 0), np.int64)
-        several = np.bincount(own[0], minlength=len(known)) > 1
+        ids = np.array([d or 0 for d in docs], np.int64)[text]
+        low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+        np.minimum.at(low, which, ids)
+        np.maximum.at(high, which, ids)
+        several = low < high
         grp = ((known >> _U(32)) % _U(n)).astype(np.int64)
         edge = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else np.zeros(0, int)
         rows = [
             (int(grp[a]), key[0].as_py(), (known[a:z] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), np.packbits(several[a:z]).tobytes())
-            for a, z in zip(edge, np.r_[edge[1:], len(grp)], strict=True)
+            for a, z in zip(edge, np.r_[edge[1:], len(grp)], strict=False)
         ]
         return _table(_LISTED, rows)
 
