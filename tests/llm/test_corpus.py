@@ -111,12 +111,34 @@ def test_bit_sliced_distances():
 
 def test_keep_one(spark):
     docs, df = corpus(spark)
-    kept = simhash.keep_one(df, 3, 3)
+    kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[3] == 1 and 40 not in ids and ids[5] == 1 and 50 not in ids and ids[None] == 2
 
 
+def test_similar_documents_are_found(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    docs, alike = [], {}
+    for i in range(60):
+        base = [word() for _ in range(400)]
+        docs.append((10 * i, " ".join(base)))
+        for k in (1, 2):  # four changed words: a similarity of about 0.9
+            copy = list(base)
+            for p in rng.sample(range(400), 4):
+                copy[p] = word()
+            docs.append((10 * i + k, " ".join(copy)))
+            alike[10 * i + k] = 10 * i
+        half = base[:200] + [word() for _ in range(200)]
+        docs.append((10 * i + 5, " ".join(half)))  # a similarity of a third
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for hot in (20_000, 2):
+        got = {r.doc_id: r.component_id for r in simhash.similar_groups(df, hot=hot).collect()}
+        assert sum(got[k] == v for k, v in alike.items()) >= 0.97 * len(alike)
+        assert all(got[10 * i] == 10 * i and got[10 * i + 5] == 10 * i + 5 for i in range(60))
+
+
 # --- 2 ---
 
 
