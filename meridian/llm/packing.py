@@ -19,11 +19,13 @@ is a document. Extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +34,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, scratch
+from .common import LOWER, cut, map_batches, scratch
 
 BLOCK = 1024
 MAGIC = b"MRDNS8B1"
 #: Fixed values of the format: ids in a word and bits of each, by selector from 1 on. Selector 0 is the escape.
 COUNTS = (120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
-#: Words that an encoder remembers before it starts anew.
-REMEMBER = 400_000
+#: Parts of texts, and units of parts, that an encoder remembers before it starts anew.
+PARTS, UNITS = 800_000, 1_000_000
+#: Signs behind a word, and small Latin letters in UTF-8: the tokenizer always splits between them.
+_SIGNS = b".,;:!?#*$%&"
+#: Bytes as the byte-level alphabet of the tokenizer writes them: printable Latin-1 as itself, others from 256 on.
+_ALPHABET = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)], range(256, 324), strict=True))
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 
 def _starts(counts: np.ndarray) -> np.ndarray:
@@ -48,12 +55,24 @@ def _starts(counts: np.ndarray) -> np.ndarray:
 
 
 def _widths(ids: np.ndarray) -> np.ndarray:
+    """The least width of the format that holds each id."""
+    small = _small_widths()
+    if not ids.size or ids.max() < len(small):
+        return small[ids]
     out = np.zeros(ids.shape, np.uint8)
     for less, b in zip(BITS, BITS[1:], strict=False):
         out[ids >> np.uint64(less) > 0] = b
     return out
 
 
+@cache
+def _small_widths() -> np.ndarray:
+    out = np.zeros(1 << 16, np.uint8)
+    for less, b in zip(BITS, BITS[1:], strict=False):
+        out[1 << less :] = b
+    return out
+
+
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, words of each block, escapes of each block); a block's escapes follow its words."""
     ids = np.asarray(ids, np.uint64)
@@ -63,18 +82,22 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     sizes = np.full(n, block)
     if n:
         sizes[-1] = len(ids) - block * (n - 1)
-    big = grid >> np.uint64(60) > 0
+    big = grid >> np.uint64(60) > 0 if len(ids) and int(ids.max()) >> 60 else np.zeros((n, 1), bool)
     escapes = [grid[i, big[i]] for i in np.flatnonzero(big.any(axis=1))]
     n_escapes = big.sum(axis=1)
-    least = _widths(np.where(big, np.uint64(0), grid))
-    least[big] = 61
+    least = _widths(np.where(big, np.uint64(0), grid) if n_escapes.any() else grid)
+    if n_escapes.any():
+        least[big] = 61
     # The widest id among the next 1, 2, 4, ... ids, and from that the best selector at each place.
     reach = {1: least}
     while (w := max(reach)) < 64:
         a = reach[w]
         reach[2 * w] = np.maximum(a, np.pad(a[:, w:], ((0, 0), (0, w)))) if w < block else a
     pick = np.zeros((n, block), np.uint8)
+    low = int(least.min(initial=0))
     for s in reversed(range(len(COUNTS))):
+        if BITS[s] < low:
+            break
         c, w = COUNTS[s], 1 << (COUNTS[s].bit_length() - 1)
         a = reach[w]
         rest = c - w
@@ -150,60 +173,107 @@ def unpack(words: np.ndarray, n_words: np.ndarray, n_escapes: np.ndarray, sizes:
     return out
 
 
+def _open(text: bytes) -> bytes:
+    """The text with ASCII capitals small, which the tokenizer takes alike; not where a special token may stand."""
+    return text if b"<|" in text else text.translate(LOWER)
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer of the tokenizers library whose pieces never span white space.
 
-    The tokenizer splits at white space before it merges, so a text's ids are
-    those of its parts between ASCII white space; each distinct part is encoded once
-    and remembered.
+    The tokenizer splits at white space, and letters from signs, before it
+    merges, so a text's ids are those of its parts between ASCII white space,
+    and a part of small Latin letters with signs behind is those letters and those
+    signs. Parts are remembered as one or two units, and each distinct unit is
+    encoded once; ASCII capitals count as small, as the tokenizer takes them.
+    Other parts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, remember: int = REMEMBER) -> None:
+    def __init__(self, path: str, parts: int = PARTS, units: int = UNITS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember = remember
-        self.known: dict[bytes, int] = {}
-        self.ids, self.ends = array("I"), array("Q", [0])
+        self.limits = parts, units
+        self.tokenizer.model._resize_cache(0)  # each unit is asked for once
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units: dict[bytes, int] = {b"": 0}
+        self.ids, self.ends = array("I"), array("Q", [0, 0])  # unit 0 is the empty one
+        self._forget_parts()
+
+    def _forget_parts(self) -> None:
+        self.parts: dict[bytes, int] = {}
+        self.heads, self.tails = array("I"), array("I")
 
     def _learn(self, parts: list[bytes]) -> None:
-        for at in range(0, len(parts), 1000):
-            some = [p.decode(errors="replace") for p in parts[at : at + 1000]]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+        heads = [p.rstrip(_SIGNS) for p in parts]
+        tails = [p[len(h) :] for p, h in zip(parts, heads, strict=True)]
+        odd = [i for i, h in enumerate(heads) if not (h.isalpha() and h.islower()) and not _LATIN.fullmatch(h)]
+        for i in odd:
+            heads[i], tails[i] = parts[i], b""
+        units = self.units
+        whole = [u for u in dict.fromkeys([parts[i] for i in odd]) if u not in units]
+        self._encode_parts(whole)
+        self._encode_words([u for u in dict.fromkeys([*heads, *tails]) if u not in units])
+        self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts)), strict=True))
+        self.heads.extend(map(units.__getitem__, heads))
+        self.tails.extend(map(units.__getitem__, tails))
+
+    def _encode_words(self, units: list[bytes]) -> None:
+        """Encode units that are one word to the tokenizer, in small letters: there is nothing to normalise or split, so they go to its model as bytes written in its alphabet."""
+        merge, ids, ends = self.tokenizer.model.tokenize, self.ids, self.ends
+        for u in units:
+            ids.extend([t.id for t in merge(u.decode("latin-1").translate(_ALPHABET))])
+            ends.append(len(ids))
+        self.units.update(zip(units, range(len(self.units), len(self.units) + len(units)), strict=True))
+
+    def _encode_parts(self, units: list[bytes]) -> None:
+        """Encode any parts side by side, told apart by their offsets."""
+        for at in range(0, len(units), 1000):
+            some = [u.decode(errors="replace") for u in units[at : at + 1000]]
+            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             begins = np.cumsum([0, *(len(p) + 1 for p in some)])[:-1]
-            offsets = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
-            counts = np.bincount(np.searchsorted(begins, offsets, "right") - 1, minlength=len(some))
-            self.ids.extend(got.ids)
-            base = self.ends[-1]
-            self.ends.extend((base + np.cumsum(counts)).tolist())
-            for k, p in enumerate(parts[at : at + 1000]):
-                self.known[p] = len(self.known)
-                assert self.known[p] == len(self.ends) - len(some) + k - 1
+            offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            stop = np.cumsum(np.bincount(np.searchsorted(begins, offsets, "right") - 1, minlength=len(some)))
+            self.ends.frombytes((self.ends[-1] + stop).astype(np.uint64).tobytes())
+            self.ids.extend(encoded.ids)
+        self.units.update(zip(units, range(len(self.units), len(self.units) + len(units)), strict=True))
 
     def encode(self, texts: list[bytes | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids of each text), each text followed by `end`."""
-        split = [t.split() if t else [] for t in texts]
-        words = [w for s in split for w in s]
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > self.remember:
-            self.known.clear()
-            self.ids, self.ends = array("I"), array("Q", [0])
-            new = list(dict.fromkeys(words))
-        self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        split = [_open(t).split() if t else [] for t in texts]
+        words = list(chain.from_iterable(split))
+        if len(self.units) > self.limits[1]:
+            self._forget()
+        if len(self.parts) > self.limits[0]:
+            self._forget_parts()
+        part = np.fromiter(map(self.parts.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(part < 0)
+        new = [words[i] for i in missing.tolist()]
+        self._learn(list(dict.fromkeys(new)))
+        part[missing] = list(map(self.parts.__getitem__, new))
+        unit = np.stack([np.frombuffer(self.heads, np.uint32)[part], np.frombuffer(self.tails, np.uint32)[part]], axis=1) if words else np.zeros((0, 2), np.uint32)
         ids, ends = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.ends, np.uint64).astype(np.int64)
-        lengths, begins = ends[which + 1] - ends[which], ends[which]
+        flat_unit = unit[:, 0]
+        tailed = np.flatnonzero(unit[:, 1])
         n = np.array([len(s) for s in split])
         edge = np.cumsum(n)
+        begins = np.insert(ends[flat_unit], tailed + 1, ends[unit[tailed, 1]])
+        lengths = np.insert(ends[flat_unit + 1] - ends[flat_unit], tailed + 1, ends[unit[tailed, 1] + 1] - ends[unit[tailed, 1]])
         total = np.r_[0, np.cumsum(lengths)]
-        own = total[edge] - total[edge - n]
-        stop = np.cumsum(lengths)
-        flat = ids[np.repeat(begins - (stop - lengths), lengths) + np.arange(stop[-1] if len(stop) else 0)] if len(words) else np.zeros(0, np.uint32)
+        stop = edge + np.searchsorted(tailed, edge)  # units up to a text's end
+        own = np.diff(np.r_[0, total[stop]])
+        flat = ids[np.repeat(begins - total[:-1], lengths) + np.arange(total[-1])]
         del ids, ends
         if end is None:
             return flat, own
-        out = np.insert(flat, np.cumsum(own), end)
-        return out.astype(np.uint32), own + 1
+        at = np.cumsum(own + 1) - 1
+        out = np.empty(len(flat) + len(own), np.uint32)
+        keep = np.ones(len(out), bool)
+        keep[at] = False
+        out[keep], out[at] = flat, end
+        return out, own + 1
 
 
 @cache
