@@ -204,3 +204,23 @@ def test_ids(spark):
     ok = lambda t: one(spark, integrity.valid_native_id(F.lit(t)))
     assert ok("0") and ok("2147483647") and not ok("2147483648") and not ok("007") and not ok("x")
     assert one(spark, integrity.valid_uuid(F.lit("123e4567-e89b-12d3-a456-426614174000"))) and not one(spark, integrity.valid_uuid(F.lit("123")))
+
+
+HTML = """<head><title>t</title></head><h2>Head</h2><p>One <b>two</b></p><p> </p><ul><li>a<li>b</li></ul><blockquote>said</blockquote><img src="u.jpg" alt="x"><iframe src="https://youtube.com/e"></iframe><hr><div class="wp-block-columns"><div class="wp-block-column"><p>inner</p></div></div><script>no()</script>"""
+
+
+def test_blocks(spark):
+    from meridian.operators import content
+
+    rows = content.with_blocks(spark.createDataFrame([(1, HTML), (2, None), (3, "<p>open")], "id long, html string")).select("id", "blocks", content.text_of(F.col("blocks")).alias("t"), content.stats(F.col("blocks")).alias("s")).orderBy("id").collect()
+    assert [b.type for b in rows[0].blocks] == ["heading", "paragraph", "list", "quote", "image", "embed", "separator", "paragraph"]
+    assert rows[0].blocks[2]["items"] == ["a", "b"] and rows[0].blocks[0].level == 2 and rows[0].blocks[-1].path
+    assert rows[0].t == "Head One two a b said inner" and (rows[0].s.headings, rows[0].s.media) == (1, 2)
+    assert rows[1].blocks == [] and rows[2].t == "open"
+    assert one(spark, content.provider(F.lit("https://youtube.com/e"))) == "youtube"
+    assert one(spark, content.content_loss(F.lit("ab cd"), F.lit("abc"))) == 25.0
+
+
+def test_sources_and_srcsets(spark):
+    html = '<img src="a.jpg" srcset="b.jpg 300w, c.jpg 2x">'
+    assert one(spark, c.sources(F.lit(html))) == ["a.jpg", "b.jpg", "c.jpg"]
