@@ -429,8 +429,8 @@ SELECT cell, round(est, 6) AS estimated_correct, round(p, 6) AS point, round(gre
     "K6_coverage_curve": """WITH p AS (SELECT (doc_id * 37 % 100) / 100 AS c, quality = 1 AS ok FROM labels), t(threshold) AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 0.9, 1.5])::DOUBLE)
 SELECT threshold, count(*) FILTER (c >= threshold) AS covered, round(count(*) FILTER (c >= threshold) / count(*), 6) AS coverage, round(count(*) FILTER (c >= threshold AND ok) / nullif(count(*) FILTER (c >= threshold), 0), 6) AS accuracy FROM t, p GROUP BY 1""",
     "K9_z_test": f"""WITH {ctes("interactions")}, l AS (SELECT ('0x' || sha256(user_id::VARCHAR)[1:8])::BIGINT % 2 AS arm, kind FROM interactions), s AS (SELECT count(*) FILTER (arm = 0 AND kind = 'view') AS na, count(*) FILTER (arm = 0 AND kind = 'click') AS ka, count(*) FILTER (arm = 1 AND kind = 'view') AS nb, count(*) FILTER (arm = 1 AND kind = 'click') AS kb FROM l),
-r AS (SELECT *, least(ka, na) / na AS pa, least(kb, nb) / nb AS pb, (least(ka, na) + least(kb, nb)) / (na + nb) AS pp, least(greatest(ka / na / 2, 0.005), 0.5) AS p1 FROM s), z AS (SELECT *, (pb - pa) / sqrt(pp * (1 - pp) * (1 / na + 1 / nb)) AS z, least(p1 + 0.02, 0.999) AS p2 FROM r), y AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z)
-SELECT na, ka, nb, kb, round(z, 6) AS z, round(2 * (1 - 0.5 * (1 + {_ERF})), 6) AS p, ceil(pow(1.959964 + 0.841621, 2) * (p1 * (1 - p1) + p2 * (1 - p2)) / pow(p2 - p1, 2))::BIGINT AS needed FROM y""",
+r AS (SELECT *, least(ka, na) / na AS pa, least(kb, nb) / nb AS pb, (least(ka, na) + least(kb, nb)) / (na + nb) AS pp, least(greatest(ka / na / 2, 0.005), 0.5) AS p1 FROM s), z AS (SELECT *, coalesce((pb - pa) / nullif(sqrt(pp * (1 - pp) * (1 / na + 1 / nb)), 0), 'nan'::DOUBLE) AS z, least(p1 + 0.02, 0.999) AS p2 FROM r), y AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z)
+SELECT na, ka, nb, kb, CASE WHEN isfinite(z) THEN round(z, 6) ELSE 0 END AS z, CASE WHEN isfinite(z) THEN round(2 * (1 - 0.5 * (1 + {_ERF})), 6) ELSE 1 END AS p, ceil(pow(1.959964 + 0.841621, 2) * (p1 * (1 - p1) + p2 * (1 - p2)) / pow(p2 - p1, 2))::BIGINT AS needed FROM y""",
     "K11_gates": "WITH s AS (SELECT avg(quality) AS q, avg(toxic) AS t FROM labels) SELECT 'quality' AS metric, round(q, 6) AS value, 0.45::DOUBLE AS floor, q >= 0.45 AS passed FROM s UNION ALL SELECT 'toxic', round(t, 6), 0.85, t >= 0.85 FROM s UNION ALL SELECT 'latency', NULL, 0.05, false",
     "J4_bucket_merge": f"""WITH {ctes("places")}, p AS (SELECT *, substring(name, 7, 9) AS key FROM places) SELECT key, arg_min(type, id) FILTER (type IS NOT NULL) AS type, arg_min(area_term, id) FILTER (area_term IS NOT NULL) AS area_term, arg_min(price_band, id) FILTER (price_band IS NOT NULL) AS price_band,
 array_to_string(list_filter([CASE WHEN count(DISTINCT type) > 1 THEN 'type' END, CASE WHEN count(DISTINCT area_term) > 1 THEN 'area_term' END, CASE WHEN count(DISTINCT price_band) > 1 THEN 'price_band' END], lambda x: x IS NOT NULL), ',') AS conflicts FROM p GROUP BY 1""",
