@@ -61,7 +61,7 @@ UNION ALL
 SELECT doc_id AS entity_id, 200 + doc_id % 10 AS term_id, (doc_id * 3 % 20) / 2e1 AS confidence, 'ai' AS source FROM documents WHERE doc_id % 3 <> 0
 """
 
-#: The type relations that the reference's domain fixes: who competes with and complements whom.
+#: Fixed values of the domain: who competes with and complements whom.
 RELATIONS = """
 SELECT * FROM (VALUES
   ('stay', true, 'eat,drink,do,wellness', ''), ('eat', true, 'stay,do,drink', 'drink'), ('drink', true, 'stay,do,eat', 'eat'),
