@@ -283,9 +283,14 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, wor
     marked = cut(map_batches(rows, run, "doc_id long, fp binary"), "wide")
     groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-groups")
     keyed = map_batches(groups, key, "fp binary, rep long, keys array<int>").select("fp", "rep", "keys", F.posexplode("keys").alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1").select("t", "key", (F.col("n") > hot).alias("hot"))
-    again = F.transform("keys", lambda k, i: F.struct((i + 1).alias("p"), k.alias("k")))
-    dealt = keyed.join(sizes, ["t", "key"]).select("fp", "rep", "t", "key", F.explode(F.when(F.col("hot"), again).otherwise(F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("k"))))).alias("s"))
+    # Mostly there is no crowded key, and then no row is joined.
+    crowded = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("t", "key", F.lit(True).alias("hot")), "wide-crowded")
+    plain = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("k")))
+    if crowded.isEmpty():
+        dealt = keyed.select("fp", "rep", "t", "key", F.element_at(plain, 1).alias("s"))
+    else:
+        again = F.transform("keys", lambda k, i: F.struct((i + 1).alias("p"), k.alias("k")))
+        dealt = keyed.join(crowded, ["t", "key"], "left").select("fp", "rep", "t", "key", F.explode(F.when(F.col("hot"), again).otherwise(plain)).alias("s"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = dealt.select(F.xxhash64("t", "key", "s.p", "s.k").alias("bucket"), "fp", "rep").repartition(n, "bucket").sortWithinPartitions("bucket", "rep")
     found = components(map_batches(ready, _link(similar_radius(similarity, 64 * words)), "a long, b long"))
