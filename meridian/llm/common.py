@@ -48,12 +48,31 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it: a lineage cut that outlives executors."""
+    """Write df as a Parquet table in the shared folder and read it: a lineage cut that outlives executors.
+
+    What was shuffled for it, and before it, is of no more use; Spark removes it
+    once the driver has collected its garbage, so the driver is asked to.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    free(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    free(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage, and with it the shuffles of queries that are over."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that cut() has written, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def as_bytes(column: str = "text") -> Column:
     return F.col(column).cast("binary").alias(column)
 

@@ -27,18 +27,19 @@ word is unseen. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, small_batches
+from .common import LOWER, cut, discard, free, map_batches
 
 #: Bytes of text in a batch of documents and in a group of words or pairs.
-BATCH, GROUP = 12 << 20, 16 << 20
+BATCH, GROUP = 6 << 20, 12 << 20
 PIECE = 1 << 20
 #: A context is spread over one more group for each so many tokens.
 HOT = 1 << 19
@@ -116,31 +117,51 @@ def _column(table: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.array([len(p) for p in parts], np.int64)
 
 
+def _by_group(group: np.ndarray, groups: int) -> np.ndarray:
+    """Stable order by group; numbers of 16 bits are sorted by radix."""
+    return np.argsort(group.astype(np.uint16) if groups < 1 << 16 else group, kind="stable")
+
+
 class Batch:
     """The tokens of one batch: hashes, which documents train, and the distinct words by group."""
 
     def __init__(self, table: pa.Table, groups: int) -> None:
-        self.doc_ids, self.held = table.column("doc_id"), np.array(table.column("held").to_pylist(), bool)
-        hashes, self.counts = word_hashes([t or b"" for t in table.column("text").to_pylist()])
+        ids, known = _column(table, "ids", "<i8")[0], _column(table, "known", "?")[0]
+        self.doc_ids, self.held = pa.array(ids, pa.int64(), mask=~known), _column(table, "held", "?")[0]
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        texts: list[bytes] = []
+        size, last = 0, table.num_rows - 1
+        for row, (data, lengths) in enumerate(zip(table.column("data"), table.column("lengths"), strict=True)):  # some texts are open at a time
+            ends = np.cumsum(np.frombuffer(lengths.as_py(), "<u4"), dtype=np.int64)
+            joined = pa.decompress(data.as_buffer(), int(ends[-1]), codec="zstd", asbytes=True) if ends[-1] else b""
+            texts += [joined[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            size += len(joined)
+            if size >= PIECE or row == last:
+                parts.append(word_hashes(texts))
+                texts, size = [], 0
+        hashes, self.counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         self.train = np.repeat(~self.held, self.counts)
-        known = np.unique(hashes)
+        known, inverse = np.unique(hashes, return_inverse=True)
         group = (known >> _U(40)) % _U(groups)
         order = np.argsort(group, kind="stable")
         self.words, self.groups = known[order], group[order].astype(np.int64)
-        place = np.empty(len(known), np.int64)
-        place[order] = np.arange(len(known))
-        self.which = place[np.searchsorted(known, hashes)]
+        place = np.empty(len(known), np.int32)
+        place[order] = np.arange(len(known), dtype=np.int32)
+        self.which = place[inverse]
+        del hashes, inverse
         self.times = np.bincount(self.which[self.train], minlength=len(known))
         ends = np.cumsum(self.counts)
         self.end = int(self.which[ends[0] - 1]) if len(ends) else 0
         self.context = np.r_[self.end, self.which[:-1]]
         self.context[(ends - self.counts)] = self.end
         self.starts = ends - self.counts
+        pa.default_memory_pool().release_unused()
 
     def split(self) -> list[tuple[int, slice]]:
         """(group, its distinct words)."""
         edge = np.flatnonzero(np.r_[True, self.groups[1:] != self.groups[:-1]])
-        return [(int(self.groups[a]), slice(a, z)) for a, z in zip(edge, np.r_[edge[1:], len(self.groups)], strict=True)]
+        return [(int(self.groups[a]), slice(a, z)) for a, z in zip(edge, np.r_[edge[1:], len(self.groups)], strict=False)]
 
     def fill(self, answers: pa.Table, names: dict[str, str]) -> dict[str, np.ndarray]:
         """What the word groups answered, in the order of the distinct words."""
@@ -158,20 +179,42 @@ class Batch:
         code = u[known].astype(_U) << _U(32) | w[known].astype(_U)
         codes, inverse = np.unique(code, return_inverse=True)
         count = np.bincount(inverse[self.train[known]], minlength=len(codes))
-        shares = np.zeros(len(codes), np.int64)
-        first = np.zeros(len(codes), np.int64)
-        first[inverse] = self.context[known]
-        shares = 1 + times[first].astype(np.int64) // HOT
-        part = _mix(codes & _U(0xFFFFFFFF)) % shares.astype(_U)
+        shares = np.ones(len(codes), np.int64)
+        part = np.zeros(len(codes), _U)
+        for k in np.flatnonzero((times >= HOT) & (ids != NONE)):  # few: each has a share of all tokens
+            a, z = np.searchsorted(codes, [_U(ids[k]) << _U(32), (_U(ids[k]) + _U(1)) << _U(32)])
+            shares[a:z] = 1 + int(times[k]) // HOT
+            part[a:z] = _mix(codes[a:z] & _U(0xFFFFFFFF)) % _U(shares[a]) if z > a else 0
         group = (_mix((codes >> _U(32)) * _U(31) + part) % _U(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        place = np.empty(len(codes), np.int64)
-        place[order] = np.arange(len(codes))
+        order = _by_group(group, groups)
+        place = np.empty(len(codes), np.int32)
+        place[order] = np.arange(len(codes), dtype=np.int32)
         token = np.full(len(self.which), -1, np.int64)
         token[known] = place[inverse]
         return codes[order], count[order], group[order], token, shares[order]
 
 
+_PACKED = "batch int, ids binary, known binary, held binary, lengths binary, data binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by batch, their texts joined and compressed, which halves what is dealt out."""
+    for b in batches:
+        batch = b.column(0).to_numpy()
+        texts = [t or b"" for t in b.column(3).to_pylist()]
+        ids, known, held = b.column(1).fill_null(0).to_numpy(), b.column(1).is_valid().to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        order = np.argsort(batch, kind="stable")
+        edge = np.flatnonzero(np.r_[True, np.diff(batch[order]) != 0])
+        rows = []
+        for a, z in zip(edge, np.r_[edge[1:], len(order)], strict=True):
+            own = order[a:z]
+            mine = [texts[i] for i in own]
+            joined = b"".join(mine)
+            lengths = np.array([len(t) for t in mine], "<u4").tobytes()
+            rows.append((int(batch[own[0]]), ids[own].astype("<i8").tobytes(), known[own].tobytes(), held[own].tobytes(), lengths, pa.compress(joined, codec="zstd", asbytes=True) if joined else b""))
+        yield from _table(_PACKED, rows).to_batches() if len(order) else ()
+
+
 _LISTED = "grp int, batch int, hashes binary, times binary"
 _NUMBERED = "batch int, grp int, ids binary, times binary, chance binary, tables binary"
 _PAIRED = "grp int, batch int, first binary, second binary, times binary, hot binary, shares binary"
@@ -226,15 +269,18 @@ def _number_with_model(groups: int, unseen: float):
             return _table(_NUMBERED, [])
         ids, times, ends = _number(left, groups)
         chance, tables = np.full(len(ids), unseen), np.zeros(len(ids))
-        for r in right.to_pylist():
-            own = np.frombuffer(r["a"], "<u4")
-            value = np.frombuffer(r["b"], "<f8")
-            at = np.minimum(np.searchsorted(own, ids), max(len(own) - 1, 0))
-            hit = (own[at] == ids) & (ids != NONE) if len(own) else np.zeros(len(ids), bool)
-            if r["kind"] == 2:
-                chance[hit] = value[at[hit]]
-            else:  # each pair group that seats some of a context's dishes has its part of the tables
-                tables[hit] += value[at[hit]]
+        kinds = np.array(right.column("kind").to_pylist())
+        for kind, form, out in ((2, "<f8", chance), (4, "<f4", tables)):
+            part = right.filter(pa.array(kinds == kind))
+            own, value = _column(part, "a", "<u4")[0], _column(part, "b", form)[0]
+            if not len(own):
+                continue
+            # Each pair group that seats some of a context's dishes has its part of the tables.
+            known, inverse = np.unique(own, return_inverse=True)
+            total = np.bincount(inverse, weights=value, minlength=len(known))
+            at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+            hit = (known[at] == ids) & (ids != NONE)
+            out[hit] = total[at[hit]]
         return _answer(left, ids, times, ends, chance, tables)
 
     return run
@@ -249,7 +295,7 @@ def _pair(groups: int):
         codes, count, group, _, shares = b.pairs(got["ids"], got["times"], groups)
         edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, int)
         rows = []
-        for a, z in zip(edge, np.r_[edge[1:], len(group)], strict=True):
+        for a, z in zip(edge, np.r_[edge[1:], len(group)], strict=False):
             first, second = (codes[a:z] >> _U(32)).astype("<u4"), (codes[a:z] & _U(0xFFFFFFFF)).astype("<u4")
             hot, at = np.unique(first[shares[a:z] > 1], return_index=True)
             rows.append((int(group[a]), batch, _planes(np.diff(np.r_[np.uint32(0), first]).astype("<u4")), _planes(second), _planes(count[a:z].astype("<u4")), hot.tobytes(), shares[a:z][shares[a:z] > 1][at].astype("<u4").tobytes()))
@@ -292,7 +338,7 @@ def _count(groups: int):
         hot, first = np.unique(_column(table, "hot", "<u4")[0], return_index=True)
         shares = _column(table, "shares", "<u4")[0][first]
         state = (0, grp, grp, codes[many].astype("<u8").tobytes(), count[many].astype("<u4").tobytes(), single.tobytes(), n_single.astype("<u4").tobytes(), np.concatenate([hot, shares]).astype("<u4").tobytes(), int(count.sum()), int((~many).sum()), int((count == 2).sum()))
-        return _table(_COUNTED, [state, *_to_words((codes & _U(0xFFFFFFFF)).astype(np.int64), np.ones(len(codes)), groups, 1, grp, "<f8")])
+        return _table(_COUNTED, [state, *_to_words((codes & _U(0xFFFFFFFF)).astype(np.int64), np.ones(len(codes)), groups, 1, grp, "<f4")])
 
     return run
 
@@ -377,14 +423,14 @@ def _gibbs(groups: int, discount: float, seed: int, last: bool):
         before = _rows(left, 3)
         tables = np.frombuffer(before[0]["a"], "<u4").astype(np.int64) if before else np.ones(len(base), np.int64)
         kept = np.zeros(len(base))
-        for sweep in range(SWEEPS):
+        for sweep in range(SWEEPS if last else SWEEPS - 1):
             tables = _sweep(state, base, tables, discount, rng)
             if sweep >= SWEEPS - KEPT:
                 kept += tables / KEPT
         if not last:
-            return _table(_COUNTED, [(3, grp, grp, tables.astype("<u4").tobytes(), b"", b"", b"", b"", 0, 0, 0), *_to_words(state["word"].astype(np.int64), tables - 1.0, groups, 4, grp, "<f8")])
+            return _table(_COUNTED, [(3, grp, grp, tables.astype("<u4").tobytes(), b"", b"", b"", b"", 0, 0, 0), *_to_words(state["word"].astype(np.int64), tables - 1.0, groups, 4, grp, "<f4")])
         total = np.bincount(state["context"], weights=kept, minlength=len(state["contexts"])) + state["single"]
-        return _table(_COUNTED, [(3, grp, grp, (state["count"] - discount * kept).astype("<f8").tobytes(), b"", b"", b"", b"", 0, 0, 0), *_to_words(state["contexts"].astype(np.int64), total, groups, 4, grp, "<f8")])
+        return _table(_COUNTED, [(3, grp, grp, (state["count"] - discount * kept).astype("<f4").tobytes(), b"", b"", b"", b"", 0, 0, 0), *_to_words(state["contexts"].astype(np.int64), total, groups, 4, grp, "<f4")])
 
     return run
 
@@ -393,7 +439,7 @@ def _parent(discount: float | None, seed: int, unseen: float, tables: float):
     """Customers of the parent restaurant in one word group, and their tables (one each where no discount is given yet)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, value = _column(table, "a", "<u4")[0], _column(table, "b", "<f8")[0]
+        ids, value = _column(table, "a", "<u4")[0], _column(table, "b", "<f4")[0]
         known, inverse = np.unique(ids, return_inverse=True)
         customers = np.rint(np.bincount(inverse, weights=value, minlength=len(known))).astype(np.int64)
         at = np.ones(len(known), np.int64)
@@ -449,10 +495,10 @@ def _weigh(discount: float):
         states = _rows(right, 0)
         if states:
             seen = np.frombuffer(states[0]["a"], "<u8")
-            mass[np.searchsorted(codes, seen)] = np.frombuffer(_rows(right, 3)[0]["a"], "<f8")
+            mass[np.searchsorted(codes, seen)] = np.frombuffer(_rows(right, 3)[0]["a"], "<f4")
         listed, rows, at = mass[inverse].astype("<f4"), [], 0
         for batch, grp, z in zip(left.column("batch").to_pylist(), left.column("grp").to_pylist(), ends.tolist(), strict=True):
-            rows.append((batch, grp, listed[at:z].tobytes()))
+            rows.append((batch, grp, _planes(listed[at:z])))
             at = z
         return _table(_WEIGHED, rows)
 
@@ -473,7 +519,7 @@ def _score(groups: int, tokens: int, words: int, discount: float):
         mass = np.zeros(len(group) + 1)  # the last place: pairs with an unknown word
         edge = np.searchsorted(group, np.arange(groups + 1))
         for g, m in zip(*(right.filter(weighed).column(c).to_pylist() for c in ("grp", "mass")), strict=True):
-            mass[edge[g] : edge[g + 1]] = np.frombuffer(m, "<f4")
+            mass[edge[g] : edge[g + 1]] = _unplane(m, "<f4")
         times = got["times"].astype(float)
         chance, u = got["chance"].astype(float)[b.which], b.context
         p = (mass[token] + (CONCENTRATION + discount * got["tables"].astype(float)[u]) * chance) / (CONCENTRATION + times[u])
@@ -492,20 +538,22 @@ def _discount(once: int, twice: int) -> float:
 def scores(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; logs are to base 10."""
     spark = docs.sparkSession
-    small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_batches, n = max(part, -(-total // BATCH)), max(part, -(-total // GROUP))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string")) % 10 == 0, F.lit(False))
     key = F.xxhash64("doc_id", F.octet_length("text"))
     rows = docs.select(F.pmod(key, F.lit(n_batches)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), F.col("text").cast("binary").alias("text"))
-    by = rows.groupBy("batch")
+    pack = lambda some: map_batches(some, _pack, _PACKED).groupBy("batch")
+    by, train = pack(rows), pack(rows.filter("NOT held"))
     listed = by.applyInArrow(_list(n), _LISTED)
 
-    def paired(numbered: DataFrame) -> DataFrame:
-        return by.cogroup(numbered.groupBy("batch")).applyInArrow(_pair(n), _PAIRED)
+    def paired(batches: GroupedData, numbered: DataFrame) -> DataFrame:
+        return batches.cogroup(numbered.groupBy("batch")).applyInArrow(_pair(n), _PAIRED)
 
-    counted = cut(paired(listed.groupBy("grp").applyInArrow(_number_only(n), _NUMBERED)).groupBy("grp").applyInArrow(_count(n), _COUNTED), "py-counts")
+    # Held-out documents add nothing to the counts, and words that only they have get no numbers.
+    learned = train.applyInArrow(_list(n), _LISTED)
+    counted = cut(paired(train, learned.groupBy("grp").applyInArrow(_number_only(n), _NUMBERED)).groupBy("grp").applyInArrow(_count(n), _COUNTED), "py-counts")
     sums = counted.filter("kind = 0").agg(F.sum("n"), F.sum("once"), F.sum("twice")).first()
     tokens, d2 = int(sums[0] or 0), _discount(sums[1] or 0, sums[2] or 0)
     state, asked = counted.filter("kind = 0"), counted.filter("kind = 1")
@@ -522,11 +570,15 @@ def scores(docs: DataFrame, seed: int = 0) -> DataFrame:
         spread = (CONCENTRATION + d1 * tables) * even
         replies = asked.groupBy("grp").cogroup(parent.groupBy("grp")).applyInArrow(_reply(d1, spread, customers), _COUNTED)
         both = state if seated is None else state.unionByName(seated.filter("kind = 3"))
+        before = seated
         seated = cut(both.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(_gibbs(n, d2, seed, outer == 1), _COUNTED), "py-seats")
         said = asked.unionByName(seated.filter("kind = 4"))
+        if before is not None:
+            discard(before)
     chances = parent.groupBy("grp").applyInArrow(_chance_rows(d1, spread, customers), _COUNTED)
-    model = chances.unionByName(seated.filter("kind = 4"))
+    model = chances.unionByName(seated.filter("kind = 4")).select("kind", "grp", "a", "b")
     numbered = listed.groupBy("grp").cogroup(model.groupBy("grp")).applyInArrow(_number_with_model(n, spread / (CONCENTRATION + customers)), _NUMBERED)
-    masses = paired(numbered).groupBy("grp").cogroup(state.unionByName(seated.filter("kind = 3")).groupBy("grp")).applyInArrow(_weigh(d2), _WEIGHED)
+    free(spark)
+    masses = paired(by, numbered.select("batch", "grp", "ids", "times")).groupBy("grp").cogroup(state.unionByName(seated.filter("kind = 3")).select("kind", "grp", "a").groupBy("grp")).applyInArrow(_weigh(d2), _WEIGHED)
     answers = numbered.withColumn("mass", F.lit(None).cast("binary")).unionByName(masses, allowMissingColumns=True)
     return by.cogroup(answers.groupBy("batch")).applyInArrow(_score(n, tokens, words, d2), _SCORED)
