@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,7 +180,17 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionLi
     marked = labels.filter("quality IS NOT NULL").select(F.col("doc_id").alias("__l"), (F.col("quality") == 0).alias("bad"))
     rows = stats.filter(~base_failed()).join(marked, F.col("doc_id") == F.col("__l"))
     by = features()
-    got = rows.select(*[c.alias(k) for k, c in by.items()], "bad", "doc_id", "text_key").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key", "bad").limit(sample).toPandas()
+    order = F.xxhash64("doc_id")
+    n = rows.count()
+    share = 2 * sample / max(n, 1)  # the least hashes are in the first share, twice what is asked for: tasks needn't each send a whole sample
+    near = rows if share >= 1 else rows.filter(order <= int((share - 0.5) * 2.0**64))
+
+    def least(some: DataFrame) -> pd.DataFrame:
+        return some.select(*[c.alias(k) for k, c in by.items()], "bad", "doc_id", "text_key").orderBy(order, "doc_id", "text_key", "bad").limit(sample).toPandas()
+
+    got = least(near)
+    if len(got) < min(sample, n):  # rows that repeat a doc_id share a hash
+        got = least(rows)
     return learn({k: got[k].to_numpy(float) for k in by}, got["bad"].to_numpy(bool))
 
 
