@@ -15,7 +15,8 @@ name. Columns other than id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -24,12 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, components, cut, map_batches
+from .common import LOWER, as_bytes, components, cut, discard, map_batches
 
 SEED = 42
 TILE = 256
 #: A bucket with more fingerprints than this is dealt again by a further block of equal bits.
 HOT = 20_000
+#: Shingles in more prefixes than COMMON go to the end of the order in which prefixes are taken, at most LATE more each time.
+COMMON = 64
+LATE = 100_000
 
 
 def _shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -232,70 +236,105 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: st
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(text: bytes | None, width: int, words: int) -> np.ndarray:
-    """SimHash of 64 x words bits: each shingle's hash is mixed anew for each word."""
-    hashes = _shingle_hashes(text, width)
-    ones = np.zeros(64 * words, np.int64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        part ^= part >> np.uint64(31)
-        ones += np.unpackbits(np.ascontiguousarray(part, "<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8") if len(hashes) else np.zeros(words, "<u8")
+def _shingle_sets(docs: DataFrame, width: int, take: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(doc_id, key, n, shingles): a 128-bit hash of all distinct shingle hashes of a text, their number, and what take keeps of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(_shingle_hashes(t, width).view(np.int64)) for t in b.column(1).to_pylist()]
+            keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            kept = [take(s) for s in sets]
+            flat = pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64), pa.int64())
+            listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in kept])], pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array([len(s) for s in sets], pa.int32()), listed], ["doc_id", "key", "n", "shingles"])
+
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes())
+    return map_batches(rows, run, "doc_id long, key binary, n int, shingles array<long>")
 
 
-def bands(fps: np.ndarray) -> np.ndarray:
-    """16-bit keys of fingerprints (n, words): runs of 16 bits, and as many again of bits that lie far apart."""
-    near = np.ascontiguousarray(fps, "<u8").view("<u2")
-    bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8), axis=1, bitorder="little")
-    far = bits.reshape(len(fps), 16, -1).transpose(0, 2, 1).reshape(len(fps), -1)
-    return np.concatenate([near, np.packbits(far, axis=1, bitorder="little").view("<u2")], axis=1).astype(np.int32)
+def _prefix(similarity: float, late: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The first n - ceil(similarity n) + 1 of a sorted set, those of the sorted array late behind all others."""
 
+    def take(s: np.ndarray) -> np.ndarray:
+        if len(late) and len(s):
+            last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+            s = np.concatenate([s[~last], s[last]])
+        return s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
-def similar_radius(similarity: float, bits: int) -> int:
-    """The distance that fingerprints of sets with this Jaccard similarity have on average, and one deviation more."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * p + np.sqrt(bits * p * (1 - p))))
+    return take
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = 4, hot: int = HOT) -> DataFrame:
-    """(doc_id, component_id) of documents whose shingles are alike in at least about `similarity`.
+def _prefixes(docs: DataFrame, width: int, similarity: float, hot: int) -> DataFrame:
+    """(doc_id, key, n, shingles) with the prefix of every set in one order over all sets.
 
-    Fingerprints of 64 x words bits estimate the similarity; pairs meet by equal
-    bands, of which two alike documents share one with high probability (0.91 at
-    a similarity of 0.8, 0.998 at 0.9), and are compared as bit planes. A band key of more than `hot` fingerprints
-    is dealt again by each other band.
+    Two sets of at least this similarity share a shingle of their prefixes,
+    whatever the order. It is that of the hashes, but the shingles of most
+    prefixes, over `hot` and LATE of them at a time, go last; so do those that
+    this brings up.
     """
+    late = np.zeros(0, np.int64)
+    for _ in range(3):
+        marked = cut(_shingle_sets(docs, width, _prefix(similarity, late)), "sets")
+        sizes = marked.select("key", F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > hot)
+        crowded = sizes.orderBy(F.desc("k"), "token").limit(LATE).select("token").toArrow().column(0).to_numpy()
+        grown = np.union1d(late, crowded)
+        if len(grown) == len(late):
+            break
+        discard(marked)
+        late = grown
+    else:
+        marked = cut(_shingle_sets(docs, width, _prefix(similarity, late)), "sets")
+    return marked
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [wide_fingerprint(t, width, words).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["doc_id", "fp"])
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = bands(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8").reshape(b.num_rows, words)) if b.num_rows else np.zeros((0, 8 * words), np.int32)
-            listed = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), keys.shape[1]).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), listed], ["fp", "rep", "keys"])
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, hot: int = COMMON) -> DataFrame:
+    """(doc_id, component_id) of documents linked by a Jaccard similarity of at least `similarity` of their shingles.
 
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes())
-    marked = cut(map_batches(rows, run, "doc_id long, fp binary"), "wide")
-    groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-groups")
-    keyed = map_batches(groups, key, "fp binary, rep long, keys array<int>").select("fp", "rep", "keys", F.posexplode("keys").alias("t", "key"))
-    # Mostly there is no crowded key, and then no row is joined.
-    crowded = cut(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("t", "key", F.lit(True).alias("hot")), "wide-crowded")
-    plain = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("k")))
-    if crowded.isEmpty():
-        dealt = keyed.select("fp", "rep", "t", "key", F.element_at(plain, 1).alias("s"))
-    else:
-        again = F.transform("keys", lambda k, i: F.struct((i + 1).alias("p"), k.alias("k")))
-        dealt = keyed.join(crowded, ["t", "key"], "left").select("fp", "rep", "t", "key", F.explode(F.when(F.col("hot"), again).otherwise(plain)).alias("s"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = dealt.select(F.xxhash64("t", "key", "s.p", "s.k").alias("bucket"), "fp", "rep").repartition(n, "bucket").sortWithinPartitions("bucket", "rep")
-    found = components(map_batches(ready, _link(similar_radius(similarity, 64 * words)), "a long, b long"))
-    named = groups.join(found, groups.rep == found.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "component_id")
+    Equal sets are one. Sets meet by the shingles of their prefixes, which
+    loses no pair, and each pair that is linked has been compared whole. Pairs
+    inside a component need no comparison: the sets of a shingle are first held
+    against one of them, then against another, and only those still apart are
+    compared with each other.
+    """
+    marked = _prefixes(docs, width, similarity, hot)
+    groups = cut(marked.groupBy("key").agg(F.min("doc_id").alias("rep")), "sets-groups")
+    one = marked.join(groups, [marked.key == groups.key, marked.doc_id == groups.rep], "left_semi").dropDuplicates(["key"])
+    tokens = cut(one.select("key", "n", F.col("doc_id").alias("rep"), F.explode("shingles").alias("token")), "sets-tokens")
+    again = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    shared = cut(tokens.join(again, "token").select("token", "key", "n", "rep"), "sets-shared")
+    discard(tokens)
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    alike = both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both) - 1e-9
+    sizes = F.least("n", "n_b") >= F.lit(similarity) * F.greatest("n", "n_b") - 1e-9
+    edges, found = None, None
+    for step in ("one centre", "a centre for each shingle", "all"):
+        if found is None:
+            live = shared.withColumn("root", F.col("rep"))
+        else:
+            live = shared.join(found, shared.rep == found.node, "left").select("token", "key", "n", "rep", F.coalesce("root", "rep").alias("root"))
+        # A shingle whose sets are in one component has nothing left to compare.
+        order = F.xxhash64("key") if step == "one centre" else F.xxhash64("key", "token")
+        apart = live.groupBy("token").agg(F.min(F.struct(order.alias("o"), "key", "n", "rep", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        if step == "all":
+            rest = cut(live.join(apart.select("token"), "token", "left_semi"), "sets-apart")
+            other = rest.select("token", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("rep").alias("rep_b"), F.col("root").alias("root_b"))
+            met = rest.join(other, "token").filter((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & sizes)
+        else:
+            other = apart.select("token", F.col("c.key").alias("key_b"), F.col("c.n").alias("n_b"), F.col("c.rep").alias("rep_b"), F.col("c.root").alias("root_b"))
+            met = live.join(other, "token").filter((F.col("root") != F.col("root_b")) & sizes)
+        pair, back = F.struct("key", "rep"), F.struct(F.col("key_b").alias("key"), F.col("rep_b").alias("rep"))
+        pairs = met.select(F.least(pair, back).alias("a"), F.greatest(pair, back).alias("b")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
+        pairs = cut(pairs.distinct(), "sets-pairs")
+        asked = pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))).distinct()
+        own = cut(_shingle_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), width, lambda s: s).dropDuplicates(["key", "doc_id"]), "sets-own")
+        a, b = (own.select(F.col("key").alias(x), F.col("doc_id").alias(f"rep_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+        linked = cut(pairs.join(a, ["a", "rep_a"]).join(b, ["b", "rep_b"]).filter(alike).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "sets-linked")
+        discard(own)
+        discard(pairs)
+        edges = linked if edges is None else edges.unionByName(linked)
+        found = cut(components(edges), "sets-found")
+    named = groups.join(found, groups.rep == found.node, "left").select("key", F.coalesce("root", "rep").alias("component_id"))
+    return marked.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:

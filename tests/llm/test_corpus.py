@@ -139,6 +139,34 @@ def test_similar_documents_are_found(spark):
         assert all(got[10 * i] == 10 * i and got[10 * i + 5] == 10 * i + 5 for i in range(60))
 
 
+@pytest.mark.parametrize("hot", [2, 64])
+def test_similar_groups_equal_brute_force(spark, hot):
+    rng = random.Random(11)
+    words = lambda k: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k)]
+    line, texts = words(8), []
+    for short, long in ((40, 52), (40, 49), (38, 44)):  # 36 of 48, 36 of 45 and 34 of 40 shingles: 0.75, 0.8 and 0.85
+        for _ in range(30):
+            base = words(long)
+            texts += [base[:short], base]
+    for _ in range(6):  # groups around one text, whose members are alike in 0.6 to 0.95, and a line that many share
+        base = words(80)
+        for k in range(12):
+            copy = list(base)
+            for p in rng.sample(range(80), k % 5):
+                copy[p] = words(1)[0]
+            texts.append(copy + (line if k % 2 else []))
+    texts += [words(30) + line for _ in range(20)] + [[], [], ["one", "two"], ["One", "TWO"], texts[3], texts[4]]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in ([w.lower() for w in t] for t in texts)]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and (x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j])):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df, hot=hot).collect()} == dict(enumerate(root))
+
+
 # --- 2 ---
 
 
