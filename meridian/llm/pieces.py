@@ -21,6 +21,7 @@ key 0. Rows that repeat key and text get the same pieces. Extra columns are igno
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -90,8 +91,9 @@ class Lattice:
     def _filter(self, unit: str) -> tuple[list[float], list[int], list[int], int]:
         """Edges into each node of a unit's lattice: share up to it, node it comes from (-1: the start), piece; and the number of nodes."""
         n = len(unit)
-        into: list[list[tuple[float, int, int]]] = [[] for _ in range(n + 1)]
-        total, node = [1.0] + [0.0] * n, [-1] + [0] * n
+        into: list[list[tuple[float, int, int, int]]] = [[] for _ in range(n + 1)]
+        # A sum is total x 2^power, so a long unit doesn't underflow.
+        total, power, node = [1.0] + [0.0] * n, [0] * (n + 1), [-1] + [0] * n
         weight, ids = self.weight, self.ids
         starts: dict[int, list[tuple[int, str]]] = {}
         covered = set()
@@ -107,21 +109,22 @@ class Lattice:
         for z in range(n + 1):
             if z:
                 if into[z]:
-                    s = sum(e[0] for e in into[z])
-                    total[z], node[z] = s, made
+                    top = max(e[1] for e in into[z])
+                    ways = [math.ldexp(e[0], e[1] - top) for e in into[z]]
+                    s = sum(ways)
+                    total[z], more = math.frexp(s)
+                    power[z], node[z] = top + more, made
                     run = 0.0
-                    for w, a, i in into[z]:
+                    for w, (_, _, a, i) in zip(ways, into[z], strict=True):
                         run += w / s
                         share.append(made + min(run, 1.0))
                         prev.append(a)
                         piece.append(i)
                     share[-1] = made + 1.0
                     made += 1
-                    if s < 1e-200:  # keep long units from underflow: only ratios matter
-                        total[z] = 1e-200
             if z < n and (z == 0 or into[z]):
                 for end, p in starts.get(z, ()):
-                    into[end].append((total[z] * weight[p], node[z], ids[p]))
+                    into[end].append((total[z] * weight[p], power[z], node[z], ids[p]))
                 if z not in covered:
                     raw = (SPACE if unit[z] == _LITERAL else unit[z]).encode()
                     at = node[z]
@@ -131,7 +134,7 @@ class Lattice:
                         piece.append(self.byte[b])
                         at = made
                         made += 1
-                    into[z + 1].append((total[z], at, self.byte[raw[-1]]))
+                    into[z + 1].append((total[z], power[z], at, self.byte[raw[-1]]))
         return share, prev, piece, made
 
     def _filter_alike(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

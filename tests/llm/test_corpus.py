@@ -425,6 +425,26 @@ def test_samples_follow_the_lattice(lattice):
     assert set(seen) <= set(weight) and all(abs(seen[s] / 20_000 - w / total) < 0.02 for s, w in weight.items())
 
 
+def test_long_units_follow_the_lattice(lattice):
+    rng = random.Random(3)
+    unit = "▁" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1000))
+    assert all(c in lattice.ids for c in unit)
+    forward = [0.0]
+    for z in range(1, len(unit) + 1):  # in logarithms
+        logs = [forward[a] + math.log(lattice.weight[p]) for a in range(max(0, z - lattice.longest), z) if (p := unit[a:z]) in lattice.ids]
+        forward.append(max(logs) + math.log(sum(math.exp(x - max(logs)) for x in logs)))
+    share, prev, piece, made = lattice._filter(unit)
+    names = {i: p for p, i in lattice.ids.items()}
+    assert made == len(unit) and forward[-1] < math.log(1e-300)
+    below, node = 0.0, -1
+    for s, a, i in zip(share, prev, piece, strict=True):  # node z - 1 ends at place z, and -1 is the start
+        z = math.ceil(s) - 1
+        below, node = (below if z == node else 0.0), z
+        want = math.exp(forward[a + 1] + math.log(lattice.weight[names[i]]) - forward[z + 1])
+        assert a + 1 + len(names[i]) == z + 1 and abs(s - z - below - want) < 1e-9
+        below = s - z
+
+
 # --- 9 ---
 
 
