@@ -7,16 +7,22 @@ bucket for each pair of blocks; a bucket's fingerprints are stored as vertical b
 planes, and carry-save counters update the distances of 64 fingerprints at a
 time. A tile whose every distance has passed the radius is left early.
 
+similar_groups links by similarity: wider fingerprints of the sets of shingles
+are compared in the same way, in buckets of sets that share minima, and what is
+within a generous radius is compared exactly.
+
 Defined cases: null, empty and blank texts have fingerprint 0 and link like any
 others. A text of fewer words than a shingle is one shingle. Rows that repeat a
 doc_id are each fingerprinted and returned. A null doc_id is never a component's
-name. Columns other than id and text are ignored.
+name. Columns other than id and text are ignored. In similar_groups texts without
+a word are all alike, rows with a null doc_id aren't listed, and rows that repeat
+a doc_id are each listed, with their own text's component.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -29,11 +35,12 @@ from .common import LOWER, as_bytes, components, cut, discard, map_batches
 
 SEED = 42
 TILE = 256
-#: A bucket with more fingerprints than this is dealt again by a further block of equal bits.
+#: A bucket with more fingerprints than this is dealt again by a further block of equal bits, and what stays larger by tiles of two parts.
 HOT = 20_000
-#: Shingles in more prefixes than COMMON go to the end of the order in which prefixes are taken, at most LATE more each time.
-COMMON = 64
-LATE = 100_000
+#: Words of 64 bits in the fingerprints of similar_groups, and the minima by which their sets meet: BANDS keys of ROWS minima each.
+WORDS, BANDS, ROWS = 4, 12, 3
+#: The radius of similar_groups is that many deviations above the distance expected at the similarity asked for.
+DEVIATIONS = 4
 
 
 def _shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -155,7 +162,7 @@ def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
     """Fingerprints (n, words) of a column of longs or of bytes."""
     if pa.types.is_integer(column.type):
         return column.to_numpy().view(np.uint64).reshape(-1, 1)
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1) if len(column) else np.zeros((0, 1), "<u8")
 
 
 def _link(radius: int):
@@ -164,10 +171,13 @@ def _link(radius: int):
 
         def done(rows: pa.Table) -> pa.RecordBatch:
             group = rows.column("bucket").to_numpy()
+            same = group[1:] == group[:-1]
+            met = np.r_[False, same] | np.r_[same, False]
+            rows, group = rows.filter(pa.array(met)), group[met]
             fps, rep = _unsigned(rows.column("fp")), rows.column("rep").to_numpy()
-            root = link_buckets(fps, np.cumsum(np.r_[0, group[1:] != group[:-1]]), radius)
+            root = link_buckets(fps, np.cumsum(np.r_[False, group[1:] != group[:-1]][: len(group)]), radius)
             moved = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[root[moved]])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(rep[moved], pa.int64()), pa.array(rep[root[moved]], pa.int64())], ["a", "b"])
 
         for b in batches:
             held.append(b)
@@ -206,6 +216,22 @@ def _parts(mask: int, radius: int) -> list[int]:
     return [mask | sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(radius + 1)]
 
 
+def _compared(rows: DataFrame, radius: int, hot: int) -> DataFrame:
+    """Edges (a, b) that span what is within the radius in each bucket of (fp, rep, bucket).
+
+    The rows of a crowded bucket fall into parts of about `hot`, and each two
+    parts meet in a bucket of their own, so every pair is compared and no task
+    holds more than two parts.
+    """
+    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("bucket", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    dealt = rows.join(crowded, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
+    tiled = dealt.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(others)))
+    tile = F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
+    ready = tiled.select(tile.alias("bucket"), "fp", "rep").repartition("bucket").sortWithinPartitions("bucket", "rep")
+    return map_batches(ready, _link(radius), "a long, b long")
+
+
 def links(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     """Edges (a, b) between representatives (fp, rep) that span every set of fingerprints within the radius.
 
@@ -222,9 +248,7 @@ def links(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     ])
     dealt = shared.select("fp", "rep", "t", F.explode(F.when(F.col("hot"), again).otherwise(F.array(F.struct(F.lit(0).alias("p"), F.col("key").alias("k"))))).alias("s"))
     rows = dealt.select("fp", "rep", F.xxhash64("t", "s.p", "s.k").alias("bucket"))
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "fp").select("bucket", "fp", "rep")
-    return map_batches(ready, _link(radius), "a long, b long")
+    return _compared(rows, radius, hot)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,103 +260,124 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: st
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _shingle_sets(docs: DataFrame, width: int, take: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(doc_id, key, n, shingles): a 128-bit hash of all distinct shingle hashes of a text, their number, and what take keeps of them."""
+@cache
+def _odd(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1 << 62, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(_shingle_hashes(t, width).view(np.int64)) for t in b.column(1).to_pylist()]
-            keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-            kept = [take(s) for s in sets]
-            flat = pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64), pa.int64())
-            listed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in kept])], pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array([len(s) for s in sets], pa.int32()), listed], ["doc_id", "key", "n", "shingles"])
 
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes())
-    return map_batches(rows, run, "doc_id long, key binary, n int, shingles array<long>")
+def wide_fingerprint(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """SimHash of 64 x words bits of a set of shingle hashes."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096, None].view(np.uint64) * _odd(words, 1)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def _prefix(similarity: float, late: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """The first n - ceil(similarity n) + 1 of a sorted set, those of the sorted array late behind all others."""
+def minima(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Keys of a set of shingle hashes: each of `rows` minima under orders of their own; two sets share one with the chance similarity^rows."""
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[at : at + 4096, None].view(np.uint64) * _odd(bands * rows, 2)).min(axis=0), out=least)
+    keys = np.zeros(bands, np.uint64)
+    for k in range(rows):
+        keys = (keys ^ least.reshape(bands, rows)[:, k]) * np.uint64(0xBF58476D1CE4E5B9)
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
 
-    def take(s: np.ndarray) -> np.ndarray:
-        if len(late) and len(s):
-            last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-            s = np.concatenate([s[~last], s[last]])
-        return s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
-    return take
+def similar_radius(similarity: float, bits: int) -> int:
+    """The distance that fingerprints of sets with this Jaccard similarity have on average, and DEVIATIONS more."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * p + DEVIATIONS * np.sqrt(bits * p * (1 - p))))
 
 
-def _prefixes(docs: DataFrame, width: int, similarity: float, hot: int) -> DataFrame:
-    """(doc_id, key, n, shingles) with the prefix of every set in one order over all sets.
+def _sets(docs: DataFrame, width: int, sketch: bool) -> DataFrame:
+    """(doc_id, key, n, fp, keys) or (doc_id, key, n, shingles): key is a 128-bit hash of all distinct shingle hashes of a text, n their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(_shingle_hashes(t, width).view(np.int64)) for t in b.column(1).to_pylist()]
+            known = [b.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+            listed = [minima(s) for s in sets] if sketch else sets
+            flat = pa.array(np.concatenate(listed) if listed else np.zeros(0, np.int64), pa.int64())
+            longs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for s in listed])], pa.int32()), flat)
+            if sketch:
+                yield pa.RecordBatch.from_arrays([*known, pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary()), longs], ["doc_id", "key", "n", "fp", "keys"])
+            else:
+                yield pa.RecordBatch.from_arrays([*known, longs], ["doc_id", "key", "n", "shingles"])
+
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes())
+    return map_batches(rows, run, "doc_id long, key binary, n int, " + ("fp binary, keys array<long>" if sketch else "shingles array<long>"))
 
-    Two sets of at least this similarity share a shingle of their prefixes,
-    whatever the order. It is that of the hashes, but the shingles of most
-    prefixes, over `hot` and LATE of them at a time, go last; so do those that
-    this brings up.
-    """
-    late = np.zeros(0, np.int64)
-    for _ in range(3):
-        marked = cut(_shingle_sets(docs, width, _prefix(similarity, late)), "sets")
-        sizes = marked.select("key", F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("k")).filter(F.col("k") > hot)
-        crowded = sizes.orderBy(F.desc("k"), "token").limit(LATE).select("token").toArrow().column(0).to_numpy()
-        grown = np.union1d(late, crowded)
-        if len(grown) == len(late):
-            break
-        discard(marked)
-        late = grown
-    else:
-        marked = cut(_shingle_sets(docs, width, _prefix(similarity, late)), "sets")
-    return marked
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, hot: int = COMMON) -> DataFrame:
-    """(doc_id, component_id) of documents linked by a Jaccard similarity of at least `similarity` of their shingles.
 
-    Equal sets are one. Sets meet by the shingles of their prefixes, which
-    loses no pair, and each pair that is linked has been compared whole. Pairs
-    inside a component need no comparison: the sets of a shingle are first held
-    against one of them, then against another, and only those still apart are
-    compared with each other.
+def _verified(own: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): sets (grp, key, n, rep, shingles) linked by their exact similarity, by the least rep of each component.
+
+    Sets of a group that are alike share a shingle of their prefixes (the first
+    n - ceil(similarity n) + 1 in the order of the hashes), so those with a
+    common one are compared whole. Pairs inside a component need no comparison:
+    the sets of a shingle are first held against one of them, then against
+    another, and only those still apart are compared with each other.
     """
-    marked = _prefixes(docs, width, similarity, hot)
-    groups = cut(marked.groupBy("key").agg(F.min("doc_id").alias("rep")), "sets-groups")
-    one = marked.join(groups, [marked.key == groups.key, marked.doc_id == groups.rep], "left_semi").dropDuplicates(["key"])
-    tokens = cut(one.select("key", "n", F.col("doc_id").alias("rep"), F.explode("shingles").alias("token")), "sets-tokens")
-    again = tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-    shared = cut(tokens.join(again, "token").select("token", "key", "n", "rep"), "sets-shared")
+    prefix = F.slice("shingles", 1, (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).cast("int"))
+    tokens = cut(own.select("grp", "key", "n", "rep", F.explode(prefix).alias("token")), "sets-tokens")
+    again = tokens.groupBy("grp", "token").agg(F.count("*").alias("k")).filter("k > 1").select("grp", "token")
+    shared = cut(tokens.join(again, ["grp", "token"]).select("grp", "token", "key", "n", "rep"), "sets-shared")
     discard(tokens)
     both = F.size(F.array_intersect("set_a", "set_b"))
     alike = both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both) - 1e-9
     sizes = F.least("n", "n_b") >= F.lit(similarity) * F.greatest("n", "n_b") - 1e-9
-    edges, found = None, None
+    a, b = (own.select(F.col("key").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    edges = found = own.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    found = found.toDF("node", "root")
     for step in ("one centre", "a centre for each shingle", "all"):
-        if found is None:
-            live = shared.withColumn("root", F.col("rep"))
-        else:
-            live = shared.join(found, shared.rep == found.node, "left").select("token", "key", "n", "rep", F.coalesce("root", "rep").alias("root"))
+        live = shared.join(found, shared.rep == found.node, "left").select("grp", "token", "key", "n", "rep", F.coalesce("root", "rep").alias("root"))
         # A shingle whose sets are in one component has nothing left to compare.
         order = F.xxhash64("key") if step == "one centre" else F.xxhash64("key", "token")
-        apart = live.groupBy("token").agg(F.min(F.struct(order.alias("o"), "key", "n", "rep", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        apart = live.groupBy("grp", "token").agg(F.min(F.struct(order.alias("o"), "key", "n", "rep", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
         if step == "all":
-            rest = cut(live.join(apart.select("token"), "token", "left_semi"), "sets-apart")
-            other = rest.select("token", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("rep").alias("rep_b"), F.col("root").alias("root_b"))
-            met = rest.join(other, "token").filter((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & sizes)
+            rest = cut(live.join(apart.select("grp", "token"), ["grp", "token"], "left_semi"), "sets-apart")
+            other = rest.select("grp", "token", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("rep").alias("rep_b"), F.col("root").alias("root_b"))
+            met = rest.join(other, ["grp", "token"]).filter((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & sizes)
         else:
-            other = apart.select("token", F.col("c.key").alias("key_b"), F.col("c.n").alias("n_b"), F.col("c.rep").alias("rep_b"), F.col("c.root").alias("root_b"))
-            met = live.join(other, "token").filter((F.col("root") != F.col("root_b")) & sizes)
+            other = apart.select("grp", "token", F.col("c.key").alias("key_b"), F.col("c.n").alias("n_b"), F.col("c.rep").alias("rep_b"), F.col("c.root").alias("root_b"))
+            met = live.join(other, ["grp", "token"]).filter((F.col("root") != F.col("root_b")) & sizes)
         pair, back = F.struct("key", "rep"), F.struct(F.col("key_b").alias("key"), F.col("rep_b").alias("rep"))
-        pairs = met.select(F.least(pair, back).alias("a"), F.greatest(pair, back).alias("b")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"))
+        pairs = met.select(F.least(pair, back).alias("p"), F.greatest(pair, back).alias("q")).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), F.col("p.rep").alias("rep_a"), F.col("q.rep").alias("rep_b"))
         pairs = cut(pairs.distinct(), "sets-pairs")
-        asked = pairs.select(F.col("rep_a").alias("doc_id")).unionByName(pairs.select(F.col("rep_b").alias("doc_id"))).distinct()
-        own = cut(_shingle_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), width, lambda s: s).dropDuplicates(["key", "doc_id"]), "sets-own")
-        a, b = (own.select(F.col("key").alias(x), F.col("doc_id").alias(f"rep_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+        if pairs.isEmpty():
+            continue
         linked = cut(pairs.join(a, ["a", "rep_a"]).join(b, ["b", "rep_b"]).filter(alike).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "sets-linked")
-        discard(own)
         discard(pairs)
-        edges = linked if edges is None else edges.unionByName(linked)
+        edges = edges.unionByName(linked)
         found = cut(components(edges), "sets-found")
+    return found
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, hot: int = HOT) -> DataFrame:
+    """(doc_id, component_id) of documents linked by a Jaccard similarity of at least `similarity` of their shingles.
+
+    Equal sets are one. Sets meet by minima of their shingles and are compared
+    there as bit planes of SimHash fingerprints; what is within the radius makes
+    groups of candidates, which a spanning set of links names. The sets of a
+    group are then compared exactly. A pair at 0.8 meets with a chance over
+    0.999 and is within the radius with one as high (0.98 for sets of four and
+    five shingles, the least that can be so alike). Buckets grow with what is
+    alike, not with the corpus.
+    """
+    marked = cut(_sets(docs, width, True), "sets")
+    groups = cut(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets-groups")
+    keyed = groups.filter("n > 0").select("fp", "rep", F.posexplode("keys").alias("t", "key"))
+    near = components(_compared(keyed.select("fp", "rep", F.xxhash64("t", "key").alias("bucket")), similar_radius(similarity, 64 * WORDS), hot))
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())  # the least of each is not among the nodes
+    candidates = cut(groups.join(near, groups.rep == near.node).select("key", "n", "rep", F.col("root").alias("grp")), "sets-candidates")
+    texts = docs.select("doc_id", "text").join(candidates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    whole = _sets(texts, width, False).select("key", F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["key", "rep"])
+    own = cut(candidates.join(whole, ["key", "rep"]).select("grp", "key", "n", "rep", "shingles"), "sets-own")
+    found = _verified(own, similarity)
     named = groups.join(found, groups.rep == found.node, "left").select("key", F.coalesce("root", "rep").alias("component_id"))
     return marked.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 
