@@ -3,18 +3,22 @@
 A byte goes if a string of `width` bytes that covers it also starts in a document
 with a smaller doc_id. Equal strings meet in one group: each string of `width`
 bytes has a least hashed 16-gram, consecutive strings with the same one form a
-stretch, and stretches are dealt out by it. Every group orders its suffixes
-(doubling of ranks over the first `width` bytes) and takes the longest previous
-factor of each: in suffix order, ties by document, the nearest place before with
-a smaller document; the nearest one after can't share more, since places that
-share `width` bytes stand in document order.
+stretch, and stretches are dealt out by it. Every group puts its suffixes in order
+(doubling of ranks) with their longest common prefixes, finds for each the nearest
+place before and after it, in suffix order, that stands in a smaller document, and
+takes the greater of the two common prefixes: the longest previous factor. Orders
+and prefixes are looked at up to `width` bytes, which is all that decides.
 
 Steps, over batches of documents that are dealt out by a hash of doc_id:
  1. each batch lists the hashes of its stretches;
- 2. hashes that several documents have are found, by ranges of hash;
+ 2. hashes that several documents have are found, by ranges of hash, and among
+    them the hot ones that over `fan` batches have;
  3. each batch sends its stretches with such hashes, equal ones of later
-    documents in the batch being resolved there and then;
- 4. groups of stretches find what earlier documents have;
+    documents in the batch being resolved there and then; stretches of hot hashes
+    are sent string by string, dealt out by the whole string;
+ 4. groups of stretches find what earlier documents have; strings of hot hashes
+    meet in groups of `fan` batches, then of `fan` such groups and so on, and only
+    the earliest of equal ones goes on;
  5. batches merge what is covered and cut it out.
 
 Defined cases: null is the empty text. Shorter texts than `width` keep all. Rows
@@ -31,11 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 WIDTH, GRAM = 50, 16
 #: Bytes of text in a batch of documents, and in a group of hashes or of stretches.
 BATCH, HASHES, STRETCHES = 2 << 20, 16 << 20, 2 << 20
+#: Bytes of text that are dealt to one task of a shuffle.
+TASK = 8 << 20
+#: A hash is hot if more batches than this have it; its strings meet in groups of so many batches at a time.
+FAN = 64
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 
@@ -102,31 +110,59 @@ def stretches(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
-def suffix_ranks(data: np.ndarray, places: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Ranks of the suffixes at `places` by their first `width` bytes: equal ranks, equal bytes."""
+def suffix_order(data: np.ndarray, places: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of the suffixes at `places` by their first `width` bytes, ties by document: lcp[k] is what the k-th shares with the one before, width at most."""
     padded = np.r_[data, np.zeros(2 * width, np.uint8)]
-    rank = np.unique(_eights(padded)[: len(data) + width].byteswap(), return_inverse=True)[1].astype(np.int64)
-    have = 8
-    while True:
-        if have * 2 >= width:
-            return np.unique(rank[places] * (1 + rank.max()) + rank[places + (width - have)], return_inverse=True)[1]
+    eight = _eights(padded)
+    levels = [(8, np.unique(eight[: len(data) + width].byteswap(), return_inverse=True)[1].astype(np.int64))]
+    while 2 * levels[-1][0] < width:
+        have, rank = levels[-1]
         both = rank[: len(rank) - have] * (1 + rank.max()) + rank[have:]
-        rank, have = np.unique(both, return_inverse=True)[1].astype(np.int64), have * 2
+        levels.append((2 * have, np.unique(both, return_inverse=True)[1].astype(np.int64)))
+    have, rank = levels[-1]
+    key = rank[places] * (1 + rank.max()) + rank[places + (width - have)]
+    order = np.lexsort((doc, key))
+    lcp = np.full(len(order), width)
+    apart = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])[1:]
+    a, b = places[order[apart - 1]], places[order[apart]]
+    common = np.zeros(len(apart), np.int64)
+    for have, rank in reversed(levels):
+        common += have * (rank[np.minimum(a + common, len(rank) - 1)] == rank[np.minimum(b + common, len(rank) - 1)])
+    differ = eight[np.minimum(a + common, len(eight) - 1)] ^ eight[np.minimum(b + common, len(eight) - 1)]
+    low = differ & (_U(0) - differ)  # its lowest bit, whose byte is the first that differs
+    lcp[apart] = np.minimum(common + np.bitwise_count(low - _U(1)) // 8, width)
+    lcp[:1] = 0
+    return order, lcp
+
+
+def smaller_before(doc: np.ndarray, lcp: np.ndarray, enough: int = 1) -> np.ndarray:
+    """For each place in suffix order what it shares with the nearest place before it of a smaller document; 0 where that is less than `enough`."""
+    to, low = np.arange(len(doc)) - 1, lcp.copy()
+    open_ = np.flatnonzero(low >= enough)
+    while True:  # a place that is no smaller hands on where it looks itself
+        open_ = open_[(to[open_] >= 0) & (low[open_] >= enough)]
+        open_ = open_[doc[to[open_]] >= doc[open_]]
+        if not len(open_):
+            break
+        at = to[open_]
+        low[open_], to[open_] = np.minimum(low[open_], low[at]), to[at]
+    return np.where((to >= 0) & (low >= enough), low, 0)
+
+
+def previous_factors(data: np.ndarray, places: np.ndarray, doc: np.ndarray, width: int = WIDTH, enough: int = 1) -> np.ndarray:
+    """The longest previous factor at each place: the most bytes, width at most, that it shares with a place of a smaller document; 0 for less than `enough`."""
+    order, lcp = suffix_order(data, places, doc, width)
+    own = doc[order]
+    before = smaller_before(own, lcp, enough)
+    after = smaller_before(own[::-1], np.r_[0, lcp[1:][::-1]], enough)[::-1]
+    out = np.zeros(len(places), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
 
 
 def earlier(data: np.ndarray, places: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Whether the longest previous factor at each place, taken over smaller documents, has `width` bytes."""
-    if not len(places):
-        return np.zeros(0, bool)
-    rank = suffix_ranks(data, places, width)
-    order = np.lexsort((doc, rank))
-    run = np.r_[True, rank[order][1:] != rank[order][:-1]]  # where the common prefix with the place before is shorter
-    fresh = run | np.r_[True, doc[order][1:] != doc[order][:-1]]
-    at = np.arange(len(order))
-    previous = np.maximum.accumulate(np.where(fresh, at, 0)) - 1  # the last place of a smaller document, if in the run
-    found = np.zeros(len(order), bool)
-    found[order] = previous >= np.maximum.accumulate(np.where(run, at, 0))
-    return found
+    """Whether the longest previous factor at each place has `width` bytes."""
+    return previous_factors(data, places, doc, width, width) >= width if len(places) else np.zeros(0, bool)
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -153,8 +189,9 @@ def _hashes(docs: list[int | None], texts: list[bytes], n: int, width: int):
 
 
 _LISTED = "grp int, batch int, hashes binary, several binary"
-_SHARED = "batch int, grp int, bits binary"
-_SENT = "grp int, batch int, docs binary, rows binary, starts binary, lengths binary, data binary"
+_SHARED = "batch int, grp int, bits binary, hot binary"
+_SENT = "grp int, batch int, docs binary, rows binary, starts binary, lengths binary, data binary, entries binary"
+_HOT = "grp int, batch int, docs binary, texts binary, entries binary, rows binary, starts binary, lengths binary"
 _SPANS = "batch int, rows binary, starts binary, lengths binary"
 
 
@@ -184,56 +221,124 @@ def _list(n: int, width: int):
     return run
 
 
-def _share(key: tuple, table: pa.Table) -> pa.Table:
-    blobs = table.column("hashes").to_pylist()
-    sizes = np.array([len(b) // 4 for b in blobs])
-    values = np.frombuffer(b"".join(blobs), "<u4")
-    several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(table.column("several").to_pylist(), sizes, strict=True)]).astype(bool)
-    order = np.argsort(values, kind="stable")
-    same = values[order][1:] == values[order][:-1]
-    shared = np.zeros(len(values), bool)
-    shared[order] = np.r_[False, same] | np.r_[same, False]
-    shared |= several
-    ends = np.cumsum(sizes)
-    return _table(_SHARED, [(b, key[0].as_py(), np.packbits(shared[z - n : z]).tobytes()) for b, n, z in zip(table.column("batch").to_pylist(), sizes, ends, strict=True) if shared[z - n : z].any()])
+def _share(fan: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        blobs = table.column("hashes").to_pylist()
+        sizes = np.array([len(b) // 4 for b in blobs])
+        values = np.frombuffer(b"".join(blobs), "<u4")
+        several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(table.column("several").to_pylist(), sizes, strict=True)]).astype(bool)
+        known, inverse, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared, hot = several | (times > 1)[inverse], (times > fan)[inverse]
+        ends = np.cumsum(sizes)
+        return _table(_SHARED, [(b, key[0].as_py(), np.packbits(shared[z - n : z]).tobytes(), np.packbits(hot[z - n : z]).tobytes()) for b, n, z in zip(table.column("batch").to_pylist(), sizes, ends, strict=True) if shared[z - n : z].any()])
+
+    return run
+
+
+def _windows(texts: list[bytes], docs: np.ndarray, text: np.ndarray, first: np.ndarray, count: np.ndarray, groups: int, width: int) -> tuple[list[tuple], tuple[np.ndarray, ...]]:
+    """Strings of `width` bytes of some stretches, each once in its least document: rows of _HOT without the batch, and (text, place, count) of those that later documents have."""
+    data = np.frombuffer(b"".join([texts[t][p : p + c + width - 1] for t, p, c in zip(text.tolist(), first.tolist(), count.tolist(), strict=True)]), np.uint8)
+    size = count + width - 1
+    at = _spread(np.cumsum(size) - size, count)
+    known, which = np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[at]).view(f"V{width}").reshape(-1), return_inverse=True)
+    own, place, owner = np.repeat(text, count), _spread(first, count), np.repeat(np.arange(len(text)), count)
+    least = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, docs[own])
+    # A run of one string (of blanks, say) is one entry.
+    begin = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (owner[1:] != owner[:-1])])
+    which, own, place, length = which[begin], own[begin], place[begin], np.diff(np.r_[begin, len(which)])
+    late = docs[own] > least[which]
+    order = np.flatnonzero(~late)[np.argsort(which[~late], kind="stable")]
+    entries = np.bincount(which[order], minlength=len(known))
+    raw = known.view(np.uint8).reshape(len(known), width)
+    hashed = np.zeros(len(known), _U)
+    for k in range(0, width, 8):
+        hashed = _mix(hashed ^ np.ascontiguousarray(np.pad(raw[:, k : k + 8], ((0, 0), (0, max(0, k + 8 - width))))).view("<u8").reshape(-1))
+    grp = (hashed % _U(groups)).astype(np.int64)
+    edge = np.r_[0, np.cumsum(entries)]
+    rows = []
+    by = np.argsort(grp, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, grp[by][1:] != grp[by][:-1]]) if len(by) else np.zeros(0, np.int64)
+    for a, z in zip(cuts, np.r_[cuts[1:], len(by)], strict=False):
+        some = by[a:z]
+        mine = order[_spread(edge[some], entries[some])]
+        rows.append((int(grp[some[0]]), least[some].astype("<i8").tobytes(), raw[some].tobytes(), entries[some].astype("<u4").tobytes(), *(x[mine].astype("<u4").tobytes() for x in (own, place, length))))
+    return rows, (own[late], place[late], length[late])
 
 
 def _send(n: int, groups: int, width: int):
+    """Stretches to groups (docs null for what is resolved already), and, with a negative group, strings of hot hashes."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _table(_SENT, [])
         batch = left.column("batch")[0].as_py()
         docs, texts = _rows(left)
         text, first, count, value, known, which = _hashes(docs, texts, n, width)
-        shared = np.zeros(len(known), bool)
+        shared, hot = np.zeros(len(known), bool), np.zeros(len(known), bool)
         grp = ((known >> _U(32)) % _U(n)).astype(np.int64)
-        for g, bits in zip(right.column("grp").to_pylist(), right.column("bits").to_pylist(), strict=True):
+        for g, *bits in zip(*(right.column(c).to_pylist() for c in ("grp", "bits", "hot")), strict=True):
             a, z = np.searchsorted(grp, [g, g + 1])
-            shared[a:z] = np.unpackbits(np.frombuffer(bits, np.uint8))[: z - a]
+            for flags, b in zip((shared, hot), bits, strict=True):
+                flags[a:z] = np.unpackbits(np.frombuffer(b, np.uint8))[: z - a]
         on = np.flatnonzero(shared[which])
         seen: dict[bytes, int] = {}
         parts: dict[int, list[int]] = {}
         done: list[tuple[int, int, int]] = []
+        often: list[int] = []
         cuts: dict[int, bytes] = {}
         to = ((value[on] >> _U(24)) % _U(groups)).tolist()
-        for i, g, t, p, c in zip(on.tolist(), to, text[on].tolist(), first[on].tolist(), count[on].tolist(), strict=True):
+        for i, g, h, t, p, c in zip(on.tolist(), to, hot[which[on]].tolist(), text[on].tolist(), first[on].tolist(), count[on].tolist(), strict=True):
             data = texts[t][p : p + c + width - 1]
             before = seen.setdefault(data, docs[t])
             if before < docs[t]:
                 done.append((t, p, c))
+            elif h:
+                often.append(i)
             else:
                 cuts[i] = data
                 parts.setdefault(g, []).append(i)
         ids = np.array([d or 0 for d in docs], "<i8")
-        rows = [(g, batch, ids[text[own]].tobytes(), text[own].astype("<u4").tobytes(), first[own].astype("<u4").tobytes(), count[own].astype("<u4").tobytes(), b"".join([cuts[i] for i in own])) for g, own in parts.items()]
-        if done:  # already known to go: passed on with no text
-            t, p, c = (np.array(x, "<u4") for x in zip(*done, strict=True))
-            rows.append((batch % groups, batch, b"", t.tobytes(), p.tobytes(), c.tobytes(), b""))
+        rows = [(g, batch, ids[text[own]].tobytes(), text[own].astype("<u4").tobytes(), first[own].astype("<u4").tobytes(), count[own].astype("<u4").tobytes(), b"".join([cuts[i] for i in own]), None) for g, own in parts.items()]
+        gone = [np.array(done, np.int64).reshape(-1, 3).T]
+        if often:
+            strings, late = _windows(texts, ids, text[often], first[often], count[often], groups, width)
+            rows += [(-1 - g, batch, d, r, s, c, data, entries) for g, d, data, entries, r, s, c in strings]
+            gone.append(np.array(late))
+        t, p, c = np.concatenate(gone, axis=1).astype("<u4")
+        if len(t):  # already known to go: passed on with no text
+            rows.append((batch % groups, batch, b"", t.tobytes(), p.tobytes(), c.tobytes(), b"", None))
         return _table(_SENT, rows)
 
     return run
 
 
+def _meet(width: int, last: bool):
+    """Strings of one group of batches: what earlier documents have goes, the rest goes on to the next level. Rows without texts are what is gone already."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_pylist() for c in ("grp", "batch", "docs", "texts", "entries", "rows", "starts", "lengths")}
+        out = [tuple(columns[c][i] for c in columns) for i, t in enumerate(columns["texts"]) if not t]
+        full = [i for i, t in enumerate(columns["texts"]) if t]
+        if full:
+            docs = [np.frombuffer(columns["docs"][i], "<i8") for i in full]
+            data = np.frombuffer(b"".join([columns["texts"][i] for i in full]), np.uint8)
+            every = np.concatenate(docs)
+            gone = earlier(data, np.arange(len(every)) * width, every, width)
+            for i, g in zip(full, np.split(gone, np.cumsum([len(d) for d in docs])[:-1]), strict=True):
+                entries = np.frombuffer(columns["entries"][i], "<u4")
+                goes = np.repeat(g, entries)
+                grp, batch, places = columns["grp"][i], columns["batch"][i], [np.frombuffer(columns[c][i], "<u4") for c in ("rows", "starts", "lengths")]
+                if goes.any():
+                    out.append((grp, batch, b"", b"", b"", *(x[goes].tobytes() for x in places)))
+                if not last and not g.all():
+                    texts = np.frombuffer(columns["texts"][i], np.uint8).reshape(-1, width)
+                    out.append((grp, batch, np.frombuffer(columns["docs"][i], "<i8")[~g].tobytes(), texts[~g].tobytes(), entries[~g].tobytes(), *(x[~goes].tobytes() for x in places)))
+        return _table(_HOT, out)
+
+    return run
+
+
 def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index and length of each run of flags with one owner."""
     first = np.flatnonzero(flags & np.r_[True, ~flags[:-1] | (owner[1:] != owner[:-1])])
@@ -324,7 +429,7 @@ def _cut(width: int, texts_out: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, texts: bool = True, fan: int = FAN, batch: int = BATCH) -> DataFrame:
     """For every row: doc_id, spans [start, stop) of bytes removed, counts, the SHA-256 of what is kept and (with texts) the bytes kept."""
     if width < GRAM:
         raise ValueError(f"width must be {GRAM} at least")
@@ -332,11 +437,25 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, texts: bool = True) ->
     small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_batches, n_hash, n_groups = (max(part, -(-total // x)) for x in (BATCH, HASHES, STRETCHES))
+    n_batches, n_hash, n_groups, tasks = (max(part, -(-total // x)) for x in (batch, HASHES, STRETCHES, TASK))
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    by = rows.groupBy("batch")
-    listed = by.applyInArrow(_list(n_hash, width), _LISTED)
-    shared = listed.groupBy("grp").applyInArrow(_share, _SHARED)
-    sent = by.cogroup(shared.groupBy("batch")).applyInArrow(_send(n_hash, n_groups, width), _SENT)
-    spans = sent.groupBy("grp").applyInArrow(_find(width), _SPANS)
-    return by.cogroup(spans.groupBy("batch")).applyInArrow(_cut(width, texts), _RESULT_SQL)
+    dealt = lambda df, by: df.repartition(tasks, by).groupBy(by)
+    listed = dealt(rows, "batch").applyInArrow(_list(n_hash, width), _LISTED)
+    shared = dealt(listed, "grp").applyInArrow(_share(fan), _SHARED)
+    sent = dealt(rows, "batch").cogroup(dealt(shared, "batch")).applyInArrow(_send(n_hash, n_groups, width), _SENT)
+    if n_batches <= fan:
+        spans = dealt(sent, "grp").applyInArrow(_find(width), _SPANS)
+    else:
+        sent = cut(sent, "suffix-sent")
+        spans = dealt(sent.filter("grp >= 0"), "grp").applyInArrow(_find(width), _SPANS)
+        strings = sent.filter("grp < 0").select("grp", "batch", "docs", F.col("data").alias("texts"), "entries", "rows", "starts", "lengths")
+        over = fan
+        while True:
+            last = over >= n_batches
+            meet = F.xxhash64("grp", F.floor(F.col("batch") / over))
+            strings = strings.withColumn("meet", meet).repartition(tasks, "meet").groupBy("meet").applyInArrow(_meet(width, last), _HOT)
+            if last:
+                break
+            over *= fan
+        spans = spans.unionByName(strings.select("batch", "rows", "starts", "lengths"))
+    return dealt(rows, "batch").cogroup(dealt(spans, "batch")).applyInArrow(_cut(width, texts), _RESULT_SQL)

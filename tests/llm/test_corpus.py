@@ -386,6 +386,45 @@ def test_substring_dedup(spark, width):
     assert sum(r.n_removed for r in got) > 0 and suffixdedup.dedup_substrings(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [16, 24, 50])
+def test_previous_factors_equal_brute_force(width):
+    rng = np.random.default_rng(width)
+    for _ in range(15):
+        data = rng.integers(97, 99, int(rng.integers(width, 300))).astype(np.uint8)
+        places = np.flatnonzero(rng.random(len(data) - width + 1) < 0.4)
+        doc, text = rng.integers(0, 6, len(places)), data.tobytes()
+        shared = lambda i, j: next((k for k in range(width) if text[i + k] != text[j + k]), width)  # noqa: B023, E731
+        want = [max([shared(p, q) for q, e in zip(places, doc, strict=True) if e < d], default=0) for p, d in zip(places, doc, strict=True)]
+        assert suffixdedup.previous_factors(data, places, doc, width).tolist() == want
+
+
+def test_a_passage_of_every_document(spark):
+    """Hot strings meet over several levels: two texts a batch, groups of two batches at a time."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage, blanks = " ".join(word() for _ in range(40)), " " * 300
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(30))) + passage + (blanks if i % 3 else "-=" * 90) + " ".join(word() for _ in range(30))) for i in range(60)]
+    docs += [(60, passage[:49]), (61, passage[5:60]), (62, None), (63, passage), (63, passage), (7, "x" + passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    gone = {d: [] for d, _ in docs}
+    known = {}
+    for d, t in docs:
+        raw = (t or "").encode()
+        for p in range(len(raw) - 49):
+            known[raw[p : p + 50]] = min(d, known.get(raw[p : p + 50], d))
+    for d, t in docs:
+        raw, cover = (t or "").encode(), bytearray(len((t or "").encode()))
+        for p in range(len(raw) - 49):
+            if known[raw[p : p + 50]] < d:
+                cover[p : p + 50] = b"\1" * 50
+        gone[d].append(bytes(c for c, g in zip(raw, cover, strict=True) if not g))
+    for fan, batch in ((2, 800), (1000, 800)):
+        got = {}
+        for r in suffixdedup.dedup_substrings(df, fan=fan, batch=batch).collect():
+            got.setdefault(r.doc_id, []).append(bytes(r.kept))
+        assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in gone.items()}
+
+
 # --- 8 ---
 
 
