@@ -10,12 +10,16 @@ most of its bytes, of equals to the first ("largest"). Others: "first" and
 
 Defined cases: null and empty texts have no section and no row. A section is a
 line with its line end; an empty line has its line end alone. Rows that repeat a
-doc_id are each counted. Extra columns are ignored.
+doc_id are each counted. Bytes that aren't UTF-8 count as the replacement
+character that stands for them. A run of white space of any length is one piece of
+the pattern (without its last character, if more text follows). Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -39,6 +43,22 @@ def _encoding(ranks: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}), lengths
 
 
+#: Runs of white space that the tokenizer's pattern would have to backtrack over too deeply.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def encode(encoding, text: str) -> list[int]:
+    """Token ids of a text. A long run of white space is encoded as the one piece that the pattern makes of it."""
+    out: list[int] = []
+    at = 0
+    for run in _BLANKS.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._encode_single_piece(text[run.start() : stop].encode())
+        at = stop
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def line_ends(text: bytes) -> np.ndarray:
     """Byte ends of the lines of a text, each with its line end."""
     ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
@@ -76,7 +96,9 @@ def count_sections(docs: DataFrame, ranks: str, pattern: str, rule: str = "large
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                stops = np.cumsum(lengths[np.array(encoding.encode_ordinary(text.decode(errors="replace")), np.int64)])
+                whole = text.decode(errors="replace")
+                text = whole.encode()
+                stops = np.cumsum(lengths[np.array(encode(encoding, whole), np.int64)])
                 ends = section_ends(text)
                 section, crosses = allocate(stops, ends, rule)
                 chars = np.r_[0, np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)][np.r_[0, ends]]

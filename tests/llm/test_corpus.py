@@ -187,6 +187,41 @@ def test_token_counts_by_line(spark):
     assert [text[a:z] for a, z in spans] == text.splitlines(keepends=True)
 
 
+def test_token_counts_equal_brute_force(spark):
+    """Each token's bytes are dealt to lines one by one; the tokenizer's own decoding says which bytes a token has."""
+    docs, df = corpus(spark)
+    odd = [(100, b"ab\xff\xffcd\nx"), (101, b"\n\n\n"), (102, ("a" + " " * 30_000 + "b \n\n c" + "\n" * 20_000).encode()), (103, "日\n本 \n".encode())]
+    more = spark.createDataFrame([(d, bytearray(t)) for d, t in odd], "doc_id long, text binary")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoding, _ = tokencounts._encoding(path, public_tokenizers.PATTERN)
+    both = df.selectExpr("doc_id", "CAST(text AS binary) AS text").unionByName(more)
+    got = Counter((r.doc_id, r.section, r.char_start, r.char_end, r.n_tokens, r.n_crossing) for r in tokencounts.count_sections(both, path, public_tokenizers.PATTERN).collect())
+    want = Counter()
+    for d, t in docs + [(d, t.decode(errors="replace")) for d, t in odd]:
+        if not t:
+            continue
+        lines = t.splitlines(keepends=True) if "\n" in t and not re.search("[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]", t) else [t] if "\n" not in t else re.findall("[^\n]*\n|[^\n]+", t)
+        owner = [i for i, x in enumerate(lines) for _ in x.encode()]
+        tokens, crossing, at = Counter(), Counter(), 0
+        for piece in encoding.decode_tokens_bytes(encoding.encode_ordinary(t)):
+            over = Counter(owner[at : at + len(piece)])
+            best = min(over, key=lambda i: (-over[i], i))
+            tokens[best] += 1
+            crossing[best] += len(over) > 1
+            at += len(piece)
+        start = 0
+        for i, x in enumerate(lines):
+            want[d, i, start, start + len(x), tokens[i], crossing[i]] += 1
+            start += len(x)
+    assert got == want
+
+
+def test_long_blank_runs_do_not_stop_the_tokenizer(spark):
+    df = spark.createDataFrame([(1, "x" + " " * 2_000_000 + "y"), (2, "\n" * 1_500_000)], "doc_id long, text string")
+    found = tokencounts.count_sections(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).groupBy("doc_id").sum("n_tokens").collect()
+    assert {r[0]: r[1] for r in found}[1] == 2_000_001 and {r[0]: r[1] for r in found}[2] > 0
+
+
 def test_crossing_tokens_follow_the_rule():
     stops, ends = np.array([2, 7, 9]), np.array([3, 8, 9])  # the token [2, 7) has one byte in the first section and four in the second
     assert tokencounts.allocate(stops, ends)[0].tolist() == [0, 1, 1] and tokencounts.allocate(stops, ends, "first")[0].tolist() == [0, 0, 1]
