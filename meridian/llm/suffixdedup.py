@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import small_batches
 
 WIDTH, GRAM = 50, 16
 #: Bytes of text in a batch of documents, and in a group of hashes or of stretches.
@@ -191,8 +191,8 @@ def _hashes(docs: list[int | None], texts: list[bytes], n: int, width: int):
 _LISTED = "grp int, batch int, hashes binary, several binary"
 _SHARED = "batch int, grp int, bits binary, hot binary"
 _SENT = "grp int, batch int, docs binary, rows binary, starts binary, lengths binary, data binary, entries binary"
-_HOT = "grp int, batch int, docs binary, texts binary, entries binary, rows binary, starts binary, lengths binary"
-_SPANS = "batch int, rows binary, starts binary, lengths binary"
+#: Of a row: a group (negative: of strings of hot hashes), what it sends, or with no data the spans that are known to go.
+_RESOLVED = _SENT
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -236,7 +236,7 @@ def _share(fan: int):
 
 
 def _windows(texts: list[bytes], docs: np.ndarray, text: np.ndarray, first: np.ndarray, count: np.ndarray, groups: int, width: int) -> tuple[list[tuple], tuple[np.ndarray, ...]]:
-    """Strings of `width` bytes of some stretches, each once in its least document: rows of _HOT without the batch, and (text, place, count) of those that later documents have."""
+    """Strings of `width` bytes of some stretches, each once in its least document: their groups and what _SENT holds of them, and (text, place, count) of those that later documents have."""
     data = np.frombuffer(b"".join([texts[t][p : p + c + width - 1] for t, p, c in zip(text.tolist(), first.tolist(), count.tolist(), strict=True)]), np.uint8)
     size = count + width - 1
     at = _spread(np.cumsum(size) - size, count)
@@ -313,32 +313,6 @@ def _send(n: int, groups: int, width: int):
     return run
 
 
-def _meet(width: int, last: bool):
-    """Strings of one group of batches: what earlier documents have goes, the rest goes on to the next level. Rows without texts are what is gone already."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        columns = {c: table.column(c).to_pylist() for c in ("grp", "batch", "docs", "texts", "entries", "rows", "starts", "lengths")}
-        out = [tuple(columns[c][i] for c in columns) for i, t in enumerate(columns["texts"]) if not t]
-        full = [i for i, t in enumerate(columns["texts"]) if t]
-        if full:
-            docs = [np.frombuffer(columns["docs"][i], "<i8") for i in full]
-            data = np.frombuffer(b"".join([columns["texts"][i] for i in full]), np.uint8)
-            every = np.concatenate(docs)
-            gone = earlier(data, np.arange(len(every)) * width, every, width)
-            for i, g in zip(full, np.split(gone, np.cumsum([len(d) for d in docs])[:-1]), strict=True):
-                entries = np.frombuffer(columns["entries"][i], "<u4")
-                goes = np.repeat(g, entries)
-                grp, batch, places = columns["grp"][i], columns["batch"][i], [np.frombuffer(columns[c][i], "<u4") for c in ("rows", "starts", "lengths")]
-                if goes.any():
-                    out.append((grp, batch, b"", b"", b"", *(x[goes].tobytes() for x in places)))
-                if not last and not g.all():
-                    texts = np.frombuffer(columns["texts"][i], np.uint8).reshape(-1, width)
-                    out.append((grp, batch, np.frombuffer(columns["docs"][i], "<i8")[~g].tobytes(), texts[~g].tobytes(), entries[~g].tobytes(), *(x[~goes].tobytes() for x in places)))
-        return _table(_HOT, out)
-
-    return run
-
-
 def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index and length of each run of flags with one owner."""
     first = np.flatnonzero(flags & np.r_[True, ~flags[:-1] | (owner[1:] != owner[:-1])])
@@ -346,50 +320,78 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, last - first + 1
 
 
-def _find(width: int):
+def _find(columns: dict[str, list], full: list[int], width: int) -> list[tuple]:
+    """Spans that go of the stretches in rows `full`, which are one group's."""
+    docs = np.frombuffer(b"".join([columns["docs"][i] for i in full]), "<i8")
+    rows, starts, counts = (np.frombuffer(b"".join([columns[c][i] for i in full]), "<u4").astype(np.int64) for c in ("rows", "starts", "lengths"))
+    source = np.repeat(full, [len(columns["docs"][i]) // 8 for i in full])
+    data = b"".join([columns["data"][i] for i in full])
+    ends = np.cumsum(counts + width - 1)
+    begin = ends - (counts + width - 1)
+    # Equal stretches meet here: one stands for all, with the least document; later ones go whole.
+    text_of: dict[bytes, int] = {}
+    same = np.array([text_of.setdefault(data[a:z], len(text_of)) for a, z in zip(begin.tolist(), ends.tolist(), strict=True)])
+    least = np.full(len(text_of), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, docs)
+    one = np.zeros(len(text_of), np.int64)
+    one[same] = np.arange(len(same))
+    whole = docs > least[same]
+    sizes = counts[one]
+    joined = np.frombuffer(b"".join(text_of), np.uint8)
+    places = _spread(np.cumsum(sizes + width - 1) - (sizes + width - 1), sizes)
+    piece = np.repeat(np.arange(len(sizes)), sizes)
+    gone = earlier(joined, places, least[piece], width)
+    first, length = _runs(gone, piece)
+    into = first - (np.cumsum(sizes) - sizes)[piece[first]]
+    # The runs of a text hold for each stretch that has it in its least document.
+    owner = piece[first]
+    edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    stays = np.flatnonzero(~whole)
+    n_runs = (edges[1:] - edges[:-1])[same[stays]]
+    pick = _spread(edges[same[stays]], n_runs)
+    own = np.concatenate([np.repeat(stays, n_runs), np.flatnonzero(whole)])
+    at = starts[own] + np.concatenate([into[pick], np.zeros(whole.sum(), np.int64)])
+    length = np.concatenate([length[pick], counts[whole]])
+    order = np.argsort(source[own], kind="stable")
+    cuts = np.searchsorted(source[own][order], [*full, full[-1] + 1])
+    out = []
+    for i, a, z in zip(full, cuts, cuts[1:], strict=False):
+        if z > a:
+            mine = order[a:z]
+            out.append((-1 - columns["grp"][i], columns["batch"][i], b"", *(x.astype("<u4").tobytes() for x in (rows[own[mine]], at[mine], length[mine])), b"", None))
+    return out
+
+
+def _meet(columns: dict[str, list], full: list[int], width: int, last: bool) -> list[tuple]:
+    """Of the strings in rows `full`: spans of those that earlier documents have, and the rest, to go on to the next level."""
+    docs = [np.frombuffer(columns["docs"][i], "<i8") for i in full]
+    data = np.frombuffer(b"".join([columns["data"][i] for i in full]), np.uint8)
+    every = np.concatenate(docs)
+    gone = earlier(data, np.arange(len(every)) * width, every, width)
+    out: list[tuple] = []
+    for i, own, g in zip(full, docs, np.split(gone, np.cumsum([len(d) for d in docs])[:-1]), strict=True):
+        entries = np.frombuffer(columns["entries"][i], "<u4")
+        goes = np.repeat(g, entries)
+        grp, batch, places = columns["grp"][i], columns["batch"][i], [np.frombuffer(columns[c][i], "<u4") for c in ("rows", "starts", "lengths")]
+        if goes.any():
+            out.append((grp, batch, b"", *(x[goes].tobytes() for x in places), b"", None))
+        if not last and not g.all():
+            texts = np.frombuffer(columns["data"][i], np.uint8).reshape(-1, width)
+            out.append((grp, batch, own[~g].tobytes(), *(x[~goes].tobytes() for x in places), texts[~g].tobytes(), entries[~g].tobytes()))
+    return out
+
+
+def _resolve(width: int, last: bool):
+    """One group's stretches and strings; spans that are known to go pass."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        batch = table.column("batch").to_pylist()
-        blobs = {c: table.column(c).to_pylist() for c in ("docs", "rows", "starts", "lengths", "data")}
-        known = [i for i, d in enumerate(blobs["docs"]) if not d]
-        out += [(batch[i], blobs["rows"][i], blobs["starts"][i], blobs["lengths"][i]) for i in known]
-        full = [i for i, d in enumerate(blobs["docs"]) if d]
-        if full:
-            docs = np.frombuffer(b"".join([blobs["docs"][i] for i in full]), "<i8")
-            rows, starts, counts = (np.frombuffer(b"".join([blobs[c][i] for i in full]), "<u4").astype(np.int64) for c in ("rows", "starts", "lengths"))
-            source = np.repeat(full, [len(blobs["docs"][i]) // 8 for i in full])
-            data = b"".join([blobs["data"][i] for i in full])
-            ends = np.cumsum(counts + width - 1)
-            begin = ends - (counts + width - 1)
-            # Equal stretches meet here: one stands for all, with the least document; later ones go whole.
-            text_of: dict[bytes, int] = {}
-            same = np.array([text_of.setdefault(data[a:z], len(text_of)) for a, z in zip(begin.tolist(), ends.tolist(), strict=True)])
-            least = np.full(len(text_of), np.iinfo(np.int64).max)
-            np.minimum.at(least, same, docs)
-            one = np.zeros(len(text_of), np.int64)
-            one[same] = np.arange(len(same))
-            whole = docs > least[same]
-            sizes = counts[one]
-            joined = np.frombuffer(b"".join(text_of), np.uint8)
-            places = _spread(np.cumsum(sizes + width - 1) - (sizes + width - 1), sizes)
-            piece = np.repeat(np.arange(len(sizes)), sizes)
-            gone = earlier(joined, places, least[piece], width)
-            first, length = _runs(gone, piece)
-            into = first - (np.cumsum(sizes) - sizes)[piece[first]]
-            # The runs of a text hold for each stretch that has it in its least document.
-            owner = piece[first]
-            edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
-            stays = np.flatnonzero(~whole)
-            n_runs = (edges[1:] - edges[:-1])[same[stays]]
-            pick = _spread(edges[same[stays]], n_runs)
-            own = np.concatenate([np.repeat(stays, n_runs), np.flatnonzero(whole)])
-            at = starts[own] + np.concatenate([into[pick], np.zeros(whole.sum(), np.int64)])
-            length = np.concatenate([length[pick], counts[whole]])
-            for i in full:
-                mine = source[own] == i
-                if mine.any():
-                    out.append((batch[i], rows[own[mine]].astype("<u4").tobytes(), at[mine].astype("<u4").tobytes(), length[mine].astype("<u4").tobytes()))
-        return _table(_SPANS, out)
+        columns = {c: table.column(c).to_pylist() for c in ("grp", "batch", "docs", "rows", "starts", "lengths", "data", "entries")}
+        out = [tuple(columns[c][i] for c in columns) for i, t in enumerate(columns["data"]) if not t]
+        stretched = [i for i, (t, e) in enumerate(zip(columns["data"], columns["entries"], strict=True)) if t and e is None]
+        strings = [i for i, (t, e) in enumerate(zip(columns["data"], columns["entries"], strict=True)) if t and e is not None]
+        out += _find(columns, stretched, width) if stretched else []
+        out += _meet(columns, strings, width, last) if strings else []
+        return _table(_RESOLVED, out)
 
     return run
 
@@ -443,19 +445,12 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, texts: bool = True, fa
     listed = dealt(rows, "batch").applyInArrow(_list(n_hash, width), _LISTED)
     shared = dealt(listed, "grp").applyInArrow(_share(fan), _SHARED)
     sent = dealt(rows, "batch").cogroup(dealt(shared, "batch")).applyInArrow(_send(n_hash, n_groups, width), _SENT)
-    if n_batches <= fan:
-        spans = dealt(sent, "grp").applyInArrow(_find(width), _SPANS)
-    else:
-        sent = cut(sent, "suffix-sent")
-        spans = dealt(sent.filter("grp >= 0"), "grp").applyInArrow(_find(width), _SPANS)
-        strings = sent.filter("grp < 0").select("grp", "batch", "docs", F.col("data").alias("texts"), "entries", "rows", "starts", "lengths")
-        over = fan
-        while True:
-            last = over >= n_batches
-            meet = F.xxhash64("grp", F.floor(F.col("batch") / over))
-            strings = strings.withColumn("meet", meet).repartition(tasks, "meet").groupBy("meet").applyInArrow(_meet(width, last), _HOT)
-            if last:
-                break
-            over *= fan
-        spans = spans.unionByName(strings.select("batch", "rows", "starts", "lengths"))
+    over = fan
+    while True:
+        meet = F.when(F.col("grp") >= 0, F.col("grp")).otherwise(F.xxhash64("grp", F.floor(F.col("batch") / over)))
+        sent = dealt(sent.withColumn("meet", meet), "meet").applyInArrow(_resolve(width, over >= n_batches), _RESOLVED)
+        if over >= n_batches:
+            break
+        over *= fan
+    spans = sent.select("batch", "rows", "starts", "lengths")
     return dealt(rows, "batch").cogroup(dealt(spans, "batch")).applyInArrow(_cut(width, texts), _RESULT_SQL)
