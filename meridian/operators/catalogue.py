@@ -88,7 +88,7 @@ def cascade(*answers: tuple[str, Column]) -> Column:
 def region_verdict(places: DataFrame, matched: DataFrame, closure: DataFrame, home: int) -> DataFrame:
     """(id, verdict): inside where the area matched lies under the home node, outside where it lies elsewhere, unknown without one."""
     up = closure.filter(F.col("ancestor") == home).select(F.col("id").alias("__a"))
-    out = places.select("id").join(matched, "id", "left").join(F.broadcast(up), F.col("area_id") == F.col("__a"), "left")
+    out = places.select("id").join(matched, "id", "left").join(up, F.col("area_id") == F.col("__a"), "left")
     return out.select("id", F.when(F.col("area_id").isNull(), "unknown").when(F.col("__a").isNotNull(), "inside").otherwise("outside").alias("verdict"))
 
 

@@ -65,7 +65,7 @@ def coverage_curve(predictions: DataFrame, thresholds: list[float]) -> DataFrame
     sums = predictions.groupBy(reached.alias("r")).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("long")).alias("ok"))
     total = predictions.agg(F.count("*").alias("total"))
     marks = predictions.sparkSession.createDataFrame([(float(t), i + 1) for i, t in enumerate(steps)], "threshold double, need int")
-    met = marks.join(F.broadcast(sums), F.col("r") >= F.col("need"), "left").groupBy("threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("covered"), F.coalesce(F.sum("ok"), F.lit(0)).alias("correct"))
+    met = marks.join(sums, F.col("r") >= F.col("need"), "left").groupBy("threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("covered"), F.coalesce(F.sum("ok"), F.lit(0)).alias("correct"))
     return met.crossJoin(F.broadcast(total)).select("threshold", "covered", (F.col("covered") / F.nullif("total", F.lit(0))).alias("coverage"), (F.col("correct") / F.nullif("covered", F.lit(0))).alias("accuracy"))
 
 

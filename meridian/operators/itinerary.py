@@ -116,7 +116,7 @@ def plan(candidates: DataFrame, max_per_org: int = 2, nodes: int = 200_000) -> D
 
 def violations(plans: DataFrame, stops: DataFrame, slots: DataFrame, max_per_org: int) -> DataFrame:
     """(request_id, rule, day, place_id) of what a plan breaks: repeats, wrong types, organisations over the cap, no time to travel, slots left empty."""
-    p = plans.join(stops, "place_id").join(F.broadcast(slots.select("day", "slot", "types", F.col("opens").alias("starts"))), ["day", "slot"])
+    p = plans.join(stops, "place_id").join(slots.select("day", "slot", "types", F.col("opens").alias("starts")), ["day", "slot"])
     pick = lambda d, rule: d.select("request_id", F.lit(rule).alias("rule"), F.col("day").cast("int").alias("day"), F.col("place_id").cast("long").alias("place_id"))
     repeats = p.withColumn("__n", F.count("*").over(Window.partitionBy("request_id", "place_id"))).filter("__n > 1")
     types = p.filter(~F.array_contains("types", F.col("type")))

@@ -64,7 +64,7 @@ def closure(tree: DataFrame, depth: int = 12) -> DataFrame:
     out = level = tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("steps"))
     up = tree.filter("parent_id IS NOT NULL").select(F.col("id").alias("__n"), "parent_id")
     for step in range(1, depth + 1):
-        level = level.join(F.broadcast(up), F.col("ancestor") == F.col("__n")).select("id", F.col("parent_id").alias("ancestor"), F.lit(step).alias("steps"))
+        level = level.join(up, F.col("ancestor") == F.col("__n")).select("id", F.col("parent_id").alias("ancestor"), F.lit(step).alias("steps"))
         if level.isEmpty():
             break
         out = out.unionByName(level)

@@ -134,7 +134,7 @@ def match_areas(texts: DataFrame, areas: DataFrame, key: str = "id") -> DataFram
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.size("__w")), lambda i: i + n <= F.size("__w")), lambda i: F.array_join(F.slice("__w", i + 1, n), " "))))
     said = texts.withColumn("__w", words).select(key, F.explode(F.array_distinct(runs)).alias("__run"))
     named = areas.select("area_id", "depth", c.normalize_name(F.col("name")).alias("__run"))
-    return said.join(F.broadcast(named), "__run").groupBy(key).agg(F.max_by("area_id", F.struct("depth", F.length("__run"), -F.col("area_id"))).alias("area_id"))
+    return said.join(named, "__run").groupBy(key).agg(F.max_by("area_id", F.struct("depth", F.length("__run"), -F.col("area_id"))).alias("area_id"))
 
 
 def organisations(domains: DataFrame) -> DataFrame:

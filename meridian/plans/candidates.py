@@ -220,7 +220,7 @@ def F12_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = r.ranked(table(spark, sf_dir, "articles"), ["source"], [F.col("id")])
     n = rows.groupBy("source").agg(F.count("*").alias("n"))
     step = F.when(F.col("n") <= k, F.lit(True)).otherwise(F.exists(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * F.col("n") / k) == F.col("rank") - 1))
-    return rows.join(F.broadcast(n), "source").filter(step).select("source", "id")
+    return rows.join(n, "source").filter(step).select("source", "id")
 
 
 def C10_one_row_cross(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def B17_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def B21_paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "places").filter(F.col("name").ilike("%green%"))
+    found = table(spark, sf_dir, "places").filter(F.col("name").ilike("%blue%"))
     return k.page(found.select("id", "name"), [F.col("name"), F.col("id")], 7, 2)
 
 
@@ -41,7 +41,7 @@ def C23_live_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "places")
     orgs = spark.range(60).select(F.col("id").alias("org_id"), F.concat(F.lit("org "), F.col("id").cast("string")).alias("org"))
     live = g.effective(F.col("status"), F.lit(None).cast("long"), F.when(F.col("id") % 4 == 0, F.col("id") % 300), F.lit(100))
-    joined = p.join(F.broadcast(orgs), "org_id", "left").withColumn("live", live)
+    joined = p.join(orgs, "org_id", "left").withColumn("live", live)
     return r.ranked(joined, ["type"], [F.desc("live"), F.col("org"), F.col("id")], 4).select("type", "id", "org", "live", "rank")
 
 
@@ -113,7 +113,7 @@ def H37_hidden_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def H38_name_agrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "places")
-    return p.filter(k.names_agree(F.concat(F.lit("The Green "), F.when(F.col("id") % 2 == 0, "Place").otherwise("Hot")), F.col("name"), ("the", "place"))).select("id")
+    return p.filter(k.names_agree(F.concat(F.lit("The Blue "), F.when(F.col("id") % 2 == 0, "Place").otherwise("Ring")), F.col("name"), ("the", "place"))).select("id")
 
 
 def H39_unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +160,8 @@ def J15_partnered(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "places")
     deals = spark.range(200).select(F.when(F.col("id") % 2 == 0, F.col("id") * 3).alias("place_id"), F.when(F.col("id") % 2 == 1, F.col("id") % 60).alias("org"), F.when(F.col("id") % 5 == 0, "ended").otherwise("active").alias("status"), (F.col("id") % 50).alias("starts"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("ends"))
     live = deals.filter(g.effective(F.col("status"), F.col("starts"), F.col("ends"), F.lit(40)))
-    own = p.join(F.broadcast(live.select(F.col("place_id").alias("__p")).filter("__p IS NOT NULL").distinct()), F.col("id") == F.col("__p"), "left_semi")
-    org = p.join(F.broadcast(live.select(F.col("org").alias("__o")).filter("__o IS NOT NULL").distinct()), F.col("org_id") == F.col("__o"), "left_semi")
+    own = p.join(live.select(F.col("place_id").alias("__p")).filter("__p IS NOT NULL").distinct(), F.col("id") == F.col("__p"), "left_semi")
+    org = p.join(live.select(F.col("org").alias("__o")).filter("__o IS NOT NULL").distinct(), F.col("org_id") == F.col("__o"), "left_semi")
     return own.select("id").union(org.select("id")).distinct()
 
 
@@ -198,7 +198,7 @@ def O8_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def P3_session_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taste and session mixed: 0.6 of the session from three events on, else 0.2."""
-    v = table(spark, sf_dir, "embeddings").filter("vec_id < 40")
+    v = table(spark, sf_dir, "embeddings")
     other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").cast("array<double>").alias("session"))
     beta = F.when(F.col("vec_id") % 5 >= 3, 0.6).otherwise(0.2)
     mixed = v.join(other, "vec_id").select("vec_id", c.mix(F.col("session"), F.col("embedding").cast("array<double>"), beta).alias("m"))
@@ -212,7 +212,7 @@ ORACLE = {
     "B17_event_ids": "SELECT event_id FROM events WHERE event_id % 4 >= 2",
     "B18_facet_scope": f"""WITH {ctes("entity_terms", "articles")}, t AS (SELECT CASE WHEN term_id >= 205 THEN 'cuisine' WHEN term_id >= 200 THEN 'vibe' ELSE 'location' END AS facet, primary_type AS p FROM entity_terms JOIN articles ON id = entity_id)
 SELECT facet, count(*) AS n FROM t WHERE facet = 'location' OR (facet = 'cuisine' AND p IN ('eat', 'drink')) OR (facet = 'vibe' AND p IN ('stay', 'eat', 'drink', 'wellness', 'do')) GROUP BY 1""",
-    "B21_paged_search": f"WITH {ctes('places')} SELECT id, name, count(*) OVER () AS total FROM places WHERE name ILIKE '%green%' ORDER BY name, id LIMIT 7 OFFSET 7",
+    "B21_paged_search": f"WITH {ctes('places')} SELECT id, name, count(*) OVER () AS total FROM places WHERE name ILIKE '%blue%' ORDER BY name, id LIMIT 7 OFFSET 7",
     "B22_queue_filter": f"WITH {ctes('places')} SELECT id FROM places WHERE contains(lower(name), 'blue') AND coalesce(area_term, '') <> 'area1' AND status = 'active'",
     "C23_live_first": f"""WITH {ctes("places")}, j AS (SELECT *, CASE WHEN org_id IS NOT NULL THEN concat('org ', org_id) END AS org, status = 'active' AND (id % 4 <> 0 OR id % 300 > 100) AS live FROM places) SELECT type, id, org, live, row_number() OVER (PARTITION BY type ORDER BY live DESC, org NULLS FIRST, id) AS rank FROM j QUALIFY rank <= 4""",
     "D23_distinct_arrays": f"WITH {ctes('articles')} SELECT source, array_to_string(list_sort(list(DISTINCT format) FILTER (format IS NOT NULL)), ',') AS formats, count(DISTINCT primary_type)::INT AS types FROM articles GROUP BY 1",
@@ -226,7 +226,7 @@ SELECT facet, count(*) AS n FROM t WHERE facet = 'location' OR (facet = 'cuisine
     "H35_minutes": "SELECT event_id, (event_id % 24 * 60 + event_id % 60)::INT AS minutes FROM events",
     "H36_normal_cdf": f"WITH z AS (SELECT range AS id, (range - 6) / 2 AS z FROM range(13)), y AS (SELECT id, z, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z) SELECT id, round(0.5 * (1 + sign(z) * {_ERF}), 6) AS p FROM y",
     "H37_hidden_rivals": f"""WITH {ctes("places")}, w AS (SELECT id, regexp_extract_all(lower(name), '[a-z0-9]+') AS w FROM places) SELECT id, 'stay' AS matched_type FROM w WHERE list_has_any(w, ['red', 'blue']) UNION ALL SELECT id, 'eat' FROM w WHERE list_has_any(w, ['hot', 'green'])""",
-    "H38_name_agrees": f"WITH {ctes('places')}, w AS (SELECT id, regexp_extract_all(lower(name), '[a-z0-9]+') AS w FROM places) SELECT id FROM w WHERE list_contains(w, 'green') AND (id % 2 = 0 OR list_contains(w, 'hot'))",
+    "H38_name_agrees": f"WITH {ctes('places')}, w AS (SELECT id, regexp_extract_all(lower(name), '[a-z0-9]+') AS w FROM places) SELECT id FROM w WHERE list_contains(w, 'blue') AND (id % 2 = 0 OR list_contains(w, 'ring'))",
     "H39_unique_slugs": f"""WITH {ctes("places")}, s AS (SELECT id, replace(trim(regexp_replace(lower(substring(name, 7, 9)), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS s FROM places), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) AS n FROM s) SELECT id, CASE WHEN n = 1 THEN s ELSE concat(s, '-', n) END AS slug FROM n""",
     "I21_type_cascade": f"""WITH {ctes("articles")}, c AS (SELECT CASE WHEN id % 9 = 0 THEN 'editor' WHEN primary_type IS NOT NULL THEN 'category' WHEN id % 4 = 1 THEN 'cue' ELSE 'none' END AS "by", CASE WHEN id % 9 = 0 THEN 'stay' WHEN primary_type IS NOT NULL THEN primary_type WHEN id % 4 = 1 THEN 'do' END AS value FROM articles) SELECT value, "by", count(*) AS n FROM c GROUP BY 1, 2""",
     "I23_offline_vectors": "SELECT doc_id, 1::DOUBLE AS norm FROM documents",
@@ -235,5 +235,5 @@ SELECT facet, count(*) AS n FROM t WHERE facet = 'location' OR (facet = 'cuisine
     "K12_labelled_sample": "SELECT doc_id, quality FROM labels ORDER BY sha256(concat('eval:', doc_id)) LIMIT 200",
     "O3_schema": "SELECT true AS same, 1::INT AS changes",
     "O8_reconcile": f"""WITH {ctes("articles")}, f AS (SELECT id, CASE WHEN id % 12 = 0 THEN 'other' ELSE format END AS fact FROM articles WHERE id % 8 <> 1), j AS (SELECT a.id, format, fact FROM articles a LEFT JOIN f USING (id)) SELECT CASE WHEN fact IS NULL AND format IS NOT NULL THEN 'insert' ELSE 'update' END AS action, count(*) AS n FROM j WHERE format IS DISTINCT FROM fact GROUP BY 1""",
-    "P3_session_blend": "SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.vec_id % 5 >= 3 THEN 0.6 ELSE 0.2 END::DOUBLE * b.embedding[i]::DOUBLE + CASE WHEN a.vec_id % 5 >= 3 THEN 0.4 ELSE 0.8 END::DOUBLE * a.embedding[i]::DOUBLE)), 6) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id < 39",
+    "P3_session_blend": "SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.vec_id % 5 >= 3 THEN 0.6 ELSE 0.2 END::DOUBLE * b.embedding[i]::DOUBLE + CASE WHEN a.vec_id % 5 >= 3 THEN 0.4 ELSE 0.8 END::DOUBLE * a.embedding[i]::DOUBLE)), 6) AS total FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
 }

@@ -41,8 +41,8 @@ def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def I10_complementary_rail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For some subjects the places of complementary types by price and nearness, the quality a millionth on top; one an organisation, two an area."""
     places, rel = table(spark, sf_dir, "places").filter("status = 'active'"), table(spark, sf_dir, "relations")
-    wanted = _subjects(spark, sf_dir).join(F.broadcast(rel), F.col("s_type") == rel["type"]).select("subject_id", "s_band", "s_lat", "s_lng", F.explode("complements").alias("type"))
-    met = places.join(F.broadcast(wanted), "type")
+    wanted = _subjects(spark, sf_dir).join(rel, F.col("s_type") == rel["type"]).select("subject_id", "s_band", "s_lat", "s_lng", F.explode("complements").alias("type"))
+    met = places.join(wanted, "type")
     score = F.coalesce(c.price_compat(F.col("s_band"), F.col("price_band")), F.lit(0.5)) * F.coalesce(c.geo_proximity(c.haversine_m(F.col("s_lat"), F.col("s_lng"), F.col("lat"), F.col("lng"))), F.lit(0.1)) + (F.col("id") % 10) * 1e-7
     pool = r.ranked(met.withColumn("relevance", score), ["subject_id"], [F.desc("relevance"), F.col("id")], r.POOL)
     rows = pool.select(F.col("subject_id").alias("query_id"), "id", "rank", "relevance", F.array(F.lit(1.0), F.col("lat"), F.col("lng")).alias("embedding"), "org_id", "area_term", F.lit(None).cast("string").alias("format"), F.lit(False).alias("paid"))
@@ -81,7 +81,7 @@ def I14_read_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each hundredth article others of its language and another series, newest first, two a type, six in all."""
     a = table(spark, sf_dir, "articles").filter("status = 'published' AND published_day IS NOT NULL").select("id", "lang", "series_key", "primary_type", "published_day")
     subj = a.filter("id % 100 = 2").select(F.col("id").alias("subject_id"), F.col("lang"), F.col("series_key").alias("s_key"))
-    met = a.join(F.broadcast(subj), "lang").filter("id <> subject_id AND (series_key IS NULL OR NOT series_key <=> s_key)").withColumn("primary_type", F.coalesce("primary_type", F.lit("(none)")))
+    met = a.join(subj, "lang").filter("id <> subject_id AND (series_key IS NULL OR NOT series_key <=> s_key)").withColumn("primary_type", F.coalesce("primary_type", F.lit("(none)")))
     return r.capped(met, ["subject_id"], "primary_type", [F.desc("published_day"), F.col("id")], 2, 6).select("subject_id", "id", "rank")
 
 
@@ -100,19 +100,18 @@ def P4_for_you(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def P5_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated preferences as a map from facet term to affinity, by reader."""
-    picks = table(spark, sf_dir, "entity_terms").filter("entity_id % 10 = 0").join(F.broadcast(table(spark, sf_dir, "terms").select(F.col("id").alias("term_id"), "facet", "slug")), "term_id")
+    picks = table(spark, sf_dir, "entity_terms").join(table(spark, sf_dir, "terms").select(F.col("id").alias("term_id"), "facet", "slug"), "term_id")
     maps = picks.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "facet", "slug").alias("k"), F.col("confidence").alias("v"))))).alias("m"))
     return maps.select("entity_id", F.to_json("m").alias("affinity"))
 
 
 def I26_facet_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The centroid of each term's articles, and how close each hundredth article is to its own terms'."""
+    """The centroid of each term's articles, and how close each article is to its own terms'."""
     tags = table(spark, sf_dir, "entity_terms").filter("term_id >= 200")
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     tagged = tags.withColumn("vec_id", F.col("entity_id") % 500).join(v, "vec_id")
     means = r.mean_vectors(tagged, ["term_id"])
-    some = tagged.filter("entity_id % 100 = 1").join(F.broadcast(means), "term_id")
-    return some.select("entity_id", "term_id", F.round(c.cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
+    return tagged.join(means, "term_id").select("entity_id", "term_id", F.round(c.cosine(F.col("embedding"), F.col("vector")), 6).alias("similarity"))
 
 
 QUERIES = {x.__name__: x for x in (H6_blocks, H9_block_stats, H8_shortcodes, H10_content_loss, I10_complementary_rail, I11_nearby_rail, I12_similar_rail, I9_covisited, I14_read_next, P4_for_you, P5_affinity, I26_facet_centroids)}

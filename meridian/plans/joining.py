@@ -38,7 +38,7 @@ def C5_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def C8_spatial_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = table(spark, sf_dir, "places").filter("status = 'active' AND id <= 1500")
+    places = table(spark, sf_dir, "places").filter("status = 'active'")
     return j.within_distance(places, 1000.0).select("a", "b", F.round("meters", 3).alias("meters"))
 
 
@@ -51,7 +51,7 @@ def C11_name_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles against words of types: tokens meet words by an equal join, not row by row."""
     words = spark.createDataFrame([("stay", "red"), ("stay", "blue"), ("eat", "green"), ("drink", "hot"), ("shop", "misty")], "type string, word string")
     parts = table(spark, sf_dir, "places").select("id", F.explode(F.array_distinct(c.tokens(F.col("name"), (), 0))).alias("word"))
-    return parts.join(F.broadcast(words), "word").select("id", "type").distinct()
+    return parts.join(words, "word").select("id", "type").distinct()
 
 
 def C12_nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def C17_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def C18_tree_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "terms")
     up = t.select(F.col("id").alias("__p"), F.col("label").alias("parent_label"))
-    return t.join(F.broadcast(up), F.col("parent_id") == F.col("__p"), "left").select("id", "label", "parent_label")
+    return t.join(up, F.col("parent_id") == F.col("__p"), "left").select("id", "label", "parent_label")
 
 
 def C18b_tree_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,13 +119,13 @@ def C21_format_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def C22_term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "terms")
     parents = terms.select(F.col("id").alias("__p"), F.col("slug").alias("parent"))
-    tags = table(spark, sf_dir, "entity_terms").filter("entity_id % 50 = 0")
-    return tags.join(F.broadcast(terms), tags["term_id"] == terms["id"]).join(F.broadcast(parents), F.col("parent_id") == F.col("__p"), "left").select("entity_id", "facet", "slug", "parent")
+    tags = table(spark, sf_dir, "entity_terms")
+    return tags.join(terms, tags["term_id"] == terms["id"]).join(parents, F.col("parent_id") == F.col("__p"), "left").select("entity_id", "facet", "slug", "parent")
 
 
 def C24_tagged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = table(spark, sf_dir, "terms").filter("facet = 'vibe'").select(F.col("id").alias("term_id"))
-    return table(spark, sf_dir, "entity_terms").join(F.broadcast(terms), "term_id", "left_semi").select("entity_id").distinct()
+    return table(spark, sf_dir, "entity_terms").join(terms, "term_id", "left_semi").select("entity_id").distinct()
 
 
 def _edited(articles: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ ORACLE = {
     "C3_lead_mention": f"""WITH {ctes("mentions", "articles")} SELECT a.id AS article_id, place_id, role FROM articles a LEFT JOIN (SELECT * FROM mentions QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY CASE role WHEN 'featured' THEN 1 WHEN 'reviewed' THEN 2 ELSE 3 END, id, place_id) = 1) m ON m.article_id = a.id""",
     "C4_anti_join": f"WITH {ctes('mentions', 'places')} SELECT id, type FROM places p WHERE NOT EXISTS (SELECT 1 FROM mentions WHERE place_id = p.id AND role = 'featured')",
     "C5_semi_join": f"WITH {ctes('articles', 'entity_terms')} SELECT id, lang FROM articles WHERE id IN (SELECT entity_id FROM entity_terms WHERE term_id = 205 AND confidence >= 0.5)",
-    "C8_spatial_pairs": f"""WITH {ctes("places")}, p AS (SELECT * FROM places WHERE status = 'active' AND id <= 1500 AND lat IS NOT NULL), x AS (SELECT a.id AS a, b.id AS b, {_dist("a.", "b.")} AS m FROM p a JOIN p b ON a.id < b.id) SELECT a, b, round(m, 3) AS meters FROM x WHERE m <= 1000""",
+    "C8_spatial_pairs": f"""WITH {ctes("places")}, p AS (SELECT * FROM places WHERE status = 'active' AND lat IS NOT NULL), x AS (SELECT a.id AS a, b.id AS b, {_dist("a.", "b.")} AS m FROM p a JOIN p b ON a.id < b.id) SELECT a, b, round(m, 3) AS meters FROM x WHERE m <= 1000""",
     "C9_radius": f"""WITH {ctes("places")}, x AS (SELECT id, lat, 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - -6.2) / 2), 2) + cos(radians(-6.2)) * cos(radians(lat)) * pow(sin(radians(lng - 106.8) / 2), 2)))) AS m FROM places) SELECT id, round(m, 3) AS meters FROM x WHERE m <= 4000""",
     "C11_name_patterns": f"""WITH {ctes("places")}, w(type, word) AS (VALUES ('stay', 'red'), ('stay', 'blue'), ('eat', 'green'), ('drink', 'hot'), ('shop', 'misty')) SELECT DISTINCT id, w.type FROM places, w WHERE list_contains(regexp_extract_all(lower(name), '[a-z0-9]+'), word)""",
     "C12_nearest_node": f"""WITH {ctes("places")}, n AS (SELECT n_nationkey::BIGINT AS node_id, -6.3e0 + n_nationkey % 5 * 0.05e0 AS lat, 106.7e0 + (n_nationkey // 5) * 0.05e0 AS lng FROM nation), x AS (SELECT p.id, node_id, {_dist("p.", "n.")} AS m FROM places p, n WHERE p.lat IS NOT NULL)
@@ -239,7 +239,7 @@ SELECT a, b, round(sim, 6) AS similarity FROM q WHERE sim >= 0.5""",
     "C18b_tree_closure": f"WITH RECURSIVE {ctes('terms')}, c(id, ancestor, steps) AS (SELECT id, id, 0 FROM terms UNION ALL SELECT c.id, parent_id, steps + 1 FROM c JOIN terms t ON t.id = c.ancestor WHERE parent_id IS NOT NULL) SELECT * FROM c",
     "C20_collapsed_children": f"""WITH {ctes("articles", "mentions", "entity_terms")} SELECT id, (SELECT array_to_string(list_sort(list(DISTINCT role)), ',') FROM mentions WHERE article_id = a.id) AS roles, (SELECT array_to_string(list_sort(list(DISTINCT term_id::VARCHAR)), ',') FROM entity_terms WHERE entity_id = a.id) AS terms FROM articles a""",
     "C21_format_fact": f"""WITH {ctes("articles", "entity_terms")}, f AS (SELECT * FROM entity_terms WHERE term_id IN (200, 203, 206, 209, 100, 110) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY confidence DESC, term_id) = 1) SELECT id, term_id, confidence, f.source AS fact_source FROM articles LEFT JOIN f ON entity_id = id""",
-    "C22_term_lookup": f"WITH {ctes('terms', 'entity_terms')} SELECT entity_id, t.facet, t.slug, p.slug AS parent FROM entity_terms JOIN terms t ON t.id = term_id LEFT JOIN terms p ON p.id = t.parent_id WHERE entity_id % 50 = 0",
+    "C22_term_lookup": f"WITH {ctes('terms', 'entity_terms')} SELECT entity_id, t.facet, t.slug, p.slug AS parent FROM entity_terms JOIN terms t ON t.id = term_id LEFT JOIN terms p ON p.id = t.parent_id",
     "C24_tagged_ids": f"WITH {ctes('terms', 'entity_terms')} SELECT DISTINCT entity_id FROM entity_terms WHERE term_id IN (SELECT id FROM terms WHERE facet = 'vibe')",
     "C25_record_diff": f"""WITH {ctes("articles")}, {_SQL_EDITED}, j AS (SELECT coalesce(o.id, n.id) AS id, o.id AS oid, n.id AS nid, o.format AS f, n.format AS g, o.n_chars AS c, n.n_chars AS d FROM old o FULL JOIN new n ON o.id = n.id)
 SELECT id, '' AS field, CASE WHEN oid IS NOT NULL THEN 'left' END AS left_value, CASE WHEN nid IS NOT NULL THEN 'right' END AS right_value FROM j WHERE oid IS NULL OR nid IS NULL

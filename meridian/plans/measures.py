@@ -84,7 +84,7 @@ def D17_duplicate_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def D18_series_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = table(spark, sf_dir, "documents").select("doc_id", c.normalize_name(F.substring("text", 1, 25)).alias("key"))
+    titles = table(spark, sf_dir, "documents").select("doc_id", c.normalize_name(F.substring_index("text", " ", 2)).alias("key"))
     return titles.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n >= 2")
 
 
@@ -100,7 +100,7 @@ def D21_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def D22_population_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "articles").groupBy("primary_type", "format").agg(F.count("*").alias("n"))
     totals = cells.groupBy(F.col("primary_type").alias("__t")).agg(F.sum("n").alias("total"))
-    return cells.join(F.broadcast(totals), F.col("primary_type").eqNullSafe(F.col("__t"))).select("primary_type", "format", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+    return cells.join(totals, F.col("primary_type").eqNullSafe(F.col("__t"))).select("primary_type", "format", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
 def D25_coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,20 +111,20 @@ def D25_coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def D27_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([(w,) for w in ("tion", "ther", "erth", "quelle", "keit", "eaux")], "word string")
-    each = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(c.tokens(F.substring("text", 1, 2000))).alias("word"))
-    return each.join(F.broadcast(words), "word").groupBy("word").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("source").alias("sources"))
+    each = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(c.tokens(F.col("text"))).alias("word"))
+    return each.join(words, "word").groupBy("word").agg(F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("docs"), F.count_distinct("source").alias("sources"))
 
 
 def D31_facet_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, tags = table(spark, sf_dir, "terms"), table(spark, sf_dir, "entity_terms")
     facets = terms.select("facet").unionAll(spark.createDataFrame([("occasion",)], "facet string")).distinct()
-    sums = tags.join(F.broadcast(terms.select(F.col("id").alias("term_id"), "facet")), "term_id").groupBy("facet").agg(F.count("*").alias("assignments"), F.count_distinct("entity_id").alias("articles"))
+    sums = tags.join(terms.select(F.col("id").alias("term_id"), "facet"), "term_id").groupBy("facet").agg(F.count("*").alias("assignments"), F.count_distinct("entity_id").alias("articles"))
     return facets.join(sums, "facet", "left").na.fill(0)
 
 
 def D32_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms, tags = table(spark, sf_dir, "terms"), table(spark, sf_dir, "entity_terms")
-    return tags.join(F.broadcast(terms.select(F.col("id").alias("term_id"), "slug")), "term_id").groupBy("slug").agg(F.count_distinct("entity_id").alias("n"))
+    return tags.join(terms.select(F.col("id").alias("term_id"), "slug"), "term_id").groupBy("slug").agg(F.count_distinct("entity_id").alias("n"))
 
 
 def D33_normalised_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ def J4_bucket_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def J5_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.initcap(F.substring("text", 1, 200)).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.initcap("text").alias("text"))
     return res.extract_names(docs).groupBy("id").agg(F.count("*").alias("n"))
 
 
@@ -403,7 +403,7 @@ UNION ALL SELECT 'format', coalesce(format, 'null'), count(*) FROM articles WHER
     "D13_org_list": f"WITH {ctes('places')} SELECT org_id, count(*) AS places, count(*) FILTER (status = 'active') AS active, count(*) OVER () AS total FROM places WHERE org_id IS NOT NULL GROUP BY 1",
     "D14_blast_radius": f"WITH {ctes('places', 'mentions')} SELECT org_id, count(place_id) AS mentions, count(DISTINCT place_id) AS places, count(DISTINCT article_id) AS articles FROM places p LEFT JOIN mentions m ON place_id = p.id GROUP BY 1",
     "D17_duplicate_centroids": f"WITH {ctes('places')}, p AS (SELECT round(lat, 1) AS lat, round(lng, 1) AS lng, id FROM places WHERE lat IS NOT NULL) SELECT lat, lng, count(DISTINCT id)::INT AS n, min(id) AS first FROM p GROUP BY 1, 2 HAVING count(DISTINCT id) >= 2 AND count(*) FILTER (id % 2 <> 0) > 0",
-    "D18_series_keys": "WITH d AS (SELECT doc_id, trim(regexp_replace(lower(translate(substring(text, 1, 25), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) SELECT key, count(*) AS n, min(doc_id) AS first FROM d GROUP BY 1 HAVING count(*) >= 2",
+    "D18_series_keys": "WITH d AS (SELECT doc_id, trim(regexp_replace(lower(translate(array_to_string(string_split(text, ' ')[1:2], ' '), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) SELECT key, count(*) AS n, min(doc_id) AS first FROM d GROUP BY 1 HAVING count(*) >= 2",
     "D20_pick_current": f"WITH {ctes('articles')} SELECT series_key, arg_max(id, (coalesce(published_day, -1), id)) AS current, count(*) AS members FROM articles WHERE series_key IS NOT NULL GROUP BY 1",
     "D21_nearest_rank": "WITH l AS (SELECT lang, list_sort(list(n_chars)) AS l FROM documents GROUP BY 1) SELECT lang, l[least(floor(len(l) * 0.95)::BIGINT, len(l) - 1) + 1] AS value FROM l",
     "D22_population_share": f"WITH {ctes('articles')} SELECT primary_type, format, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY primary_type), 6) AS share FROM articles GROUP BY 1, 2",

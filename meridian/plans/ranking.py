@@ -26,9 +26,9 @@ def _queries(spark: SparkSession) -> DataFrame:
 
 
 def I1_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).withColumn("body", F.substring("text", 1, 1600))
-    index = r.inverted_index(docs, {"A": "title", "C": "body"})
-    return r.search(index, _asked(spark), 20).select("query_id", "id", "score", "rank")
+    asked = _asked(spark)
+    index = r.inverted_index(_docs(spark, sf_dir), {"A": "title", "C": "text"}, asked=asked)
+    return r.search(index, asked, 20).select("query_id", "id", "score", "rank")
 
 
 def _asked(spark: SparkSession) -> DataFrame:
@@ -61,8 +61,8 @@ def I4_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def I5_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and vectors fused: documents carry the vector of their number modulo the embeddings'."""
-    docs = _docs(spark, sf_dir).withColumn("body", F.substring("text", 1, 1600))
-    lexical = r.search(r.inverted_index(docs, {"A": "title", "C": "body"}), _asked(spark), 60)
+    docs, terms = _docs(spark, sf_dir), _asked(spark)
+    lexical = r.search(r.inverted_index(docs, {"A": "title", "C": "text"}, asked=terms), terms, 60)
     n = 500
     vecs = docs.select("id", (F.col("id") % n).alias("vec_id")).join(_vectors(spark, sf_dir).select("vec_id", "embedding"), "vec_id").select("id", "embedding")
     asked = _vectors(spark, sf_dir).filter("vec_id BETWEEN 1 AND 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
@@ -139,7 +139,7 @@ def H19_price_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def H20_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("id", c.tokens(F.col("title")).alias("a"), c.tokens(F.substring("text", 1, 200)).alias("b"))
+    docs = _docs(spark, sf_dir).select("id", c.tokens(F.col("title")).alias("a"), c.tokens(F.col("text")).alias("b"))
     return docs.select("id", F.round(c.jaccard(F.col("a"), F.col("b")), 6).alias("null_if_empty"), F.round(c.jaccard(F.col("a"), F.col("b"), 1.0), 6).alias("one_if_empty"))
 
 
@@ -174,7 +174,7 @@ def E5_log_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = head.agg(F.min("views").alias("low"), F.max("views").alias("high"))
     known = head.select(F.col("place_id").alias("__p"))
     prior = F.when(F.col("__p").isNull(), 0.0).when(F.col("high") > F.col("low"), (F.log(F.col("views") + 1.0) - F.log(F.col("low") + 1.0)) / (F.log(F.col("high") + 1.0) - F.log(F.col("low") + 1.0))).otherwise(1.0)
-    return views.join(F.broadcast(known), F.col("place_id") == F.col("__p"), "left").crossJoin(F.broadcast(span)).select("place_id", "views", F.round(prior, 4).alias("prior"))
+    return views.join(known, F.col("place_id") == F.col("__p"), "left").crossJoin(F.broadcast(span)).select("place_id", "views", F.round(prior, 4).alias("prior"))
 
 
 def H25_cue_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,11 +183,11 @@ def H25_cue_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def H26_first_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.round(cues.first_person_density(F.substring("text", 1, 2000)), 6).alias("density"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(cues.first_person_density(F.col("text")), 6).alias("density"))
 
 
 def D28_language_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = cues.language_shares(F.substring("text", 1, 3000), MARKERS)
+    shares = cues.language_shares(F.col("text"), MARKERS)
     return table(spark, sf_dir, "documents").select("doc_id", *[F.round(s, 6).alias(k) for k, s in shares.items()])
 
 
@@ -202,21 +202,21 @@ def H15_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def H1_normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("id", c.normalize_name(F.substring("title", 1, 80)).alias("name"))
+    return _docs(spark, sf_dir).select("id", c.normalize_name(F.col("title")).alias("name"))
 
 
 def H2_slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.substring("title", 1, 60)
+    t = F.col("title")
     return _docs(spark, sf_dir).select("id", c.slugify(t).alias("slug"), c.candidate_key(t).alias("key"))
 
 
 def H3_normalize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.concat(F.substring("title", 1, 30), F.lit(" 2"), (F.col("id") % 30 + 10).cast("string"), F.lit("9 &amp; 3rd "), F.when(F.col("id") % 2 == 0, "[Updated]").otherwise("2024"))
+    title = F.concat("title", F.lit(" 2"), (F.col("id") % 30 + 10).cast("string"), F.lit("9 &amp; 3rd "), F.when(F.col("id") % 2 == 0, "[Updated]").otherwise("2024"))
     return _docs(spark, sf_dir).select("id", c.normalize_title(title).alias("title"), F.array_join(F.transform(c.years(title), lambda y: y.cast("string")), ",").alias("years"))
 
 
 def H4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("id", F.array_join(c.tokens(F.substring("text", 1, 300)), " ").alias("tokens"))
+    return _docs(spark, sf_dir).select("id", F.array_join(c.tokens(F.col("text")), " ").alias("tokens"))
 
 
 def H5_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,14 +237,14 @@ def H13_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def H33_vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir).filter("vec_id < 50")
+    v = _vectors(spark, sf_dir)
     back = c.parse_vector(c.vector_literal(F.col("embedding").cast("array<double>")))
     return v.select("vec_id", F.size(back).alias("dim"), F.round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 def H10_word_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a text has more often than its first half has, by document."""
-    each = lambda t, n: _docs(spark, sf_dir).filter("id % 10 = 0").select("id", F.explode(F.split(F.lower(t), "[ \t\r\n]+")).alias("w")).filter("w <> ''").groupBy("id", "w").agg(F.count("*").alias(n))
+    each = lambda t, n: _docs(spark, sf_dir).select("id", F.explode(F.split(F.lower(t), "[ \t\r\n]+")).alias("w")).filter("w <> ''").groupBy("id", "w").agg(F.count("*").alias(n))
     a, half = each(F.col("text"), "a"), each(F.expr("substring(text, 1, cast(n_chars / 2 as int))"), "b")
     both = a.join(half, ["id", "w"], "full").na.fill(0, ["a", "b"])
     return both.groupBy("id").agg(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("lost"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("gained"))
@@ -252,8 +252,7 @@ def H10_word_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def I15_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    means = r.mean_vectors(v.filter("vec_id % 5 <> 0"), ["label"])
-    return r.centroid_predict(v.filter("vec_id % 5 = 0").select("vec_id", "embedding"), means, "vec_id", "label")
+    return r.centroid_predict(v.select("vec_id", "embedding"), r.mean_vectors(v, ["label"]), "vec_id", "label")
 
 
 _SQL_MEANS = "mv AS (SELECT label, list(m ORDER BY i) AS vector FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE {where}) GROUP BY 1, 2) GROUP BY 1)"
@@ -275,20 +274,19 @@ def I18_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean similarity of each class to its own centroid."""
     v = _vectors(spark, sf_dir)
     means = r.mean_vectors(v, ["label"])
-    met = v.join(F.broadcast(means), "label")
+    met = v.join(means, "label")
     return met.groupBy("label").agg(F.round(F.avg(c.cosine(F.col("embedding"), F.col("vector"))), 6).alias("cohesion"), F.count("*").alias("n"))
 
 
 def I19_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.substring("text", 1, 800).alias("t"))
-    w = r.tf_idf(docs, "doc_id", "t")
+    w = r.tf_idf(table(spark, sf_dir, "documents"), "doc_id", "text")
     return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 5).alias("total"))
 
 
 def I20_lexicon_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([(1, "ther"), (2, "tion"), (3, "erth"), (4, "eaux"), (5, "keit")], "term_id long, word string")
-    docs = _docs(spark, sf_dir).withColumn("lead", F.substring("text", 1, 400))
-    return r.tag(docs, words, {"A": "title", "B": "lead"})
+    docs = _docs(spark, sf_dir).withColumns({"lead": F.substring("text", 1, 400), "body": F.substring("text", 401, 1200)})
+    return r.tag(docs, words, {"A": "title", "B": "lead", "C": "body"})
 
 
 def I25_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +336,7 @@ def _visible(x: str) -> str:
 
 
 _D = "d AS (SELECT doc_id AS id, split_part(text, '.', 1) AS title, text, lang, source, n_chars FROM documents)"
-_LEX = f"""ix AS (SELECT id, z, t, count(*) AS tf FROM (SELECT id, 'A' AS z, unnest({_tok("title")}) AS t FROM d UNION ALL SELECT id, 'C', unnest({_tok("substring(text, 1, 1600)")}) FROM d) GROUP BY ALL),
+_LEX = f"""ix AS (SELECT id, z, t, count(*) AS tf FROM (SELECT id, 'A' AS z, unnest({_tok("title")}) AS t FROM d UNION ALL SELECT id, 'C', unnest({_tok("text")}) FROM d) GROUP BY ALL),
 asked(query_id, t) AS (VALUES (1::BIGINT, 'ther'), (2, 'tion'), (2, 'thth'), (3, 'quelle'), (4, 'erth'), (4, 'that')),
 best AS (SELECT query_id, id, t, max(CASE z WHEN 'A' THEN 1.0 ELSE 0.2 END::DOUBLE * (1 + ln(tf))) AS s FROM ix JOIN asked USING (t) GROUP BY ALL),
 lex AS (SELECT query_id, id, round(sum(s) / count(*), 6) AS score FROM best b GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.query_id = b.query_id))"""
@@ -374,7 +372,7 @@ round(1 - abs(CASE price_band WHEN 'budget' THEN 0 WHEN 'moderate' THEN 1 WHEN '
 CASE WHEN type IN ('stay', 'unknown') THEN 0.0 WHEN type IN ('eat', 'drink', 'do', 'wellness') THEN 1.0 WHEN type IS NOT NULL THEN 0.5 END::DOUBLE AS type_compat FROM places""",
     "H18_proximity": f"WITH {ctes('places')} SELECT id, round(exp(-2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - -6.2) / 2), 2) + cos(radians(-6.2)) * cos(radians(lat)) * pow(sin(radians(lng - 106.8) / 2), 2)))) / 3000), 9) AS proximity FROM places",
     "H19_price_area": f"WITH {ctes('places')} SELECT id, round(1 - abs(CASE price_band WHEN 'budget' THEN 0 WHEN 'moderate' THEN 1 WHEN 'upscale' THEN 2 WHEN 'luxury' THEN 3 END - 3) / 3, 6) AS price, area_term = 'area2' AS same FROM places",
-    "H20_jaccard": f"""WITH {_D}, t AS (SELECT id, list_distinct({_tok("title")}) AS a, list_distinct({_tok("substring(text, 1, 200)")}) AS b FROM d), j AS (SELECT *, len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0) AS s FROM t)
+    "H20_jaccard": f"""WITH {_D}, t AS (SELECT id, list_distinct({_tok("title")}) AS a, list_distinct({_tok("text")}) AS b FROM d), j AS (SELECT *, len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0) AS s FROM t)
 SELECT id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(s, 6) END AS null_if_empty, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 ELSE round(coalesce(s, 0), 6) END::DOUBLE AS one_if_empty FROM j""",
     "H21_facet_similarity": f"""WITH {ctes("places")}, o AS (SELECT type AS t, area_term AS a, price_band AS b FROM places WHERE id = 6), x AS (SELECT id, coalesce((type = t)::INT, 0) + coalesce((area_term = a)::INT, 0) + coalesce((price_band = b)::INT, 0) AS e,
 (type IS NOT NULL AND t IS NOT NULL)::INT + (area_term IS NOT NULL AND a IS NOT NULL)::INT + (price_band IS NOT NULL AND b IS NOT NULL)::INT AS k FROM places, o) SELECT id, CASE WHEN k > 0 THEN round(e / k, 6) ELSE 0 END::DOUBLE AS similarity FROM x""",
@@ -385,33 +383,33 @@ r AS (SELECT *, round((0.30 * l + 0.20 * m + 0.20 * s + 0.10 * a + 0.20 * y)::DO
     "E5_log_prior": f"""WITH {ctes("mentions")}, v AS (SELECT place_id, count(*) AS views FROM mentions GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY views DESC, place_id) <= 300 AS head FROM v), s AS (SELECT min(views) AS low, max(views) AS high FROM k WHERE head)
 SELECT place_id, views, round(CASE WHEN NOT head THEN 0 WHEN high > low THEN (ln(views + 1) - ln(low + 1)) / (ln(high + 1) - ln(low + 1)) ELSE 1 END, 4)::DOUBLE AS prior FROM k, s""",
     "H25_cue_scores": _cue_sql(),
-    "H26_first_person": """WITH t AS (SELECT doc_id, lower(substring(text, 1, 2000)) AS s FROM documents WHERE lang = 'en'), w AS (SELECT doc_id, regexp_extract_all(s, '[a-z]+') AS w FROM t) SELECT doc_id, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: x IN ('i', 'we', 'my', 'our'))) * 1000 / len(w), 6) ELSE 0 END::DOUBLE AS density FROM w""",
-    "D28_language_share": "WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(substring(text, 1, 3000)), '[^a-zà-ÿ]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, " + ", ".join(f"round(len(list_filter(w, lambda x: x IN {m})) / nullif(len(w), 0), 6) AS {k}" for k, m in MARKERS.items()) + " FROM w",
+    "H26_first_person": """WITH t AS (SELECT doc_id, lower(text) AS s FROM documents), w AS (SELECT doc_id, regexp_extract_all(s, '[a-z]+') AS w FROM t) SELECT doc_id, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: x IN ('i', 'we', 'my', 'our'))) * 1000 / len(w), 6) ELSE 0 END::DOUBLE AS density FROM w""",
+    "D28_language_share": "WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-zà-ÿ]+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, " + ", ".join(f"round(len(list_filter(w, lambda x: x IN {m})) / nullif(len(w), 0), 6) AS {k}" for k, m in MARKERS.items()) + " FROM w",
     "H30_hash_bucket": "SELECT ('0x' || sha256(doc_id::VARCHAR)[1:8])::BIGINT % 5 AS bucket, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM documents GROUP BY 1",
     "H15_embedding_text": f"""WITH {_D}, b AS (SELECT id, array_to_string(list_filter([nullif(trim(title), ''), CASE WHEN id % 2 = 0 THEN nullif(trim(source), '') END, nullif(trim(substring(text, 1, 1600)), '')], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS t FROM d) SELECT id, sha256(t) AS text_hash, length(t)::INT AS chars FROM b""",
-    "H1_normalize_name": f"WITH {_D} SELECT id, {_norm('substring(title, 1, 80)')} AS name FROM d",
-    "H2_slugify": f"WITH {_D} SELECT id, replace({_norm('substring(title, 1, 60)')}, ' ', '-') AS slug, sha1({_norm('substring(title, 1, 60)')})[1:16] AS key FROM d",
-    "H4_tokens": f"WITH {_D} SELECT id, array_to_string({_tok('substring(text, 1, 300)')}, ' ') AS tokens FROM d",
+    "H1_normalize_name": f"WITH {_D} SELECT id, {_norm('title')} AS name FROM d",
+    "H2_slugify": f"WITH {_D} SELECT id, replace({_norm('title')}, ' ', '-') AS slug, sha1({_norm('title')})[1:16] AS key FROM d",
+    "H4_tokens": f"WITH {_D} SELECT id, array_to_string({_tok('text')}, ' ') AS tokens FROM d",
     "H5_visible_text": f"WITH t AS (SELECT page_id, {_visible('html')} AS t FROM pages) SELECT page_id, sha256(t) AS text_sha, length(t)::INT AS chars FROM t",
     "H11_links": """WITH l AS (SELECT page_id, regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"', 1) AS l FROM pages) SELECT page_id, i::INT - 1 AS pos, l[i] AS href FROM l, unnest(range(1, len(l) + 1)) t(i)""",
     "H12_hosts": """WITH h AS (SELECT page_id, nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', ''), '') AS host FROM pages), p AS (SELECT *, string_split(host, '.') AS l FROM h),
 r AS (SELECT page_id, host, l, CASE WHEN array_to_string(l[-2:], '.') IN ('co.id', 'or.id', 'go.id', 'web.id', 'ac.id', 'co.uk', 'org.uk', 'com.au', 'com.sg', 'co.jp') THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS root FROM p)
 SELECT page_id, host, root, CASE WHEN host <> root THEN host[1:length(host) - length(root) - 1] END AS sub FROM r""",
     "H13_canonical_url": """SELECT page_id, regexp_replace(nullif(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', ''), '') || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS url FROM pages""",
-    "H33_vector_text": "SELECT vec_id, len(embedding)::INT AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings WHERE vec_id < 50",
-    "H10_word_delta": """WITH e AS (SELECT doc_id AS id, text, n_chars FROM documents WHERE doc_id % 10 = 0), a AS (SELECT id, w, count(*) AS a FROM (SELECT id, unnest(string_split_regex(lower(text), '[ \\t\\r\\n]+')) AS w FROM e) WHERE w <> '' GROUP BY 1, 2),
+    "H33_vector_text": "SELECT vec_id, len(embedding)::INT AS dim, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings",
+    "H10_word_delta": """WITH e AS (SELECT doc_id AS id, text, n_chars FROM documents), a AS (SELECT id, w, count(*) AS a FROM (SELECT id, unnest(string_split_regex(lower(text), '[ \\t\\r\\n]+')) AS w FROM e) WHERE w <> '' GROUP BY 1, 2),
 b AS (SELECT id, w, count(*) AS b FROM (SELECT id, unnest(string_split_regex(lower(substring(text, 1, (n_chars // 2)::INT)), '[ \\t\\r\\n]+')) AS w FROM e) WHERE w <> '' GROUP BY 1, 2)
 SELECT id, sum(greatest(coalesce(a, 0) - coalesce(b, 0), 0))::BIGINT AS lost, sum(greatest(coalesce(b, 0) - coalesce(a, 0), 0))::BIGINT AS gained FROM a FULL JOIN b USING (id, w) GROUP BY 1""",
-    "I15_centroids": f"""WITH {_SQL_MEANS.format(where="vec_id % 5 <> 0")}, s AS (SELECT vec_id, m.label, round(list_cosine_similarity(embedding::DOUBLE[], vector), 6) AS s FROM embeddings e, mv m WHERE vec_id % 5 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label DESC) AS r FROM s)
+    "I15_centroids": f"""WITH {_SQL_MEANS.format(where="true")}, s AS (SELECT vec_id, m.label, round(list_cosine_similarity(embedding::DOUBLE[], vector), 6) AS s FROM embeddings e, mv m), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label DESC) AS r FROM s)
 SELECT a.vec_id, a.label, a.s AS similarity, round(a.s - b.s, 6) AS margin FROM k a LEFT JOIN k b ON b.vec_id = a.vec_id AND b.r = 2 WHERE a.r = 1""",
     "D24_mean_vectors": f"WITH {_SQL_MEANS.format(where='true')} SELECT label, (i - 1)::INT AS pos, round(vector[i], 6) AS x FROM mv, unnest(range(1, 65)) t(i)",
     "I16_loo_knn": f"""WITH {_SQL_KNN}, n AS (SELECT k.query_id, e.label FROM (SELECT * FROM knn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 5) k JOIN embeddings e USING (vec_id)), v AS (SELECT query_id, label, count(*) AS n FROM n GROUP BY 1, 2)
 SELECT query_id, label AS predicted, n AS votes FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) = 1""",
     "I18_cohesion": f"WITH {_SQL_MEANS.format(where='true')} SELECT label, round(avg(list_cosine_similarity(embedding::DOUBLE[], vector)), 6) AS cohesion, count(*) AS n FROM embeddings JOIN mv USING (label) GROUP BY 1",
-    "I19_tf_idf": f"""WITH d AS (SELECT doc_id, substring(text, 1, 800) AS t FROM documents WHERE lang = 'en'), w AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest({_tok("t")}) AS w FROM d) GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM d),
+    "I19_tf_idf": f"""WITH d AS (SELECT doc_id, text AS t FROM documents), w AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest({_tok("t")}) AS w FROM d) GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM d),
 df AS (SELECT w, count(*) AS df, any_value(n) AS n FROM w, n GROUP BY 1 HAVING count(*) >= 3 AND count(*) <= any_value(n) * 0.5), x AS (SELECT doc_id, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM w JOIN df USING (w)),
 u AS (SELECT doc_id, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS u FROM x) SELECT doc_id, count(*) AS terms, round(max(u), 6) AS top, round(sum(u), 5) AS total FROM u GROUP BY 1""",
-    "I20_lexicon_tags": f"""WITH {_D}, l(term_id, w) AS (VALUES (1::BIGINT, 'ther'), (2, 'tion'), (3, 'erth'), (4, 'eaux'), (5, 'keit')), z AS (SELECT id, 'A' AS zone, {_tok("title")} AS t FROM d UNION ALL SELECT id, 'B', {_tok("substring(text, 1, 400)")} FROM d) SELECT id, term_id, min(zone) AS zone FROM z, l WHERE list_contains(t, w) GROUP BY 1, 2""",
+    "I20_lexicon_tags": f"""WITH {_D}, l(term_id, w) AS (VALUES (1::BIGINT, 'ther'), (2, 'tion'), (3, 'erth'), (4, 'eaux'), (5, 'keit')), z AS (SELECT id, 'A' AS zone, {_tok("title")} AS t FROM d UNION ALL SELECT id, 'B', {_tok("substring(text, 1, 400)")} FROM d UNION ALL SELECT id, 'C', {_tok("substring(text, 401, 1200)")} FROM d) SELECT id, term_id, min(zone) AS zone FROM z, l WHERE list_contains(t, w) GROUP BY 1, 2""",
     "I25_rescore": f"""WITH {_SQL_KNN}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM knn QUALIFY rank <= 20), c AS (SELECT list(m ORDER BY i) AS vector FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id BETWEEN 10 AND 14) GROUP BY 1))
 SELECT query_id, k.vec_id, round(1 - (rank - 1) / 20 + 0.5 * (k.vec_id % 4) / 4 + 0.3 * list_cosine_similarity(embedding::DOUBLE[], vector), 6) AS score FROM k JOIN embeddings e ON e.vec_id = k.vec_id, c""",
     "P2_taste_blend": f"""WITH {ctes("interactions")}, {bp._SQL_TASTE}, t AS (SELECT user_id, weight, embedding FROM taste JOIN embeddings ON vec_id::VARCHAR = entity_id), n AS (SELECT user_id, count(*) AS n FROM t GROUP BY 1),
