@@ -14,11 +14,11 @@ Steps, over batches of documents that are dealt out by a hash of doc_id:
  2. hashes that several documents have are found, by ranges of hash, and among
     them the hot ones that over `fan` batches have;
  3. each batch sends its stretches with such hashes, equal ones of later
-    documents in the batch being resolved there and then; stretches of hot hashes
-    are sent string by string, dealt out by the whole string;
- 4. groups of stretches find what earlier documents have; strings of hot hashes
-    meet in groups of `fan` batches, then of `fan` such groups and so on, and only
-    the earliest of equal ones goes on;
+    documents in the batch being resolved there and then;
+ 4. groups of stretches find what earlier documents have; those of a hot hash meet
+    `fan` batches at a time, and what is left goes on string by string, dealt out by
+    the whole string, to groups of `fan` such groups and so on, of which only the
+    earliest of equal ones go on;
  5. batches merge what is covered and cut it out.
 
 Defined cases: null is the empty text. Shorter texts than `width` keep all. Rows
@@ -42,8 +42,8 @@ WIDTH, GRAM = 50, 16
 BATCH, HASHES, STRETCHES = 2 << 20, 16 << 20, 2 << 20
 #: Bytes of text that are dealt to one task of a shuffle.
 TASK = 8 << 20
-#: A hash is hot if more batches than this have it; its strings meet in groups of so many batches at a time.
-FAN = 64
+#: A hash is hot if more batches than this have it; its stretches meet so many batches at a time.
+FAN = 1024
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 
@@ -235,39 +235,38 @@ def _share(fan: int):
     return run
 
 
-def _windows(texts: list[bytes], docs: np.ndarray, text: np.ndarray, first: np.ndarray, count: np.ndarray, groups: int, width: int) -> tuple[list[tuple], tuple[np.ndarray, ...]]:
-    """Strings of `width` bytes of some stretches, each once in its least document: their groups and what _SENT holds of them, and (text, place, count) of those that later documents have."""
-    data = np.frombuffer(b"".join([texts[t][p : p + c + width - 1] for t, p, c in zip(text.tolist(), first.tolist(), count.tolist(), strict=True)]), np.uint8)
-    size = count + width - 1
+def _strings(batch: int, texts: list[bytes], docs: np.ndarray, rows: np.ndarray, starts: np.ndarray, groups: int, width: int) -> list[tuple]:
+    """The strings of `width` bytes of some stretches of one batch, in rows of _SENT; no smaller document of the batch has them."""
+    size = np.array([len(t) for t in texts])
+    count, data = size - width + 1, np.frombuffer(b"".join(texts), np.uint8)
     at = _spread(np.cumsum(size) - size, count)
     known, which = np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[at]).view(f"V{width}").reshape(-1), return_inverse=True)
-    own, place, owner = np.repeat(text, count), _spread(first, count), np.repeat(np.arange(len(text)), count)
-    least = np.full(len(known), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, docs[own])
-    # A run of one string (of blanks, say) is one entry.
+    owner, place = np.repeat(np.arange(len(texts)), count), _spread(starts, count)
+    # A run of one string (of blanks, say) is one entry; of a string that several rows have all are entries.
     begin = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (owner[1:] != owner[:-1])])
-    which, own, place, length = which[begin], own[begin], place[begin], np.diff(np.r_[begin, len(which)])
-    late = docs[own] > least[which]
-    order = np.flatnonzero(~late)[np.argsort(which[~late], kind="stable")]
-    entries = np.bincount(which[order], minlength=len(known))
+    which, owner, place, length = which[begin], owner[begin], place[begin], np.diff(np.r_[begin, len(which)])
+    least = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, docs[owner])
+    order = np.argsort(which, kind="stable")
+    entries = np.bincount(which, minlength=len(known))
     raw = known.view(np.uint8).reshape(len(known), width)
     hashed = np.zeros(len(known), _U)
     for k in range(0, width, 8):
         hashed = _mix(hashed ^ np.ascontiguousarray(np.pad(raw[:, k : k + 8], ((0, 0), (0, max(0, k + 8 - width))))).view("<u8").reshape(-1))
     grp = (hashed % _U(groups)).astype(np.int64)
     edge = np.r_[0, np.cumsum(entries)]
-    rows = []
+    out = []
     by = np.argsort(grp, kind="stable")
     cuts = np.flatnonzero(np.r_[True, grp[by][1:] != grp[by][:-1]]) if len(by) else np.zeros(0, np.int64)
     for a, z in zip(cuts, np.r_[cuts[1:], len(by)], strict=False):
         some = by[a:z]
         mine = order[_spread(edge[some], entries[some])]
-        rows.append((int(grp[some[0]]), least[some].astype("<i8").tobytes(), raw[some].tobytes(), entries[some].astype("<u4").tobytes(), *(x[mine].astype("<u4").tobytes() for x in (own, place, length))))
-    return rows, (own[late], place[late], length[late])
+        out.append((-1 - int(grp[some[0]]), batch, least[some].astype("<i8").tobytes(), *(x.astype("<u4").tobytes() for x in (rows[owner[mine]], place[mine], length[mine])), raw[some].tobytes(), entries[some].astype("<u4").tobytes()))
+    return out
 
 
 def _send(n: int, groups: int, width: int):
-    """Stretches to groups (docs null for what is resolved already), and, with a negative group, strings of hot hashes."""
+    """Stretches to groups, negative ones where the hash is hot; with no data what is resolved already."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -285,7 +284,6 @@ def _send(n: int, groups: int, width: int):
         seen: dict[bytes, int] = {}
         parts: dict[int, list[int]] = {}
         done: list[tuple[int, int, int]] = []
-        often: list[int] = []
         cuts: dict[int, bytes] = {}
         to = ((value[on] >> _U(24)) % _U(groups)).tolist()
         for i, g, h, t, p, c in zip(on.tolist(), to, hot[which[on]].tolist(), text[on].tolist(), first[on].tolist(), count[on].tolist(), strict=True):
@@ -293,20 +291,13 @@ def _send(n: int, groups: int, width: int):
             before = seen.setdefault(data, docs[t])
             if before < docs[t]:
                 done.append((t, p, c))
-            elif h:
-                often.append(i)
             else:
                 cuts[i] = data
-                parts.setdefault(g, []).append(i)
+                parts.setdefault(-1 - g if h else g, []).append(i)
         ids = np.array([d or 0 for d in docs], "<i8")
         rows = [(g, batch, ids[text[own]].tobytes(), text[own].astype("<u4").tobytes(), first[own].astype("<u4").tobytes(), count[own].astype("<u4").tobytes(), b"".join([cuts[i] for i in own]), None) for g, own in parts.items()]
-        gone = [np.array(done, np.int64).reshape(-1, 3).T]
-        if often:
-            strings, late = _windows(texts, ids, text[often], first[often], count[often], groups, width)
-            rows += [(-1 - g, batch, d, r, s, c, data, entries) for g, d, data, entries, r, s, c in strings]
-            gone.append(np.array(late))
-        t, p, c = np.concatenate(gone, axis=1).astype("<u4")
-        if len(t):  # already known to go: passed on with no text
+        if done:  # already known to go: passed on with no text
+            t, p, c = (np.array(x, "<u4") for x in zip(*done, strict=True))
             rows.append((batch % groups, batch, b"", t.tobytes(), p.tobytes(), c.tobytes(), b"", None))
         return _table(_SENT, rows)
 
@@ -320,8 +311,8 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, last - first + 1
 
 
-def _find(columns: dict[str, list], full: list[int], width: int) -> list[tuple]:
-    """Spans that go of the stretches in rows `full`, which are one group's."""
+def _find(columns: dict[str, list], full: list[int], width: int, groups: int | None = None) -> list[tuple]:
+    """Spans that go of the stretches in rows `full`, which are one group's; with `groups` also the strings that are left, dealt out anew."""
     docs = np.frombuffer(b"".join([columns["docs"][i] for i in full]), "<i8")
     rows, starts, counts = (np.frombuffer(b"".join([columns[c][i] for i in full]), "<u4").astype(np.int64) for c in ("rows", "starts", "lengths"))
     source = np.repeat(full, [len(columns["docs"][i]) // 8 for i in full])
@@ -358,7 +349,20 @@ def _find(columns: dict[str, list], full: list[int], width: int) -> list[tuple]:
     for i, a, z in zip(full, cuts, cuts[1:], strict=False):
         if z > a:
             mine = order[a:z]
-            out.append((-1 - columns["grp"][i], columns["batch"][i], b"", *(x.astype("<u4").tobytes() for x in (rows[own[mine]], at[mine], length[mine])), b"", None))
+            out.append((-1 - i, columns["batch"][i], b"", *(x.astype("<u4").tobytes() for x in (rows[own[mine]], at[mine], length[mine])), b"", None))
+    if groups is None:
+        return out
+    left, size = _runs(~gone, piece)  # runs of places that no smaller document here has
+    owner, into = piece[left], left - (np.cumsum(sizes) - sizes)[piece[left]]
+    edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    for i in full:
+        mine = stays[source[stays] == i]
+        runs = _spread(edges[same[mine]], (edges[1:] - edges[:-1])[same[mine]])
+        own = np.repeat(mine, (edges[1:] - edges[:-1])[same[mine]])
+        if len(runs):
+            a = begin[own] + into[runs]
+            texts = [data[x : x + n + width - 1] for x, n in zip(a.tolist(), size[runs].tolist(), strict=True)]
+            out += _strings(columns["batch"][i], texts, docs[own], rows[own], starts[own] + into[runs], groups, width)
     return out
 
 
@@ -381,7 +385,7 @@ def _meet(columns: dict[str, list], full: list[int], width: int, last: bool) ->
     return out
 
 
-def _resolve(width: int, last: bool):
+def _resolve(width: int, groups: int, last: bool):
     """One group's stretches and strings; spans that are known to go pass."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -389,7 +393,8 @@ def _resolve(width: int, last: bool):
         out = [tuple(columns[c][i] for c in columns) for i, t in enumerate(columns["data"]) if not t]
         stretched = [i for i, (t, e) in enumerate(zip(columns["data"], columns["entries"], strict=True)) if t and e is None]
         strings = [i for i, (t, e) in enumerate(zip(columns["data"], columns["entries"], strict=True)) if t and e is not None]
-        out += _find(columns, stretched, width) if stretched else []
+        # What a hot hash leaves goes on string by string.
+        out += _find(columns, stretched, width, None if last or columns["grp"][stretched[0]] >= 0 else groups) if stretched else []
         out += _meet(columns, strings, width, last) if strings else []
         return _table(_RESOLVED, out)
 
@@ -448,7 +453,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, texts: bool = True, fa
     over = fan
     while True:
         meet = F.when(F.col("grp") >= 0, F.col("grp")).otherwise(F.xxhash64("grp", F.floor(F.col("batch") / over)))
-        sent = dealt(sent.withColumn("meet", meet), "meet").applyInArrow(_resolve(width, over >= n_batches), _RESOLVED)
+        sent = dealt(sent.withColumn("meet", meet), "meet").applyInArrow(_resolve(width, n_groups, over >= n_batches), _RESOLVED)
         if over >= n_batches:
             break
         over *= fan
