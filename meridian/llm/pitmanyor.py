@@ -3,18 +3,22 @@
 Each word context is a restaurant whose customers are the words that follow it
 and whose tables send one customer each to the parent restaurant that all
 contexts share; that one's base is even over the vocabulary and one unseen word.
-Table counts are sampled by Gibbs: given the parent, a dish of c customers has t
-tables with a chance that generalised Stirling numbers give; dishes of more than
-MANY customers are seated anew in turn. Contexts are sampled in rounds against a
-fixed parent, then the parent against their tables; the predictive probability
-is the mean over the last sweeps. Discounts come from the counts of counts.
+Seatings are sampled by Gibbs, all customers of a dish at once: given the parent
+and the tables of the other dishes, a dish of c customers has t tables with a chance
+that generalised Stirling numbers give. They are tabled up to MANY customers; beyond,
+the process that opens tables is run on as a pure birth process from the MANY-th
+customer to the c-th, which has a closed form and differs from single steps by
+about 1 / MANY. Contexts are sampled in rounds against a fixed parent, then the
+parent against their tables; predictive probabilities are means over the last
+sweeps of both. The dishes of one restaurant are redrawn together, each against the
+others' tables of the sweep before. Discounts come from the counts of counts.
 
 The corpus' counts are dealt out in packed arrays: batches of documents list
 their words to word groups, which number them and answer; batches then list
 their word pairs to pair groups, which count and seat them. Pairs of a very
-frequent context are spread over several groups; each takes its share of the
-context's tables, times the number of groups, for the whole. Text is scored the
-same way round, so no model is sent to all tasks.
+frequent context are spread over several groups, which tell each other their
+tables between rounds. Text is scored the same way round, so no model is sent to
+all tasks. Words are numbered with 64 bits.
 
 Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case; each document ends with one end token,
 which is also the first word's context. Documents whose crc32(doc_id as text) mod
@@ -43,12 +47,13 @@ BATCH, GROUP = 6 << 20, 12 << 20
 PIECE = 1 << 20
 #: A context is spread over one more group for each so many tokens.
 HOT = 1 << 19
-MANY = 64
+#: Stirling numbers are tabled to so many customers.
+MANY = 512
 CONCENTRATION = 1.0
 SWEEPS, KEPT = 3, 2
 
 _U = np.uint64
-NONE = np.uint32(0xFFFFFFFF)
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 END = _U(0x8F1BBCDC5A827999)
 _RADIX, _BACK = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 
@@ -117,6 +122,12 @@ def _column(table: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.array([len(p) for p in parts], np.int64)
 
 
+def _packed(table: pa.Table, name: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """_column() of arrays that were laid out by _planes()."""
+    parts = [_unplane(x or b"", kind) for x in table.column(name).to_pylist()]
+    return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.array([len(p) for p in parts], np.int64)
+
+
 def _by_group(group: np.ndarray, groups: int) -> np.ndarray:
     """Stable order by group; numbers of 16 bits are sorted by radix."""
     return np.argsort(group.astype(np.uint16) if groups < 1 << 16 else group, kind="stable")
@@ -172,26 +183,22 @@ class Batch:
                 out[k][at[row["grp"]]] = _unplane(row[k], kind)
         return out
 
-    def pairs(self, ids: np.ndarray, times: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of known words, by group: codes, training counts, groups, for each token its pair or -1, hot share of each."""
-        u, w = ids[self.context], ids[self.which]
-        known = (u != NONE) & (w != NONE)
-        code = u[known].astype(_U) << _U(32) | w[known].astype(_U)
+    def pairs(self, ids: np.ndarray, times: np.ndarray, groups: int, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of known words, by group: their contexts and words among the distinct words, training counts, groups, for each token its pair or -1, and over how many groups a pair's context is spread."""
+        known = (ids[self.context] != NONE) & (ids[self.which] != NONE)
+        code = self.context[known].astype(_U) << _U(32) | self.which[known].astype(_U)
         codes, inverse = np.unique(code, return_inverse=True)
         count = np.bincount(inverse[self.train[known]], minlength=len(codes))
-        shares = np.ones(len(codes), np.int64)
-        part = np.zeros(len(codes), _U)
-        for k in np.flatnonzero((times >= HOT) & (ids != NONE)):  # few: each has a share of all tokens
-            a, z = np.searchsorted(codes, [_U(ids[k]) << _U(32), (_U(ids[k]) + _U(1)) << _U(32)])
-            shares[a:z] = 1 + int(times[k]) // HOT
-            part[a:z] = _mix(codes[a:z] & _U(0xFFFFFFFF)) % _U(shares[a]) if z > a else 0
-        group = (_mix((codes >> _U(32)) * _U(31) + part) % _U(groups)).astype(np.int64)
+        u, w = (codes >> _U(32)).astype(np.int64), (codes & _U(0xFFFFFFFF)).astype(np.int64)
+        shares = 1 + times[u].astype(np.int64) // hot
+        part = np.where(shares > 1, _mix(ids[w]) % shares.astype(_U), _U(0))
+        group = (_mix(ids[u] * _U(31) + part) % _U(groups)).astype(np.int64)
         order = _by_group(group, groups)
         place = np.empty(len(codes), np.int32)
         place[order] = np.arange(len(codes), dtype=np.int32)
         token = np.full(len(self.which), -1, np.int64)
         token[known] = place[inverse]
-        return codes[order], count[order], group[order], token, shares[order]
+        return u[order], w[order], count[order], group[order], token, shares[order]
 
 
 _PACKED = "batch int, ids binary, known binary, held binary, lengths binary, data binary"
@@ -217,7 +224,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 _LISTED = "grp int, batch int, hashes binary, times binary"
 _NUMBERED = "batch int, grp int, ids binary, times binary, chance binary, tables binary"
-_PAIRED = "grp int, batch int, first binary, second binary, times binary, hot binary, shares binary"
+_PAIRED = "grp int, batch int, first binary, runs binary, second binary, times binary, hot binary"
+#: Messages by kind. 0: a pair group's pairs seen twice or more. 1: words to their groups, with their contexts. 2: chances of words. 3: tables of a
+#: pair group's pairs. 4: tables to words, or at last to contexts. 5: a word group's chances for a pair group. 6: tables of spread contexts to their
+#: groups. 7: their sums back.
 _COUNTED = "kind int, grp int, source int, a binary, b binary, c binary, d binary, e binary, n long, once long, twice long"
 
 
@@ -237,10 +247,8 @@ def _number(table: pa.Table, groups: int) -> tuple[np.ndarray, np.ndarray, np.nd
     known, inverse = np.unique(hashes, return_inverse=True)
     total = np.bincount(inverse, weights=times, minlength=len(known)).astype(np.int64)
     order = np.lexsort((known, -total))
-    ids = np.empty(len(known), np.int64)
-    ids[order] = np.arange(len(known)) * groups + grp
-    if len(ids) and ids.max() >= NONE:
-        raise ValueError("more words than ids of 32 bits")
+    ids = np.empty(len(known), _U)
+    ids[order] = np.arange(len(known), dtype=_U) * _U(groups) + _U(grp)
     ids[total == 0] = NONE
     return ids[inverse], total[inverse], np.cumsum(sizes)
 
@@ -249,7 +257,7 @@ def _answer(table: pa.Table, ids: np.ndarray, times: np.ndarray, ends: np.ndarra
     rows, at = [], 0
     for batch, grp, z in zip(table.column("batch").to_pylist(), table.column("grp").to_pylist(), ends.tolist(), strict=True):
         s = slice(at, z)
-        rows.append((batch, grp, *(_planes(x[s]) for x in (ids.astype("<u4"), np.minimum(times, 0xFFFFFFFF).astype("<u4"), chance.astype("<f4"), tables.astype("<f4")))))
+        rows.append((batch, grp, *(_planes(x[s]) for x in (ids.astype("<u8"), np.minimum(times, 0xFFFFFFFF).astype("<u4"), chance.astype("<f4"), tables.astype("<f4")))))
         at = z
     return _table(_NUMBERED, rows)
 
@@ -272,7 +280,7 @@ def _number_with_model(groups: int, unseen: float):
         kinds = np.array(right.column("kind").to_pylist())
         for kind, form, out in ((2, "<f8", chance), (4, "<f4", tables)):
             part = right.filter(pa.array(kinds == kind))
-            own, value = _column(part, "a", "<u4")[0], _column(part, "b", form)[0]
+            own, value = _packed(part, "a", "<u8")[0], _column(part, "b", form)[0]
             if not len(own):
                 continue
             # Each pair group that seats some of a context's dishes has its part of the tables.
@@ -286,59 +294,68 @@ def _number_with_model(groups: int, unseen: float):
     return run
 
 
-def _pair(groups: int):
+def _pair(groups: int, hot: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _table(_PAIRED, [])
         b, batch = Batch(left, groups), left.column("batch")[0].as_py()
-        got = b.fill(right, {"ids": "<u4", "times": "<u4"})
-        codes, count, group, _, shares = b.pairs(got["ids"], got["times"], groups)
+        got = b.fill(right, {"ids": "<u8", "times": "<u4"})
+        u, w, count, group, _, shares = b.pairs(got["ids"], got["times"], groups, hot)
         edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, int)
         rows = []
         for a, z in zip(edge, np.r_[edge[1:], len(group)], strict=False):
-            first, second = (codes[a:z] >> _U(32)).astype("<u4"), (codes[a:z] & _U(0xFFFFFFFF)).astype("<u4")
-            hot, at = np.unique(first[shares[a:z] > 1], return_index=True)
-            rows.append((int(group[a]), batch, _planes(np.diff(np.r_[np.uint32(0), first]).astype("<u4")), _planes(second), _planes(count[a:z].astype("<u4")), hot.tobytes(), shares[a:z][shares[a:z] > 1][at].astype("<u4").tobytes()))
+            head = np.flatnonzero(np.r_[True, np.diff(u[a:z]) != 0])
+            contexts = got["ids"][u[a:z][head]]
+            rows.append((int(group[a]), batch, _planes(contexts), _planes(np.diff(np.r_[head, z - a]).astype("<u4")), _planes(got["ids"][w[a:z]]), _planes(count[a:z].astype("<u4")), contexts[shares[a:z][head] > 1].tobytes()))
         return _table(_PAIRED, rows)
 
     return run
 
 
-def _gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct codes, training counts, for each listed pair its code's place, where rows end) of one pair group."""
-    parts, times = [], []
-    for a, b, t in zip(table.column("first").to_pylist(), table.column("second").to_pylist(), table.column("times").to_pylist(), strict=True):
-        parts.append(np.cumsum(_unplane(a, "<u4"), dtype=np.uint32).astype(_U) << _U(32) | _unplane(b, "<u4").astype(_U))
-        times.append(_unplane(t, "<u4"))
-    codes, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    count = np.bincount(inverse, weights=np.concatenate(times), minlength=len(codes)).astype(np.int64)
-    return codes, count, inverse, np.cumsum([len(p) for p in parts])
+class Pairs:
+    """The distinct pairs of one pair group: contexts and words (sorted ids), codes of pairs by their places there, and for each listed pair its code's place."""
+
+    def __init__(self, table: pa.Table) -> None:
+        heads, sizes = _packed(table, "first", "<u8")
+        runs = _packed(table, "runs", "<u4")[0].astype(np.int64)
+        second, _ = _packed(table, "second", "<u8")
+        self.contexts, u = np.unique(heads, return_inverse=True)
+        self.words, w = np.unique(second, return_inverse=True)
+        self.codes, self.inverse = np.unique(np.repeat(u, runs).astype(_U) << _U(32) | w.astype(_U), return_inverse=True)
+        self.count = np.bincount(self.inverse, weights=_packed(table, "times", "<u4")[0], minlength=len(self.codes)).astype(np.int64)
+        self.ends = np.add.reduceat(np.r_[runs, 0], np.r_[0, np.cumsum(sizes)[:-1]]).cumsum() if len(sizes) else np.zeros(0, np.int64)
+
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Places of the codes of pairs that are here."""
+        return np.searchsorted(self.codes, np.searchsorted(self.contexts, contexts).astype(_U) << _U(32) | np.searchsorted(self.words, words).astype(_U))
 
 
 def _to_words(ids: np.ndarray, value: np.ndarray, groups: int, kind: int, source: int, dtype: str) -> list[tuple]:
     """Messages with sums by word id to the ids' groups."""
     known, inverse = np.unique(ids, return_inverse=True)
     total = np.bincount(inverse, weights=value, minlength=len(known))
-    order = np.argsort(known % groups, kind="stable")
+    grp = (known % _U(groups)).astype(np.int64)
+    order = np.argsort(grp, kind="stable")
     known, total = known[order], total[order]
-    edge = np.searchsorted(known % groups, np.arange(groups + 1))
-    return [(kind, g, source, known[a:z].astype("<u4").tobytes(), total[a:z].astype(dtype).tobytes(), b"", b"", b"", 0, 0, 0) for g, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if z > a]
+    edge = np.searchsorted(grp[order], np.arange(groups + 1))
+    return [(kind, g, source, _planes(known[a:z]), total[a:z].astype(dtype).tobytes(), b"", b"", b"", 0, 0, 0) for g, (a, z) in enumerate(zip(edge, edge[1:], strict=False)) if z > a]
 
 
 def _count(groups: int):
-    """Kind 0: codes and counts of pairs seen twice or more, and how many pairs seen once each context has. Kind 1: contexts of each word."""
+    """Kind 0: pairs seen twice or more with their counts, and how many pairs seen once each context has. Kind 1: contexts of each word. Kind 6: dishes of spread contexts."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        codes, count, _, _ = _gather(table)
-        codes, count = codes[count > 0], count[count > 0]
-        if not len(codes):
+        p = Pairs(table)
+        seen, grp = np.flatnonzero(p.count), key[0].as_py()
+        if not len(seen):
             return _table(_COUNTED, [])
-        many, grp = count > 1, key[0].as_py()
-        single, n_single = np.unique((codes[~many] >> _U(32)).astype("<u4"), return_counts=True)
-        hot, first = np.unique(_column(table, "hot", "<u4")[0], return_index=True)
-        shares = _column(table, "shares", "<u4")[0][first]
-        state = (0, grp, grp, codes[many].astype("<u8").tobytes(), count[many].astype("<u4").tobytes(), single.tobytes(), n_single.astype("<u4").tobytes(), np.concatenate([hot, shares]).astype("<u4").tobytes(), int(count.sum()), int((~many).sum()), int((count == 2).sum()))
-        return _table(_COUNTED, [state, *_to_words((codes & _U(0xFFFFFFFF)).astype(np.int64), np.ones(len(codes)), groups, 1, grp, "<f4")])
+        u, w, count = p.contexts[p.codes[seen] >> _U(32)], p.words[p.codes[seen] & _U(0xFFFFFFFF)], p.count[seen]
+        many = count > 1
+        single, n_single = np.unique(u[~many], return_counts=True)
+        spread = np.intersect1d(_column(table, "hot", "<u8")[0], u)
+        state = (0, grp, grp, _planes(u[many]), _planes(w[many]), count[many].astype("<u4").tobytes(), np.concatenate([single, n_single.astype(_U)]).tobytes(), spread.tobytes(), int(count.sum()), int((~many).sum()), int((count == 2).sum()))
+        hot = np.isin(u, spread)
+        return _table(_COUNTED, [state, *_to_words(w, np.ones(len(w)), groups, 1, grp, "<f4"), *_to_words(u[hot], np.ones(hot.sum()), groups, 6, grp, "<f8")])
 
     return run
 
@@ -355,49 +372,55 @@ def stirling(discount: float, many: int = MANY) -> np.ndarray:
     return out
 
 
-def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, rng: np.random.Generator, concentration: float = CONCENTRATION) -> np.ndarray:
-    """Table counts of dishes of c customers, given the chance the parent gives each and the tables of their restaurant's other dishes."""
+def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, discount: float, rng: np.random.Generator, concentration: float = CONCENTRATION, many: int = MANY) -> np.ndarray:
+    """Table counts of dishes of c customers, given the chance the parent gives each and the tables of their restaurant's other dishes.
+
+    The chance of t tables goes with S(c, t) times the product of base (concentration
+    + discount (others + i)) over i < t. Past `many` customers each table is one of
+    those that the first `many` opened, or has come since: the former are drawn as
+    for `many` customers with what the latter sum to as a factor, then the latter,
+    which are negative binomial.
+    """
     out = np.ones(len(c), np.int64)
-    table = stirling(discount)
-    order = np.argsort(c, kind="stable")
-    edge = np.searchsorted(c[order], np.arange(2, MANY + 2))
-    log_base = np.log(base)
-    for k in range(2, MANY + 1):
+    table = stirling(discount, many)
+    first = np.minimum(c, many)
+    apart = (first / np.maximum(c, 1)) ** discount
+    since = base * (1 - apart)
+    log_base = np.log(base * apart / (1 - since))
+    order = np.argsort(first, kind="stable")
+    edge = np.searchsorted(first[order], np.arange(2, many + 2))
+    for k in np.flatnonzero(np.diff(edge)) + 2:
         own = order[edge[k - 2] : edge[k - 1]]
-        for a in range(0, len(own), 1 << 17):
-            some = own[a : a + (1 << 17)]
-            t = np.arange(k)
-            weight = np.log(concentration + discount * (others[some][:, None] + t)) + log_base[some][:, None]
+        step = max(1, (1 << 22) // int(k))
+        for a in range(0, len(own), step):
+            some = own[a : a + step]
+            weight = np.log(concentration + discount * (others[some][:, None] + np.arange(k))) + log_base[some][:, None]
             logs = np.cumsum(weight, axis=1) + table[k, 1 : k + 1]
             share = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
             out[some] = 1 + (share < (rng.random(len(some)) * share[:, -1])[:, None]).sum(axis=1)
-    own = order[edge[-1] :]  # very frequent dishes: customers come in, some at a time
-    left, n, t = c[own] - 1, np.ones(len(own), np.int64), np.ones(len(own), np.int64)
-    while (left > 0).any():
-        some = np.minimum(left, np.maximum(1, n // 32))
-        new = (concentration + discount * (others[own] + t)) * base[own]
-        opened = rng.binomial(some, np.clip(new / (new + n - discount * t), 0, 1))
-        t, n, left = np.minimum(t + opened, n + some), n + some, left - some
-    out[own] = t
-    return out
+    late = np.flatnonzero(c > many)
+    if len(late) and discount > 0:
+        out[late] += rng.negative_binomial(out[late] + others[late] + concentration / discount, 1 - since[late])
+    return np.minimum(out, np.maximum(c, 1))
+
+
+def _totals(state: dict, tables: np.ndarray) -> np.ndarray:
+    """Tables of each context in this group."""
+    return np.bincount(state["context"], weights=tables, minlength=len(state["contexts"])) + state["single"]
 
 
-def _sweep(state: dict, base: np.ndarray, tables: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    total = np.bincount(state["context"], weights=tables, minlength=len(state["contexts"])) + state["single"]
-    whole = (total * state["shares"])[state["context"]]  # of a spread context, this group's share times their number
+def _sweep(state: dict, base: np.ndarray, tables: np.ndarray, away: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    whole = (_totals(state, tables) + away)[state["context"]]
     return seat(state["count"], base, np.maximum(whole - tables, 0), discount, rng)
 
 
 def _state(row: dict) -> dict:
-    codes = np.frombuffer(row["a"], "<u8")
-    single, n_single = np.frombuffer(row["c"], "<u4"), np.frombuffer(row["d"], "<u4")
-    contexts = np.union1d((codes >> _U(32)).astype("<u4"), single)
+    u, single = _unplane(row["a"], "<u8"), np.frombuffer(row["d"], "<u8").reshape(2, -1)
+    contexts = np.union1d(u, single[0])
     lone = np.zeros(len(contexts))
-    lone[np.searchsorted(contexts, single)] = n_single
-    hot = np.frombuffer(row["e"], "<u4").reshape(2, -1)
-    shares = np.ones(len(contexts))
-    shares[np.searchsorted(contexts, hot[0][np.isin(hot[0], contexts)])] = hot[1][np.isin(hot[0], contexts)]
-    return {"codes": codes, "count": np.frombuffer(row["b"], "<u4").astype(np.int64), "contexts": contexts, "context": np.searchsorted(contexts, (codes >> _U(32)).astype("<u4")), "single": lone, "shares": shares, "word": (codes & _U(0xFFFFFFFF)).astype("<u4")}
+    lone[np.searchsorted(contexts, single[0])] = single[1]
+    spread = np.searchsorted(contexts, np.frombuffer(row["e"], "<u8"))
+    return {"count": np.frombuffer(row["c"], "<u4").astype(np.int64), "contexts": contexts, "context": np.searchsorted(contexts, u), "single": lone, "spread": spread, "pair_context": u, "word": _unplane(row["b"], "<u8")}
 
 
 def _rows(table: pa.Table, kind: int) -> list[dict]:
@@ -405,7 +428,7 @@ def _rows(table: pa.Table, kind: int) -> list[dict]:
 
 
 def _chances(words: np.ndarray, table: pa.Table) -> np.ndarray:
-    ids, value = _column(table, "a", "<u4")[0], _column(table, "b", "<f8")[0]
+    ids, value = _packed(table, "a", "<u8")[0], _column(table, "b", "<f8")[0]
     order = np.argsort(ids)
     return value[order][np.searchsorted(ids[order], words)]
 
@@ -419,52 +442,81 @@ def _gibbs(groups: int, discount: float, seed: int, last: bool):
             return _table(_COUNTED, [])
         state, grp = _state(states[0]), states[0]["grp"]
         rng = np.random.default_rng([seed, int(last), grp])
-        base = _chances(state["word"], right) if len(state["word"]) else np.zeros(0)
+        kinds = np.array(right.column("kind").to_pylist())
+        base = _chances(state["word"], right.filter(pa.array(kinds == 5))) if len(state["word"]) else np.zeros(0)
         before = _rows(left, 3)
         tables = np.frombuffer(before[0]["a"], "<u4").astype(np.int64) if before else np.ones(len(base), np.int64)
+        away = np.zeros(len(state["contexts"]))  # tables of spread contexts in other groups
+        if len(state["spread"]):
+            away[state["spread"]] = _chances(state["contexts"][state["spread"]], right.filter(pa.array(kinds == 7))) - _totals(state, tables)[state["spread"]]
         kept = np.zeros(len(base))
         for sweep in range(SWEEPS if last else SWEEPS - 1):
-            tables = _sweep(state, base, tables, discount, rng)
+            tables = _sweep(state, base, tables, away, discount, rng)
             if sweep >= SWEEPS - KEPT:
                 kept += tables / KEPT
         if not last:
-            return _table(_COUNTED, [(3, grp, grp, tables.astype("<u4").tobytes(), b"", b"", b"", b"", 0, 0, 0), *_to_words(state["word"].astype(np.int64), tables - 1.0, groups, 4, grp, "<f4")])
-        total = np.bincount(state["context"], weights=kept, minlength=len(state["contexts"])) + state["single"]
-        return _table(_COUNTED, [(3, grp, grp, (state["count"] - discount * kept).astype("<f4").tobytes(), b"", b"", b"", b"", 0, 0, 0), *_to_words(state["contexts"].astype(np.int64), total, groups, 4, grp, "<f4")])
+            spread = state["spread"]
+            return _table(_COUNTED, [(3, grp, grp, tables.astype("<u4").tobytes(), b"", b"", b"", b"", 0, 0, 0), *_to_words(state["word"], tables - 1.0, groups, 4, grp, "<f4"), *_to_words(state["contexts"][spread], _totals(state, tables)[spread], groups, 6, grp, "<f8")])
+        return _table(_COUNTED, [(3, grp, grp, (state["count"] - discount * kept).astype("<f4").tobytes(), b"", b"", b"", b"", 0, 0, 0), *_to_words(state["contexts"], _totals(state, kept), groups, 4, grp, "<f4")])
 
     return run
 
 
-def _parent(discount: float | None, seed: int, unseen: float, tables: float):
-    """Customers of the parent restaurant in one word group, and their tables (one each where no discount is given yet)."""
+def _first_parent(key: tuple, table: pa.Table) -> pa.Table:
+    """Customers of the parent restaurant in one word group, each word at one table."""
+    known, customers = _customers(table)
+    return _table(_PARENT, [(key[0].as_py(), b"", b"", b"", len(known), int(customers.sum()), float(len(known)), int((customers == 1).sum()), int((customers == 2).sum()))])
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, value = _column(table, "a", "<u4")[0], _column(table, "b", "<f4")[0]
-        known, inverse = np.unique(ids, return_inverse=True)
-        customers = np.rint(np.bincount(inverse, weights=value, minlength=len(known))).astype(np.int64)
-        at = np.ones(len(known), np.int64)
-        if discount is not None:
-            at = seat(customers, np.full(len(known), unseen), np.full(len(known), max(tables - 1, 0)), discount, np.random.default_rng([seed, 2, key[0].as_py()]))
-        return _table(_PARENT, [(key[0].as_py(), known.astype("<u4").tobytes(), customers.astype("<f8").tobytes(), at.astype("<f8").tobytes(), len(known), int(customers.sum()), int(at.sum()), int((customers == 1).sum()), int((customers == 2).sum()))])
+
+def _customers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids, value = _packed(table, "a", "<u8")[0], _column(table, "b", "<f4")[0]
+    known, inverse = np.unique(ids, return_inverse=True)
+    return known, np.rint(np.bincount(inverse, weights=value, minlength=len(known))).astype(np.int64)
+
+
+def _parent(discount: float, seed: int, even: float, tables: float):
+    """Customers of the parent restaurant in one word group and their tables, the mean over the last sweeps.
+
+    right: the group's row of the round before, if any; `tables` is the number in all groups then (one a word at first).
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table(_PARENT, [])
+        known, customers = _customers(left)
+        grp, rng = left.column("grp")[0].as_py(), np.random.default_rng([seed, 2, left.column("grp")[0].as_py()])
+        own = float(right.column("t")[0].as_py()) if right.num_rows else float(len(known))
+        away, at, kept = max(tables - own, 0.0), np.ones(len(known), np.int64), np.zeros(len(known))
+        for sweep in range(SWEEPS):
+            at = seat(customers, np.full(len(known), even), away + own - at if sweep else np.full(len(known), max(away + own - 1, 0.0)), discount, rng)
+            own = float(at.sum())
+            if sweep >= SWEEPS - KEPT:
+                kept += at / KEPT
+        return _table(_PARENT, [(grp, _planes(known), customers.astype("<f8").tobytes(), kept.tobytes(), len(known), int(customers.sum()), float(kept.sum()), 0, 0)])
 
     return run
 
 
-_PARENT = "grp int, a binary, customers binary, tables binary, words long, n long, t long, once long, twice long"
+_PARENT = "grp int, a binary, customers binary, tables binary, words long, n long, t double, once long, twice long"
 
 
 def _reply(discount: float, spread: float, total: float):
-    """The parent's chance of each word that a pair group asked for."""
+    """The parent's chance of each word that a pair group asked for, and the sums of the tables of spread contexts."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+        if not left.num_rows or not right.num_rows:
             return _table(_COUNTED, [])
         r = right.to_pylist()[0]
-        known, chance = np.frombuffer(r["a"], "<u4"), _chance(r, discount, spread, total)
+        known, chance = _unplane(r["a"], "<u8"), _chance(r, discount, spread, total)
         rows = []
-        for m in left.select(["source", "a"]).to_pylist():
-            asked = np.frombuffer(m["a"], "<u4")
-            rows.append((5, m["source"], r["grp"], m["a"], chance[np.searchsorted(known, asked)].tobytes(), b"", b"", b"", 0, 0, 0))
+        told = [m for m in left.select(["kind", "source", "a", "b"]).to_pylist() if m["kind"] == 6]
+        if told:
+            contexts, which = np.unique(np.concatenate([_unplane(m["a"], "<u8") for m in told]), return_inverse=True)
+            sums = np.bincount(which, weights=np.concatenate([np.frombuffer(m["b"], "<f8") for m in told]), minlength=len(contexts))
+        for m in left.select(["kind", "source", "a"]).to_pylist():
+            asked = _unplane(m["a"], "<u8")
+            answer = chance[np.searchsorted(known, asked)] if m["kind"] == 1 else sums[np.searchsorted(contexts, asked)]
+            rows.append((5 if m["kind"] == 1 else 7, m["source"], r["grp"], m["a"], answer.tobytes(), b"", b"", b"", 0, 0, 0))
         return _table(_COUNTED, rows)
 
     return run
@@ -490,14 +542,13 @@ def _weigh(discount: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _table(_WEIGHED, [])
-        codes, count, inverse, ends = _gather(left)
-        mass = np.where(count == 1, 1 - discount, 0.0)
+        p = Pairs(left)
+        mass = np.where(p.count == 1, 1 - discount, 0.0)
         states = _rows(right, 0)
         if states:
-            seen = np.frombuffer(states[0]["a"], "<u8")
-            mass[np.searchsorted(codes, seen)] = np.frombuffer(_rows(right, 3)[0]["a"], "<f4")
-        listed, rows, at = mass[inverse].astype("<f4"), [], 0
-        for batch, grp, z in zip(left.column("batch").to_pylist(), left.column("grp").to_pylist(), ends.tolist(), strict=True):
+            mass[p.find(_unplane(states[0]["a"], "<u8"), _unplane(states[0]["b"], "<u8"))] = np.frombuffer(_rows(right, 3)[0]["a"], "<f4")
+        listed, rows, at = mass[p.inverse].astype("<f4"), [], 0
+        for batch, grp, z in zip(left.column("batch").to_pylist(), left.column("grp").to_pylist(), p.ends.tolist(), strict=True):
             rows.append((batch, grp, _planes(listed[at:z])))
             at = z
         return _table(_WEIGHED, rows)
@@ -508,14 +559,14 @@ def _weigh(discount: float):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(groups: int, tokens: int, words: int, discount: float):
+def _score(groups: int, tokens: int, words: int, discount: float, hot: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)], names=[x.split()[0] for x in _SCORED.split(", ")])
         b = Batch(left, groups)
         weighed = pa.compute.is_valid(right.column("mass"))
-        got = b.fill(right.filter(pa.compute.invert(weighed)), {"ids": "<u4", "times": "<u4", "chance": "<f4", "tables": "<f4"})
-        _, _, group, token, _ = b.pairs(got["ids"], got["times"], groups)
+        got = b.fill(right.filter(pa.compute.invert(weighed)), {"ids": "<u8", "times": "<u4", "chance": "<f4", "tables": "<f4"})
+        _, _, _, group, token, _ = b.pairs(got["ids"], got["times"], groups, hot)
         mass = np.zeros(len(group) + 1)  # the last place: pairs with an unknown word
         edge = np.searchsorted(group, np.arange(groups + 1))
         for g, m in zip(*(right.filter(weighed).column(c).to_pylist() for c in ("grp", "mass")), strict=True):
@@ -535,7 +586,7 @@ def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
 
 
-def scores(docs: DataFrame, seed: int = 0) -> DataFrame:
+def scores(docs: DataFrame, seed: int = 0, hot: int = HOT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; logs are to base 10."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -549,7 +600,7 @@ def scores(docs: DataFrame, seed: int = 0) -> DataFrame:
     listed = by.applyInArrow(_list(n), _LISTED)
 
     def paired(batches: GroupedData, numbered: DataFrame) -> DataFrame:
-        return batches.cogroup(numbered.groupBy("batch")).applyInArrow(_pair(n), _PAIRED)
+        return batches.cogroup(numbered.groupBy("batch")).applyInArrow(_pair(n, hot), _PAIRED)
 
     # Held-out documents add nothing to the counts, and words that only they have get no numbers.
     learned = train.applyInArrow(_list(n), _LISTED)
@@ -557,28 +608,29 @@ def scores(docs: DataFrame, seed: int = 0) -> DataFrame:
     sums = counted.filter("kind = 0").agg(F.sum("n"), F.sum("once"), F.sum("twice")).first()
     tokens, d2 = int(sums[0] or 0), _discount(sums[1] or 0, sums[2] or 0)
     state, asked = counted.filter("kind = 0"), counted.filter("kind = 1")
-    d1, words, said = None, 0, asked
-    seated = None
+    seated = parent = None
+    told, said, tables = counted.filter("kind = 6"), asked, None
     for outer in range(2):
-        first = said.groupBy("grp").applyInArrow(_parent(None, seed, 0.0, 0.0), _PARENT)
+        first = said.groupBy("grp").applyInArrow(_first_parent, _PARENT)
         found = first.agg(F.sum("words"), F.sum("n"), F.sum("once"), F.sum("twice")).first()
         words, customers = int(found[0] or 0), float(found[1] or 0)
         d1 = _discount(found[2] or 0, found[3] or 0)
         even = 1.0 / (words + 1)
-        parent = cut(said.groupBy("grp").applyInArrow(_parent(d1, seed + outer, even, float(words)), _PARENT), "py-parent")
+        was = parent if parent is not None else first.limit(0)
+        parent = cut(said.groupBy("grp").cogroup(was.groupBy("grp")).applyInArrow(_parent(d1, seed + outer, even, float(words) if tables is None else tables), _PARENT), "py-parent")
         tables = float(parent.agg(F.sum("t")).first()[0] or 0)
         spread = (CONCENTRATION + d1 * tables) * even
-        replies = asked.groupBy("grp").cogroup(parent.groupBy("grp")).applyInArrow(_reply(d1, spread, customers), _COUNTED)
+        replies = asked.unionByName(told).groupBy("grp").cogroup(parent.groupBy("grp")).applyInArrow(_reply(d1, spread, customers), _COUNTED)
         both = state if seated is None else state.unionByName(seated.filter("kind = 3"))
         before = seated
         seated = cut(both.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(_gibbs(n, d2, seed, outer == 1), _COUNTED), "py-seats")
-        said = asked.unionByName(seated.filter("kind = 4"))
+        said, told = asked.unionByName(seated.filter("kind = 4")), seated.filter("kind = 6")
         if before is not None:
             discard(before)
     chances = parent.groupBy("grp").applyInArrow(_chance_rows(d1, spread, customers), _COUNTED)
     model = chances.unionByName(seated.filter("kind = 4")).select("kind", "grp", "a", "b")
     numbered = listed.groupBy("grp").cogroup(model.groupBy("grp")).applyInArrow(_number_with_model(n, spread / (CONCENTRATION + customers)), _NUMBERED)
     free(spark)
-    masses = paired(by, numbered.select("batch", "grp", "ids", "times")).groupBy("grp").cogroup(state.unionByName(seated.filter("kind = 3")).select("kind", "grp", "a").groupBy("grp")).applyInArrow(_weigh(d2), _WEIGHED)
+    masses = paired(by, numbered.select("batch", "grp", "ids", "times")).groupBy("grp").cogroup(state.unionByName(seated.filter("kind = 3")).select("kind", "grp", "a", "b").groupBy("grp")).applyInArrow(_weigh(d2), _WEIGHED)
     answers = numbered.withColumn("mass", F.lit(None).cast("binary")).unionByName(masses, allowMissingColumns=True)
-    return by.cogroup(answers.groupBy("batch")).applyInArrow(_score(n, tokens, words, d2), _SCORED)
+    return by.cogroup(answers.groupBy("batch")).applyInArrow(_score(n, tokens, words, d2, hot), _SCORED)
