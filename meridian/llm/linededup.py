@@ -58,17 +58,19 @@ def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _judged(docs: DataFrame, width: int) -> DataFrame:
-    """docs with __lines, __removed and __kept."""
+    """docs with __lines, __removed and __kept, which no column of theirs may be named."""
     gone = covered(docs, width).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
-    kept = F.concat_ws("\n", F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains(F.col("__gone"), i)))
+    joined = docs.join(gone, docs["doc_id"] == gone["__id"], "left").withColumn("__split", _lines(F.col("text")))
+    # The numbers that are left, by one set difference: a test of each line against all numbers would take lines times lines.
+    left = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("__gone"))
+    kept = F.concat_ws("\n", F.transform(left, lambda i: F.get(F.col("__split"), i)))
     return joined.withColumns(
         {
-            "__lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long"),
+            "__lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("__split")).cast("long"),
             "__removed": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
             "__kept": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept),
         }
-    ).drop("__id", "__gone")
+    ).drop("__id", "__gone", "__split")
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
