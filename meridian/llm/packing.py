@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, cut, map_batches, scratch
 
 BLOCK = 1024
+#: Bytes of text that one task encodes, into one file.
+TASK = 32 << 20
 MAGIC = b"MRDNS8B1"
 #: Fixed values of the format: ids in a word and bits of each, by selector from 1 on. Selector 0 is the escape.
 COUNTS = (120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -359,12 +361,14 @@ _MANIFEST = "file string, part int, docs long, ids long"
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts and write them in ascending id order; the manifest (file, part, docs, ids, start).
 
+    Rows with one id, nulls among them, are dealt out by a hash of their text too.
     Each writing gives other file names, so a task that runs twice leaves an
     unnamed file, never a torn one.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -395,7 +399,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
 
 def read_tokens(manifest: DataFrame, ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of every document, from the files."""
-    files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
