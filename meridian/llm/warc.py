@@ -37,6 +37,8 @@ from .common import cut, map_batches, scratch
 
 #: A file is closed once it has this many bytes: also the bound of a run that a writer holds.
 FILE_BYTES = 64 << 20
+#: Entries of the index in one range, which one task merges.
+ENTRIES = 200_000
 _EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -121,7 +123,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: in
     Each writing gives other file names, so that a task run twice leaves a file
     that no index names, never a torn one. Materialise the result once.
     """
-    named = revisits(pages, least)
+    named = cut(revisits(pages, least), "warc-revisits")  # its size is known now: where it is small, payloads needn't be dealt out to meet it
     ids = named.filter("page_id IS NOT NULL").select("page_id", "refers_to").distinct().withColumnsRenamed({"page_id": "__p"})
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     known = rows.filter("page_id IS NOT NULL").join(ids, F.col("page_id") == F.col("__p"), "left").drop("__p")
@@ -196,9 +198,10 @@ class LoserTree:
 def merge_index(runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The runs as one index in global order of (urlkey, ts, page_id): partitions are ranges, each in order.
 
-    The range takes page and file in, so that a URL with many captures is split.
+    The range takes page and file in, so that a URL with many captures is split. A
+    range holds about ENTRIES entries of the index, never a payload.
     """
-    n = partitions or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // ENTRIES))
     dealt = runs.repartitionByRange(n, "urlkey", "ts", "page_id", "file", "offset").sortWithinPartitions("run", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
