@@ -307,3 +307,18 @@ def encode(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, ids:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return map_batches(rows, run, _ENCODED)
+
+
+def decode(rows: DataFrame, model: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
+    """rows with the text of the ids as bytes in a column `into` (in place of one so named); null ids have a null text, ids outside the model raise."""
+    names = [c for c in rows.columns if c != into]
+    kept = rows.select(*names, F.col(ids_col).alias("__ids"))
+    schema = rows.select(*names, F.lit(None).cast("binary").alias(into)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = _lattice(model, 1.0)
+        for b in batches:
+            texts = [None if ids is None else lattice.decode(np.array(ids, np.int64)) for ids in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*names, into])
+
+    return map_batches(kept, run, schema)
