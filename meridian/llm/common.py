@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Rows and bytes in one Arrow batch: what a Python worker holds of the input at a time.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
+#: Edges (of 16 bytes) that one task may contract.
+FEW = 200_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -33,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark, "_meridian_shared", None)
         if not found:
             found = "file://" + tempfile.mkdtemp(prefix="meridian-")
@@ -93,20 +98,50 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(least.filter(F.col("u") != F.col("m")).select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union the pairs (a, b) in root, an array in which every entry names its set's least member."""
+    while True:
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the edges (u, v) of one partition."""
+    rows = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    u, v = rows.column("u").to_numpy(), rows.column("v").to_numpy()
+    ids, at = np.unique(np.r_[u, v], return_inverse=True)
+    root = np.arange(len(ids))
+    merge(root, at[: len(u)], at[len(u) :])
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[root[moved]], pa.int64())], ["node", "root"])
+
+
+def components(edges: DataFrame, rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, root): every node of the edges (a, b) with the least node it can reach.
 
-    Alternating large-star and small-star steps; each round is checkpointed to
+    Up to `few` edges, which are counted, are contracted by one task. More take
+    alternating large-star and small-star steps; each round is checkpointed to
     the shared folder, and a round that changes nothing ends it. A node without
     edges isn't listed; an edge with a null end is ignored.
     """
     shared_dir(edges.sparkSession)
     now = (
         edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        .select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
         .distinct()
         .checkpoint()
     )
+    if now.count() <= few:
+        return map_batches(now.repartition(1), _contract, "node long, root long")
     mark = None
     for _ in range(rounds):
         now = _stars(_stars(now, True).distinct(), False).distinct().checkpoint()

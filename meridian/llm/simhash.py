@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, components, cut, discard, map_batches
+from .common import LOWER, as_bytes, components, cut, discard, map_batches, merge
 
 SEED = 42
 TILE = 256
 #: A bucket with more fingerprints than this is dealt again by a further block of equal bits, and what stays larger by tiles of two parts.
 HOT = 20_000
+#: Fingerprints in their buckets that one task compares.
+ROWS_A_TASK = 400_000
 #: Words of 64 bits in the fingerprints of similar_groups, and the minima by which their sets meet: BANDS keys of ROWS minima each.
 WORDS, BANDS, ROWS = 4, 12, 3
 #: The radius of similar_groups is that many deviations above the distance expected at the similarity asked for.
@@ -121,22 +123,6 @@ def within(queries: np.ndarray, vertical: np.ndarray, radius: int, skip: np.ndar
     return ~passed()
 
 
-def merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Union the pairs (a, b) in root, an array in which every entry names its set's least member."""
-    while True:
-        ra, rb = root[a], root[b]
-        apart = ra != rb
-        if not apart.any():
-            return
-        a, b = a[apart], b[apart]
-        np.minimum.at(root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root[:] = up
-
-
 def link_buckets(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
     """For each fingerprint the least index it is joined with inside its bucket (bucket is sorted)."""
     root = np.arange(len(fps))
@@ -216,19 +202,20 @@ def _parts(mask: int, radius: int) -> list[int]:
     return [mask | sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(radius + 1)]
 
 
-def _compared(rows: DataFrame, radius: int, hot: int) -> DataFrame:
+def _compared(rows: DataFrame, radius: int, hot: int, number: int) -> DataFrame:
     """Edges (a, b) that span what is within the radius in each bucket of (fp, rep, bucket).
 
     The rows of a crowded bucket fall into parts of about `hot`, and each two
     parts meet in a bucket of their own, so every pair is compared and no task
-    holds more than two parts.
+    holds more than two parts. `number` says how many rows there are about.
     """
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number // ROWS_A_TASK))
     crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("bucket", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
     dealt = rows.join(crowded, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
     tiled = dealt.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(others)))
     tile = F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
-    ready = tiled.select(tile.alias("bucket"), "fp", "rep").repartition("bucket").sortWithinPartitions("bucket", "rep")
+    ready = tiled.select(tile.alias("bucket"), "fp", "rep").repartition(tasks, "bucket").sortWithinPartitions("bucket", "rep")
     return map_batches(ready, _link(radius), "a long, b long")
 
 
@@ -248,7 +235,7 @@ def links(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     ])
     dealt = shared.select("fp", "rep", "t", F.explode(F.when(F.col("hot"), again).otherwise(F.array(F.struct(F.lit(0).alias("p"), F.col("key").alias("k"))))).alias("s"))
     rows = dealt.select("fp", "rep", F.xxhash64("t", "s.p", "s.k").alias("bucket"))
-    return _compared(rows, radius, hot)
+    return _compared(rows, radius, hot, fps.count() * len(wide))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,7 +358,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, hot
     marked = cut(_sets(docs, width, True), "sets")
     groups = cut(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets-groups")
     keyed = groups.filter("n > 0").select("fp", "rep", F.posexplode("keys").alias("t", "key"))
-    near = components(_compared(keyed.select("fp", "rep", F.xxhash64("t", "key").alias("bucket")), similar_radius(similarity, 64 * WORDS), hot))
+    near = components(_compared(keyed.select("fp", "rep", F.xxhash64("t", "key").alias("bucket")), similar_radius(similarity, 64 * WORDS), hot, groups.count() * BANDS))
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())  # the least of each is not among the nodes
     candidates = cut(groups.join(near, groups.rep == near.node).select("key", "n", "rep", F.col("root").alias("grp")), "sets-candidates")
     texts = docs.select("doc_id", "text").join(candidates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")

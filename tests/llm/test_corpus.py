@@ -12,6 +12,8 @@ import public_tokenizers
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from meridian.llm import common, fmindex, linededup, packing, pieces, pitmanyor, queries, rules, simhash, suffixdedup, tokencounts, warc
 from same import duck_rows, spark_rows
@@ -483,6 +485,14 @@ def test_pieces_decode_losslessly(spark, lattice):
     assert pieces.encode(df.limit(0), path).count() == 0
 
 
+def test_decoding_a_table(spark):
+    docs, df = corpus(spark)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = pieces.decode(pieces.encode(df, path).withColumn("decoded", F.lit(1)), path)
+    assert Counter((r.doc_id, bytes(r.decoded)) for r in rows.collect()) == Counter((d, (t or "").encode()) for d, t in docs)
+    assert pieces.decode(spark.createDataFrame([(1, None), (2, [])], "id long, ids array<int>"), path).orderBy("id").collect()[0].decoded is None
+
+
 def test_samples_follow_the_lattice(lattice):
     def ways(s):
         if not s:
@@ -587,6 +597,26 @@ def test_scores(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in nothing.collect())
 
 
+@pytest.mark.parametrize("hot", [1 << 19, 40])
+def test_scores_on_held_out_text(spark, hot):
+    """Text of a bigram source: the model beats its own unigrams where it hasn't learned, also with every frequent context spread over groups."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    after = {w: rng.sample(names, 4) for w in names}
+    rows = []
+    for i in range(300):
+        w = rng.choice(names)
+        text = []
+        for _ in range(60):
+            text.append(w)
+            w = rng.choice(after[w]) if rng.random() < 0.9 else rng.choice(names)
+        rows.append((i, " ".join(text)))
+    got = pitmanyor.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot).collect()
+    out = [r for r in got if r.held_out]
+    gain = sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out)
+    assert len(out) > 10 and gain > 0.6  # of log10 60 - log10 4 - what one in ten costs, about 0.8
+
+
 def test_word_hashes_are_words():
     texts = ["a b  a", "", "\té é\n", "A a"]
     h, n = pitmanyor.word_hashes([t.encode() for t in texts])
@@ -604,12 +634,56 @@ def test_seats_follow_the_stirling_weights():
     assert np.abs(np.bincount(got, minlength=c + 1)[1:] / 40_000 - want).max() < 0.01
     many = pitmanyor.seat(np.full(50, 5000), np.full(50, 1e-4), np.full(50, 100.0), d, np.random.default_rng(0))
     assert (many >= 1).all() and (many <= 5000).all()
+    for d, base, others, c, many in ((0.6, 0.05, 40.0, 400, 50), (0.8, 0.4, 3.0, 300, 40), (0.3, 1e-3, 1000.0, 500, 60)):  # past the table as within it
+        few, all_ = (pitmanyor.seat(np.full(20_000, c), np.full(20_000, base), np.full(20_000, others), d, np.random.default_rng(1), many=m) for m in (many, 512))
+        assert few.mean() == pytest.approx(all_.mean(), rel=0.03) and few.std() == pytest.approx(all_.std(), rel=0.1)
     assert math.exp(pitmanyor.stirling(0.0)[4, 2]) == pytest.approx(11)  # without discount: Stirling numbers of the first kind
 
 
 # --- all ---
 
 
+def test_operators_on_empty_tables(spark, tmp_path):
+    df = corpus(spark)[1].limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    for found in (rules.keep_good(df, labels), simhash.keep_one(df), linededup.drop_repeats(df), fmindex.decontaminate(df, items)):
+        assert found.columns == df.columns and found.count() == 0
+    full = corpus(spark)[1]
+    assert fmindex.decontaminate(full, items).count() == full.count()
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte: words, lines that repeat, blanks, and one without a blank."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    some = [word() for _ in range(3000)]
+    texts = [" ".join(rng.choice(some) for _ in range(170_000)), "\n".join(f"line {i % 5000} of text" for i in range(60_000)), " " * 1_000_000, "".join(rng.choice("abcdefgh") for _ in range(200_000)), "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = len(texts)
+    assert simhash.near_duplicates(df).count() == n and simhash.keep_one(df).count() == n
+    sections = {r[0]: r[1] for r in tokencounts.count_sections(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).groupBy("doc_id").count().collect()}
+    assert sections == {0: 1, 1: 60_000, 2: 1, 3: 1, 4: 1}
+    lines = {r.doc_id: (r.n_lines, r.n_removed) for r in linededup.dedup_lines(df).collect()}
+    assert lines[1] == (60_000, 55_000) and all(lines[i] == (1, 0) for i in (0, 2, 3, 4))
+    items = spark.createDataFrame([(1, " ".join(texts[0].split()[5000:5010]))], "item_id long, text string")
+    hits = {r.doc_id: r.n_hit for r in fmindex.digest(fmindex.find(df, items)).collect()}
+    assert hits[0] >= 10 and hits[3] == 0
+    tokens = packing.read_tokens(packing.token_files(df, public_tokenizers.path("word_bpe_49k.json")), ids=False).collect()
+    assert len(tokens) == n and all(r.n_tokens >= 1 for r in tokens)
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixdedup.dedup_substrings(df, texts=False).collect()}
+    assert all(cut[i] == (len(t), 0) for i, t in enumerate(texts))
+    assert all(r.lossless for r in pieces.encode(df, public_tokenizers.path("piece_bpe_32k.model"), ids=False).collect())
+    stats = {r.doc_id: (r.n_words, r.n_dup_lines) for r in rules.statistics(df).collect()}
+    assert stats[0] == (170_000, 0) and stats[1] == (240_000, 55_000) and stats[2] == (0, 0) and stats[3] == (1, 0)
+    scored = {r.doc_id: r.n_tokens for r in pitmanyor.scores(df).collect()}
+    assert scored == {0: 170_001, 1: 240_001, 2: 1, 3: 2, 4: 2}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(name, spark, sf_dir, duck):
     assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == duck_rows(duck, queries.ORACLE_SQL[name])
@@ -635,5 +709,6 @@ def test_pipeline(spark, sf_dir):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (2000, 2001), (2000, 2001)]
-    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    few, got = ({r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), few=n).collect()} for n in (1000, 0))
+    assert few == got and common.components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert all(got[i] == 0 for i in range(1, 41)) and all(got[1000 + i] == 1000 for i in range(1, 50)) and got[2001] == 2000
