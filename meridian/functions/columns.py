@@ -205,8 +205,9 @@ def collapse(text: Column) -> Column:
 
 
 def normalize_name(text: Column) -> Column:
-    """Without accents, small, signs to spaces, single spaces."""
-    return F.trim(F.regexp_replace(F.lower(fold_accents(text)), "[^a-z0-9]+", " "))
+    """Without accents and apostrophes, small, other signs to spaces, single spaces."""
+    plain = F.regexp_replace(F.lower(fold_accents(text)), "[’‘'`]", "")
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def slugify(text: Column) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 
 
+#: Pairs that draw their bootstrap weights together.
+BLOCK = 2000
+
+
 def _gain(grade: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), grade) - 1) / F.log2(rank + 1.0)
 
@@ -32,6 +36,21 @@ def precision(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return out.select("query_id", (F.col("hits") / k).alias("precision"), F.when(F.col("relevant") > 0, F.col("hits") / F.nullif("relevant", F.lit(0))).otherwise(0.0).alias("recall"), F.when(F.col("relevant") > 0, F.col("ap") / F.nullif(F.least("relevant", F.lit(k)), F.lit(0))).otherwise(0.0).alias("average_precision"))
 
 
+def metric_bundle(ranked: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, ndcg, recall, hit, mrr) at k of each query: recall is hits over min(relevant, k), mrr one over the first hit's rank."""
+    relevant = grades.filter("grade > 0")
+    hits = ranked.filter(F.col("rank") <= k).join(relevant, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))
+    total = relevant.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    out = ndcg(ranked, grades, k).join(hits, "query_id", "left").join(total, "query_id", "left").na.fill(0, ["hits", "relevant"])
+    recall = F.when(F.col("relevant") > 0, F.col("hits") / F.nullif(F.least("relevant", F.lit(k)), F.lit(0))).otherwise(0.0)
+    return out.select("query_id", "ndcg", recall.alias("recall"), (F.col("hits") > 0).cast("double").alias("hit"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
+def group_means(bundle: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """Mean metrics of the queries of each group, and their number. groups: (query_id, by)."""
+    return bundle.join(groups, "query_id").groupBy(by).agg(F.count("*").alias("queries"), *[F.avg(x).alias(x) for x in ("ndcg", "recall", "hit", "mrr")])
+
+
 def confusion(pairs: DataFrame, actual: str, predicted: str) -> DataFrame:
     return pairs.groupBy(actual, predicted).agg(F.count("*").alias("n"))
 
@@ -77,31 +96,28 @@ def paired_bootstrap(pairs: DataFrame, rounds: int = 2000, seed: int = 7) -> Dat
     import numpy as np
     import pandas as pd
 
-    def draw(batches):
-        total, weight = np.zeros(rounds), np.zeros(rounds)
-        seen = False
-        for b in batches:
-            for q, d in zip(b["h"].to_numpy(np.int64), (b["b"] - b["a"]).to_numpy(float), strict=True):
-                n = np.random.default_rng([seed, q & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, rounds)
-                total += n * d
-                weight += n
-                seen = True
-        if seen:
-            yield pd.DataFrame({"round": np.arange(rounds), "s": total, "w": weight})
-
-    rows = pairs.select(F.xxhash64("query_id").alias("h"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
-    means = rows.mapInPandas(draw, "round long, s double, w double").groupBy("round").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
+    def draw(block):
+        block = block.sort_values(["h", "a", "b"])
+        n = np.random.default_rng([seed, int(block["block"].iloc[0])]).poisson(1.0, (len(block), rounds))
+        d = (block["b"] - block["a"]).to_numpy(float)
+        return pd.DataFrame({"round": np.arange(rounds), "s": d @ n, "w": n.sum(axis=0).astype(float)})
+
+    blocks = max(1, -(-pairs.count() // BLOCK))
+    rows = pairs.select(F.xxhash64("query_id").alias("h"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).withColumn("block", F.pmod("h", F.lit(blocks)))
+    means = rows.groupBy("block").applyInPandas(draw, "round long, s double, w double").groupBy("round").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     point = pairs.agg(F.avg(F.col("b") - F.col("a")).alias("mean_diff"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("p_b_better")).crossJoin(point)
 
 
 def compare_arms(arms: DataFrame) -> DataFrame:
-    """The two arms of each experiment, the one with more impressions as control: z, p, sample needed, whether it is there.
+    """Each arm of an experiment against its control, the arm with most impressions: z, p, sample needed, whether it is there.
 
-    arms: (base, variant, impressions, clicks). Experiments of other than two arms aren't compared.
+    arms: (base, variant, impressions, clicks). An experiment of one arm isn't compared.
     """
-    listed = arms.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("impressions", "variant", "clicks")), False).alias("a")).filter(F.size("a") == 2)
-    x, y = F.col("a")[0], F.col("a")[1]
+    control = arms.groupBy("base").agg(F.max(F.struct("impressions", "variant", "clicks")).alias("x"))
+    both = arms.select("base", F.struct("impressions", "variant", "clicks").alias("y"))
+    listed = both.join(control, "base").filter(F.col("x.variant") != F.col("y.variant"))
+    x, y = F.col("x"), F.col("y")
     z, p = c.two_proportions(x["clicks"], x["impressions"], y["clicks"], y["impressions"])
     rate = F.when(x["clicks"] > 0, x["clicks"] / F.nullif(x["impressions"], F.lit(0))).otherwise(0.02)
     need = c.sample_size(rate)
@@ -116,7 +132,9 @@ def gates(report: DataFrame, baseline: DataFrame, tolerance: float = 0.0) -> Dat
 
 
 def nearest_rank(rows: DataFrame, value: str, share: float, by: list[str] = ()) -> DataFrame:
-    """The value at index int(n * share) of the sorted values, not interpolated."""
-    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("l"))
-    at = F.least(F.floor(F.size("l") * share).cast("int"), F.size("l") - 1)
-    return listed.select(*by, F.element_at("l", at + 1).alias("value"))
+    """The value at index int(n * share) of the sorted values, not interpolated: values are counted first, then running sums of the counts say where it stands."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("__n"))
+    over = Window.partitionBy(*by)
+    upto, total = F.sum("__n").over(over.orderBy("value")), F.sum("__n").over(over)
+    placed = counts.withColumns({"__upto": upto, "__at": F.least(F.floor(total * share), total - 1)})
+    return placed.filter("__upto > __at").groupBy(*by).agg(F.min("value").alias("value"))

@@ -16,6 +16,7 @@ UNKNOWN = "unknown"
 PARTY_AMENITIES = {"accessibility": ("wheelchair-accessible",), "halal": ("halal-certified",), "vegetarian": ("vegetarian-friendly", "vegan-options"), "kids": ("kids-club",)}
 LOW_AFFINITY, SEEN_NOT_CLICKED, CROWDED_AREA, CROWDED_FROM, AFFINITY_FROM = 0.7, 0.85, 0.9, 3, 0.3
 READ_DAYS = 14
+FILL_TIMES = 3
 
 
 def excluded_types(relations: DataFrame) -> DataFrame:
@@ -212,12 +213,37 @@ def climb(rows: DataFrame, holds: Callable[[Rung], Column], slots: int, rungs: t
     where the ladder stops, with no pass for each rung.
     """
     first = F.coalesce(*[F.when(holds(r), i) for i, r in enumerate(rungs)])
-    ranked = rows.withColumn("rung", first).filter("rung IS NOT NULL")
+    return _filled(rows.withColumn("rung", first).filter("rung IS NOT NULL"), slots, len(rungs), by, order)
+
+
+def invariant(excluded: Column, candidate: Column, status: Column) -> Column:
+    """What no rung relaxes: no competitor (nor one without a type where anything is excluded), and no place that isn't active; rows without a status aren't places."""
+    return ~is_competitor(excluded, candidate) & (status.isNull() | (status == "active"))
+
+
+def ladder_target(k: int, pool: int) -> int:
+    """How many rows a ladder asks for that should fill k slots: some room to choose, but no more than the pool."""
+    return min(pool, max(FILL_TIMES * k, k))
+
+
+def climb_fetched(fetch: Callable[[Rung], DataFrame], holds_always: Column, slots: int, rungs: tuple[Rung, ...] = LADDER, by: list[str] = (), order: list[Column] = (), key: str = "id") -> DataFrame:
+    """climb() over what `fetch` gives for each rung, whatever that is: rows that break `holds_always` are dropped again at every rung, and a row counts from its first rung on."""
+    found = None
+    for i, rung in enumerate(rungs):
+        part = fetch(rung).filter(holds_always).withColumn("rung", F.lit(i))
+        found = part if found is None else found.unionByName(part)
+    rest = [x for x in found.columns if x not in (*by, key)]
+    first = found.groupBy(*by, key).agg(F.min_by(F.struct(*rest), "rung").alias("__r")).select(*by, key, "__r.*")
+    return _filled(first, slots, len(rungs), by, order)
+
+
+def _filled(ranked: DataFrame, slots: int, rungs: int, by: list[str], order: list[Column]) -> DataFrame:
+    """Rows with their first rung, up to the rung where a key's ladder stops."""
     counts = ranked.groupBy(*by, "rung").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*by).orderBy("rung").rowsBetween(Window.unboundedPreceding, 0)
     filled = counts.withColumn("__have", F.sum("__n").over(w)).filter(F.col("__have") >= slots).groupBy(*by).agg(F.min("rung").alias("__stop"))
     joined = ranked.join(filled, list(by), "left") if by else ranked.crossJoin(F.broadcast(filled))
-    kept = joined.withColumn("__stop", F.coalesce("__stop", F.lit(len(rungs) - 1))).filter("rung <= __stop").withColumn("rung", F.col("__stop")).drop("__stop")
+    kept = joined.withColumn("__stop", F.coalesce("__stop", F.lit(rungs - 1))).filter("rung <= __stop").withColumn("rung", F.col("__stop")).drop("__stop")
     if not by:  # an unfilled ladder has less than slots rows, so the limit cuts filled ones only
         return kept.orderBy(*order).limit(slots)
     return kept.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__rank") <= slots).drop("__rank")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
@@ -26,8 +26,16 @@ def reconcile(found: DataFrame, key: str, value: str) -> DataFrame:
 def orphans(rows: DataFrame, known: DataFrame, reference: str, key: str, samples: int = 5) -> DataFrame:
     """(reference, n, samples) of references that nothing known bears."""
     lost = rows.filter(F.col(reference).isNotNull()).join(known.select(F.col(key).alias("__k")), F.col(reference) == F.col("__k"), "left_anti")
-    least = F.slice(F.array_sort(F.collect_set(F.col(rows.columns[0]))), 1, samples) if rows.columns[0] != reference else F.array()
-    return lost.groupBy(reference).agg(F.count("*").alias("n"), least.alias("samples"))
+    counts = lost.groupBy(reference).agg(F.count("*").alias("n"))
+    if rows.columns[0] == reference:
+        return counts.withColumn("samples", F.array())
+    return counts.join(_least(lost, reference, rows.columns[0], samples), reference)
+
+
+def _least(rows: DataFrame, by: str, value: str, samples: int) -> DataFrame:
+    """(by, samples): the least few distinct values of each key, cut by rank before they are collected."""
+    some = rows.filter(F.col(value).isNotNull()).select(by, value).distinct().withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(value))).filter(F.col("__rank") <= samples)
+    return some.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("samples"))
 
 
 def effective(status: Column, starts: Column, ends: Column, at: Column) -> Column:
@@ -51,12 +59,12 @@ def schema_diff(a: DataFrame, b: DataFrame) -> list[tuple[str, str, str | None,
     return out
 
 
-#: Hosts that are no partner: (class, suffixes).
+#: Fixed values of the domain: hosts that are no partner, by class; their subdomains are of the same class.
 HOST_CLASSES = {
-    "social": ("facebook.com", "instagram.com", "twitter.com", "x.com", "youtube.com", "tiktok.com", "linkedin.com", "pinterest.com"),
-    "stock": ("shutterstock.com", "gettyimages.com", "unsplash.com", "pexels.com"),
-    "shortener": ("bit.ly", "tinyurl.com", "t.co", "goo.gl"),
-    "utility": ("google.com", "googleapis.com", "gstatic.com", "wikipedia.org", "wordpress.com"),
+    "social": ("facebook.com", "instagram.com", "line.me", "linkedin.com", "linktr.ee", "open.spotify.com", "pinterest.com", "threads.net", "tiktok.com", "twitter.com", "x.com", "youtu.be", "youtube.com"),
+    "stock": ("flickr.com", "freepik.com", "gettyimages.com", "istockphoto.com", "pexels.com", "pixabay.com", "shutterstock.com", "unsplash.com"),
+    "shortener": ("app.link", "bit.ly", "buff.ly", "cutt.ly", "go2cloud.org", "goo.gl", "lnk.bio", "onelink.me", "ow.ly", "rebrand.ly", "s.id", "t.co", "tinyurl.com"),
+    "utility": ("api.whatsapp.com", "apps.apple.com", "calendly.com", "eepurl.com", "forms.gle", "google.com", "gravatar.com", "mailchimp.com", "schema.org", "w.org", "wa.me", "wikipedia.org", "wordpress.com", "wp.com", "zoom.us"),
 }
 
 
@@ -64,15 +72,17 @@ def host_class(netloc: Column, own: tuple[str, ...] = ()) -> Column:
     """internal, social, stock, shortener, utility, or null for a host worth following."""
     out = F.lit(None).cast("string")
     for name, suffixes in (*reversed(HOST_CLASSES.items()), ("internal", own)):
+        hit = F.lit(False)
         for s in suffixes:
-            out = F.when((netloc == s) | netloc.endswith("." + s), name).otherwise(out)
+            hit = hit | (netloc == s) | netloc.endswith("." + s)
+        out = F.when(hit, name).otherwise(out)
     return out
 
 
 def links_by_domain(links: DataFrame, samples: int = 8) -> DataFrame:
     """Of each host its links, articles, first and last day, rel kinds and first samples. links: article_id, day, href, rel, netloc."""
     rel = F.coalesce(F.col("rel"), F.lit(""))
-    return links.groupBy("netloc").agg(
+    sums = links.groupBy("netloc").agg(
         F.count("*").alias("links"),
         F.count_distinct("article_id").alias("articles"),
         F.min("day").alias("first_day"),
@@ -80,8 +90,8 @@ def links_by_domain(links: DataFrame, samples: int = 8) -> DataFrame:
         F.count(F.when(rel.contains("sponsored"), 1)).alias("sponsored"),
         F.count(F.when(rel.contains("nofollow") & ~rel.contains("sponsored"), 1)).alias("nofollow"),
         F.count(F.when(~rel.contains("sponsored") & ~rel.contains("nofollow"), 1)).alias("plain"),
-        F.slice(F.array_sort(F.collect_set("href")), 1, samples).alias("samples"),
     )
+    return sums.join(_least(links, "netloc", "href", samples), "netloc", "left")
 
 
 def decorate_link(href: Column, tier: Column, campaign: str) -> Column:

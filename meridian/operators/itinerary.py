@@ -61,11 +61,12 @@ def pair_minutes(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def plan(candidates: DataFrame, max_per_org: int = 2, nodes: int = 200_000) -> DataFrame:
-    """(request_id, day, slot, place_id): the best-scored choice of one stop a slot, none twice, of an organisation at most max_per_org, with time to travel.
+    """(request_id, day, slot, place_id, proven): the best-scored choice of one stop a slot, none twice, of an organisation at most max_per_org, with time to travel.
 
     candidates: request_id, day, slot, starts, place_id, org_id, score, dwell, lat, lng. Each request is searched by
     itself, branch and bound in order of slots: what is left can add at most its
-    slots' best scores. Requests are small (PER_SLOT stops a slot); after `nodes` steps the best plan so far stands.
+    slots' best scores. Requests are small (PER_SLOT stops a slot); after `nodes` steps the best
+    plan so far stands, with proven false; a request that has none by then, or can't have one, has no row.
     """
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
@@ -109,9 +110,9 @@ def plan(candidates: DataFrame, max_per_org: int = 2, nodes: int = 200_000) -> D
 
         go(0, [], set(), {}, 0.0)
         rid = rows["request_id"].iloc[0]
-        return pd.DataFrame([(rid, d, s, r["place_id"]) for d, s, _, r in best[1] or []], columns=["request_id", "day", "slot", "place_id"])
+        return pd.DataFrame([(rid, d, s, r["place_id"], steps[0] <= nodes) for d, s, _, r in best[1] or []], columns=["request_id", "day", "slot", "place_id", "proven"])
 
-    return candidates.groupBy("request_id").applyInPandas(search, "request_id long, day int, slot string, place_id long")
+    return candidates.groupBy("request_id").applyInPandas(search, "request_id long, day int, slot string, place_id long, proven boolean")
 
 
 def violations(plans: DataFrame, stops: DataFrame, slots: DataFrame, max_per_org: int) -> DataFrame:
@@ -130,3 +131,46 @@ def violations(plans: DataFrame, stops: DataFrame, slots: DataFrame, max_per_org
     for rows, rule in ((types, "type"), (orgs, "organisation"), (late, "travel"), (empty, "empty")):
         out = out.unionByName(pick(rows, rule))
     return out
+
+
+def checks(stops: DataFrame, parties: DataFrame) -> DataFrame:
+    """(itinerary_id, rule, place_id) of what finished itineraries break; rules of a whole day or trip name no place.
+
+    stops: itinerary_id, place_id, day, starts, ends (minutes), travel (minutes
+    from the stop before), price, category, opens, closes (null: not known),
+    kids, accessible, halal, vegetarian (null: no). parties: itinerary_id, budget, repeats (most stops of a
+    category in a day), trip_start, trip_end, and needs as booleans under the names need_kids, need_accessible, need_halal, need_vegetarian.
+    """
+    w = Window.partitionBy("itinerary_id", "day").orderBy("starts", "place_id")
+    both = stops.withColumn("__before", F.lag("ends").over(w)).join(parties, "itinerary_id")
+    lacks = lambda need, has: F.col(need) & ~F.coalesce(F.col(has), F.lit(False))
+    eats = F.col("category") == "eat"
+    rules = {
+        "closed": (F.col("starts") < F.col("opens")) | (F.col("ends") > F.col("closes")),
+        "travel": F.col("starts") < F.col("__before") + F.col("travel"),
+        "outside_trip": (F.col("day") < F.col("trip_start")) | (F.col("day") > F.col("trip_end")),
+        "kids": lacks("need_kids", "kids"),
+        "accessible": lacks("need_accessible", "accessible"),
+        "halal": eats & lacks("need_halal", "halal"),
+        "vegetarian": eats & lacks("need_vegetarian", "vegetarian"),
+    }
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(hit, F.lit(False)), F.lit(name)) for name, hit in rules.items()]))
+    single = both.select("itinerary_id", F.explode(broken).alias("rule"), "place_id")
+    none = F.lit(None).cast("long")
+    spent = both.groupBy("itinerary_id", "budget").agg(F.sum("price").alias("total")).filter("total > budget").select("itinerary_id", F.lit("budget").alias("rule"), none.alias("place_id"))
+    often = both.groupBy("itinerary_id", "day", "category", "repeats").agg(F.count("*").alias("n")).filter("n > repeats").select("itinerary_id", F.lit("repeats").alias("rule"), none.alias("place_id"))
+    return single.unionByName(spent).unionByName(often)
+
+
+def satisfaction(found: DataFrame, itineraries: DataFrame) -> DataFrame:
+    """(itineraries, satisfied, rate, passed): the gate holds only where every itinerary is without fault."""
+    bad = found.select("itinerary_id").distinct().withColumn("__bad", F.lit(1))
+    sums = itineraries.select("itinerary_id").distinct().join(bad, "itinerary_id", "left").agg(F.count("*").alias("itineraries"), F.count(F.when(F.col("__bad").isNull(), 1)).alias("satisfied"))
+    return sums.select("itineraries", "satisfied", (F.col("satisfied") / F.nullif("itineraries", F.lit(0))).alias("rate"), (F.col("satisfied") == F.col("itineraries")).alias("passed"))
+
+
+def override_slots(defaults: DataFrame, overrides: DataFrame, fields: tuple[str, ...] = ("types", "opens", "closes")) -> DataFrame:
+    """Slots of each request: the defaults, with the fields that it sets itself, and slots that only it has. defaults: slot, fields; overrides: request_id, slot, fields (null: as the default)."""
+    asked = overrides.select("request_id").distinct()
+    base = asked.crossJoin(F.broadcast(defaults.select("slot", *[F.col(f).alias(f"__{f}") for f in fields])))
+    return base.join(overrides, ["request_id", "slot"], "full").select("request_id", "slot", *[F.coalesce(f, f"__{f}").alias(f) for f in fields])

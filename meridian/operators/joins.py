@@ -71,26 +71,41 @@ def closure(tree: DataFrame, depth: int = 12) -> DataFrame:
     return out
 
 
-def token_pairs(rows: DataFrame, key: str, tokens: str, at_least: float, low: int = 2, high: int = 50) -> DataFrame:
-    """(a, b, similarity) of rows, a < b, whose token sets have Jaccard of at_least, among rows that share a token of low to high rows.
+def token_sets(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
+    """(id, s, members): distinct token sets, each under the least key that has it; empty ones left out."""
+    sets = rows.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") > 0)
+    return sets.groupBy("s").agg(F.min("id").alias("id"), F.count("*").alias("members"))
 
-    Common tokens make no buckets (as the domain has it); the count of shared bucket tokens only finds pairs, the exact overlap decides.
+
+def token_pairs(sets: DataFrame, at_least: float) -> DataFrame:
+    """(a, b, similarity) of distinct token sets (id, s), a < b, with a Jaccard similarity of at_least: every such pair.
+
+    Two such sets share a token among the first n - ceil(at_least n) + 1 of each
+    in one order of all tokens; the order is by how many sets have a token, so
+    common ones are rarely among those. Sizes that differ too much don't meet.
     """
-    each = rows.select(F.col(key).alias("id"), F.explode(F.array_distinct(tokens)).alias("t"))
-    sizes = each.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n").between(low, high))
-    hits = each.join(sizes.select("t"), "t")
-    pairs = hits.withColumnRenamed("id", "a").join(hits.withColumnRenamed("id", "b"), "t").filter("a < b").select("a", "b").distinct()
-    sets = rows.select(F.col(key).alias("id"), F.array_distinct(tokens).alias("s"))
+    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
+    often = each.groupBy("t").agg(F.count("*").alias("k"))
+    ordered = each.join(often, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("p"))
+    first = ordered.select("id", "n", F.explode(F.slice("p", 1, (F.col("n") - F.ceil(at_least * F.col("n") - 1e-9) + 1).cast("int"))["t"]).alias("t"))
+    met = block_pairs(first, "t").filter(F.least("a_n", "b_n") >= at_least * F.greatest("a_n", "b_n") - 1e-9)
+    pairs = met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     return both.withColumn("similarity", c.jaccard(F.col("sa"), F.col("sb"), 1.0)).filter(F.col("similarity") >= at_least).select("a", "b", "similarity")
 
 
-def block_pairs(rows: DataFrame, block: str, key: str = "id") -> DataFrame:
-    """Pairs of rows in one block, a < b, with all columns under a_ and b_."""
+def block_pairs(rows: DataFrame, block: str, key: str = "id", part: int = 1000) -> DataFrame:
+    """Pairs of rows in one block, a < b, with all columns under a_ and b_.
+
+    One side of a large block falls into parts of about `part` rows and the
+    other meets each of them, so no join key has more work than part times the block.
+    """
     known = rows.filter(F.col(block).isNotNull())
-    a = known.select(*[F.col(x).alias(f"a_{x}") for x in known.columns])
-    b = known.select(*[F.col(x).alias(f"b_{x}") for x in known.columns])
-    return a.join(b, (F.col(f"a_{block}") == F.col(f"b_{block}")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
+    parts = known.groupBy(F.col(block).alias("__block")).agg(F.ceil(F.count("*") / part).cast("int").alias("__parts"))
+    sized = known.join(parts, F.col(block) == F.col("__block")).drop("__block")
+    a = sized.select(*[F.col(x).alias(f"a_{x}") for x in known.columns], F.pmod(F.xxhash64(key), F.col("__parts")).cast("int").alias("__a"))
+    b = sized.select(*[F.col(x).alias(f"b_{x}") for x in known.columns], F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__b"))
+    return a.join(b, (F.col(f"a_{block}") == F.col(f"b_{block}")) & (F.col("__a") == F.col("__b")) & (F.col(f"a_{key}") < F.col(f"b_{key}"))).drop("__a", "__b")
 
 
 def fallback(rows: DataFrame, lookups: list[DataFrame], on: list[str], value: str) -> DataFrame:

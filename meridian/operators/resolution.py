@@ -14,13 +14,26 @@ from .joins import block_pairs
 
 #: Fixed values of the domain: when a pair is one place, and when people should look.
 AUTO, REVIEW = 0.85, 0.55
-GENERIC = ("bar", "cafe", "club", "hotel", "kitchen", "lounge", "resort", "restaurant", "spa", "the", "villa", "villas")
+#: Fixed values of the domain: what equal core words are worth, and the weight of the main evidence.
+SAME_CORE, MAJOR = 0.9, 0.7
+#: Words that many names have, and the names of whole cities and the country.
+GENERIC = (
+    "a", "an", "and", "at", "bali", "bar", "bars", "beach", "boutique", "by", "cafe", "club", "gallery", "hotel", "hotels", "in", "indonesia",
+    "jakarta", "lounge", "museum", "of", "on", "residence", "residences", "resort", "resorts", "restaurant", "restaurants", "rooftop", "spa",
+    "suite", "suites", "the", "villa", "villas",
+)
 
 
 def core_tokens(name: Column) -> Column:
-    """Words of a name without those that many names have."""
-    found = F.split(c.normalize_name(name), " ")
-    return F.array_distinct(F.filter(found, lambda w: (w != "") & ~F.array_contains(F.array(*map(F.lit, GENERIC)), w)))
+    """Words of a name in order, without those that many names have; all of them where none else is left."""
+    found = F.array_distinct(F.filter(F.split(c.normalize_name(name), " "), lambda w: w != ""))
+    own = F.filter(found, lambda w: ~F.array_contains(F.array(*map(F.lit, GENERIC)), w))
+    return F.when(F.size(own) > 0, own).otherwise(found)
+
+
+def block(name: Column) -> Column:
+    """The first core word: names without a common one are never held against each other."""
+    return F.try_element_at(core_tokens(name), F.lit(1))
 
 
 @F.pandas_udf(DoubleType())
@@ -30,17 +43,17 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """1 for equal normal names; else the better of sequence ratio and the overlap of core words, capped below sure where those differ wholly."""
+    """1 for equal normal names. With two core words in common their overlap weighs most, and equal core words are sure; else the sequence does."""
     na, nb = c.normalize_name(a), c.normalize_name(b)
-    overlap = c.jaccard(core_tokens(a), core_tokens(b), 1.0)
+    overlap, shared = c.jaccard(core_tokens(a), core_tokens(b), 0.0), F.size(F.array_intersect(core_tokens(a), core_tokens(b)))
     ratio = sequence_ratio(na, nb)
-    return F.when(na == nb, 1.0).when(overlap == 0, F.least(ratio, F.lit(REVIEW - 0.01))).otherwise(F.greatest(overlap, (overlap + ratio) / 2))
+    main = F.when(shared >= 2, F.when(overlap == 1, F.greatest(F.lit(SAME_CORE), ratio)).otherwise(MAJOR * overlap + (1 - MAJOR) * ratio)).otherwise((1 - MAJOR) * overlap + MAJOR * ratio)
+    return F.when((na == nb) & (na != ""), 1.0).otherwise(main)
 
 
 def candidate_pairs(names: DataFrame, key: str = "id") -> DataFrame:
     """(a, b, similarity) of names that share their first core word, at least worth a review."""
-    blocked = names.select(key, "name", F.try_element_at(F.array_sort(core_tokens(F.col("name"))), F.lit(1)).alias("block"))
-    pairs = block_pairs(blocked, "block", key)
+    pairs = block_pairs(names.select(key, "name", block(F.col("name")).alias("block")), "block", key)
     return pairs.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), name_similarity(F.col("a_name"), F.col("b_name")).alias("similarity")).filter(F.col("similarity") >= REVIEW)
 
 
@@ -73,6 +86,18 @@ def canonical(members: DataFrame) -> DataFrame:
     return members.groupBy("root").agg(F.max_by("name", F.struct("n", F.length("name"), F.col("name"))).alias("name"), F.sum("n").alias("n"), F.count("*").alias("members"))
 
 
+def clusters(names: DataFrame) -> DataFrame:
+    """(root, name, n, members) of distinct names (id, name, n): components over links of at least AUTO."""
+    pairs = candidate_pairs(names).filter(F.col("similarity") >= AUTO)
+    roots = components(pairs, names.select(F.col("id").alias("node")))
+    return canonical(roots.join(names, F.col("node") == F.col("id")).select("root", "name", "n"))
+
+
+def review_pairs(names: DataFrame) -> DataFrame:
+    """(a, b, similarity) of names that people should look at."""
+    return candidate_pairs(names).filter(F.col("similarity") < AUTO)
+
+
 def merge_plan(pairs: DataFrame, places: DataFrame) -> DataFrame:
     """(a, b, action, reason): sure pairs merge unless a guard holds them back for review.
 
@@ -147,8 +172,8 @@ def organisations(domains: DataFrame) -> DataFrame:
 
 def lookup(mentions: DataFrame, gazetteer: DataFrame, at_least: float = 0.75) -> DataFrame:
     """(mention, place_id, similarity): equal normal names first, else the most similar one with the same first core word."""
-    m = mentions.select("mention", c.normalize_name(F.col("mention")).alias("__n"), F.try_element_at(F.array_sort(core_tokens(F.col("mention"))), F.lit(1)).alias("__b"))
-    g = gazetteer.select("place_id", F.col("name"), c.normalize_name(F.col("name")).alias("__gn"), F.try_element_at(F.array_sort(core_tokens(F.col("name"))), F.lit(1)).alias("__gb"))
+    m = mentions.select("mention", c.normalize_name(F.col("mention")).alias("__n"), block(F.col("mention")).alias("__b"))
+    g = gazetteer.select("place_id", F.col("name"), c.normalize_name(F.col("name")).alias("__gn"), block(F.col("name")).alias("__gb"))
     exact = m.join(g, F.col("__n") == F.col("__gn")).groupBy("mention").agg(F.min("place_id").alias("place_id")).withColumn("similarity", F.lit(1.0))
     rest = m.join(exact.select(F.col("mention").alias("__done")), F.col("mention") == F.col("__done"), "left_anti").join(g, F.col("__b") == F.col("__gb"))
     fuzzy = rest.withColumn("similarity", name_similarity(F.col("mention"), F.col("name"))).filter(F.col("similarity") >= at_least)

@@ -170,7 +170,7 @@ def F6_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def E3_order_keeping_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First of each series by the current rank."""
-    base = r.ranked(table(spark, sf_dir, "articles").withColumn("one", F.lit(1)).filter("id % 5 = 0"), ["one"], [F.desc("n_chars"), F.col("id")], 200)
+    base = r.ranked(table(spark, sf_dir, "articles").withColumn("one", F.lit(1)), ["one"], [F.desc("n_chars"), F.col("id")], 200)
     key = F.coalesce("series_key", F.concat(F.lit("no:"), F.col("id").cast("string")))
     firsts = r.ranked(base.withColumnRenamed("rank", "was").withColumn("k", key), ["k"], [F.col("was")], 1).drop("rank")
     return r.ranked(firsts, ["one"], [F.col("was")]).select("id", "was", "rank")
@@ -279,7 +279,7 @@ SELECT type, id, rung FROM g JOIN stop USING (type) WHERE first <= rung QUALIFY
 SELECT id, primary_type, row_number() OVER (ORDER BY n_chars DESC, id) AS rank FROM s QUALIFY rank <= 9""",
     "F5_bucketed_fill": f"WITH {ctes('articles')} SELECT primary_type, id, row_number() OVER (PARTITION BY primary_type ORDER BY published_day DESC NULLS LAST, id) AS rank FROM articles WHERE primary_type IS NOT NULL QUALIFY rank <= 3",
     "F6_complements": f"WITH {ctes('relations')}, s AS (SELECT type, string_split(complements_csv, ',') AS l FROM relations WHERE complements_csv <> '') SELECT type, l[i] AS section, i AS rank FROM s, range(1, 4) t(i) WHERE i <= len(l)",
-    "E3_order_keeping_dedup": f"""WITH {ctes("articles")}, b AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, id) AS was FROM articles WHERE id % 5 = 0 QUALIFY was <= 200),
+    "E3_order_keeping_dedup": f"""WITH {ctes("articles")}, b AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, id) AS was FROM articles QUALIFY was <= 200),
 d AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY coalesce(series_key, concat('no:', id)) ORDER BY was) = 1) SELECT id, was, row_number() OVER (ORDER BY was) AS rank FROM d""",
     "E6_renumber": f"""WITH {ctes("articles")}, b AS (SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, id) AS was FROM articles QUALIFY was <= 30) SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY was) AS rank FROM b WHERE id % 3 <> 0""",
     "F8_stratified_sample": f"""WITH {ctes("articles")}, a AS (SELECT lang, id, coalesce(primary_type, '(none)') AS v, sha256(concat('s7:', id)) AS h FROM articles), t AS (SELECT *, row_number() OVER (PARTITION BY lang, v ORDER BY h) AS turn FROM a)

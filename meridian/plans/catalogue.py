@@ -208,10 +208,28 @@ def P3_session_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {x.__name__: x for x in (B17_event_ids, B18_facet_scope, B21_paged_search, B22_queue_filter, C23_live_first, D19_title_clusters, D23_distinct_arrays, D26_footprint, D36_calibration_frame, H27_price_cues, H28_location_mentions, H29_stamps, H31_json, H34_granularity, H35_minutes, H36_normal_cdf, H37_hidden_rivals, H38_name_agrees, H39_unique_slugs, I17_k_means, I21_type_cascade, I22_subtype, I23_offline_vectors, J9_region, J13_duplicates_of_one, J15_partnered, K12_labelled_sample, K13_baselines, O3_schema, O8_reconcile, P3_session_blend)}
 
 _ERF = "(1 - (((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t) * exp(-x * x))"
+
+def _norm_title(x: str) -> str:
+    x = f"lower({_unescape(x)})"
+    for pattern, to in (("(^|[^a-z0-9])updated([^a-z0-9]|$)", "\\1 \\2"), ("(^|[^0-9a-z])(19|20)[0-9][0-9]($|[^0-9a-z])", "\\1 \\3"), ("(^|[^0-9a-z])[0-9]+(st|nd|rd|th)($|[^0-9a-z])", "\\1 \\3"), ("[^a-z0-9]+", " ")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return f"trim({x})"
+
+
+def _unescape(x: str) -> str:
+    for e, s in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{e}', '{s}')"
+    return x
+
+
 ORACLE = {
     "B17_event_ids": "SELECT event_id FROM events WHERE event_id % 4 >= 2",
     "B18_facet_scope": f"""WITH {ctes("entity_terms", "articles")}, t AS (SELECT CASE WHEN term_id >= 205 THEN 'cuisine' WHEN term_id >= 200 THEN 'vibe' ELSE 'location' END AS facet, primary_type AS p FROM entity_terms JOIN articles ON id = entity_id)
 SELECT facet, count(*) AS n FROM t WHERE facet = 'location' OR (facet = 'cuisine' AND p IN ('eat', 'drink')) OR (facet = 'vibe' AND p IN ('stay', 'eat', 'drink', 'wellness', 'do')) GROUP BY 1""",
+    "K13_baselines": """WITH d AS (SELECT source AS q, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY sha256(concat('r:', doc_id))) AS a, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS b FROM documents), t AS (SELECT DISTINCT doc_id AS id FROM labels WHERE toxic = 1),
+p AS (SELECT q, count(*) FILTER (a <= 10 AND t.id IS NOT NULL) / 10 AS a, count(*) FILTER (b <= 10 AND t.id IS NOT NULL) / 10 AS b FROM d LEFT JOIN t USING (id) GROUP BY 1) SELECT 'random' AS system, round(avg(a), 6) AS precision FROM p UNION ALL SELECT 'popular', round(avg(b), 6) FROM p""",
+    "D19_title_clusters": f"""WITH t AS (SELECT doc_id, substring(text, 1, 18) || ' ' || (doc_id % 3 + 2022) AS title FROM documents), k AS (SELECT doc_id, {_norm_title("title")} AS key, regexp_extract(title, '(20[0-9]{{2}})$', 1) AS year FROM t)
+SELECT min(doc_id) AS first, count(*) AS n, CASE WHEN count(DISTINCT year) > 1 THEN 'confident' ELSE 'uncertain' END AS kind FROM k GROUP BY key HAVING count(*) >= 2""",
     "B21_paged_search": f"WITH {ctes('places')} SELECT id, name, count(*) OVER () AS total FROM places WHERE name ILIKE '%blue%' ORDER BY name, id LIMIT 7 OFFSET 7",
     "B22_queue_filter": f"WITH {ctes('places')} SELECT id FROM places WHERE contains(lower(name), 'blue') AND coalesce(area_term, '') <> 'area1' AND status = 'active'",
     "C23_live_first": f"""WITH {ctes("places")}, j AS (SELECT *, CASE WHEN org_id IS NOT NULL THEN concat('org ', org_id) END AS org, status = 'active' AND (id % 4 <> 0 OR id % 300 > 100) AS live FROM places) SELECT type, id, org, live, row_number() OVER (PARTITION BY type ORDER BY live DESC, org NULLS FIRST, id) AS rank FROM j QUALIFY rank <= 4""",

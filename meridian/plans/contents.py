@@ -52,7 +52,11 @@ def I10_complementary_rail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def I11_nearby_rail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For some subjects the places around, the radius widened until there are six."""
     places = table(spark, sf_dir, "places").filter("status = 'active' AND lat IS NOT NULL AND type IS NOT NULL AND type <> 'unknown'")
-    met = places.crossJoin(F.broadcast(_subjects(spark, sf_dir))).filter("id <> subject_id AND type <> coalesce(s_type, '')")
+    # Within 60 km means the same or a neighbouring cell of 0.55 degrees, this near the equator: no subject meets all places.
+    cell = lambda x: F.floor(F.col(x) / 0.55)
+    near = lambda x: F.explode(F.sequence(cell(x) - 1, cell(x) + 1))
+    around = _subjects(spark, sf_dir).withColumn("cy", near("s_lat")).withColumn("cx", near("s_lng"))
+    met = places.withColumns({"cy": cell("lat"), "cx": cell("lng")}).join(around, ["cy", "cx"]).filter("id <> subject_id AND type <> coalesce(s_type, '')")
     meters = met.withColumn("m", c.haversine_m(F.col("s_lat"), F.col("s_lng"), F.col("lat"), F.col("lng"))).filter("m <= 60000")
     rungs = (filters.Rung("r2", 2000), filters.Rung("r5", 5000), filters.Rung("r15", 15000), filters.Rung("all"))
     return filters.climb(meters, lambda g: F.lit(True) if g.radius_m is None else F.col("m") <= g.radius_m, 6, rungs, ["subject_id"], [F.round("m", 6), F.col("id")]).select("subject_id", "id", "rung")
@@ -118,6 +122,9 @@ QUERIES = {x.__name__: x for x in (H6_blocks, H9_block_stats, H8_shortcodes, H10
 
 _M = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(p.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lng - s.lng) / 2), 2))))"
 ORACLE = {
+    "P5_affinity": f"""WITH {ctes("terms", "entity_terms")}, k AS (SELECT entity_id, facet || ':' || slug AS k, confidence AS v FROM entity_terms JOIN terms ON id = term_id) SELECT entity_id, '{{' || string_agg('"' || k || '":' || v::DOUBLE, ',' ORDER BY k) || '}}' AS affinity FROM k GROUP BY 1""",
+    "I26_facet_centroids": f"""WITH {ctes("entity_terms")}, tg AS (SELECT entity_id, term_id, embedding FROM entity_terms JOIN embeddings ON vec_id = entity_id % 500 WHERE term_id >= 200),
+mv AS (SELECT term_id, list(m ORDER BY i) AS vector FROM (SELECT term_id, i, avg(x) AS m FROM (SELECT term_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM tg) GROUP BY 1, 2) GROUP BY 1) SELECT entity_id, term_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 6) AS similarity FROM tg JOIN mv USING (term_id)""",
     "I9_covisited": f"""WITH {ctes("interactions")}, {bp._SQL_SESSIONS}, {bp._SQL_COVIS}, p AS (SELECT entity_a, entity_b, co_count / session_count AS score FROM covis JOIN totals ON entity_a = entity_id), q AS (SELECT * FROM p WHERE score >= 0.02)
 SELECT entity_a, entity_b, round(score, 6) AS score FROM q WHERE entity_a IN (SELECT entity_a FROM q GROUP BY 1 HAVING count(*) >= 3)""",
     "I11_nearby_rail": f"""WITH {ctes("places")}, x AS (SELECT s.id AS subject_id, p.id, {_M} AS m FROM places p, places s WHERE s.id % 100 = 1 AND s.status = 'active' AND s.lat IS NOT NULL AND p.status = 'active' AND p.lat IS NOT NULL AND p.type IS NOT NULL AND p.type <> 'unknown' AND p.id <> s.id AND p.type <> coalesce(s.type, '')),

@@ -72,8 +72,9 @@ def C14_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def C15_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), c.tokens(F.substring_index("text", ".", 1)).alias("t")).filter(F.size("t") > 2)
-    return j.token_pairs(docs, "id", F.col("t"), 0.5).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Pairs of distinct sets of words of first sentences, each set under the least document that has it."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), c.tokens(F.substring_index("text", ".", 1)).alias("t")).filter(F.size("t") > 2)
+    return j.token_pairs(j.token_sets(docs, "id", F.col("t")), 0.5).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def C16_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,8 +231,8 @@ ORACLE = {
 SELECT id, node_id, round(m, 3) AS meters FROM x WHERE m <= 60000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY m, node_id) = 1""",
     "C13_cross_source_drift": f"WITH {ctes('terms', 'entity_terms')} SELECT term_id, count(*) AS n, min(entity_id) AS sample FROM entity_terms WHERE term_id NOT IN (SELECT id FROM terms WHERE id % 5 <> 0) GROUP BY 1",
     "C14_block_pairs": f"WITH {ctes('places')}, p AS (SELECT id, substring(name, 7, 9) AS block FROM places) SELECT a.block AS a_block, count(*) AS pairs FROM p a JOIN p b ON a.block = b.block AND a.id < b.id GROUP BY 1",
-    "C15_token_pairs": f"""WITH d AS (SELECT doc_id AS id, {_TOK} AS l FROM documents WHERE lang = 'en'), s AS (SELECT id, list_distinct(l) AS s FROM d WHERE len(l) > 2), e AS (SELECT id, unnest(s) AS t FROM s), b AS (SELECT t FROM e GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50),
-p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y ON x.t = y.t AND x.id < y.id WHERE x.t IN (SELECT t FROM b)), q AS (SELECT a, b, len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) AS sim FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b)
+    "C15_token_pairs": f"""WITH d AS (SELECT doc_id AS id, {_TOK} AS l FROM documents), s AS (SELECT min(id) AS id, s FROM (SELECT id, list_sort(list_distinct(l)) AS s FROM d WHERE len(l) > 2) GROUP BY s), e AS (SELECT id, unnest(s) AS t FROM s),
+p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y ON x.t = y.t AND x.id < y.id), q AS (SELECT a, b, len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) AS sim FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b)
 SELECT a, b, round(sim, 6) AS similarity FROM q WHERE sim >= 0.5""",
     "C16_full_outer": """WITH a AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 60), b AS (SELECT doc_id FROM labels ORDER BY quality DESC, doc_id LIMIT 200) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id IS NOT NULL AS in_long, b.doc_id IS NOT NULL AS in_good FROM a FULL JOIN b ON a.doc_id = b.doc_id""",
     "C17_fallback": f"WITH {ctes('places')} SELECT id, CASE WHEN id % 7 = 0 THEN concat('place', id) WHEN org_id % 4 = 0 THEN concat('org', org_id) END AS deal FROM places",

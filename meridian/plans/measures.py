@@ -15,7 +15,8 @@ from ..operators import resolution as res
 from ..operators import retrieval as r
 from . import behaviour as bp
 from .fixtures import ctes, interactions, table
-from .ranking import _vectors
+from .ranking import ORACLE as _RANKING
+from .ranking import _tok, _vectors
 
 
 def D8_review_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,24 +238,26 @@ def K11_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.gates(report, baseline, 0.05).select("metric", F.round("value", 6).alias("value"), F.round("floor", 6).alias("floor"), "passed")
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct names of places: (id, name, n)."""
+    return table(spark, sf_dir, "places").groupBy("name").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+
 def J1_name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "places").filter("id <= 800").select("id", "name")
-    return res.candidate_pairs(names).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    """Pairs of distinct names, each under the least id that bears it."""
+    return res.candidate_pairs(_names(spark, sf_dir)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def J2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "places").select("id", "name", (F.col("id") % 5 + 1).alias("n"))
-    groups = names.groupBy(F.substring("name", 7, 12).alias("k")).agg(F.min("id").alias("b"))
-    edges = names.join(groups, F.substring("name", 7, 12) == F.col("k")).select(F.col("id").alias("a"), "b").filter("a <> b")
-    roots = res.components(edges, names.select(F.col("id").alias("node")))
-    return res.canonical(roots.join(names, F.col("node") == F.col("id")).select("root", "name", "n"))
+    """Names that are surely one place, over links of at least AUTO; each cluster under its most frequent name."""
+    return res.clusters(_names(spark, sf_dir))
 
 
 def J3_merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = table(spark, sf_dir, "places")
-    blocked = j.block_pairs(places.select("id", "name", F.substring("name", 7, 10).alias("block")), "block")
-    pairs = blocked.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(c.jaccard(res.core_tokens(F.col("a_name")), res.core_tokens(F.col("b_name")), 1.0), 6).alias("similarity"))
-    return res.merge_plan(pairs, places).groupBy("action", "reason").agg(F.count("*").alias("n"))
+    """Pairs of distinct names and, of equal names, each place with the one of the least id."""
+    places, names = table(spark, sf_dir, "places"), _names(spark, sf_dir)
+    equal = places.select(F.col("id").alias("b"), "name").join(names.select(F.col("id").alias("a"), "name"), "name").filter("a <> b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return res.merge_plan(res.candidate_pairs(names).unionByName(equal), places).groupBy("action", "reason").agg(F.count("*").alias("n"))
 
 
 def J4_bucket_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,8 +271,10 @@ def J5_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def J6_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaz = table(spark, sf_dir, "places").filter("id <= 300").select(F.col("id").alias("place_id"), "name")
-    asked = table(spark, sf_dir, "places").filter("id BETWEEN 250 AND 500").select(F.upper("name").alias("mention")).distinct()
+    """Every hundredth place's name, its first letter lost where the id is odd in hundreds, against all names."""
+    gaz = _names(spark, sf_dir).select(F.col("id").alias("place_id"), "name")
+    said = F.when(F.col("id") % 200 == 0, F.upper("name")).otherwise(F.concat(F.substring("name", 1, 6), F.expr("substring(name, 8)")))
+    asked = table(spark, sf_dir, "places").filter("id % 100 = 0").select(said.alias("mention")).distinct()
     return res.lookup(asked, gaz).select("mention", "place_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -324,7 +329,8 @@ def O6_link_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def B23_host_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = F.when(F.col("page_id") % 5 == 0, "m.facebook.com").when(F.col("page_id") % 5 == 1, "bit.ly").otherwise(c.host(F.col("url")))
+    some = ("m.facebook.com", "bit.ly", "drive.google.com", "youtu.be", "images.unsplash.com", "x.onelink.me", "notbit.ly")
+    host = F.coalesce(*[F.when(F.col("page_id") % 11 == i, h) for i, h in enumerate(some)], c.host(F.col("url")))
     return table(spark, sf_dir, "pages").groupBy(g.host_class(host, ("example.net",)).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -368,7 +374,7 @@ def N3_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def N4_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "places").filter("lat IS NOT NULL AND id <= 60")
+    p = table(spark, sf_dir, "places").filter("lat IS NOT NULL")
     a, b2 = p.select(F.col("id").alias("a"), F.col("lat").alias("lat_a"), F.col("lng").alias("lng_a")), p.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lng").alias("lng_b"))
     known = a.join(b2, F.col("b") == F.col("a") + 1).select("a", "b", F.lit(7).alias("minutes"))
     return it.pair_minutes(a.join(b2, F.floor(F.col("a") / 10) == F.floor(F.col("b") / 10)).filter("a <> b"), known)
@@ -392,6 +398,12 @@ _SLOTS = """sl(day, slot, types, o, c) AS (SELECT d::INT, s, t, o, c FROM range(
 st AS (SELECT id, type, (id * 31 % 97) / 97 AS score, price_band, org_id, lat, lng, id % 3 <> 0 AS kids, id % 4 <> 0 AS timed, id % 6 * 60 + 480 AS ho, id % 5 * 60 + 900 AS hc FROM places WHERE status = 'active' AND lat IS NOT NULL),
 el AS (SELECT day, slot, st.*, row_number() OVER (PARTITION BY day, slot ORDER BY score DESC, id) AS rank FROM sl, st WHERE list_contains(types, type) AND kids AND coalesce(price_band, '') <> 'luxury' AND (NOT timed OR least(hc, c) - greatest(ho, o) >= 60) QUALIFY rank <= 5)"""
 
+
+
+def _host(x: str) -> str:
+    return f"nullif(regexp_replace(regexp_extract(lower({x}), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', ''), '')"
+
+
 ORACLE = {
     "D8_review_clusters": f"""WITH {ctes("entity_terms")}, x AS (SELECT term_id, entity_id, row_number() OVER (PARTITION BY term_id ORDER BY confidence NULLS FIRST, entity_id) AS rn FROM entity_terms QUALIFY rn <= 3), f AS (SELECT term_id, string_agg(entity_id::VARCHAR, ',' ORDER BY rn) AS first FROM x GROUP BY 1)
 SELECT term_id, count(*) AS n, round(avg(confidence), 6) AS mean, min(confidence) AS low, max(confidence) AS high, count(DISTINCT source) AS sources, any_value(first) AS first FROM entity_terms JOIN f USING (term_id) GROUP BY 1""",
@@ -403,7 +415,7 @@ UNION ALL SELECT 'format', coalesce(format, 'null'), count(*) FROM articles WHER
     "D13_org_list": f"WITH {ctes('places')} SELECT org_id, count(*) AS places, count(*) FILTER (status = 'active') AS active, count(*) OVER () AS total FROM places WHERE org_id IS NOT NULL GROUP BY 1",
     "D14_blast_radius": f"WITH {ctes('places', 'mentions')} SELECT org_id, count(place_id) AS mentions, count(DISTINCT place_id) AS places, count(DISTINCT article_id) AS articles FROM places p LEFT JOIN mentions m ON place_id = p.id GROUP BY 1",
     "D17_duplicate_centroids": f"WITH {ctes('places')}, p AS (SELECT round(lat, 1) AS lat, round(lng, 1) AS lng, id FROM places WHERE lat IS NOT NULL) SELECT lat, lng, count(DISTINCT id)::INT AS n, min(id) AS first FROM p GROUP BY 1, 2 HAVING count(DISTINCT id) >= 2 AND count(*) FILTER (id % 2 <> 0) > 0",
-    "D18_series_keys": "WITH d AS (SELECT doc_id, trim(regexp_replace(lower(translate(array_to_string(string_split(text, ' ')[1:2], ' '), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) SELECT key, count(*) AS n, min(doc_id) AS first FROM d GROUP BY 1 HAVING count(*) >= 2",
+    "D18_series_keys": "WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(array_to_string(string_split(text, ' ')[1:2], ' '), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[’‘''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) SELECT key, count(*) AS n, min(doc_id) AS first FROM d GROUP BY 1 HAVING count(*) >= 2",
     "D20_pick_current": f"WITH {ctes('articles')} SELECT series_key, arg_max(id, (coalesce(published_day, -1), id)) AS current, count(*) AS members FROM articles WHERE series_key IS NOT NULL GROUP BY 1",
     "D21_nearest_rank": "WITH l AS (SELECT lang, list_sort(list(n_chars)) AS l FROM documents GROUP BY 1) SELECT lang, l[least(floor(len(l) * 0.95)::BIGINT, len(l) - 1) + 1] AS value FROM l",
     "D22_population_share": f"WITH {ctes('articles')} SELECT primary_type, format, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY primary_type), 6) AS share FROM articles GROUP BY 1, 2",
@@ -432,6 +444,17 @@ SELECT threshold, count(*) FILTER (c >= threshold) AS covered, round(count(*) FI
 r AS (SELECT *, least(ka, na) / na AS pa, least(kb, nb) / nb AS pb, (least(ka, na) + least(kb, nb)) / (na + nb) AS pp, least(greatest(ka / na / 2, 0.005), 0.5) AS p1 FROM s), z AS (SELECT *, coalesce((pb - pa) / nullif(sqrt(pp * (1 - pp) * (1 / na + 1 / nb)), 0), 'nan'::DOUBLE) AS z, least(p1 + 0.02, 0.999) AS p2 FROM r), y AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z)
 SELECT na, ka, nb, kb, CASE WHEN isfinite(z) THEN round(z, 6) ELSE 0 END AS z, CASE WHEN isfinite(z) THEN round(2 * (1 - 0.5 * (1 + {_ERF})), 6) ELSE 1 END AS p, ceil(pow(1.959964 + 0.841621, 2) * (p1 * (1 - p1) + p2 * (1 - p2)) / pow(p2 - p1, 2))::BIGINT AS needed FROM y""",
     "K11_gates": "WITH s AS (SELECT avg(quality) AS q, avg(toxic) AS t FROM labels) SELECT 'quality' AS metric, round(q, 6) AS value, 0.45::DOUBLE AS floor, q >= 0.45 AS passed FROM s UNION ALL SELECT 'toxic', round(t, 6), 0.85, t >= 0.85 FROM s UNION ALL SELECT 'latency', NULL, 0.05, false",
+    "K10_experiments": f"""WITH {ctes("interactions")}, {bp._SQL_RAILED}, a AS (SELECT split_part(rail, '~', 1) AS base, split_part(rail, '~', 2) AS v, count(*) AS n, count(*) FILTER (kind = 'click') AS k FROM railed WHERE rail LIKE '%~%' GROUP BY 1, 2), m AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY base ORDER BY n DESC, v DESC) = 1),
+r AS (SELECT m.base, m.v AS control, a.v AS variant, m.n AS na, a.n AS nb, m.k / m.n AS pa, a.k / a.n AS pb, (m.k + a.k) / (m.n + a.n) AS pp, least(greatest(CASE WHEN m.k > 0 THEN m.k / m.n ELSE 0.02 END, 0.005), 0.5) AS p1 FROM m JOIN a ON a.base = m.base AND a.v <> m.v),
+z AS (SELECT *, (pb - pa) / nullif(sqrt(pp * (1 - pp) * (1 / na + 1 / nb)), 0) AS z, least(p1 + 0.02, 0.999) AS p2 FROM r), y AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t, ceil(pow(1.959964 + 0.841621, 2) * (p1 * (1 - p1) + p2 * (1 - p2)) / pow(p2 - p1, 2))::BIGINT AS needed FROM z)
+SELECT base, control, variant, coalesce(round(z, 6), 0) AS z, coalesce(round(2 * (1 - 0.5 * (1 + {_ERF})), 6), 1) AS p, needed, least(na, nb) >= needed AS enough FROM y""",
+    "D15_domain_links": f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a[^>]*href="([^"]*)"', 1)) AS href FROM pages), n AS (SELECT page_id, page_id % 90 AS day, href, coalesce({_host("href")}, {_host("url")}) AS netloc FROM l)
+SELECT netloc, count(*) AS links, count(DISTINCT page_id) AS articles, min(day) AS first_day, max(day) AS last_day, count(*) FILTER (page_id % 3 = 1) AS sponsored, count(*) FILTER (page_id % 3 = 0) AS nofollow, count(*) FILTER (page_id % 3 = 2) AS plain, array_to_string(list_sort(list_distinct(list(href)))[1:2], ' ') AS samples FROM n GROUP BY 1""",
+    "D27_vocabulary": f"SELECT word, count(*) AS mentions, count(DISTINCT doc_id) AS docs, count(DISTINCT source) AS sources FROM (SELECT doc_id, source, unnest({_tok('text')}) AS word FROM documents) WHERE word IN ('tion', 'ther', 'erth', 'quelle', 'keit', 'eaux') GROUP BY 1",
+    "J10_area_match": f"""WITH {ctes("places")}, a(area_id, name, depth) AS (VALUES (1::BIGINT, 'red', 1), (2, 'blue green', 2), (3, 'green', 1), (4, 'hot', 2), (5, 'misty rose', 3)), w AS (SELECT id, ' ' || trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM places)
+SELECT w.id, area_id FROM w JOIN a ON contains(t, ' ' || a.name || ' ') QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY depth DESC, length(a.name) DESC, area_id) = 1""",
+    "J12_organisations": f"""WITH h AS ({_RANKING["H12_hosts"]}), e AS (SELECT root, sub AS subdomain, count(*) AS links FROM h GROUP BY 1, 2), u AS (SELECT * FROM e UNION ALL SELECT DISTINCT root, NULL, 0 FROM e WHERE root NOT IN (SELECT root FROM e WHERE subdomain IS NULL))
+SELECT root, subdomain, links, CASE WHEN subdomain IS NOT NULL THEN root END AS parent FROM u""",
     "J4_bucket_merge": f"""WITH {ctes("places")}, p AS (SELECT *, substring(name, 7, 9) AS key FROM places) SELECT key, arg_min(type, id) FILTER (type IS NOT NULL) AS type, arg_min(area_term, id) FILTER (area_term IS NOT NULL) AS area_term, arg_min(price_band, id) FILTER (price_band IS NOT NULL) AS price_band,
 array_to_string(list_filter([CASE WHEN count(DISTINCT type) > 1 THEN 'type' END, CASE WHEN count(DISTINCT area_term) > 1 THEN 'area_term' END, CASE WHEN count(DISTINCT price_band) > 1 THEN 'price_band' END], lambda x: x IS NOT NULL), ',') AS conflicts FROM p GROUP BY 1""",
     "J8_junk": "SELECT CASE p_partkey % 9 WHEN 5 THEN 'suspect' WHEN 6 THEN 'suspect' WHEN 7 THEN 'ok' WHEN 8 THEN 'ok' ELSE 'junk' END AS verdict, CASE p_partkey % 9 WHEN 0 THEN 'list' WHEN 1 THEN 'price' WHEN 2 THEN 'url' WHEN 3 THEN 'weekday' WHEN 4 THEN 'sentence' WHEN 5 THEN 'event' WHEN 6 THEN 'short' END AS reason, count(*) AS n FROM part GROUP BY 1, 2",
@@ -441,11 +464,12 @@ SELECT key, step, round(CASE step WHEN 'override' THEN lat WHEN 'existing' THEN
     "O2_orphans": f"WITH {ctes('mentions', 'places')} SELECT place_id, count(*) AS n, min(id) AS first FROM mentions WHERE place_id NOT IN (SELECT id FROM places WHERE id % 40 <> 0) GROUP BY 1",
     "O5_effective": f"WITH {ctes('places')} SELECT id FROM places WHERE status = 'active' AND (id % 3 <> 0 OR id % 200 <= 100) AND (id % 4 <> 0 OR id % 300 > 100)",
     "O6_link_policy": "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN concat(url, CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'utm_source=site&utm_campaign=x') END AS href, CASE page_id % 3 WHEN 0 THEN 'sponsored noopener' WHEN 1 THEN 'nofollow noopener' END AS rel FROM pages",
-    "B23_host_class": """WITH h AS (SELECT CASE page_id % 5 WHEN 0 THEN 'm.facebook.com' WHEN 1 THEN 'bit.ly' ELSE regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\\.', '') END AS h FROM pages) SELECT CASE WHEN h = 'm.facebook.com' THEN 'social' WHEN h = 'bit.ly' THEN 'shortener' WHEN h = 'example.net' OR h LIKE '%.example.net' THEN 'internal' END AS kind, count(*) AS n FROM h GROUP BY 1""",
+    "B23_host_class": f"""WITH h AS (SELECT CASE page_id % 11 WHEN 0 THEN 'm.facebook.com' WHEN 1 THEN 'bit.ly' WHEN 2 THEN 'drive.google.com' WHEN 3 THEN 'youtu.be' WHEN 4 THEN 'images.unsplash.com' WHEN 5 THEN 'x.onelink.me' WHEN 6 THEN 'notbit.ly' ELSE {_host("url")} END AS h FROM pages)
+SELECT CASE WHEN h IN ('m.facebook.com', 'youtu.be') THEN 'social' WHEN h = 'images.unsplash.com' THEN 'stock' WHEN h IN ('bit.ly', 'x.onelink.me') THEN 'shortener' WHEN h = 'drive.google.com' THEN 'utility' WHEN h = 'example.net' OR h LIKE '%.example.net' THEN 'internal' END AS kind, count(*) AS n FROM h GROUP BY 1""",
     "B24_triage": f"""WITH {ctes("places", "mentions")}, e AS (SELECT p.id, count(m.id) AS n FROM places p LEFT JOIN mentions m ON place_id = p.id AND place_id % 3 <> 0 GROUP BY 1) SELECT CASE WHEN id % 50 = 0 THEN 'keep' WHEN id % 4 = 0 AND n = 0 THEN 'archive' WHEN id % 4 < 2 THEN 'review' WHEN id % 5 = 0 THEN 'review' ELSE 'keep' END AS action, count(*) AS n FROM e GROUP BY 1""",
     "B19_bbox": f"WITH {ctes('places')} SELECT id FROM places WHERE lat IS NOT NULL AND id % 11 <> 0",
     "N1_eligible": f"WITH {ctes('places')}, {_SLOTS} SELECT day, slot, id AS place_id, rank FROM el",
     "N2_precheck": f"""WITH {ctes("places")}, {_SLOTS}, d AS (SELECT DISTINCT id, org_id FROM el), x AS (SELECT (SELECT count(*) FROM sl) AS slots, (SELECT count(DISTINCT org_id) + count(*) FILTER (org_id IS NULL) FROM d) AS supply, (SELECT count(*) FROM sl WHERE NOT EXISTS (SELECT 1 FROM el WHERE el.day = sl.day AND el.slot = sl.slot)) AS empty) SELECT slots, supply, empty, supply >= slots AND empty = 0 AS feasible FROM x""",
-    "N4_travel": f"""WITH {ctes("places")}, p AS (SELECT * FROM places WHERE lat IS NOT NULL AND id <= 60), x AS (SELECT a.id AS a, b.id AS b, 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) AS km FROM p a, p b WHERE a.id <> b.id AND a.id // 10 = b.id // 10)
+    "N4_travel": f"""WITH {ctes("places")}, p AS (SELECT * FROM places WHERE lat IS NOT NULL), x AS (SELECT a.id AS a, b.id AS b, 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) AS km FROM p a, p b WHERE a.id <> b.id AND a.id // 10 = b.id // 10)
 SELECT a, b, CASE WHEN abs(a - b) = 1 THEN 7 ELSE greatest(5, round_even(km / 18 * 60, 0)::INT) END AS minutes FROM x""",
 }

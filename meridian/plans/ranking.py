@@ -27,12 +27,12 @@ def _queries(spark: SparkSession) -> DataFrame:
 
 def I1_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _asked(spark)
-    index = r.inverted_index(_docs(spark, sf_dir), {"A": "title", "C": "text"}, asked=asked)
-    return r.search(index, asked, 20).select("query_id", "id", "score", "rank")
+    hits = r.occurrences(_docs(spark, sf_dir), {"A": "title", "C": "text"}, asked)
+    return r.cover_density(hits, asked, 20).select("query_id", "id", "score", "rank")
 
 
 def _asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, "ther"), (2, "tion"), (2, "thth"), (3, "quelle"), (4, "erth"), (4, "that")], "query_id long, term string")
+    return spark.createDataFrame([(1, "ther"), (2, "tion"), (2, "thth"), (3, "quelle"), (4, "erth"), (4, "ther")], "query_id long, term string")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def I4_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def I5_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and vectors fused: documents carry the vector of their number modulo the embeddings'."""
     docs, terms = _docs(spark, sf_dir), _asked(spark)
-    lexical = r.search(r.inverted_index(docs, {"A": "title", "C": "text"}, asked=terms), terms, 60)
+    lexical = r.cover_density(r.occurrences(docs, {"A": "title", "C": "text"}, terms), terms, 60)
     n = 500
     vecs = docs.select("id", (F.col("id") % n).alias("vec_id")).join(_vectors(spark, sf_dir).select("vec_id", "embedding"), "vec_id").select("id", "embedding")
     asked = _vectors(spark, sf_dir).filter("vec_id BETWEEN 1 AND 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
@@ -324,7 +324,7 @@ def _tok(x: str) -> str:
 
 
 def _norm(x: str) -> str:
-    return f"trim(regexp_replace(lower({_FOLD.format(x)}), '[^a-z0-9]+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace(lower({_FOLD.format(x)}), '[’‘''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
 def _visible(x: str) -> str:
@@ -336,10 +336,15 @@ def _visible(x: str) -> str:
 
 
 _D = "d AS (SELECT doc_id AS id, split_part(text, '.', 1) AS title, text, lang, source, n_chars FROM documents)"
-_LEX = f"""ix AS (SELECT id, z, t, count(*) AS tf FROM (SELECT id, 'A' AS z, unnest({_tok("title")}) AS t FROM d UNION ALL SELECT id, 'C', unnest({_tok("text")}) FROM d) GROUP BY ALL),
-asked(query_id, t) AS (VALUES (1::BIGINT, 'ther'), (2, 'tion'), (2, 'thth'), (3, 'quelle'), (4, 'erth'), (4, 'that')),
-best AS (SELECT query_id, id, t, max(CASE z WHEN 'A' THEN 1.0 ELSE 0.2 END::DOUBLE * (1 + ln(tf))) AS s FROM ix JOIN asked USING (t) GROUP BY ALL),
-lex AS (SELECT query_id, id, round(sum(s) / count(*), 6) AS score FROM best b GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM asked a WHERE a.query_id = b.query_id))"""
+def _all_words(x: str) -> str:
+    return f"regexp_extract_all(lower({_FOLD.format(x)}), '[a-z0-9]+')"
+
+
+_LEX = f"""wl AS (SELECT id, {_all_words("title")} AS a, {_all_words("text")} AS c FROM d), oc AS (SELECT id, generate_subscripts(a, 1) AS pos, unnest(a) AS t, 1.0::DOUBLE AS w FROM wl UNION ALL SELECT id, len(a) + generate_subscripts(c, 1), unnest(c), 0.2::DOUBLE FROM wl),
+asked(query_id, t, k, need) AS (VALUES (1::BIGINT, 'ther', 0, 1), (2, 'thth', 0, 2), (2, 'tion', 1, 2), (3, 'quelle', 0, 1), (4, 'erth', 0, 2), (4, 'ther', 1, 2)),
+hw AS (SELECT *, max(pos) FILTER (k = 0) OVER win AS l0, max(pos) FILTER (k = 1) OVER win AS l1, count(*) OVER win AS n, sum(1 / w) OVER win AS inv FROM oc JOIN asked USING (t) WINDOW win AS (PARTITION BY query_id, id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+bg AS (SELECT *, CASE WHEN need = 1 THEN l0 WHEN l0 IS NOT NULL AND l1 IS NOT NULL THEN least(l0, l1) END AS p FROM hw), en AS (SELECT query_id, id, p, min(pos) AS q, arg_min(n, pos) AS n1, arg_min(inv, pos) AS i1 FROM bg WHERE p IS NOT NULL GROUP BY 1, 2, 3),
+lex AS (SELECT en.query_id, en.id, round(sum((n1 - b.n + 1) / (i1 - b.inv + 1 / b.w) / (1 + q - en.p - (n1 - b.n))), 6) AS score FROM en JOIN hw b ON b.query_id = en.query_id AND b.id = en.id AND b.pos = en.p GROUP BY 1, 2)"""
 
 
 def _cue_sql() -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,27 @@ def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("event_id", F.col("event_type").alias("type"), F.get_json_object("props", "$.k").alias("entity_id"), "user_id", F.expr("timestampadd(MICROSECOND, timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts), TIMESTAMP'1970-01-01 00:00:00Z')").alias("ts"))
 
 
-def _run(spark: SparkSession, out: DataFrame) -> DataFrame:
-    """A stateful stream in complete or update order, to its end; the rows it leaves."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="meridian-stream-")
-    name = f"s{abs(hash((id(out), shared))) % 10**12}"
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
+def _run(spark: SparkSession, out: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """A stateful stream run to its end into files, a folder for each epoch; the rows that hold then.
+
+    With keys it runs in update mode and the newest row of each key holds;
+    without (session windows can't be updated) the last epoch's rows are all.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = f"{shared or tempfile.mkdtemp(prefix='meridian-stream-')}/stream-{uuid.uuid4().hex[:12]}"
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    q = out.writeStream.outputMode("update" if keys else "complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in out.dtypes)}, epoch int").parquet(f"{folder}/rows")
+    if keys:
+        rest = [c for c in out.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("__s")).select(*keys, "__s.*")
+    return rows.join(rows.agg(F.max("epoch").alias("epoch")), "epoch").drop("epoch")
 
 
 def L6_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +46,11 @@ def L6_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def L8_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, ev.daily(_replay(spark, sf_dir))).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "type", "n")
+    return _run(spark, ev.daily(_replay(spark, sf_dir)), ["start", "type"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "type", "n")
 
 
 def L11_stream_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, ev.over_limit(_replay(spark, sf_dir), "1 day", 2)).select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
+    return _run(spark, ev.over_limit(_replay(spark, sf_dir), "1 day", 2), ["user_id", "start"]).select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
 
 
 QUERIES = {x.__name__: x for x in (L6_stream_sessions, L8_stream_daily, L11_stream_limit)}
