@@ -51,6 +51,23 @@ def group_means(bundle: DataFrame, groups: DataFrame, by: str) -> DataFrame:
     return bundle.join(groups, "query_id").groupBy(by).agg(F.count("*").alias("queries"), *[F.avg(x).alias(x) for x in ("ndcg", "recall", "hit", "mrr")])
 
 
+def compare_systems(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(metric, mean_a, mean_b, diff, wins, losses) of two systems' metric bundles over the queries that both answer."""
+    names = ("ndcg", "recall", "hit", "mrr")
+    both = a.select("query_id", *[F.col(x).alias(f"a_{x}") for x in names]).join(b.select("query_id", *[F.col(x).alias(f"b_{x}") for x in names]), "query_id")
+    each = both.select(F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(f"a_{x}").alias("a"), F.col(f"b_{x}").alias("b")) for x in names])).alias("m")).select("m.*")
+    return each.groupBy("metric").agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(F.col("b") - F.col("a")).alias("diff"), F.count(F.when(F.col("b") > F.col("a") + 1e-12, 1)).alias("wins"), F.count(F.when(F.col("b") < F.col("a") - 1e-12, 1)).alias("losses"))
+
+
+def latencies(timings: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """(by, n, p50, p95, p99) of timings, by nearest rank."""
+    out = timings.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    for name, share in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        part = nearest_rank(timings, value, share, by).withColumnRenamed("value", name)
+        out = out.join(part, list(by)) if by else out.crossJoin(F.broadcast(part))
+    return out
+
+
 def confusion(pairs: DataFrame, actual: str, predicted: str) -> DataFrame:
     return pairs.groupBy(actual, predicted).agg(F.count("*").alias("n"))
 

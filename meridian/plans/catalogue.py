@@ -228,6 +228,8 @@ ORACLE = {
 SELECT facet, count(*) AS n FROM t WHERE facet = 'location' OR (facet = 'cuisine' AND p IN ('eat', 'drink')) OR (facet = 'vibe' AND p IN ('stay', 'eat', 'drink', 'wellness', 'do')) GROUP BY 1""",
     "K13_baselines": """WITH d AS (SELECT source AS q, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY sha256(concat('r:', doc_id))) AS a, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS b FROM documents), t AS (SELECT DISTINCT doc_id AS id FROM labels WHERE toxic = 1),
 p AS (SELECT q, count(*) FILTER (a <= 10 AND t.id IS NOT NULL) / 10 AS a, count(*) FILTER (b <= 10 AND t.id IS NOT NULL) / 10 AS b FROM d LEFT JOIN t USING (id) GROUP BY 1) SELECT 'random' AS system, round(avg(a), 6) AS precision FROM p UNION ALL SELECT 'popular', round(avg(b), 6) FROM p""",
+    "H3_normalize_title": f"""WITH t AS (SELECT doc_id AS id, split_part(text, '.', 1) || ' 2' || (doc_id % 30 + 10) || '9 &amp; 3rd ' || CASE WHEN doc_id % 2 = 0 THEN '[Updated]' ELSE '2024' END AS title FROM documents)
+SELECT id, {_norm_title("title")} AS title, array_to_string(list_filter(regexp_extract_all(title, '[0-9A-Za-z]+'), lambda w: regexp_full_match(w, '(19|20)[0-9][0-9]')), ',') AS years FROM t""",
     "D19_title_clusters": f"""WITH t AS (SELECT doc_id, substring(text, 1, 18) || ' ' || (doc_id % 3 + 2022) AS title FROM documents), k AS (SELECT doc_id, {_norm_title("title")} AS key, regexp_extract(title, '(20[0-9]{{2}})$', 1) AS year FROM t)
 SELECT min(doc_id) AS first, count(*) AS n, CASE WHEN count(DISTINCT year) > 1 THEN 'confident' ELSE 'uncertain' END AS kind FROM k GROUP BY key HAVING count(*) >= 2""",
     "B21_paged_search": f"WITH {ctes('places')} SELECT id, name, count(*) OVER () AS total FROM places WHERE name ILIKE '%blue%' ORDER BY name, id LIMIT 7 OFFSET 7",

@@ -28,8 +28,11 @@ def C3_lead_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def C4_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that no article about stays features."""
     places, mentions = table(spark, sf_dir, "places"), table(spark, sf_dir, "mentions")
-    return places.join(mentions.filter("role = 'featured'"), places["id"] == mentions["place_id"], "left_anti").select("id", "type")
+    stays = table(spark, sf_dir, "articles").filter("primary_type = 'stay'").select(F.col("id").alias("article_id"))
+    featured = mentions.filter("role = 'featured'").join(stays, "article_id", "left_semi")
+    return places.join(featured, places["id"] == featured["place_id"], "left_anti").select("id", "type")
 
 
 def C5_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +225,7 @@ ORACLE = {
     "C1_mention_place_article": f"""WITH {ctes("mentions", "places", "articles")} SELECT type, primary_type, count(*) AS n, count(DISTINCT article_id) AS articles FROM mentions m JOIN places p ON p.id = place_id JOIN articles a ON a.id = article_id WHERE role = 'featured' GROUP BY 1, 2""",
     "C2_evidence": f"""WITH {ctes("mentions", "places")} SELECT p.id, count(*) FILTER (role = 'featured') AS featured, count(m.id) AS mentions, count(DISTINCT article_id) AS articles, max(article_id) AS newest FROM places p LEFT JOIN mentions m ON place_id = p.id GROUP BY 1""",
     "C3_lead_mention": f"""WITH {ctes("mentions", "articles")} SELECT a.id AS article_id, place_id, role FROM articles a LEFT JOIN (SELECT * FROM mentions QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY CASE role WHEN 'featured' THEN 1 WHEN 'reviewed' THEN 2 ELSE 3 END, id, place_id) = 1) m ON m.article_id = a.id""",
-    "C4_anti_join": f"WITH {ctes('mentions', 'places')} SELECT id, type FROM places p WHERE NOT EXISTS (SELECT 1 FROM mentions WHERE place_id = p.id AND role = 'featured')",
+    "C4_anti_join": f"WITH {ctes('mentions', 'places', 'articles')} SELECT id, type FROM places p WHERE NOT EXISTS (SELECT 1 FROM mentions m JOIN articles a ON a.id = m.article_id WHERE m.place_id = p.id AND m.role = 'featured' AND a.primary_type = 'stay')",
     "C5_semi_join": f"WITH {ctes('articles', 'entity_terms')} SELECT id, lang FROM articles WHERE id IN (SELECT entity_id FROM entity_terms WHERE term_id = 205 AND confidence >= 0.5)",
     "C8_spatial_pairs": f"""WITH {ctes("places")}, p AS (SELECT * FROM places WHERE status = 'active' AND lat IS NOT NULL), x AS (SELECT a.id AS a, b.id AS b, {_dist("a.", "b.")} AS m FROM p a JOIN p b ON a.id < b.id) SELECT a, b, round(m, 3) AS meters FROM x WHERE m <= 1000""",
     "C9_radius": f"""WITH {ctes("places")}, x AS (SELECT id, lat, 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - -6.2) / 2), 2) + cos(radians(-6.2)) * cos(radians(lat)) * pow(sin(radians(lng - 106.8) / 2), 2)))) AS m FROM places) SELECT id, round(m, 3) AS meters FROM x WHERE m <= 4000""",

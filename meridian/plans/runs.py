@@ -13,6 +13,7 @@ from ..operators import itinerary as it
 from ..operators import resolution as res
 from ..operators import retrieval as r
 from ..operators import runs
+from ..streaming import events as ev
 from .candidates import CENTER
 from .fixtures import ctes, interactions, table
 from .measures import _SQL_RANKED, _ranked, _slots
@@ -143,6 +144,27 @@ def K8_metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("grp", "queries", *[F.round(x, 6).alias(x) for x in ("ndcg", "recall", "hit", "mrr")])
 
 
+def I28_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by length against an order by hash, over sources as queries."""
+    ranked, grades = _ranked(spark, sf_dir)
+    other = r.ranked(ranked.drop("rank"), ["query_id"], [c.stable_rank("m", F.col("id"))])
+    found = e.compare_systems(e.metric_bundle(ranked, grades), e.metric_bundle(other, grades))
+    return found.select("metric", *[F.round(x, 6).alias(x) for x in ("mean_a", "mean_b", "diff")], "wins", "losses")
+
+
+def K15_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of events as timings of their type."""
+    return e.latencies(interactions(spark, sf_dir), "value", ["kind"])
+
+
+def L2_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicked documents against an index that lacks some and has others' old text; every ninth isn't published."""
+    text = F.sha2("text", 256)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("entity_id"), "doc_id", text.alias("text_hash"))
+    index = docs.filter("doc_id % 4 <> 1").select("entity_id", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("text_hash")).alias("text_hash"))
+    return ev.index_changes(interactions(spark, sf_dir).filter("kind = 'click'"), docs.filter("doc_id % 9 <> 0"), index).select("entity_id", "op", F.substring("text_hash", 1, 8).alias("hash"))
+
+
 def _trips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Forty itineraries over all places, and who goes."""
     i = F.col("id")
@@ -185,7 +207,7 @@ def J2_review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     x.__name__: x
-    for x in (B14_ladder_invariants, F13_ladder_target, F7_few_candidates, F7_many_candidates, M1_facet_diversity, I13_rail_bundle, I27_tagging_run, J7_mention_run, J14_geocode_run, P8_stated_seed, P6_saved_items, O7_click_events, O4_triage_scores, N6_slot_overrides, K8_metric_bundle, K14_itinerary_checks, K14_satisfaction, E7_consecutive, H40_article_features, J2_review_pairs)
+    for x in (B14_ladder_invariants, F13_ladder_target, F7_few_candidates, F7_many_candidates, M1_facet_diversity, I13_rail_bundle, I27_tagging_run, J7_mention_run, J14_geocode_run, P8_stated_seed, P6_saved_items, O7_click_events, O4_triage_scores, N6_slot_overrides, K8_metric_bundle, K14_itinerary_checks, K14_satisfaction, E7_consecutive, H40_article_features, J2_review_pairs, I28_model_comparison, K15_latencies, L2_index_changes)
 }
 
 _KNN = "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND {0}"
@@ -205,7 +227,21 @@ vi AS (SELECT itinerary_id, 'closed' AS rule, place_id FROM bo WHERE starts < op
   UNION ALL SELECT itinerary_id, 'budget', NULL FROM bo GROUP BY itinerary_id, budget HAVING sum(price) > budget UNION ALL SELECT itinerary_id, 'repeats', NULL FROM bo GROUP BY itinerary_id, day, category HAVING count(*) > any_value(repeats))"""
 
 
+def _bundle_sql(name: str, order: str) -> str:
+    return f"""{name}r AS (SELECT source AS query_id, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY {order}) AS rank FROM documents), {name}d AS (SELECT query_id, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg, count(*) FILTER (grade > 0) AS hits, min(rank) FILTER (grade > 0) AS first FROM {name}r LEFT JOIN gr USING (query_id, id) WHERE rank <= 10 GROUP BY 1),
+{name}b AS (SELECT query_id, CASE WHEN coalesce(idcg, 0) = 0 THEN 0 ELSE dcg / idcg END AS ndcg, CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE hits / least(n, 10) END AS recall, (hits > 0)::INT AS hit, coalesce(1 / first, 0) AS mrr FROM {name}d LEFT JOIN ig USING (query_id) LEFT JOIN ng USING (query_id))"""
+
+
+def _compared(metric: str) -> str:
+    return f"SELECT '{metric}' AS metric, round(avg(x.{metric}), 6) AS mean_a, round(avg(y.{metric}), 6) AS mean_b, round(avg(y.{metric} - x.{metric}), 6) AS diff, count(*) FILTER (y.{metric} > x.{metric} + 1e-12) AS wins, count(*) FILTER (y.{metric} < x.{metric} - 1e-12) AS losses FROM xb x JOIN yb y USING (query_id)"
+
+
 ORACLE = {
+    "I28_model_comparison": f"""WITH {_SQL_RANKED}, ig AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS r FROM gr) WHERE r <= 10 GROUP BY 1), ng AS (SELECT query_id, count(*) FILTER (grade > 0) AS n FROM gr GROUP BY 1),
+{_bundle_sql("x", "n_chars DESC, doc_id")}, {_bundle_sql("y", "sha256(concat('m:', doc_id))")} {" UNION ALL ".join(map(_compared, ("ndcg", "recall", "hit", "mrr")))}""",
+    "K15_latencies": "WITH l AS (SELECT event_type AS kind, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT kind, len(l) AS n, " + ", ".join(f"l[least(floor(len(l) * {s})::BIGINT, len(l) - 1) + 1] AS {k}" for k, s in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM l",
+    "L2_index_changes": f"""WITH {ctes("interactions")}, m AS (SELECT DISTINCT entity_id FROM interactions WHERE kind = 'click' AND entity_id IS NOT NULL), d AS (SELECT doc_id::VARCHAR AS entity_id, doc_id, sha256(text) AS h FROM documents), x AS (SELECT m.entity_id, CASE WHEN doc_id % 9 <> 0 THEN h END AS h, CASE WHEN doc_id % 4 <> 1 THEN CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE h END END AS was FROM m LEFT JOIN d USING (entity_id))
+SELECT entity_id, CASE WHEN h IS NULL THEN 'delete' ELSE 'upsert' END AS op, h[1:8] AS hash FROM x WHERE (h IS NULL AND was IS NOT NULL) OR (h IS NOT NULL AND h IS DISTINCT FROM was)""",
     "B14_ladder_invariants": f"""WITH {ctes("places", "relations")}, {_EX}, g AS (SELECT subject_type, id, type, {_M} AS m FROM places, ex WHERE lat IS NOT NULL AND status = 'active' AND (len(excluded) = 0 OR (type IS NOT NULL AND NOT list_contains(excluded, type)))),
 h AS (SELECT *, CASE WHEN m <= 2000 THEN 0 WHEN m <= 5000 THEN 1 WHEN m <= 15000 THEN 2 ELSE 3 END AS first FROM g), n AS (SELECT subject_type, r, count(*) FILTER (first <= r) AS have FROM h, range(4) t(r) GROUP BY 1, 2), stop AS (SELECT subject_type, coalesce(min(r) FILTER (have >= 18), 3) AS rung FROM n GROUP BY 1)
 SELECT subject_type, id, type, rung FROM h JOIN stop USING (subject_type) WHERE first <= rung QUALIFY row_number() OVER (PARTITION BY subject_type ORDER BY round(m, 6), id) <= 18""",

@@ -63,6 +63,17 @@ def route(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def index_changes(messages: DataFrame, articles: DataFrame, index: DataFrame) -> DataFrame:
+    """(entity_id, op, text_hash) that bring a text index up to date with the articles some messages name: upsert where the text's hash has changed, delete what isn't published any more. Idempotent: done twice, nothing is left to do.
+
+    messages: (entity_id); articles: (entity_id, text_hash) of what is published; index: (entity_id, text_hash).
+    """
+    named = messages.filter("entity_id IS NOT NULL").select("entity_id").distinct()
+    both = named.join(articles.select("entity_id", "text_hash"), "entity_id", "left").join(index.select("entity_id", F.col("text_hash").alias("__was")), "entity_id", "left")
+    op = F.when(F.col("text_hash").isNull() & F.col("__was").isNotNull(), "delete").when(F.col("text_hash").isNotNull() & ~F.col("text_hash").eqNullSafe(F.col("__was")), "upsert")
+    return both.withColumn("op", op).filter("op IS NOT NULL").select("entity_id", "op", "text_hash")
+
+
 def newest_by_key(stream: DataFrame, key: str = "entity_id") -> DataFrame:
     """The newest state of each key: (key, ts, text_hash, event_id), for an idempotent upsert in update mode."""
     return stream.groupBy(key).agg(F.max(F.struct("ts", "event_id", "text_hash")).alias("s")).select(key, "s.ts", "s.text_hash", "s.event_id")

@@ -17,8 +17,15 @@ def test_query(name, spark, sf_dir, duck):
     df = QUERIES[name](spark, sf_dir)
     if name in ORACLE:
         assert spark_rows(df) == duck_rows(duck, ORACLE[name])
-    else:
-        assert df.columns and df.count() >= 0
+        return
+    # Operator tests hold these against brute force; here the rows must be there and not hang on how they are dealt out.
+    once = spark_rows(df)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert once[1] and once == spark_rows(QUERIES[name](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_flagship(spark):
