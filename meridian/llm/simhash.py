@@ -21,7 +21,7 @@ a doc_id are each listed, with their own text's component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import accumulate, combinations
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, as_bytes, components, cut, discard, map_batches, merge
+from .common import LOWER, as_bytes, components, cut, map_batches, merge
 
 SEED = 42
 TILE = 256
@@ -39,6 +39,8 @@ TILE = 256
 HOT = 20_000
 #: Fingerprints in their buckets that one task compares.
 ROWS_A_TASK = 400_000
+#: Sets that one task compares exactly, shingles in one part of a crowded bucket, and bytes of rows that a worker gathers at least.
+SETS_A_TASK, SHINGLES, HELD = 20_000, 4_000_000, 16 << 20
 #: Words of 64 bits in the fingerprints of similar_groups, and the minima by which their sets meet: BANDS keys of ROWS minima each.
 WORDS, BANDS, ROWS = 4, 12, 3
 #: The radius of similar_groups is that many deviations above the distance expected at the similarity asked for.
@@ -123,9 +125,8 @@ def within(queries: np.ndarray, vertical: np.ndarray, radius: int, skip: np.ndar
     return ~passed()
 
 
-def link_buckets(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint the least index it is joined with inside its bucket (bucket is sorted)."""
-    root = np.arange(len(fps))
+def near_pairs(fps: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of fingerprints within the radius inside each bucket (bucket is sorted), tile by tile."""
     for at in range(0, len(fps), TILE):
         last = np.searchsorted(bucket, bucket[min(at + TILE, len(fps)) - 1], "right")
         for to in range(at, last, 4096):
@@ -140,10 +141,58 @@ def link_buckets(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray
             i, w = np.nonzero(near)
             bits = np.unpackbits(near[i, w].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             k, j = np.nonzero(bits)
-            merge(root, i[k] + at, w[k] * 64 + j + to)
+            yield i[k] + at, w[k] * 64 + j + to
+
+
+def link_buckets(fps: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint the least index it is joined with inside its bucket (bucket is sorted)."""
+    root = np.arange(len(fps))
+    for i, j in near_pairs(fps, bucket, radius):
+        merge(root, i, j)
+    return root
+
+
+def link_sets(fps: np.ndarray, bucket: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
+    """link_buckets() of sets: a pair within the radius is joined if the exact similarity of its sets (sorted arrays) is enough. Pairs that are joined already aren't looked at."""
+    root, size = np.arange(len(fps)), np.array([len(s) for s in sets], np.int64)
+    held, postings = -1, (np.zeros(0, np.int64),) * 3
+    for i, j in near_pairs(fps, bucket, radius):
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        edge = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+        for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(i)], strict=False):
+            one, many = int(i[a]), j[a:z]
+            n = np.minimum(size[many], size[one])
+            many = many[(root[many] != root[one]) & (n >= similarity * np.maximum(size[many], size[one]) - 1e-9)]
+            if not len(many):
+                continue
+            if len(many) <= 8:
+                both = np.array([len(np.intersect1d(sets[one], sets[m], assume_unique=True)) for m in many.tolist()])
+            else:  # by lists of the bucket's rows that have a shingle
+                if held != bucket[one]:
+                    held, postings = int(bucket[one]), _postings(sets, *np.searchsorted(bucket, [bucket[one], bucket[one] + 1]).tolist())
+                known, starts, rows = postings
+                at = np.searchsorted(known, sets[one])
+                spans = starts[at + 1] - starts[at]
+                ends = np.cumsum(spans)
+                counts = np.bincount(rows[np.repeat(starts[at] - np.r_[0, ends[:-1]], spans) + np.arange(ends[-1])])
+                low = int(np.searchsorted(bucket, bucket[one]))
+                both = np.pad(counts, (0, max(0, int(many.max()) - low + 1 - len(counts))))[many - low]
+            alike = many[both >= similarity * (size[many] + size[one] - both) - 1e-9]
+            if len(alike):
+                merge(root, np.full(len(alike), one), alike)
     return root
 
 
+def _postings(sets: list[np.ndarray], a: int, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, where each one's rows start, rows from 0) of the sets a to z."""
+    flat = np.concatenate(sets[a:z])
+    rows = np.repeat(np.arange(z - a), [len(s) for s in sets[a:z]])
+    order = np.argsort(flat, kind="stable")
+    known, starts = np.unique(flat[order], return_index=True)
+    return known, np.r_[starts, len(flat)], rows[order]
+
+
 def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
     """Fingerprints (n, words) of a column of longs or of bytes."""
     if pa.types.is_integer(column.type):
@@ -151,38 +200,73 @@ def _unsigned(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), -1) if len(column) else np.zeros((0, 1), "<u8")
 
 
-def _link(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+def _by_bucket(done: Callable[[pa.Table], pa.RecordBatch], rows: int = 20_000):
+    """A worker over rows in order of their bucket: `done` gets whole buckets, about `rows` rows at a time, those alone in their bucket left out."""
 
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            group = rows.column("bucket").to_numpy()
-            same = group[1:] == group[:-1]
-            met = np.r_[False, same] | np.r_[same, False]
-            rows, group = rows.filter(pa.array(met)), group[met]
-            fps, rep = _unsigned(rows.column("fp")), rows.column("rep").to_numpy()
-            root = link_buckets(fps, np.cumsum(np.r_[False, group[1:] != group[:-1]][: len(group)]), radius)
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[moved], pa.int64()), pa.array(rep[root[moved]], pa.int64())], ["a", "b"])
+    def met(table: pa.Table) -> pa.Table:
+        group = table.column("bucket").to_numpy()
+        same = group[1:] == group[:-1]
+        return table.filter(pa.array(np.r_[False, same] | np.r_[same, False]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) < 20_000:
+            if sum(x.num_rows for x in held) < rows and sum(x.nbytes for x in held) < HELD:
                 continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            group = rows.column("bucket").to_numpy()
+            table = pa.Table.from_batches(held).combine_chunks()
+            group = table.column("bucket").to_numpy()
             whole = int(np.searchsorted(group == group[-1], True))  # the last bucket may go on
             if whole:
-                yield done(rows.slice(0, whole))
-                held = rows.slice(whole).to_batches()
+                yield done(met(table.slice(0, whole)))
+                held = table.slice(whole).to_batches()
             else:
-                held = rows.to_batches()
+                held = table.to_batches()
         if held and sum(x.num_rows for x in held):
-            yield done(pa.Table.from_batches(held).combine_chunks())
+            yield done(met(pa.Table.from_batches(held).combine_chunks()))
 
     return run
 
 
+def _numbered(table: pa.Table) -> np.ndarray:
+    """Buckets of a table in order, from 0."""
+    group = table.column("bucket").to_numpy()
+    return np.cumsum(np.r_[False, group[1:] != group[:-1]][: len(group)])
+
+
+def _moved(table: pa.Table, root: np.ndarray) -> pa.RecordBatch:
+    rep, moved = table.column("rep").to_numpy(), np.flatnonzero(root != np.arange(len(root)))
+    return pa.RecordBatch.from_arrays([pa.array(rep[moved], pa.int64()), pa.array(rep[root[moved]], pa.int64())], ["a", "b"])
+
+
+def _link(radius: int):
+    return _by_bucket(lambda table: _moved(table, link_buckets(_unsigned(table.column("fp")), _numbered(table), radius)))
+
+
+def _mark(radius: int):
+    """(bucket, rep) of every fingerprint that has another within the radius in its bucket."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        near = np.zeros(table.num_rows, bool)
+        for i, j in near_pairs(_unsigned(table.column("fp")), _numbered(table), radius):
+            near[i] = near[j] = True
+        return table.filter(pa.array(near)).select(["bucket", "rep"]).combine_chunks().to_batches()[0] if near.any() else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["bucket", "rep"])
+
+    return _by_bucket(done)
+
+
+def _link_alike(radius: int, similarity: float):
+    """Edges that span what is within the radius and exactly alike in each bucket of (bucket, rep, fp, shingles)."""
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        listed = table.column("shingles").combine_chunks()
+        flat, ends = listed.values.to_numpy(), listed.offsets.to_numpy()
+        sets = [flat[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return _moved(table, link_sets(_unsigned(table.column("fp")), _numbered(table), sets, radius, similarity))
+
+    return _by_bucket(done)
+
+
 def masks(radius: int) -> list[int]:
     """Masks of all choices of 2 among radius + 2 even blocks of 64 bits: a pair within the radius agrees under one."""
     blocks = radius + 2
@@ -202,21 +286,22 @@ def _parts(mask: int, radius: int) -> list[int]:
     return [mask | sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(radius + 1)]
 
 
-def _compared(rows: DataFrame, radius: int, hot: int, number: int) -> DataFrame:
-    """Edges (a, b) that span what is within the radius in each bucket of (fp, rep, bucket).
+def _dealt(rows: DataFrame, hot: int, number: int) -> DataFrame:
+    """Rows (fp, rep, n, bucket) in order of their buckets.
 
-    The rows of a crowded bucket fall into parts of about `hot`, and each two
-    parts meet in a bucket of their own, so every pair is compared and no task
-    holds more than two parts. `number` says how many rows there are about.
+    The rows of a crowded bucket fall into parts of about `hot` rows and of
+    SHINGLES in all (n says how many a row has), and each two parts meet in a
+    bucket of their own, so every pair is compared and no task holds more than
+    two parts. `number` says how many rows there are about.
     """
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-number // ROWS_A_TASK))
-    crowded = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("bucket", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    parts = F.least(F.ceil(F.greatest(F.count("*") / hot, F.sum("n") / SHINGLES)), F.count("*")).cast("int")
+    crowded = rows.groupBy("bucket").agg(parts.alias("parts")).filter("parts > 1")
     dealt = rows.join(crowded, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
     tiled = dealt.withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(others)))
     tile = F.when(F.col("parts").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")))
-    ready = tiled.select(tile.alias("bucket"), "fp", "rep").repartition(tasks, "bucket").sortWithinPartitions("bucket", "rep")
-    return map_batches(ready, _link(radius), "a long, b long")
+    return tiled.select(tile.alias("bucket"), "fp", "rep").repartition(tasks, "bucket").sortWithinPartitions("bucket", "rep")
 
 
 def links(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
@@ -235,7 +320,8 @@ def links(fps: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     ])
     dealt = shared.select("fp", "rep", "t", F.explode(F.when(F.col("hot"), again).otherwise(F.array(F.struct(F.lit(0).alias("p"), F.col("key").alias("k"))))).alias("s"))
     rows = dealt.select("fp", "rep", F.xxhash64("t", "s.p", "s.k").alias("bucket"))
-    return _compared(rows, radius, hot, fps.count() * len(wide))
+    ready = _dealt(rows.withColumn("n", F.lit(1)), hot, fps.count() * len(wide))
+    return map_batches(ready, _link(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,71 +386,31 @@ def _sets(docs: DataFrame, width: int, sketch: bool) -> DataFrame:
     return map_batches(rows, run, "doc_id long, key binary, n int, " + ("fp binary, keys array<long>" if sketch else "shingles array<long>"))
 
 
-def _verified(own: DataFrame, similarity: float) -> DataFrame:
-    """(node, root): sets (grp, key, n, rep, shingles) linked by their exact similarity, by the least rep of each component.
-
-    Sets of a group that are alike share a shingle of their prefixes (the first
-    n - ceil(similarity n) + 1 in the order of the hashes), so those with a
-    common one are compared whole. Pairs inside a component need no comparison:
-    the sets of a shingle are first held against one of them, then against
-    another, and only those still apart are compared with each other.
-    """
-    prefix = F.slice("shingles", 1, (F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).cast("int"))
-    tokens = cut(own.select("grp", "key", "n", "rep", F.explode(prefix).alias("token")), "sets-tokens")
-    again = tokens.groupBy("grp", "token").agg(F.count("*").alias("k")).filter("k > 1").select("grp", "token")
-    shared = cut(tokens.join(again, ["grp", "token"]).select("grp", "token", "key", "n", "rep"), "sets-shared")
-    discard(tokens)
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    alike = both >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - both) - 1e-9
-    sizes = F.least("n", "n_b") >= F.lit(similarity) * F.greatest("n", "n_b") - 1e-9
-    a, b = (own.select(F.col("key").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    edges = found = own.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    found = found.toDF("node", "root")
-    for step in ("one centre", "a centre for each shingle", "all"):
-        live = shared.join(found, shared.rep == found.node, "left").select("grp", "token", "key", "n", "rep", F.coalesce("root", "rep").alias("root"))
-        # A shingle whose sets are in one component has nothing left to compare.
-        order = F.xxhash64("key") if step == "one centre" else F.xxhash64("key", "token")
-        apart = live.groupBy("grp", "token").agg(F.min(F.struct(order.alias("o"), "key", "n", "rep", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        if step == "all":
-            rest = cut(live.join(apart.select("grp", "token"), ["grp", "token"], "left_semi"), "sets-apart")
-            other = rest.select("grp", "token", F.col("key").alias("key_b"), F.col("n").alias("n_b"), F.col("rep").alias("rep_b"), F.col("root").alias("root_b"))
-            met = rest.join(other, ["grp", "token"]).filter((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & sizes)
-        else:
-            other = apart.select("grp", "token", F.col("c.key").alias("key_b"), F.col("c.n").alias("n_b"), F.col("c.rep").alias("rep_b"), F.col("c.root").alias("root_b"))
-            met = live.join(other, ["grp", "token"]).filter((F.col("root") != F.col("root_b")) & sizes)
-        pair, back = F.struct("key", "rep"), F.struct(F.col("key_b").alias("key"), F.col("rep_b").alias("rep"))
-        pairs = met.select(F.least(pair, back).alias("p"), F.greatest(pair, back).alias("q")).select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), F.col("p.rep").alias("rep_a"), F.col("q.rep").alias("rep_b"))
-        pairs = cut(pairs.distinct(), "sets-pairs")
-        if pairs.isEmpty():
-            continue
-        linked = cut(pairs.join(a, ["a", "rep_a"]).join(b, ["b", "rep_b"]).filter(alike).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "sets-linked")
-        discard(pairs)
-        edges = edges.unionByName(linked)
-        found = cut(components(edges), "sets-found")
-    return found
-
-
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, hot: int = HOT) -> DataFrame:
     """(doc_id, component_id) of documents linked by a Jaccard similarity of at least `similarity` of their shingles.
 
     Equal sets are one. Sets meet by minima of their shingles and are compared
-    there as bit planes of SimHash fingerprints; what is within the radius makes
-    groups of candidates, which a spanning set of links names. The sets of a
-    group are then compared exactly. A pair at 0.8 meets with a chance over
-    0.999 and is within the radius with one as high (0.98 for sets of four and
-    five shingles, the least that can be so alike). Buckets grow with what is
-    alike, not with the corpus.
+    there as bit planes of SimHash fingerprints. Those that have another one
+    within the radius meet once more, now with their shingles: a pair within the
+    radius is linked if its exact similarity is enough, and each bucket hands on
+    a spanning set of its links, not all pairs. A pair at 0.8 meets with a chance
+    over 0.999 and is within the radius with one as high (0.98 for sets of four
+    and five shingles, the least that can be so alike). Buckets grow with what
+    is alike, not with the corpus.
     """
+    radius = similar_radius(similarity, 64 * WORDS)
     marked = cut(_sets(docs, width, True), "sets")
     groups = cut(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets-groups")
-    keyed = groups.filter("n > 0").select("fp", "rep", F.posexplode("keys").alias("t", "key"))
-    near = components(_compared(keyed.select("fp", "rep", F.xxhash64("t", "key").alias("bucket")), similar_radius(similarity, 64 * WORDS), hot, groups.count() * BANDS))
-    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())  # the least of each is not among the nodes
-    candidates = cut(groups.join(near, groups.rep == near.node).select("key", "n", "rep", F.col("root").alias("grp")), "sets-candidates")
-    texts = docs.select("doc_id", "text").join(candidates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    whole = _sets(texts, width, False).select("key", F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["key", "rep"])
-    own = cut(candidates.join(whole, ["key", "rep"]).select("grp", "key", "n", "rep", "shingles"), "sets-own")
-    found = _verified(own, similarity)
+    keyed = groups.filter("n > 0").select("fp", "rep", "n", F.posexplode("keys").alias("t", "key"))
+    ready = _dealt(keyed.select("fp", "rep", "n", F.xxhash64("t", "key").alias("bucket")), hot, groups.count() * BANDS)
+    marks = cut(map_batches(ready, _mark(radius), "bucket long, rep long"), "sets-marks")
+    near = cut(groups.join(marks.select("rep").distinct(), "rep", "left_semi").select("key", "rep", "fp"), "sets-near")
+    texts = docs.select("doc_id", "text").join(near.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    own = cut(_sets(texts, width, False).select("key", F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["key", "rep"]).join(near, ["key", "rep"]), "sets-own")
+    sized = own.select("rep", "fp", "shingles")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-marks.count() // SETS_A_TASK))
+    met = marks.join(sized, "rep").repartition(tasks, "bucket").sortWithinPartitions("bucket", "rep").select("bucket", "rep", "fp", "shingles")
+    found = cut(components(map_batches(met, _link_alike(radius, similarity), "a long, b long")), "sets-found")
     named = groups.join(found, groups.rep == found.node, "left").select("key", F.coalesce("root", "rep").alias("component_id"))
     return marked.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
 

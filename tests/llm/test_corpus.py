@@ -99,6 +99,17 @@ def test_links_lose_nothing(spark, hot):
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps, 3)
 
 
+def test_crowded_buckets_are_dealt_again(spark):
+    rows = spark.range(1000).select(F.col("id").alias("fp"), F.col("id").alias("rep"), F.lit(1).alias("n"), F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("bucket"))
+    dealt = simhash._dealt(rows, 100, 1000).collect()
+    by = defaultdict(set)
+    for r in dealt:
+        by[r.bucket].add(r.rep)
+    assert max(map(len, by.values())) <= 280
+    met = {(a, b) for own in by.values() for a in own for b in own if a < b}
+    assert met == {(a, b) for a in range(900) for b in range(a + 1, 900)}
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 200, dtype=np.uint64)
@@ -572,6 +583,27 @@ def test_rules_are_learned_and_hold_out(spark):
     assert kept.columns == df.columns and kept.count() > 400
 
 
+def test_verdicts_equal_brute_force(spark):
+    """base_failed by the contract's words, kept by the learned conditions one by one, for every row."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    rows = [(i, " ".join(word() + ("#*$" if i % 3 == 0 and rng.random() < 0.4 else "") for _ in range(rng.randrange(30, 120)))) for i in range(300)]
+    rows += [(300, "ab cd ef " * 40), (301, None), (302, ""), (302, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(300)] + [(5, None, 0), (999, 0, 0)], "doc_id long, quality int, toxic int")
+    found = rules.fit(rules.statistics(df), labels)
+    assert found.rules
+    want = Counter()
+    for d, t in rows:
+        n, chars, symbols, dup, repeat = brute_counts(t)
+        failed = n < 50 or 100 * repeat > 50 * n
+        x = {"words": n, "mean_word_chars": chars / max(n, 1), "symbols_per_word": symbols / max(n, 1), "dup_lines": dup, "repeat_share": repeat / max(n, 1)}
+        hit = any(all((x[c.feature] > c.threshold) == c.above for c in rule) for rule in found.rules)
+        want[d, n, failed, not failed and not hit] += 1
+    got = Counter((r.doc_id, r.n_words, r.base_failed, r.kept) for r in rules.judge(df, labels).collect())
+    assert got == want and len({k[3] for k in want}) == 2
+
+
 # --- 10 ---
 
 
