@@ -251,6 +251,21 @@ def visible_text(html: Column) -> Column:
     return collapse(unescape(F.regexp_replace(html, "(?s)<[^>]*>", " ")))
 
 
+#: Fixed values of the domain: elements between whose text a reader sees white space.
+RENDERED_APART = (
+    "article", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr",
+    "li", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
+)
+
+
+def rendered_text(html: Column) -> Column:
+    """Text of HTML as a reader sees it: words that only inline elements part stay whole, those on two sides of a block, cell or break don't run together."""
+    html = F.regexp_replace(html, "(?is)<(script|style|svg)[^>]*>.*?</(script|style|svg)>", " ")
+    html = F.regexp_replace(html, "(?s)<!--.*?-->", "")
+    html = F.regexp_replace(html, f"(?is)</?(?:{'|'.join(RENDERED_APART)})(?:[ \t\r\n/][^>]*)?>", " ")
+    return collapse(unescape(F.regexp_replace(html, "(?s)<[^>]*>", "")))
+
+
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit('(?i)<a[^>]*href="([^"]*)"'), 1)
 

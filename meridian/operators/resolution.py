@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import tempfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -57,6 +58,16 @@ def candidate_pairs(names: DataFrame, key: str = "id") -> DataFrame:
     return pairs.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), name_similarity(F.col("a_name"), F.col("b_name")).alias("similarity")).filter(F.col("similarity") >= REVIEW)
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Set the folder that spark.checkpoint.dir names, where none is set; a folder of its own will do on one machine only."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='meridian-')}")
+
+
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) of every node of `nodes`: the least node reachable over edges (a, b).
 
@@ -66,14 +77,13 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFram
     """
     both = edges.select("a", "b").unionAll(edges.select("b", "a")).toDF("a", "b").distinct()
     now = nodes.select("node", F.col("node").alias("root"))
-    safe = nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    keep = (lambda d: d.checkpoint()) if safe else (lambda d: d.persist())
-    now = keep(now)
+    _checkpoint_folder(nodes.sparkSession)
+    now = now.checkpoint()
     for _ in range(rounds):
         near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("r"))
         step = now.join(near, now["node"] == near["a"], "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root"))
         jump = step.join(step.select(F.col("node").alias("__n"), F.col("root").alias("__r")), F.col("root") == F.col("__n"), "left").select("node", F.least("root", F.coalesce("__r", "root")).alias("root"))
-        nxt = keep(jump)
+        nxt = jump.checkpoint()
         moved = nxt.join(now.withColumnRenamed("root", "was"), "node").filter("root <> was").limit(1).count()
         now = nxt
         if not moved:

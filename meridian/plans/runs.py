@@ -15,6 +15,7 @@ from ..operators import retrieval as r
 from ..operators import runs
 from ..streaming import events as ev
 from .candidates import CENTER
+from .catalogue import _unescape
 from .fixtures import ctes, interactions, table
 from .measures import _SQL_RANKED, _ranked, _slots
 from .ranking import _D, _cue_sql, _docs, _tok, _vectors, CUES
@@ -165,6 +166,12 @@ def L2_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.index_changes(interactions(spark, sf_dir).filter("kind = 'click'"), docs.filter("doc_id % 9 <> 0"), index).select("entity_id", "op", F.substring("text_hash", 1, 8).alias("hash"))
 
 
+def H7_render_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of pages of which every word's first letter stands in an element of its own."""
+    marked = F.regexp_replace("html", "> *([A-Za-z])([a-z]+)", "><b>$1</b>$2")
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(c.rendered_text(marked), 256).alias("text_sha"), F.length(c.rendered_text(marked)).alias("chars"))
+
+
 def _trips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Forty itineraries over all places, and who goes."""
     i = F.col("id")
@@ -207,7 +214,7 @@ def J2_review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     x.__name__: x
-    for x in (B14_ladder_invariants, F13_ladder_target, F7_few_candidates, F7_many_candidates, M1_facet_diversity, I13_rail_bundle, I27_tagging_run, J7_mention_run, J14_geocode_run, P8_stated_seed, P6_saved_items, O7_click_events, O4_triage_scores, N6_slot_overrides, K8_metric_bundle, K14_itinerary_checks, K14_satisfaction, E7_consecutive, H40_article_features, J2_review_pairs, I28_model_comparison, K15_latencies, L2_index_changes)
+    for x in (B14_ladder_invariants, F13_ladder_target, F7_few_candidates, F7_many_candidates, M1_facet_diversity, I13_rail_bundle, I27_tagging_run, J7_mention_run, J14_geocode_run, P8_stated_seed, P6_saved_items, O7_click_events, O4_triage_scores, N6_slot_overrides, K8_metric_bundle, K14_itinerary_checks, K14_satisfaction, E7_consecutive, H40_article_features, J2_review_pairs, I28_model_comparison, K15_latencies, L2_index_changes, H7_render_boundaries)
 }
 
 _KNN = "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND {0}"
@@ -227,6 +234,13 @@ vi AS (SELECT itinerary_id, 'closed' AS rule, place_id FROM bo WHERE starts < op
   UNION ALL SELECT itinerary_id, 'budget', NULL FROM bo GROUP BY itinerary_id, budget HAVING sum(price) > budget UNION ALL SELECT itinerary_id, 'repeats', NULL FROM bo GROUP BY itinerary_id, day, category HAVING count(*) > any_value(repeats))"""
 
 
+def _rendered(x: str) -> str:
+    tags = "|".join(c.RENDERED_APART)
+    for pattern, to in (("(?is)<(script|style|svg)[^>]*>.*?</(script|style|svg)>", " "), ("(?s)<!--.*?-->", ""), (f"(?is)</?(?:{tags})(?:[ \t\r\n/][^>]*)?>", " "), ("(?s)<[^>]*>", "")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return f"trim(regexp_replace({_unescape(x)}, '[ \t\r\n]+', ' ', 'g'))"
+
+
 def _bundle_sql(name: str, order: str) -> str:
     return f"""{name}r AS (SELECT source AS query_id, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY {order}) AS rank FROM documents), {name}d AS (SELECT query_id, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg, count(*) FILTER (grade > 0) AS hits, min(rank) FILTER (grade > 0) AS first FROM {name}r LEFT JOIN gr USING (query_id, id) WHERE rank <= 10 GROUP BY 1),
 {name}b AS (SELECT query_id, CASE WHEN coalesce(idcg, 0) = 0 THEN 0 ELSE dcg / idcg END AS ndcg, CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE hits / least(n, 10) END AS recall, (hits > 0)::INT AS hit, coalesce(1 / first, 0) AS mrr FROM {name}d LEFT JOIN ig USING (query_id) LEFT JOIN ng USING (query_id))"""
@@ -237,6 +251,7 @@ def _compared(metric: str) -> str:
 
 
 ORACLE = {
+    "H7_render_boundaries": f"WITH m AS (SELECT page_id, regexp_replace(html, '> *([A-Za-z])([a-z]+)', '><b>\\1</b>\\2', 'g') AS h FROM pages), t AS (SELECT page_id, {_rendered('h')} AS t FROM m) SELECT page_id, sha256(t) AS text_sha, length(t)::INT AS chars FROM t",
     "I28_model_comparison": f"""WITH {_SQL_RANKED}, ig AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS r FROM gr) WHERE r <= 10 GROUP BY 1), ng AS (SELECT query_id, count(*) FILTER (grade > 0) AS n FROM gr GROUP BY 1),
 {_bundle_sql("x", "n_chars DESC, doc_id")}, {_bundle_sql("y", "sha256(concat('m:', doc_id))")} {" UNION ALL ".join(map(_compared, ("ndcg", "recall", "hit", "mrr")))}""",
     "K15_latencies": "WITH l AS (SELECT event_type AS kind, list_sort(list(value)) AS l FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT kind, len(l) AS n, " + ", ".join(f"l[least(floor(len(l) * {s})::BIGINT, len(l) - 1) + 1] AS {k}" for k, s in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + " FROM l",
