@@ -51,6 +51,14 @@ def F7_many_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _closest(spark, sf_dir, _vectors(spark, sf_dir).filter("vec_id % 3 <> 0").select("vec_id"), 8)
 
 
+def I3_approximate_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector's ten nearest, from half of sixteen cells."""
+    v = _vectors(spark, sf_dir)
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    centres = r.fit_cells(v, 16)
+    return r.approximate(r.cell_index(v, centres), asked, centres, 10, 8)
+
+
 def M1_facet_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picks from each area's best places, unlike by type and price band; half a point of relevance a tenth of a rank."""
     p = table(spark, sf_dir, "places").filter("status = 'active' AND area_term IS NOT NULL")
@@ -214,7 +222,7 @@ def J2_review_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     x.__name__: x
-    for x in (B14_ladder_invariants, F13_ladder_target, F7_few_candidates, F7_many_candidates, M1_facet_diversity, I13_rail_bundle, I27_tagging_run, J7_mention_run, J14_geocode_run, P8_stated_seed, P6_saved_items, O7_click_events, O4_triage_scores, N6_slot_overrides, K8_metric_bundle, K14_itinerary_checks, K14_satisfaction, E7_consecutive, H40_article_features, J2_review_pairs, I28_model_comparison, K15_latencies, L2_index_changes, H7_render_boundaries)
+    for x in (B14_ladder_invariants, F13_ladder_target, F7_few_candidates, F7_many_candidates, M1_facet_diversity, I13_rail_bundle, I27_tagging_run, J7_mention_run, J14_geocode_run, P8_stated_seed, P6_saved_items, O7_click_events, O4_triage_scores, N6_slot_overrides, K8_metric_bundle, K14_itinerary_checks, K14_satisfaction, E7_consecutive, H40_article_features, J2_review_pairs, I28_model_comparison, K15_latencies, L2_index_changes, H7_render_boundaries, I3_approximate_knn)
 }
 
 _KNN = "SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND {0}"

@@ -184,6 +184,25 @@ def test_new_mentions_only(spark):
     assert runs.mention_run(docs.limit(0), places, known).count() == 0
 
 
+def test_cells_recall_nine_in_ten(spark):
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(12, 32))
+    v = kinds[rng.integers(0, 12, 1500)] + 0.7 * rng.normal(size=(1500, 32))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    asked = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    centres = retrieval.fit_cells(df, 24, sample=600)
+    index = retrieval.cell_index(df, centres)
+    assert index.count() == 1500 and index.select("cell").distinct().count() > 8
+    got = {(r.query_id, r.vec_id) for r in retrieval.approximate(index, asked, centres, 10, 6).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = unit[::50] @ unit.T
+    sims[np.arange(30), np.arange(0, 1500, 50)] = -9
+    want = {(50 * q, int(i)) for q in range(30) for i in np.argsort(-sims[q])[:10]}
+    assert len(got) == 300 and len(got & want) / 300 >= 0.9
+    none = df.limit(0)
+    assert retrieval.approximate(retrieval.cell_index(none, centres), asked, centres, 10, 6).count() == 0
+
+
 def test_words_part_where_a_reader_sees_it(spark):
     from meridian.functions import columns as c
 
