@@ -43,7 +43,7 @@ BATCH, HASHES, STRETCHES = 2 << 20, 16 << 20, 2 << 20
 #: Bytes of text that are dealt to one task of a shuffle.
 TASK = 8 << 20
 #: A hash is hot if more batches than this have it; its stretches meet so many batches at a time.
-FAN = 256
+FAN = 1024
 #: Bytes that are hashed at a time.
 PIECE = 1 << 20
 
