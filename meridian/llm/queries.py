@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, linededup, packing, pieces, pitmanyor, rules, simhash, suffixdedup, tokencounts, warc
+from . import fmindex, linededup, packing, periodic, pieces, pitmanyor, rules, simhash, suffixdedup, tokencounts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,26 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitmanyor.scores(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return periodic.digest(periodic.find(docs.withColumn("text", periodic.planted(F.col("text"), F.col("doc_id")))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_token_counts, op3_line_dedup, op4_warc_index_merge, op5_benchmark_decontamination, op6_token_id_output, op7_suffix_array_dedup, op8_sentencepiece, op9_quality_rules, op10_lm_scoring)
+    for f in (
+        op1_simhash_near_dedup,
+        op2_token_counts,
+        op3_line_dedup,
+        op4_warc_index_merge,
+        op5_benchmark_decontamination,
+        op6_token_id_output,
+        op7_suffix_array_dedup,
+        op8_sentencepiece,
+        op9_quality_rules,
+        op10_lm_scoring,
+        op13_periodic_runs,
+    )
 }
 
 ORACLE_SQL = {
