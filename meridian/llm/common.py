@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Lower-cases A-Z and leaves every other byte.
@@ -19,6 +19,8 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 #: Edges (of 16 bytes) that one task may contract.
 FEW = 200_000
+#: A ranking is cut into parts of about so many rows, but into no more than so many parts.
+PART_ROWS, PARTS = 16_384, 4096
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -78,6 +80,27 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ranked(df: DataFrame, order: list[Column], rows: int, first: int | None = None) -> DataFrame:
+    """df with rank, a row's place from 1 on in `order` over all its `rows` rows; with first, null beyond that place.
+
+    The rows are dealt out by ranges of the order and written; a part's rows come
+    after those of the parts before it, whose numbers (PARTS at most) the driver
+    adds up. Parts that lie wholly beyond `first` aren't sorted.
+    """
+    spark, n = df.sparkSession, min(PARTS, rows // PART_ROWS + 1)
+    dealt = cut(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranked")
+    sizes = {r["__part"]: r["count"] for r in dealt.groupBy("__part").count().collect()}
+    upto = np.cumsum([0, *(sizes.get(k, 0) for k in range(n))]).tolist()
+    before = [(k, upto[k]) for k in range(n)]
+    parts = F.broadcast(spark.createDataFrame(before, "__part int, __before long"))
+    met = dealt.join(parts, "__part")
+    place = (F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")).cast("long")
+    if first is None:
+        return met.withColumn("rank", place).drop("__part", "__before")
+    near = met.filter(F.col("__before") < first).withColumn("rank", place).withColumn("rank", F.when(F.col("rank") <= first, F.col("rank")))
+    return near.unionByName(met.filter(F.col("__before") >= first).withColumn("rank", F.lit(None).cast("long"))).drop("__part", "__before")
+
+
 def as_bytes(column: str = "text") -> Column:
     return F.col(column).cast("binary").alias(column)
 
