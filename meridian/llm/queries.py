@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, linededup, packing, periodic, pieces, pitmanyor, resampling, rules, simhash, suffixdedup, tokencounts, warc
+from . import fmindex, linededup, mixing, packing, periodic, pieces, pitmanyor, resampling, rules, simhash, suffixdedup, tokencounts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitmanyor.scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.allocate(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=150, most=2))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, least=20)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sentencepiece,
         op9_quality_rules,
         op10_lm_scoring,
+        op11_mixing_to_targets,
         op12_importance_resampling,
         op13_periodic_runs,
     )
