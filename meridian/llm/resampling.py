@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ from .common import as_bytes, cut, map_batches, ranked, scratch
 from .fmindex import _TABLE
 
 BUCKETS, WIDTH, SEED = 10_000, 3, 42
-#: A block of the matrix has about this many entries; a row group of its files this many bytes.
-ENTRIES, GROUP = 1 << 18, 4 << 20
+#: A block of the matrix is of texts of about BLOCK bytes; a row group of its files has GROUP bytes.
+BLOCK, GROUP = 1 << 20, 4 << 20
 #: Bytes of a text that are split into words at a time.
 SLICE = 4 << 20
 
@@ -147,22 +148,21 @@ def _lists(*arrays: np.ndarray, kinds: list[pa.DataType]) -> list[pa.Array]:
 
 def count_matrix(docs: DataFrame, buckets: int = BUCKETS, width: int = WIDTH) -> DataFrame:
     """The documents' count matrix as written blocks: their rows' ids, words and ends, and for each entry the gap to the column before it and the count."""
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, ends, columns, counts = csr(b.column(2).to_pylist(), buckets, width)
-            gaps = np.diff(columns, prepend=0)
-            heads = ends[:-1][np.diff(ends) > 0]
-            gaps[heads] = columns[heads]
-            keys, names = pa.compute.fill_null(b.column(1), 0).to_numpy(), b.column(0)
+            texts, names, keys = b.column(2), b.column(0), b.column(1)
+            upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
-            while at < len(n_words):  # whole rows, until a block is full
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + ENTRIES, "right")) - 1)
-                own = slice(ends[at], ends[to])
-                ids = pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), names.slice(at, to - at))
-                rest = _lists(keys[at:to], n_words[at:to], ends[at + 1 : to + 1] - ends[at], gaps[own], counts[own], kinds=kinds[1:])
-                yield pa.RecordBatch.from_arrays([ids, *rest], ["doc_ids", "text_keys", "n_words", "ends", "gaps", "counts"])
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, "right")))
+                n_words, ends, columns, counts = csr(texts[at:to].to_pylist(), buckets, width)
+                gaps = np.diff(columns, prepend=0)
+                heads = ends[:-1][np.diff(ends) > 0]
+                gaps[heads] = columns[heads]
+                ids, own = (pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), c[at:to]) for c in (names, keys))
+                rest = _lists(n_words, ends[1:], gaps, counts, kinds=[pa.int64()] + [pa.int32()] * 3)
+                yield pa.RecordBatch.from_arrays([ids, own, *rest], ["doc_ids", "text_keys", "n_words", "ends", "gaps", "counts"])
                 at = to
 
     spark = docs.sparkSession

@@ -57,9 +57,9 @@ def test_checksums_of_runs():
     assert [len(crc) for crc, _ in resampling.run_checksums([], np.zeros(0, np.int64))] == [0, 0, 0]
 
 
-@pytest.mark.parametrize("entries,piece", [(1 << 18, 4 << 20), (700, 64)])
-def test_whole_table(spark, monkeypatch, entries, piece):
-    monkeypatch.setattr(resampling, "ENTRIES", entries)
+@pytest.mark.parametrize("block,piece", [(1 << 20, 4 << 20), (700, 64)])
+def test_whole_table(spark, monkeypatch, block, piece):
+    monkeypatch.setattr(resampling, "BLOCK", block)
     monkeypatch.setattr(resampling, "SLICE", piece)
     docs, target = texts(), ["alpha beta gamma", None, "", "Délta alpha ALPHA 日本 b"]
     df = spark.createDataFrame([(i, t, "r", 1, "d", 2) for i, t in docs], SCHEMA).repartition(3)
