@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from ..functions.stemming import parse
 from ..operators import behaviour as b
 from ..operators import cues
 from ..operators import retrieval as r
 from . import behaviour as bp
 from .fixtures import AS_OF_DAY, ctes, interactions, table
+from .stems import stem_ctes
 
 CUES = {"stay": [("the", 1.0), ("hotel", 2.0)], "eat": [("on", 1.0), ("food", 2.0)], "drink": [("er", 0.5), ("wine", 2.0)]}
 MARKERS = {"en": ("the", "and", "of", "that"), "fr": ("le", "la", "de", "et"), "de": ("der", "die", "und", "das"), "es": ("el", "los", "del", "que")}
@@ -21,18 +23,16 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", ".", 1).alias("title"), "text", "lang", "source", "n_chars")
 
 
-def _queries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(q, w) for q, words in enumerate((("hothe",), ("that", "thonre"), ("was", "from"), ("ein", "und"), ("elle", "nous"))) for w in words], "query_id long, term string")
+#: What the searches ask: stems, alternatives, words in quotes, words ruled out.
+SEARCHES = [(1, "Ering"), (2, "tion of the onings"), (3, '"de ci" or quelles'), (4, 'erly "nd nd" or aned -ther')]
 
 
-def I1_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _asked(spark)
-    hits = r.occurrences(_docs(spark, sf_dir), {"A": "title", "C": "text"}, asked)
-    return r.cover_density(hits, asked, 20).select("query_id", "id", "score", "rank")
+def _searches(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SEARCHES, "query_id long, query string")
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, "ther"), (2, "tion"), (2, "thth"), (3, "quelle"), (4, "erth"), (4, "ther")], "query_id long, term string")
+def I1_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.websearch(_docs(spark, sf_dir), {"A": "title", "C": "text"}, _searches(spark), 20).select("query_id", "id", "score", "rank")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,8 @@ def I4_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def I5_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and vectors fused: documents carry the vector of their number modulo the embeddings'."""
-    docs, terms = _docs(spark, sf_dir), _asked(spark)
-    lexical = r.cover_density(r.occurrences(docs, {"A": "title", "C": "text"}, terms), terms, 60)
+    docs = _docs(spark, sf_dir)
+    lexical = r.websearch(docs, {"A": "title", "C": "text"}, _searches(spark), 60)
     n = 500
     vecs = docs.select("id", (F.col("id") % n).alias("vec_id")).join(_vectors(spark, sf_dir).select("vec_id", "embedding"), "vec_id").select("id", "embedding")
     asked = _vectors(spark, sf_dir).filter("vec_id BETWEEN 1 AND 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
@@ -340,11 +340,29 @@ def _all_words(x: str) -> str:
     return f"regexp_extract_all(lower({_FOLD.format(x)}), '[a-z0-9]+')"
 
 
+def _asked_sql() -> str:
+    """What the searches ask as rows: query, alternative, atom, whether ruled out, stem, offset, words of the atom, number among what is wanted, how many are."""
+    rows = []
+    for q, text in SEARCHES:
+        found, k = parse(text), {}
+        need = {a: sum(1 for x in found if x[0] == a and not x[2]) for a in {x[0] for x in found}}
+        for alt, atom, negated, stem, offset, words in found:
+            k[alt] = k.get(alt, 0) + (not negated)
+            rows.append(f"({q}::BIGINT, {alt}, {atom}, {negated}, '{stem}', {offset}, {words}, {k[alt]}, {need[alt]})")
+    return ", ".join(rows)
+
+
+_MOST = max(sum(1 for x in parse(t) if x[0] == a and not x[2]) for _, t in SEARCHES for a in {x[0] for x in parse(t)})
+_LAST = [f"l{i}" for i in range(1, _MOST + 1)]
 _LEX = f"""wl AS (SELECT id, {_all_words("title")} AS a, {_all_words("text")} AS c FROM d), oc AS (SELECT id, generate_subscripts(a, 1) AS pos, unnest(a) AS t, 1.0::DOUBLE AS w FROM wl UNION ALL SELECT id, len(a) + generate_subscripts(c, 1), unnest(c), 0.2::DOUBLE FROM wl),
-asked(query_id, t, k, need) AS (VALUES (1::BIGINT, 'ther', 0, 1), (2, 'thth', 0, 2), (2, 'tion', 1, 2), (3, 'quelle', 0, 1), (4, 'erth', 0, 2), (4, 'ther', 1, 2)),
-hw AS (SELECT *, max(pos) FILTER (k = 0) OVER win AS l0, max(pos) FILTER (k = 1) OVER win AS l1, count(*) OVER win AS n, sum(1 / w) OVER win AS inv FROM oc JOIN asked USING (t) WINDOW win AS (PARTITION BY query_id, id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-bg AS (SELECT *, CASE WHEN need = 1 THEN l0 WHEN l0 IS NOT NULL AND l1 IS NOT NULL THEN least(l0, l1) END AS p FROM hw), en AS (SELECT query_id, id, p, min(pos) AS q, arg_min(n, pos) AS n1, arg_min(inv, pos) AS i1 FROM bg WHERE p IS NOT NULL GROUP BY 1, 2, 3),
-lex AS (SELECT en.query_id, en.id, round(sum((n1 - b.n + 1) / (i1 - b.inv + 1 / b.w) / (1 + q - en.p - (n1 - b.n))), 6) AS score FROM en JOIN hw b ON b.query_id = en.query_id AND b.id = en.id AND b.pos = en.p GROUP BY 1, 2)"""
+{stem_ctes("oc")},
+asked(query_id, alt, atom, negated, stem, off, words, k, need) AS (VALUES {_asked_sql()}),
+met AS (SELECT query_id, alt, atom, negated, words, k, need, id, pos, w, count(*) OVER (PARTITION BY query_id, atom, id, pos - off) AS here FROM oc JOIN st ON oc.t = st.word JOIN asked USING (stem)),
+hw AS (SELECT *, {", ".join(f"max(pos) FILTER (k = {i}) OVER win AS l{i}" for i in range(1, _MOST + 1))}, count(*) OVER win AS n, sum(1 / w) OVER win AS inv FROM met m WHERE here = words AND NOT negated
+  AND NOT EXISTS (SELECT 1 FROM met x WHERE x.negated AND x.here = x.words AND x.query_id = m.query_id AND x.alt = m.alt AND x.id = m.id) WINDOW win AS (PARTITION BY query_id, alt, id ORDER BY pos)),
+bg AS (SELECT *, CASE WHEN len(list_filter([{", ".join(_LAST)}], lambda x: x IS NOT NULL)) = need THEN least({", ".join(_LAST)}) END AS p FROM hw), en AS (SELECT query_id, alt, id, p, min(pos) AS q, arg_min(n, pos) AS n1, arg_min(inv, pos) AS i1 FROM bg WHERE p IS NOT NULL GROUP BY 1, 2, 3, 4),
+be AS (SELECT query_id, alt, id, pos, min(n) - count(*) AS n0, min(inv) - sum(1 / w) AS i0 FROM hw GROUP BY 1, 2, 3, 4),
+lex AS (SELECT en.query_id, en.id, round(sum((n1 - n0) / (i1 - i0) / (1 + greatest(0, q - en.p - (n1 - n0 - 1)))), 6) AS score FROM en JOIN be b ON b.query_id = en.query_id AND b.alt = en.alt AND b.id = en.id AND b.pos = en.p GROUP BY 1, 2)"""
 
 
 def _cue_sql() -> str:

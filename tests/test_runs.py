@@ -143,7 +143,7 @@ def test_covers_equal_brute_force(spark):
     asked = {1: ["aa"], 2: ["aa", "bb"], 3: ["cc", "aa", "ff"]}
     df = spark.createDataFrame(docs, "id long, title string, body string")
     queries = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query_id long, term string")
-    got = {(r.query_id, r.id): r.score for r in retrieval.cover_density(retrieval.occurrences(df, {"A": "title", "C": "body"}, queries), queries, 100).collect()}
+    got = {(r.query_id, r.id): r.score for r in retrieval.cover_density(retrieval.lexeme_hits(df, {"A": "title", "C": "body"}, queries), queries, 100).collect()}
     want = {}
     for q, ts in asked.items():
         for i, title, body in docs:
