@@ -139,11 +139,8 @@ def csr(texts: list[bytes | None], buckets: int = BUCKETS, width: int = WIDTH) -
     return n_words, np.searchsorted(keys, np.arange(len(texts) + 1) * buckets), keys % buckets, counts
 
 
-_BLOCK = "doc_ids array<long>, text_keys array<long>, n_words array<long>, ends array<int>, gaps array<int>, counts array<int>"
-
-
-def _lists(*arrays: np.ndarray, kinds: list[pa.DataType]) -> list[pa.Array]:
-    return [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, k)) for a, k in zip(arrays, kinds, strict=True)]
+#: Blocks hold their arrays as little-endian bytes: words of 64 bits, ends, gaps and counts of 32.
+_BLOCK = "doc_ids array<long>, text_keys array<long>, n_words binary, ends binary, gaps binary, counts binary"
 
 
 def count_matrix(docs: DataFrame, buckets: int = BUCKETS, width: int = WIDTH) -> DataFrame:
@@ -161,26 +158,27 @@ def count_matrix(docs: DataFrame, buckets: int = BUCKETS, width: int = WIDTH) ->
                 heads = ends[:-1][np.diff(ends) > 0]
                 gaps[heads] = columns[heads]
                 ids, own = (pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), c[at:to]) for c in (names, keys))
-                rest = _lists(n_words, ends[1:], gaps, counts, kinds=[pa.int64()] + [pa.int32()] * 3)
+                rest = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((n_words, "<i8"), (ends[1:], "<i4"), (gaps, "<i4"), (counts, "<i4"))]
                 yield pa.RecordBatch.from_arrays([ids, own, *rest], ["doc_ids", "text_keys", "n_words", "ends", "gaps", "counts"])
                 at = to
 
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), as_bytes())
     path = scratch(spark, "matrix")
-    # Small row groups: a block is a long row, and a reader holds a row group at a time.
-    map_batches(rows, run, _BLOCK).write.option("compression", "zstd").option("parquet.block.size", GROUP).parquet(path)
+    # Small row groups, looked after from the first row on: a block is a long row, and a reader holds a row group at a time.
+    map_batches(rows, run, _BLOCK).write.option("compression", "zstd").option("parquet.block.size", GROUP).option("parquet.page.size.row.check.min", 1).parquet(path)
     return spark.read.schema(_BLOCK).parquet(path)
 
 
 def _block(b: pa.RecordBatch, row: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, keys, words, row pointers, columns, counts) of one block."""
-    ids, keys, words, ends, gaps, counts = (b.column(k)[row].values for k in range(6))
-    ends = np.r_[0, ends.to_numpy()].astype(np.int64)
-    run = np.cumsum(gaps.to_numpy().astype(np.int64))
-    heads = np.minimum(ends[:-1], max(len(run) - 1, 0))
-    before = (run[heads] - gaps.to_numpy()[heads]) if len(run) else np.zeros(len(heads), np.int64)
-    return ids, keys, words.to_numpy(), ends, run - np.repeat(before, np.diff(ends)), counts.to_numpy().astype(np.int64)
+    ids, keys = b.column(0)[row].values, b.column(1)[row].values
+    words, ends, gaps, counts = (np.frombuffer(b.column(k)[row].as_py(), kind).astype(np.int64) for k, kind in ((2, "<i8"), (3, "<i4"), (4, "<i4"), (5, "<i4")))
+    ends, run = np.r_[0, ends], np.cumsum(gaps)
+    heads = ends[:-1][np.diff(ends) > 0]
+    before = np.zeros(len(ends) - 1, np.int64)
+    before[np.diff(ends) > 0] = run[heads] - gaps[heads]
+    return ids, keys, words, ends, run - np.repeat(before, np.diff(ends)), counts
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
