@@ -1,20 +1,21 @@
-"""Itineraries: who may fill which slot, whether a day can work, plans by branch and bound, and an independent check."""
+"""Itineraries: who may fill which slot and when, whether a day can work, and an independent check; plans are made in planning."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from .planning import EARTH_KM, LEAST_MINUTES, SPEED_KMH, plan
+
+__all__ = ["checks", "eligible", "override_slots", "pair_minutes", "plan", "precheck", "satisfaction", "travel_minutes", "violations"]
 
 #: Fixed values of the domain.
-SPEED_KMH, LEAST_MINUTES, PER_SLOT = 18.0, 5, 40
-EARTH_KM = 6371.0
+PER_SLOT = 40
 
 
 def eligible(stops: DataFrame, slots: DataFrame, needs: list[str] = (), ceiling: str | None = None, per_slot: int = PER_SLOT) -> DataFrame:
-    """(day, slot, place_id, ...): stops of a slot's type, for the party and its purse, open for the dwell within the slot; the best per_slot.
+    """(day, slot, place_id, ..., earliest, latest): stops of a slot's type, for the party and its purse, open for the dwell within the slot, with when one may arrive; the best per_slot.
 
     slots: day, weekday, slot, types, opens, closes (minutes), a small table. stops: place_id, type, score, price_band,
     dwell, hours (array of weekday, opens, closes; none: open), and a boolean for
@@ -30,9 +31,16 @@ def eligible(stops: DataFrame, slots: DataFrame, needs: list[str] = (), ceiling:
     def fits(h: Column) -> Column:
         return (h["weekday"] == F.col("weekday")) & (F.least(h["closes"], F.col("closes")) - F.greatest(h["opens"], F.col("opens")) >= F.col("dwell"))
 
-    open_ = F.col("hours").isNull() | (F.size("hours") == 0) | F.exists("hours", fits)
+    anytime = F.coalesce(F.size("hours") == 0, F.lit(True)) | (F.size("hours") <= 0)
+    # Of several hours on the day those count that share most with the slot.
+    shared = lambda h: F.least(h["closes"], F.col("closes")) - F.greatest(h["opens"], F.col("opens"))
+    hours = F.array_max(F.transform(F.filter("hours", fits), lambda h: F.struct(shared(h).alias("n"), (-h["opens"]).alias("o"), h["closes"].alias("c"))))
+    met = met.withColumn("__h", F.when(~anytime, hours)).withColumns(
+        {"earliest": F.greatest("opens", -F.col("__h.o")), "latest": F.least(F.col("closes"), F.col("__h.c")) - F.col("dwell")}
+    )
+    open_ = (anytime | F.col("__h").isNotNull()) & (F.col("latest") >= F.col("earliest"))
     w = Window.partitionBy("day", "slot").orderBy(F.desc("score"), "place_id")
-    return met.filter(open_).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_slot)
+    return met.filter(open_).drop("__h").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_slot)
 
 
 def precheck(candidates: DataFrame, slots: DataFrame, max_per_org: int) -> DataFrame:
@@ -60,64 +68,14 @@ def pair_minutes(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("a", "b", F.coalesce("__there", "__back", far).alias("minutes"))
 
 
-def plan(candidates: DataFrame, max_per_org: int = 2, nodes: int = 200_000) -> DataFrame:
-    """(request_id, day, slot, place_id, proven): the best-scored choice of one stop a slot, none twice, of an organisation at most max_per_org, with time to travel.
+def violations(plans: DataFrame, stops: DataFrame, slots: DataFrame, max_per_org: int) -> DataFrame:
+    """(request_id, rule, day, place_id) of what a plan breaks: repeats, wrong types, organisations over the cap, no time to travel, slots left empty.
 
-    candidates: request_id, day, slot, starts, place_id, org_id, score, dwell, lat, lng. Each request is searched by
-    itself, branch and bound in order of slots: what is left can add at most its
-    slots' best scores. Requests are small (PER_SLOT stops a slot); after `nodes` steps the best
-    plan so far stands, with proven false; a request that has none by then, or can't have one, has no row.
+    Plans with a column arrives are held to it, others to the slots' beginnings; where
+    slots has a column required, only those that are may not be empty.
     """
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        import math
-
-        slots = sorted({(d, s, t) for d, s, t in zip(rows["day"], rows["slot"], rows["starts"], strict=True)}, key=lambda x: (x[0], x[2], x[1]))
-        by = {k: sorted(rows[(rows["day"] == k[0]) & (rows["slot"] == k[1])].to_dict("records"), key=lambda r: (-r["score"], r["place_id"])) for k in slots}
-        bound = [0.0]
-        for k in reversed(slots):
-            bound.append(bound[-1] + by[k][0]["score"])
-        bound.reverse()
-        best: list = [-1.0, None]
-        steps = [0]
-
-        def minutes(a: dict, b: dict) -> int:
-            x, y = math.radians(b["lat"] - a["lat"]) / 2, math.radians(b["lng"] - a["lng"]) / 2
-            h = math.sin(x) ** 2 + math.cos(math.radians(a["lat"])) * math.cos(math.radians(b["lat"])) * math.sin(y) ** 2
-            return max(LEAST_MINUTES, round(2 * EARTH_KM * math.asin(min(1.0, math.sqrt(h))) / SPEED_KMH * 60))
-
-        def go(i: int, chosen: list, used: set, orgs: dict, score: float) -> None:
-            steps[0] += 1
-            if steps[0] > nodes or score + bound[i] <= best[0] + 1e-12:
-                return
-            if i == len(slots):
-                best[0], best[1] = score, list(chosen)
-                return
-            day, _, starts = slots[i]
-            for r in by[slots[i]]:
-                org = None if pd.isna(r["org_id"]) else r["org_id"]
-                if r["place_id"] in used or (org is not None and orgs.get(org, 0) >= max_per_org):
-                    continue
-                if chosen and chosen[-1][0] == day and chosen[-1][2] + chosen[-1][3]["dwell"] + minutes(chosen[-1][3], r) > starts:
-                    continue
-                chosen.append((day, slots[i][1], starts, r))
-                if org is not None:
-                    orgs[org] = orgs.get(org, 0) + 1
-                go(i + 1, chosen, used | {r["place_id"]}, orgs, score + r["score"])
-                chosen.pop()
-                if org is not None:
-                    orgs[org] -= 1
-
-        go(0, [], set(), {}, 0.0)
-        rid = rows["request_id"].iloc[0]
-        return pd.DataFrame([(rid, d, s, r["place_id"], steps[0] <= nodes) for d, s, _, r in best[1] or []], columns=["request_id", "day", "slot", "place_id", "proven"])
-
-    return candidates.groupBy("request_id").applyInPandas(search, "request_id long, day int, slot string, place_id long, proven boolean")
-
-
-def violations(plans: DataFrame, stops: DataFrame, slots: DataFrame, max_per_org: int) -> DataFrame:
-    """(request_id, rule, day, place_id) of what a plan breaks: repeats, wrong types, organisations over the cap, no time to travel, slots left empty."""
-    p = plans.join(stops, "place_id").join(slots.select("day", "slot", "types", F.col("opens").alias("starts")), ["day", "slot"])
+    starts = F.col("arrives") if "arrives" in plans.columns else F.col("opens")
+    p = plans.join(stops, "place_id").join(slots.select("day", "slot", "types", "opens"), ["day", "slot"]).withColumn("starts", starts)
     pick = lambda d, rule: d.select("request_id", F.lit(rule).alias("rule"), F.col("day").cast("int").alias("day"), F.col("place_id").cast("long").alias("place_id"))
     repeats = p.withColumn("__n", F.count("*").over(Window.partitionBy("request_id", "place_id"))).filter("__n > 1")
     types = p.filter(~F.array_contains("types", F.col("type")))
@@ -125,7 +83,8 @@ def violations(plans: DataFrame, stops: DataFrame, slots: DataFrame, max_per_org
     w = Window.partitionBy("request_id", "day").orderBy("starts")
     late = p.withColumns({"__lat": F.lag("lat").over(w), "__lng": F.lag("lng").over(w), "__end": F.lag(F.col("starts") + F.col("dwell")).over(w)})
     late = late.filter(F.col("__end") + travel_minutes(F.col("__lat"), F.col("__lng"), F.col("lat"), F.col("lng")) > F.col("starts"))
-    wanted = plans.select("request_id").distinct().crossJoin(F.broadcast(slots.select("day", "slot")))
+    must = slots.filter("required") if "required" in slots.columns else slots
+    wanted = plans.select("request_id").distinct().crossJoin(F.broadcast(must.select("day", "slot")))
     empty = wanted.join(plans, ["request_id", "day", "slot"], "left_anti").withColumn("place_id", F.lit(None).cast("long"))
     out = pick(repeats, "repeat")
     for rows, rule in ((types, "type"), (orgs, "organisation"), (late, "travel"), (empty, "empty")):

@@ -367,10 +367,12 @@ def N2_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def N3_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = it.eligible(_stops(spark, sf_dir), _slots(spark), [], "upscale", 6)
-    asked = spark.range(4).select(F.col("id").alias("request_id"))
-    c2 = found.crossJoin(F.broadcast(asked)).select("request_id", "day", "slot", F.col("opens").alias("starts"), "place_id", "org_id", (F.col("score") * (1 + F.col("request_id") % 2)).alias("score"), "dwell", "lat", "lng")
-    return it.plan(c2)
+    """Sixteen trips over the same slots, with caps, budgets, partners and interests of their own; lunch is required."""
+    found = it.eligible(_stops(spark, sf_dir), _slots(spark), [], "upscale")
+    asked = spark.range(16).select(F.col("id").alias("request_id"), (1 + F.col("id") % 3).alias("max_per_org"), (1 + F.col("id") % 2).alias("max_per_type"), F.when(F.col("id") % 4 != 0, 4 + F.col("id")).alias("budget"), (F.col("id") % 3).alias("partners"), F.when(F.col("id") % 5 == 0, F.array(F.lit("do"))).alias("interests"))
+    price = F.when(F.col("price_band").isNotNull(), F.coalesce(c.price_rank(F.col("price_band")), F.lit(0)) + 1)
+    of_slot = found.select("day", "slot", F.col("opens").alias("starts"), (F.col("slot") == "lunch").alias("required"), "place_id", "type", "org_id", price.cast("int").alias("price"), (F.col("place_id") % 7 == 0).alias("partner"), "score", "earliest", "latest", "dwell", "lat", "lng")
+    return it.plan(of_slot.crossJoin(F.broadcast(asked.select("request_id"))), asked)
 
 
 def N4_travel(spark: SparkSession, sf_dir: str) -> DataFrame:

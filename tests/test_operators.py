@@ -176,18 +176,6 @@ def test_upsert_and_diff(spark):
     assert {tuple(r) for r in merge.snapshot_diff(old, new, ["id"]).collect()} == {(1, "removed"), (2, "changed"), (3, "added")}
 
 
-def test_plan_is_the_best_and_valid(spark):
-    import itertools
-
-    slots = [(0, "a", 540), (0, "b", 720), (1, "a", 540)]
-    stops = [(i, i % 2, ((i * 7) % 10) / 10, 60, -6.2 + i / 200, 106.8) for i in range(5)]
-    rows = [(1, d, s, t, p, o, sc, dw, la, ln) for d, s, t in slots for p, o, sc, dw, la, ln in stops]
-    cand = spark.createDataFrame(rows, "request_id long, day int, slot string, starts int, place_id long, org_id long, score double, dwell int, lat double, lng double")
-    got = [r.place_id for r in itinerary.plan(cand, 2).collect()]
-    best = max(sum(stops[i][2] for i in ids) for ids in itertools.permutations(range(5), 3) if max(sum(1 for i in ids if stops[i][1] == o) for o in (0, 1)) <= 2)
-    assert len(got) == 3 == len(set(got)) and sum(stops[i][2] for i in got) == pytest.approx(best)
-
-
 def test_cues_need_the_title(spark):
     docs = spark.createDataFrame([(1, "hotel hotel", "x"), (2, "nothing", "hotel " * 50)], "id long, title string, text string")
     got = {r.id: r.cue.value for r in cues.score(docs, "title", "text", {"stay": [("hotel", 2.0)], "eat": [("food", 2.0)]}).collect()}

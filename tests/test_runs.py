@@ -209,10 +209,3 @@ def test_words_part_where_a_reader_sees_it(spark):
     cases = {"<p>a<b>b</b>c</p><p>d</p>": "abc d", "x<br>y<BR/>z": "x y z", "<td>1</td><td>2</td>": "1 2", "<pre-x>q</pre-x>r": "qr", "<i>f</i>oo &amp; <a href='p'>b</a>ar": "foo & bar", "a<!-- c -->b": "ab"}
     df = spark.createDataFrame([(k,) for k in cases], "h string")
     assert {r.h: r.t for r in df.select("h", c.rendered_text(F.col("h")).alias("t")).collect()} == cases
-
-
-def test_an_unproven_plan_says_so(spark):
-    rows = [(1, 0, s, t, p, p % 3, (p * 7 % 10) / 10, 30, -6.2 + p / 500, 106.8) for s, t in (("a", 500), ("b", 700), ("c", 900)) for p in range(8)]
-    cand = spark.createDataFrame(rows, "request_id long, day int, slot string, starts int, place_id long, org_id long, score double, dwell int, lat double, lng double")
-    assert {r.proven for r in itinerary.plan(cand).collect()} == {True}
-    assert {r.proven for r in itinerary.plan(cand, nodes=4).collect()} == {False}
