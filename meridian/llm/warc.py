@@ -11,9 +11,12 @@ smallest page_id is a response, the others are revisits that refer to it;
 records with smaller payloads are all responses.
 
 Defined cases: a null html is an empty payload. A null url is the key "-". Rows
-that repeat the smallest page_id of their payload are all responses. A null
-page_id is a revisit if any page has its payload, else a response. Extra columns
-are ignored.
+that repeat the smallest page_id of their payload are all responses. A page_id
+that comes with several payloads has a record for each row, response or revisit
+by that row's payload alone. A null page_id is a revisit if any page has its
+payload, else a response. A payload is compressed and read whole, however long;
+a file holds at least one record. An empty table gives no rows. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -124,11 +127,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: in
     that no index names, never a torn one. Materialise the result once.
     """
     named = cut(revisits(pages, least), "warc-revisits")  # its size is known now: where it is small, payloads needn't be dealt out to meet it
-    ids = named.filter("page_id IS NOT NULL").select("page_id", "refers_to").distinct().withColumnsRenamed({"page_id": "__p"})
+    again = named.select(F.col("page_id").alias("__p"), F.col("sha").alias("__s"), "refers_to").distinct()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
-    known = rows.filter("page_id IS NOT NULL").join(ids, F.col("page_id") == F.col("__p"), "left").drop("__p")
-    nameless = named.filter("page_id IS NULL").select("sha", F.col("refers_to")).distinct().withColumnRenamed("sha", "__s")
-    lost = rows.filter("page_id IS NULL").join(nameless, F.unhex(F.sha1("html")) == F.col("__s"), "left").drop("__s")
+    # By id and payload: an id may come with several payloads, of which each is a record of its own.
+    met = rows.join(again, F.col("page_id").eqNullSafe(F.col("__p")) & (F.unhex(F.sha1("html")) == F.col("__s")), "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
@@ -158,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: in
         if out is not None:
             yield close()
 
-    return map_batches(known.unionByName(lost), run, _INDEX)
+    return map_batches(met, run, _INDEX)
 
 
 class LoserTree:

@@ -296,6 +296,18 @@ def test_warc_round_trip(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_ids_with_several_payloads(spark):
+    """Every row is one record, told apart by its payload, and every payload can be read."""
+    long = "long " * 400_000
+    pages = [(1, "A"), (2, "B"), (5, "A"), (5, "B"), (7, "B"), (7, "unique"), (8, long), (9, long), (9, None)]
+    df = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in pages], "page_id long, url string, html string").repartition(4)
+    got = warc.read_archives(warc.archive(df)).collect()
+    first = {h: min(i for i, x in pages if x == h) for _, h in pages}
+    want = [(i, warc.digest((h or "").encode()), *(("response", None) if first[h] == i else ("revisit", first[h]))) for i, h in pages]
+    assert sorted(map(str, ((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in got))) == sorted(map(str, want))
+    assert {r.payload.decode() for r in got if r.record_type == "response"} == {"A", "B", "unique", long, ""}
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 5, 8):
