@@ -68,6 +68,12 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='meridian-')}")
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder, where it outlives executors."""
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) of every node of `nodes`: the least node reachable over edges (a, b).
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..functions.stemming import parse
 from ..operators import behaviour as b
-from ..operators import cues
+from ..operators import cues, latent, resolution
 from ..operators import retrieval as r
 from . import behaviour as bp
 from .fixtures import AS_OF_DAY, ctes, interactions, table
@@ -279,10 +279,18 @@ def I18_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def I19_tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = r.tf_idf(table(spark, sf_dir, "documents"), "doc_id", "text")
+    w = latent.tf_idf(table(spark, sf_dir, "documents"), "doc_id", "text")
     return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 5).alias("total"))
 
 
+def I19_reduced_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document the leading directions keep, and how near it is to all documents' mean: neither hangs on the directions' signs or order."""
+    v = latent.reduced_vectors(table(spark, sf_dir, "documents"), "doc_id", "text", components=32)
+    v = resolution.durable(v)
+    mean = r.mean_vectors(v.withColumnRenamed("vector", "embedding").withColumn("one", F.lit(1)), ["one"]).select(F.col("vector").alias("mean"))
+    return v.crossJoin(F.broadcast(mean)).select("doc_id", F.round("kept", 5).alias("kept"), F.round(c.cosine(F.col("vector"), F.col("mean")), 5).alias("centrality"))
+
+
 def I20_lexicon_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([(1, "ther"), (2, "tion"), (3, "erth"), (4, "eaux"), (5, "keit")], "term_id long, word string")
     docs = _docs(spark, sf_dir).withColumns({"lead": F.substring("text", 1, 400), "body": F.substring("text", 401, 1200)})
@@ -312,7 +320,7 @@ def P2_taste_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     x.__name__: x
-    for x in (I1_lexical, I2_exact_knn, I4_rank_fusion, I5_hybrid_search, F3_mmr, H16_freshness, H17_format_trust, I6_blend, I7_rerank, I8_features, H18_proximity, H19_price_area, H20_jaccard, H21_facet_similarity, H22_cosine, H23_quality, H24_evidence_score, E5_log_prior, H25_cue_scores, H26_first_person, D28_language_share, H30_hash_bucket, H15_embedding_text, H1_normalize_name, H2_slugify, H3_normalize_title, H4_tokens, H5_visible_text, H11_links, H12_hosts, H13_canonical_url, H33_vector_text, H10_word_delta, I15_centroids, D24_mean_vectors, I16_loo_knn, I18_cohesion, I19_tf_idf, I20_lexicon_tags, I25_rescore, P2_taste_blend)
+    for x in (I1_lexical, I2_exact_knn, I4_rank_fusion, I5_hybrid_search, F3_mmr, H16_freshness, H17_format_trust, I6_blend, I7_rerank, I8_features, H18_proximity, H19_price_area, H20_jaccard, H21_facet_similarity, H22_cosine, H23_quality, H24_evidence_score, E5_log_prior, H25_cue_scores, H26_first_person, D28_language_share, H30_hash_bucket, H15_embedding_text, H1_normalize_name, H2_slugify, H3_normalize_title, H4_tokens, H5_visible_text, H11_links, H12_hosts, H13_canonical_url, H33_vector_text, H10_word_delta, I15_centroids, D24_mean_vectors, I16_loo_knn, I18_cohesion, I19_tf_idf, I19_reduced_vectors, I20_lexicon_tags, I25_rescore, P2_taste_blend)
 }
 
 _FOLD = "translate({0}, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')"
