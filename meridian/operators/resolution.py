@@ -1,4 +1,4 @@
-"""Entity resolution: names, candidate pairs, components, junk names, areas, lookups."""
+"""Entity resolution: names, candidate pairs, components, areas, lookups."""
 
 from __future__ import annotations
 
@@ -17,18 +17,14 @@ from .joins import block_pairs
 AUTO, REVIEW = 0.85, 0.55
 #: Fixed values of the domain: what equal core words are worth, and the weight of the main evidence.
 SAME_CORE, MAJOR = 0.9, 0.7
-#: Words that many names have, and the names of whole cities and the country.
-GENERIC = (
-    "a", "an", "and", "at", "bali", "bar", "bars", "beach", "boutique", "by", "cafe", "club", "gallery", "hotel", "hotels", "in", "indonesia",
-    "jakarta", "lounge", "museum", "of", "on", "residence", "residences", "resort", "resorts", "restaurant", "restaurants", "rooftop", "spa",
-    "suite", "suites", "the", "villa", "villas",
-)
+#: Words that many names have: a short default; a domain's own are an argument.
+GENERIC = ("the", "a", "of", "and", "at", "in", "by", "hotel", "resort", "restaurant", "cafe", "bar", "spa", "club", "villa", "villas")
 
 
-def core_tokens(name: Column) -> Column:
+def core_tokens(name: Column, generic: tuple[str, ...] = GENERIC) -> Column:
     """Words of a name in order, without those that many names have; all of them where none else is left."""
     found = F.array_distinct(F.filter(F.split(c.normalize_name(name), " "), lambda w: w != ""))
-    own = F.filter(found, lambda w: ~F.array_contains(F.array(*map(F.lit, GENERIC)), w))
+    own = F.filter(found, lambda w: ~F.array_contains(F.array(*map(F.lit, generic)), w))
     return F.when(F.size(own) > 0, own).otherwise(found)
 
 
@@ -134,38 +130,6 @@ def first_known(rows: DataFrame, by: str, order: list[Column], fields: list[str]
     return ranked.groupBy(by).agg(*values, conflicts)
 
 
-#: Ordered rules of names that are no place: (reason, pattern over the small name, whether sure).
-JUNK_RULES = (
-    ("empty", "^[^a-z0-9]*$", True),
-    ("number", "^[0-9 .,/-]+$", True),
-    ("price", "(rp|idr|usd|\\$) ?[0-9]", True),
-    ("time", "^[0-9]{1,2}[:.][0-9]{2}", True),
-    ("month", "^(january|february|march|april|may|june|july|august|september|october|november|december)( [0-9]{1,4})?$", True),
-    ("weekday", "^(mon|tues|wednes|thurs|fri|satur|sun)day", True),
-    ("url", "(https?://|www\\.|\\.com|\\.co\\.)", True),
-    ("contact", "(@|tel[.:]|phone|whatsapp)", True),
-    ("sentence", "^(how|why|what|when|where|who|this|these|there|here) ", True),
-    ("call", "^(read|click|see|find|follow|book|visit|discover) ", True),
-    ("list", "^(top|best|[0-9]+) .*(places|things|spots|ways|restaurants|hotels|reasons)", True),
-    ("award", "(award|nominee|winner)", False),
-    ("event", "(festival|concert|exhibition|ceremony|anniversary|edition)", False),
-    ("person", "^(mr|mrs|ms|dr|chef|general manager) ", False),
-    ("long", "^.{70,}$", False),
-    ("short", "^.{1,2}$", False),
-)
-
-
-def junk_verdict(name: Column) -> tuple[Column, Column]:
-    """(verdict, reason): junk, suspect or ok by the first rule that holds."""
-    text = F.lower(c.collapse(c.fold_accents(F.coalesce(name, F.lit("")))))
-    reason, verdict = F.lit(None).cast("string"), F.lit("ok")
-    for why, pattern, sure in reversed(JUNK_RULES):
-        hit = text.rlike(pattern)
-        reason = F.when(hit, why).otherwise(reason)
-        verdict = F.when(hit, "junk" if sure else "suspect").otherwise(verdict)
-    return verdict, reason
-
-
 def match_areas(texts: DataFrame, areas: DataFrame, key: str = "id") -> DataFrame:
     """(key, area_id) of the area named in a text: the deepest, then the longest name, then the least id. areas: (area_id, name, depth).
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
-from . import integrity, resolution
+from . import integrity, junk, resolution
 from .retrieval import mean_vectors
 
 #: Fixed values of the domain: how surely a word in each zone names its term, and the least closeness to a term's centroid that tags.
@@ -49,7 +49,7 @@ def mention_run(docs: DataFrame, gazetteer: DataFrame, known: DataFrame) -> Data
     names for one place in a text the first by alphabet stands.
     """
     names = resolution.extract_names(docs)
-    verdict, _ = resolution.junk_verdict(F.col("name"))
+    verdict, _ = junk.verdict(F.col("name"))
     fit = names.filter(verdict != "junk")
     found = resolution.lookup(fit.select(F.col("name").alias("mention")).distinct(), gazetteer)
     rows = fit.join(found.select(F.col("mention").alias("name"), "place_id"), "name").groupBy(F.col("id").alias("article_id"), "place_id").agg(F.min("name").alias("surface_text"))

@@ -163,11 +163,6 @@ def test_names(spark):
     assert sim("Blue Ocean", "Green Hill") < resolution.REVIEW
 
 
-@pytest.mark.parametrize(("name", "verdict"), [("", "junk"), ("Top 5 places to eat", "junk"), ("Monday", "junk"), ("Jazz Festival", "suspect"), ("Warung Made", "ok")])
-def test_junk(spark, name, verdict):
-    assert one(spark, resolution.junk_verdict(F.lit(name))[0]) == verdict
-
-
 def test_upsert_and_diff(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string")
