@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,22 +106,44 @@ def coverage_curve(predictions: DataFrame, thresholds: list[float]) -> DataFrame
     return met.crossJoin(F.broadcast(total)).select("threshold", "covered", (F.col("covered") / F.nullif("total", F.lit(0))).alias("coverage"), (F.col("correct") / F.nullif("covered", F.lit(0))).alias("accuracy"))
 
 
-def paired_bootstrap(pairs: DataFrame, rounds: int = 2000, seed: int = 7) -> DataFrame:
+def block_draws(sizes: np.ndarray, block: int, rounds: int, seed: int) -> np.ndarray:
+    """How many of all draws fall on one block in each round, where each round draws as often as there are rows.
+
+    The draws of a range of blocks are split between its halves by a binomial,
+    seeded by the range; blocks go down the same splits, so their numbers are one
+    multinomial draw and sum to the number of rows in every round, with no block knowing more than all sizes.
+    """
+    upto, lo, hi = np.r_[0, np.cumsum(sizes)], 0, len(sizes)
+    draws = np.full(rounds, upto[-1])
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = np.random.default_rng([seed, lo, hi]).binomial(draws, (upto[mid] - upto[lo]) / max(upto[hi] - upto[lo], 1))
+        draws, lo, hi = (left, lo, mid) if block < mid else (draws - left, mid, hi)
+    return draws
+
+
+def paired_bootstrap(pairs: DataFrame, rounds: int = 2000, seed: int = 7, block_rows: int = BLOCK) -> DataFrame:
     """(mean_diff, low, high, p_b_better) of b - a over resampled queries: (query_id, a, b).
 
-    Each query enters each round a Poisson(1) number of times, drawn by a hash of query and round, so rounds are sums that any executor can add up. Sums are packed as one array a partition.
+    Each round draws n of the n queries with replacement. Queries are dealt into blocks
+    of about block_rows by hash; a block knows how many of a round's draws are its own
+    (block_draws) and draws those among its rows, so rounds are sums that any executor can add up.
     """
-    import numpy as np
     import pandas as pd
 
-    def draw(block):
-        block = block.sort_values(["h", "a", "b"])
-        n = np.random.default_rng([seed, int(block["block"].iloc[0])]).poisson(1.0, (len(block), rounds))
-        d = (block["b"] - block["a"]).to_numpy(float)
-        return pd.DataFrame({"round": np.arange(rounds), "s": d @ n, "w": n.sum(axis=0).astype(float)})
-
-    blocks = max(1, -(-pairs.count() // BLOCK))
+    blocks = max(1, -(-pairs.count() // block_rows))
     rows = pairs.select(F.xxhash64("query_id").alias("h"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).withColumn("block", F.pmod("h", F.lit(blocks)))
+    sizes = np.zeros(blocks, np.int64)
+    for r in rows.groupBy("block").count().collect():  # one number a block
+        sizes[r["block"]] = r["count"]
+
+    def draw(some: pd.DataFrame) -> pd.DataFrame:
+        some, block = some.sort_values(["h", "a", "b"]), int(some["block"].iloc[0])
+        d = (some["b"] - some["a"]).to_numpy(float)
+        n = block_draws(sizes, block, rounds, seed)
+        rng = np.random.default_rng([seed, block])
+        return pd.DataFrame({"round": np.arange(rounds), "s": [d[rng.integers(0, len(d), k)].sum() for k in n], "w": n.astype(float)})
+
     means = rows.groupBy("block").applyInPandas(draw, "round long, s double, w double").groupBy("round").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     point = pairs.agg(F.avg(F.col("b") - F.col("a")).alias("mean_diff"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg((F.col("m") > 0).cast("double")).alias("p_b_better")).crossJoin(point)

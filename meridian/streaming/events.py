@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 EVENT = "event_id long, type string, entity_id string, user_id long, ts timestamp, text_hash string"
 
@@ -90,3 +92,53 @@ def upsert_epoch(path: str, key: str) -> Callable[[DataFrame, int], None]:
         newest.select(key, "s.*").write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return handle
+
+
+class _Gate(StatefulProcessor):
+    """Per key the hash and time of its newest state; a timer forgets a key that has long been still."""
+
+    def __init__(self, keep_s: int) -> None:
+        self.keep_s = keep_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "text_hash string, ms long, event_id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = pd.concat(list(rows), ignore_index=True)
+        ms = now["ts"].astype("datetime64[us]").astype("int64") // 1000
+        at = int(now.assign(ms=ms).sort_values(["ms", "event_id"]).index[-1])
+        new = (str(now["text_hash"][at]), int(ms[at]), int(now["event_id"][at]))
+        old = tuple(self.seen.get()) if self.seen.exists() else None
+        if old is not None and (old[1], old[2]) >= (new[1], new[2]):
+            return  # an older message, or the same one again
+        self.seen.update(new)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(new[1], timerValues.getCurrentWatermarkInMs()) + self.keep_s * 1000)
+        if old is None or old[0] != new[0]:
+            yield pd.DataFrame({"entity_id": [key[0]], "text_hash": [new[0]], "ts": [pd.Timestamp(new[1], unit="ms")], "event_id": [new[2]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def changed_by_hash(stream: DataFrame, keep_s: int = 30 * 86_400, delay: str = "10 minutes") -> DataFrame:
+    """(entity_id, text_hash, ts, event_id) of messages (entity_id, text_hash, ts, event_id) after which a key has another hash than before.
+
+    Of a key's messages in one batch the newest counts, by (ts, event_id); one that is no newer than what the
+    key has, a replayed one among them, does nothing. State is a row a key, and a key
+    that was still for keep_s of event time is forgotten, so it's bounded by the keys of that time.
+    The session needs the RocksDB state store. Rows without a key are left out.
+    """
+    some = stream.filter("entity_id IS NOT NULL").select("entity_id", "text_hash", "ts", "event_id").withWatermark("ts", delay)
+    return some.groupBy("entity_id").transformWithStateInPandas(_Gate(keep_s), "entity_id string, text_hash string, ts timestamp, event_id long", "Append", "EventTime")
+
+
+def closed_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "0 seconds") -> DataFrame:
+    """(user_id, start, end, events) of sessions that are over, each handed on once: append mode, so a closed session leaves the state."""
+    return stream.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("events")).select("user_id", "s.start", "s.end", "events")
