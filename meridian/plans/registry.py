@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("behaviour", "candidates", "joining", "ranking", "measures", "contents", "catalogue", "runs", "streams")
+MODULES = ("behaviour", "candidates", "joining", "ranking", "measures", "contents", "catalogue", "runs", "streams", "loading")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
