@@ -257,7 +257,7 @@ def _answer(table: pa.Table, ids: np.ndarray, times: np.ndarray, ends: np.ndarra
     rows, at = [], 0
     for batch, grp, z in zip(table.column("batch").to_pylist(), table.column("grp").to_pylist(), ends.tolist(), strict=True):
         s = slice(at, z)
-        rows.append((batch, grp, *(_planes(x[s]) for x in (ids.astype("<u8"), np.minimum(times, 0xFFFFFFFF).astype("<u4"), chance.astype("<f4"), tables.astype("<f4")))))
+        rows.append((batch, grp, *(_planes(x[s]) for x in (ids.astype("<u8"), times.astype("<u8"), chance.astype("<f4"), tables.astype("<f4")))))
         at = z
     return _table(_NUMBERED, rows)
 
@@ -299,7 +299,7 @@ def _pair(groups: int, hot: int):
         if not left.num_rows:
             return _table(_PAIRED, [])
         b, batch = Batch(left, groups), left.column("batch")[0].as_py()
-        got = b.fill(right, {"ids": "<u8", "times": "<u4"})
+        got = b.fill(right, {"ids": "<u8", "times": "<u8"})
         u, w, count, group, _, shares = b.pairs(got["ids"], got["times"], groups, hot)
         edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, int)
         rows = []
@@ -353,7 +353,7 @@ def _count(groups: int):
         many = count > 1
         single, n_single = np.unique(u[~many], return_counts=True)
         spread = np.intersect1d(_column(table, "hot", "<u8")[0], u)
-        state = (0, grp, grp, _planes(u[many]), _planes(w[many]), count[many].astype("<u4").tobytes(), np.concatenate([single, n_single.astype(_U)]).tobytes(), spread.tobytes(), int(count.sum()), int((~many).sum()), int((count == 2).sum()))
+        state = (0, grp, grp, _planes(u[many]), _planes(w[many]), _planes(count[many].astype("<u8")), np.concatenate([single, n_single.astype(_U)]).tobytes(), spread.tobytes(), int(count.sum()), int((~many).sum()), int((count == 2).sum()))
         hot = np.isin(u, spread)
         return _table(_COUNTED, [state, *_to_words(w, np.ones(len(w)), groups, 1, grp, "<f4"), *_to_words(u[hot], np.ones(hot.sum()), groups, 6, grp, "<f8")])
 
@@ -420,7 +420,7 @@ def _state(row: dict) -> dict:
     lone = np.zeros(len(contexts))
     lone[np.searchsorted(contexts, single[0])] = single[1]
     spread = np.searchsorted(contexts, np.frombuffer(row["e"], "<u8"))
-    return {"count": np.frombuffer(row["c"], "<u4").astype(np.int64), "contexts": contexts, "context": np.searchsorted(contexts, u), "single": lone, "spread": spread, "pair_context": u, "word": _unplane(row["b"], "<u8")}
+    return {"count": _unplane(row["c"], "<u8").astype(np.int64), "contexts": contexts, "context": np.searchsorted(contexts, u), "single": lone, "spread": spread, "pair_context": u, "word": _unplane(row["b"], "<u8")}
 
 
 def _rows(table: pa.Table, kind: int) -> list[dict]:
@@ -565,7 +565,7 @@ def _score(groups: int, tokens: int, words: int, discount: float, hot: int):
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2)], names=[x.split()[0] for x in _SCORED.split(", ")])
         b = Batch(left, groups)
         weighed = pa.compute.is_valid(right.column("mass"))
-        got = b.fill(right.filter(pa.compute.invert(weighed)), {"ids": "<u8", "times": "<u4", "chance": "<f4", "tables": "<f4"})
+        got = b.fill(right.filter(pa.compute.invert(weighed)), {"ids": "<u8", "times": "<u8", "chance": "<f4", "tables": "<f4"})
         _, _, _, group, token, _ = b.pairs(got["ids"], got["times"], groups, hot)
         mass = np.zeros(len(group) + 1)  # the last place: pairs with an unknown word
         edge = np.searchsorted(group, np.arange(groups + 1))
