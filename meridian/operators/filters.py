@@ -226,6 +226,11 @@ def ladder_target(k: int, pool: int) -> int:
     return min(pool, max(FILL_TIMES * k, k))
 
 
+def ladder_targets(k: Column, pool: Column) -> Column:
+    """The same for columns."""
+    return F.least(pool, F.greatest(FILL_TIMES * k, k))
+
+
 def climb_fetched(fetch: Callable[[Rung], DataFrame], holds_always: Column, slots: int, rungs: tuple[Rung, ...] = LADDER, by: list[str] = (), order: list[Column] = (), key: str = "id") -> DataFrame:
     """climb() over what `fetch` gives for each rung, whatever that is: rows that break `holds_always` are dropped again at every rung, and a row counts from its first rung on."""
     found = None

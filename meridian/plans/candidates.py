@@ -15,8 +15,10 @@ CENTER = (-6.2, 106.8)
 
 
 def B4_excluded_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each article's type, or its having none, excludes."""
     found = f.excluded_types(table(spark, sf_dir, "relations"))
-    return found.select(F.coalesce("subject_type", F.lit("(none)")).alias("subject_type"), F.array_join("excluded", ",").alias("excluded"))
+    own = table(spark, sf_dir, "articles").join(found, F.col("primary_type").eqNullSafe(F.col("subject_type")), "left")
+    return own.select("id", F.coalesce(F.array_join("excluded", ","), F.lit("")).alias("excluded"))
 
 
 _SQL_EXCLUDED = """rel AS (SELECT type, exclude_same, list_filter(string_split(competes_csv, ','), lambda x: x <> '') AS competes FROM relations),
@@ -164,8 +166,10 @@ def F5_bucketed_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def F6_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections that complement each article, in the order of its type, three at most."""
     sections = table(spark, sf_dir, "relations").select("type", F.posexplode("complements").alias("pos", "section"))
-    return r.ranked(sections, ["type"], [F.col("pos")], 3).select("type", "section", "rank")
+    first = r.ranked(sections, ["type"], [F.col("pos")], 3).select(F.col("type").alias("primary_type"), "section", "rank")
+    return table(spark, sf_dir, "articles").join(first, "primary_type").select("id", "section", "rank")
 
 
 def E3_order_keeping_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +248,7 @@ def _open(day: int, minute: int) -> str:
 
 
 ORACLE = {
-    "B4_excluded_types": f"WITH {ctes('relations')}, {_SQL_EXCLUDED} SELECT coalesce(subject_type, '(none)') AS subject_type, coalesce(array_to_string(excluded, ','), '') AS excluded FROM ex",
+    "B4_excluded_types": f"WITH {ctes('relations', 'articles')}, {_SQL_EXCLUDED} SELECT id, coalesce(array_to_string(excluded, ','), '') AS excluded FROM articles LEFT JOIN ex ON subject_type IS NOT DISTINCT FROM primary_type",
     "B5_competitors": f"""WITH {ctes("relations", "articles")}, {_SQL_EXCLUDED} SELECT coalesce(subject_type, '(none)') AS subject_type, coalesce(primary_type, '(none)') AS candidate_type, count(*) AS n
 FROM articles CROSS JOIN ex WHERE len(excluded) > 0 AND (primary_type IS NULL OR list_contains(excluded, primary_type)) GROUP BY 1, 2""",
     "B1_places_hard": f"""WITH {ctes("places", "scores")} SELECT id, type, area_term, price_band FROM places WHERE status = 'active' AND id <> 17 AND type NOT IN ('stay', 'unknown') AND area_term IN ('area1', 'area2', 'area3', 'area7')
@@ -278,7 +282,7 @@ SELECT type, id, rung FROM g JOIN stop USING (type) WHERE first <= rung QUALIFY
     "F4_section_capped": f"""WITH {ctes("articles")}, s AS (SELECT id, coalesce(primary_type, '(none)') AS primary_type, n_chars FROM articles QUALIFY row_number() OVER (PARTITION BY coalesce(primary_type, '(none)') ORDER BY n_chars DESC, id) <= 2)
 SELECT id, primary_type, row_number() OVER (ORDER BY n_chars DESC, id) AS rank FROM s QUALIFY rank <= 9""",
     "F5_bucketed_fill": f"WITH {ctes('articles')} SELECT primary_type, id, row_number() OVER (PARTITION BY primary_type ORDER BY published_day DESC NULLS LAST, id) AS rank FROM articles WHERE primary_type IS NOT NULL QUALIFY rank <= 3",
-    "F6_complements": f"WITH {ctes('relations')}, s AS (SELECT type, string_split(complements_csv, ',') AS l FROM relations WHERE complements_csv <> '') SELECT type, l[i] AS section, i AS rank FROM s, range(1, 4) t(i) WHERE i <= len(l)",
+    "F6_complements": f"WITH {ctes('relations', 'articles')}, s AS (SELECT type, string_split(complements_csv, ',') AS l FROM relations WHERE complements_csv <> '') SELECT id, l[i] AS section, i AS rank FROM articles JOIN s ON type = primary_type, range(1, 4) t(i) WHERE i <= len(l)",
     "E3_order_keeping_dedup": f"""WITH {ctes("articles")}, b AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, id) AS was FROM articles QUALIFY was <= 200),
 d AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY coalesce(series_key, concat('no:', id)) ORDER BY was) = 1) SELECT id, was, row_number() OVER (ORDER BY was) AS rank FROM d""",
     "E6_renumber": f"""WITH {ctes("articles")}, b AS (SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, id) AS was FROM articles QUALIFY was <= 30) SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY was) AS rank FROM b WHERE id % 3 <> 0""",

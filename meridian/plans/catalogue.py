@@ -103,7 +103,9 @@ def H35_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def H36_normal_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(13).select("id", F.round(c.normal_cdf((F.col("id") - 6) / 2), 6).alias("p"))
+    """Where each document's length lies on a normal curve of 2000 characters and 1000 either way."""
+    z = (F.col("n_chars") - 2000) / 1000
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(c.normal_cdf(z), 6).alias("p"))
 
 
 def H37_hidden_rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +246,7 @@ SELECT min(doc_id) AS first, count(*) AS n, CASE WHEN count(DISTINCT year) > 1 T
     "H31_json": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, NULL AS none, 1 + json_extract_string(props, '$.k')::INT AS total FROM events",
     "H34_granularity": "SELECT CASE WHEN p_partkey % 5 = 0 THEN 'none' WHEN p_partkey % 10 >= 9 THEN 'high' WHEN p_partkey % 10 >= 6 THEN 'medium' ELSE 'low' END AS bucket, count(*) AS n, min(CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 6 END)::BIGINT AS best FROM part GROUP BY 1",
     "H35_minutes": "SELECT event_id, (event_id % 24 * 60 + event_id % 60)::INT AS minutes FROM events",
-    "H36_normal_cdf": f"WITH z AS (SELECT range AS id, (range - 6) / 2 AS z FROM range(13)), y AS (SELECT id, z, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z) SELECT id, round(0.5 * (1 + sign(z) * {_ERF}), 6) AS p FROM y",
+    "H36_normal_cdf": f"WITH z AS (SELECT doc_id, (n_chars - 2000) / 1000 AS z FROM documents), y AS (SELECT doc_id, z, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z) SELECT doc_id, round(0.5 * (1 + sign(z) * {_ERF}), 6) AS p FROM y",
     "H37_hidden_rivals": f"""WITH {ctes("places")}, w AS (SELECT id, regexp_extract_all(lower(name), '[a-z0-9]+') AS w FROM places) SELECT id, 'stay' AS matched_type FROM w WHERE list_has_any(w, ['red', 'blue']) UNION ALL SELECT id, 'eat' FROM w WHERE list_has_any(w, ['hot', 'green'])""",
     "H38_name_agrees": f"WITH {ctes('places')}, w AS (SELECT id, regexp_extract_all(lower(name), '[a-z0-9]+') AS w FROM places) SELECT id FROM w WHERE list_contains(w, 'blue') AND (id % 2 = 0 OR list_contains(w, 'ring'))",
     "H39_unique_slugs": f"""WITH {ctes("places")}, s AS (SELECT id, replace(trim(regexp_replace(lower(substring(name, 7, 9)), '[^a-z0-9]+', ' ', 'g')), ' ', '-') AS s FROM places), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) AS n FROM s) SELECT id, CASE WHEN n = 1 THEN s ELSE concat(s, '-', n) END AS slug FROM n""",

@@ -34,7 +34,10 @@ def B14_ladder_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def F13_ladder_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, pool, f.ladder_target(k, pool)) for k in (1, 6, 10, 13, 14, 20, 50) for pool in (10, 40)], "k int, pool int, target int")
+    """For each type and price of places as a pool, and one to twenty slots: how many rows to ask for."""
+    pools = table(spark, sf_dir, "places").groupBy("type", "price_band").agg(F.count("*").alias("pool"))
+    asked = pools.select("*", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("k"))
+    return asked.select("type", "price_band", "k", "pool", f.ladder_targets(F.col("k"), F.col("pool")).alias("target"))
 
 
 def _closest(spark: SparkSession, sf_dir: str, candidates: DataFrame, limit: int) -> DataFrame:
@@ -140,8 +143,13 @@ def O4_triage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def N6_slot_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots of each customer's trip: lunch at their hour, for some a night slot, for some a shorter evening with food alone."""
     defaults = _slots(spark).filter("day = 0").select("slot", "types", "opens", "closes")
-    asked = spark.createDataFrame([(1, "lunch", None, 700, None), (1, "night", ["drink"], 1380, 1500), (2, "evening", ["eat"], None, 1300)], "request_id long, slot string, types array<string>, opens int, closes int")
+    k = F.col("c_custkey")
+    null = F.lit(None).cast("int")
+    row = lambda slot, types, opens, closes: F.struct(F.lit(slot).alias("slot"), F.array(*map(F.lit, types)).alias("types") if types else F.lit(None).cast("array<string>").alias("types"), opens.cast("int").alias("opens"), closes.cast("int").alias("closes"))
+    some = F.array_compact(F.array(row("lunch", (), 690 + k % 30, null), F.when(k % 2 == 0, row("night", ("drink",), F.lit(1380), F.lit(1500))), F.when(k % 5 == 0, row("evening", ("eat",), null, F.lit(1300)))))
+    asked = table(spark, sf_dir, "customer").select(k.alias("request_id"), F.explode(some).alias("s")).select("request_id", "s.*")
     return it.override_slots(defaults, asked).select("request_id", "slot", F.array_join("types", ",").alias("types"), "opens", "closes")
 
 
@@ -268,7 +276,7 @@ SELECT entity_id, CASE WHEN h IS NULL THEN 'delete' ELSE 'upsert' END AS op, h[1
     "B14_ladder_invariants": f"""WITH {ctes("places", "relations")}, {_EX}, g AS (SELECT subject_type, id, type, {_M} AS m FROM places, ex WHERE lat IS NOT NULL AND status = 'active' AND (len(excluded) = 0 OR (type IS NOT NULL AND NOT list_contains(excluded, type)))),
 h AS (SELECT *, CASE WHEN m <= 2000 THEN 0 WHEN m <= 5000 THEN 1 WHEN m <= 15000 THEN 2 ELSE 3 END AS first FROM g), n AS (SELECT subject_type, r, count(*) FILTER (first <= r) AS have FROM h, range(4) t(r) GROUP BY 1, 2), stop AS (SELECT subject_type, coalesce(min(r) FILTER (have >= 18), 3) AS rung FROM n GROUP BY 1)
 SELECT subject_type, id, type, rung FROM h JOIN stop USING (subject_type) WHERE first <= rung QUALIFY row_number() OVER (PARTITION BY subject_type ORDER BY round(m, 6), id) <= 18""",
-    "F13_ladder_target": "SELECT k, pool, least(pool, greatest(3 * k, k))::INT AS target FROM (VALUES (1), (6), (10), (13), (14), (20), (50)) a(k), (VALUES (10), (40)) b(pool)",
+    "F13_ladder_target": f"WITH {ctes('places')}, g AS (SELECT type, price_band, count(*) AS pool FROM places GROUP BY 1, 2) SELECT type, price_band, k, pool, least(pool, greatest(3 * k, k)) AS target FROM g, range(1, 21) t(k)",
     "F7_few_candidates": _TOP.format(_KNN.format("v.label = 3")),
     "F7_many_candidates": _TOP.format(_KNN.format("v.vec_id % 3 <> 0")),
     "I13_rail_bundle": f"""WITH {ctes("articles")}, a AS (SELECT id, lang, primary_type AS t, published_day AS d FROM articles WHERE status = 'published' AND published_day IS NOT NULL), s AS (SELECT * FROM a WHERE id % 100 = 2),
@@ -293,8 +301,9 @@ SELECT user_id, entity_id, sec AS saved_at, row_number() OVER (PARTITION BY user
 SELECT event_id, 'outbound' AS kind, 'place' AS entity_type, entity_id, href || CASE WHEN event_id % 3 = 2 THEN '' ELSE CASE WHEN event_id % 2 = 0 THEN '&' ELSE '?' END || 'utm_source=site&utm_campaign=guide' END AS target_url, sec AS at FROM x""",
     "O4_triage_scores": f"""WITH {ctes("places")}, t AS (SELECT CASE WHEN id % 13 = 0 THEN 'keep' WHEN id % 7 = 0 AND id % 3 = 0 THEN 'archive' WHEN id % 7 = 0 OR id % 5 = 0 OR id % 11 = 0 THEN 'review' ELSE 'keep' END AS action FROM places)
 SELECT action, CASE action WHEN 'archive' THEN 0 WHEN 'review' THEN 0.5 ELSE 1 END::DOUBLE AS score, count(*) AS n FROM t GROUP BY 1""",
-    "N6_slot_overrides": """SELECT * FROM (VALUES (1::BIGINT, 'morning', 'do,wellness', 540, 720), (1, 'lunch', 'eat', 700, 840), (1, 'evening', 'drink,eat', 1140, 1380), (1, 'night', 'drink', 1380, 1500),
-(2, 'morning', 'do,wellness', 540, 720), (2, 'lunch', 'eat', 720, 840), (2, 'evening', 'eat', 1140, 1300)) t(request_id, slot, types, opens, closes)""",
+    "N6_slot_overrides": """WITH d(slot, types, o, c) AS (VALUES ('morning', 'do,wellness', 540, 720), ('lunch', 'eat', 720, 840), ('evening', 'drink,eat', 1140, 1380))
+SELECT c_custkey AS request_id, slot, CASE WHEN slot = 'evening' AND c_custkey % 5 = 0 THEN 'eat' ELSE types END AS types, CASE WHEN slot = 'lunch' THEN 690 + c_custkey % 30 ELSE o END::INT AS opens, CASE WHEN slot = 'evening' AND c_custkey % 5 = 0 THEN 1300 ELSE c END::INT AS closes FROM customer, d
+UNION ALL SELECT c_custkey, 'night', 'drink', 1380, 1500 FROM customer WHERE c_custkey % 2 = 0""",
     "K8_metric_bundle": f"""WITH {_SQL_RANKED}, q AS (SELECT DISTINCT query_id FROM rk), d AS (SELECT query_id, sum((pow(2, coalesce(grade, 0)) - 1) / log2(rank + 1)) AS dcg, count(*) FILTER (grade > 0) AS hits, min(rank) FILTER (grade > 0) AS first FROM rk LEFT JOIN gr USING (query_id, id) WHERE rank <= 10 GROUP BY 1),
 i AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS r FROM gr) WHERE r <= 10 GROUP BY 1), n AS (SELECT query_id, count(*) FILTER (grade > 0) AS n FROM gr GROUP BY 1),
 b AS (SELECT query_id, CASE WHEN coalesce(idcg, 0) = 0 THEN 0 ELSE dcg / idcg END AS ndcg, CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE hits / least(n, 10) END AS recall, (hits > 0)::INT AS hit, coalesce(1 / first, 0) AS mrr FROM q JOIN d USING (query_id) LEFT JOIN i USING (query_id) LEFT JOIN n USING (query_id))
