@@ -11,6 +11,8 @@ from ..functions import columns as c
 SCOPES = {"cuisine": ("eat", "drink"), "vibe": ("stay", "eat", "drink", "wellness", "do"), "price_band": ("stay", "eat", "drink", "wellness", "shop")}
 PRICE_CUES = (("luxury", "(luxur|five-star|exclusive)"), ("upscale", "(upscale|fine dining|elegant)"), ("moderate", "(mid-range|affordable|reasonable)"), ("budget", "(cheap|budget|backpacker|street food)"))
 SUBTYPES = (("villa", "villa"), ("resort", "resort"), ("hotel", "hotel"), ("beach-club", "beach club"), ("cafe", "(cafe|coffee)"), ("restaurant", "(restaurant|kitchen|dining)"), ("spa", "(spa|massage)"))
+#: Fixed values of the domain: bands of confidence, and what one match and none, or several, are worth.
+AUTO_APPLY, MEDIUM, ONE_MATCH, NO_MATCH = 0.85, 0.6, 0.70, 0.35
 #: Words after a place name that make it a dish, not a place.
 DISH = ("chicken", "coffee", "duck", "noodle", "rice", "sauce", "satay", "style")
 SPECIFICITY = ("venue", "street", "area", "city", "country")
@@ -113,3 +115,30 @@ def seeded_vector(text: Column, dim: int = 64) -> Column:
     """A unit vector that follows from the text's hash: a stand-in for an embedding where none can be had."""
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.pmod(F.xxhash64(text, i), F.lit(2_000_001)) / 1e6 - 1.0)
     return F.transform(raw, lambda x: x / F.nullif(c.norm(raw), F.lit(0.0)))
+
+
+def title_clusters(articles: DataFrame) -> DataFrame:
+    """(key, members, first, kind, series_key) of titles (id, title, series_key) that are alike but for what a yearly refresh changes.
+
+    Conflict: members carry several series already, so a person must decide and none is given. Else the
+    series is the one that some carry, or a new one by the title; confident where
+    years or an 'updated' differ, uncertain where the titles are the same.
+    """
+    title = F.col("title")
+    signal = F.concat_ws("|", F.array_join(c.years(title), ","), F.lower(title).rlike("(^|[^a-z0-9])updated([^a-z0-9]|$)").cast("string"))
+    keyed = articles.select("id", "series_key", c.normalize_title(title).alias("key"), signal.alias("signal")).filter("key <> ''")
+    own = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("first"), F.count_distinct("signal").alias("signals"), F.count_distinct("series_key").alias("known"), F.min("series_key").alias("series"))
+    kind = F.when(F.col("known") > 1, "conflict").when(F.col("signals") > 1, "confident").otherwise("uncertain")
+    series = F.when(F.col("known") == 1, F.col("series")).when(F.col("known") == 0, F.regexp_replace("key", " ", "-"))
+    return own.filter("members >= 2").select("key", "members", "first", kind.alias("kind"), series.alias("series_key"))
+
+
+def confidence_band(value: Column) -> Column:
+    """high from what is applied without a person on, medium from 0.6 on, else low; null stays null."""
+    return F.when(value >= AUTO_APPLY, "high").when(value >= MEDIUM, "medium").when(value.isNotNull(), "low")
+
+
+def subtype(name: Column, rules: tuple[tuple[str, str], ...] = SUBTYPES) -> tuple[Column, Column]:
+    """(subtype, confidence): the first pattern that a name has, surer where it is the only one."""
+    met = sum((F.lower(name).rlike(pattern).cast("int") for _, pattern in rules), F.lit(0))
+    return first_match(name, rules), F.when(met == 1, ONE_MATCH).otherwise(NO_MATCH)

@@ -46,11 +46,10 @@ def C23_live_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def D19_title_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles alike but for what a refresh changes: confident where years differ."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 18), F.lit(" "), (F.col("doc_id") % 3 + 2022).cast("string")).alias("title"))
-    keyed = d.withColumn("key", c.normalize_title(F.col("title"))).withColumn("year", F.regexp_extract("title", "(20[0-9]{2})$", 1))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("year").alias("years"), F.min("doc_id").alias("first")).filter("n >= 2")
-    return groups.select("first", "n", F.when(F.col("years") > 1, "confident").otherwise("uncertain").alias("kind"))
+    """First sentences as titles, with a year at their end; some carry a series already."""
+    d = F.col("doc_id")
+    titled = table(spark, sf_dir, "documents").select(d.alias("id"), F.concat(F.substring_index("text", ".", 1), F.lit(" "), (d % 3 + 2022).cast("string")).alias("title"), F.when(d % 7 == 0, "s1").when(d % 11 == 0, "s2").alias("series_key"))
+    return k.title_clusters(titled).select("first", "members", "kind", F.sha2("series_key", 256).alias("series_sha"))
 
 
 def D23_distinct_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +128,11 @@ def I21_type_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def I22_subtype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.col("name"), F.when(F.col("id") % 4 == 0, " Beach Club").when(F.col("id") % 4 == 1, " Coffee").when(F.col("id") % 4 == 2, " Resort Hotel").otherwise(""))
-    return table(spark, sf_dir, "places").groupBy(k.first_match(name, k.SUBTYPES).alias("subtype")).agg(F.count("*").alias("n"))
+    """Subtypes of places by their names, which get kinds at their ends, with bands: two kinds in one name are no sure sign."""
+    i = F.col("id") % 5
+    name = F.concat(F.col("name"), F.when(i == 0, " Beach Club").when(i == 1, " Coffee").when(i == 2, " Resort Hotel").when(i == 3, " Kitchen").otherwise(""))
+    found, sure = k.subtype(name)
+    return table(spark, sf_dir, "places").groupBy(found.alias("subtype"), k.confidence_band(sure).alias("band"), sure.alias("confidence")).agg(F.count("*").alias("n"))
 
 
 def I17_k_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,8 +234,11 @@ SELECT facet, count(*) AS n FROM t WHERE facet = 'location' OR (facet = 'cuisine
 p AS (SELECT q, count(*) FILTER (a <= 10 AND t.id IS NOT NULL) / 10 AS a, count(*) FILTER (b <= 10 AND t.id IS NOT NULL) / 10 AS b FROM d LEFT JOIN t USING (id) GROUP BY 1) SELECT 'random' AS system, round(avg(a), 6) AS precision FROM p UNION ALL SELECT 'popular', round(avg(b), 6) FROM p""",
     "H3_normalize_title": f"""WITH t AS (SELECT doc_id AS id, split_part(text, '.', 1) || ' 2' || (doc_id % 30 + 10) || '9 &amp; 3rd ' || CASE WHEN doc_id % 2 = 0 THEN '[Updated]' ELSE '2024' END AS title FROM documents)
 SELECT id, {_norm_title("title")} AS title, array_to_string(list_filter(regexp_extract_all(title, '[0-9A-Za-z]+'), lambda w: regexp_full_match(w, '(19|20)[0-9][0-9]')), ',') AS years FROM t""",
-    "D19_title_clusters": f"""WITH t AS (SELECT doc_id, substring(text, 1, 18) || ' ' || (doc_id % 3 + 2022) AS title FROM documents), k AS (SELECT doc_id, {_norm_title("title")} AS key, regexp_extract(title, '(20[0-9]{{2}})$', 1) AS year FROM t)
-SELECT min(doc_id) AS first, count(*) AS n, CASE WHEN count(DISTINCT year) > 1 THEN 'confident' ELSE 'uncertain' END AS kind FROM k GROUP BY key HAVING count(*) >= 2""",
+    "I22_subtype": "SELECT CASE p_partkey % 5 WHEN 0 THEN 'beach-club' WHEN 1 THEN 'cafe' WHEN 2 THEN 'resort' WHEN 3 THEN 'restaurant' END AS subtype, CASE WHEN p_partkey % 5 IN (2, 4) THEN 'low' ELSE 'medium' END AS band, CASE WHEN p_partkey % 5 IN (2, 4) THEN 0.35 ELSE 0.7 END::DOUBLE AS confidence, count(*) AS n FROM part GROUP BY 1, 2, 3",
+    "D19_title_clusters": f"""WITH t AS (SELECT doc_id, split_part(text, '.', 1) || ' ' || (doc_id % 3 + 2022) AS title, CASE WHEN doc_id % 7 = 0 THEN 's1' WHEN doc_id % 11 = 0 THEN 's2' END AS s FROM documents),
+k AS (SELECT doc_id, s, {_norm_title("title")} AS key, array_to_string(list_filter(regexp_extract_all(title, '[0-9A-Za-z]+'), lambda w: regexp_full_match(w, '(19|20)[0-9][0-9]')), ',') || regexp_matches(lower(title), '(^|[^a-z0-9])updated([^a-z0-9]|$)') AS sig FROM t),
+g AS (SELECT key, min(doc_id) AS first, count(*) AS members, count(DISTINCT sig) AS sigs, count(DISTINCT s) AS known, min(s) AS s FROM k WHERE key <> '' GROUP BY 1 HAVING count(*) >= 2)
+SELECT first, members, CASE WHEN known > 1 THEN 'conflict' WHEN sigs > 1 THEN 'confident' ELSE 'uncertain' END AS kind, sha256(CASE known WHEN 1 THEN s WHEN 0 THEN replace(key, ' ', '-') END) AS series_sha FROM g""",
     "B21_paged_search": f"WITH {ctes('places')} SELECT id, name, count(*) OVER () AS total FROM places WHERE name ILIKE '%blue%' ORDER BY name, id LIMIT 7 OFFSET 7",
     "B22_queue_filter": f"WITH {ctes('places')} SELECT id FROM places WHERE contains(lower(name), 'blue') AND coalesce(area_term, '') <> 'area1' AND status = 'active'",
     "C23_live_first": f"""WITH {ctes("places")}, j AS (SELECT *, CASE WHEN org_id IS NOT NULL THEN concat('org ', org_id) END AS org, status = 'active' AND (id % 4 <> 0 OR id % 300 > 100) AS live FROM places) SELECT type, id, org, live, row_number() OVER (PARTITION BY type ORDER BY live DESC, org NULLS FIRST, id) AS rank FROM j QUALIFY rank <= 4""",

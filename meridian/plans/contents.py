@@ -90,16 +90,17 @@ def I14_read_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def P4_for_you(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest to a taste, less 0.05 where type or area is the reader's usual one, one of a series, two a section."""
-    a = table(spark, sf_dir, "articles")
-    v = table(spark, sf_dir, "embeddings")
-    taste = r.mean_vectors(v.filter("vec_id BETWEEN 20 AND 29").withColumn("query_id", F.lit(1).cast("long")), ["query_id"]).select("query_id", F.col("vector").alias("query_vec"))
-    vecs = a.select("id", (F.col("id") % 500).alias("vec_id")).join(v.select("vec_id", "embedding"), "vec_id").select("id", "embedding")
-    near = r.nearest(vecs, taste, 48, "id", not_itself=False).join(a.select("id", "series_key", "primary_type"), "id")
-    scored = near.withColumn("s", F.round(F.col("similarity") + F.when(F.col("primary_type") == "eat", 0.05).otherwise(0.0), 6)).drop("rank").withColumn("primary_type", F.coalesce("primary_type", F.lit("(none)")))
-    keyed = scored.withColumn("k", F.coalesce("series_key", F.concat(F.lit("no:"), F.col("id").cast("string"))))
-    once = r.ranked(keyed, ["query_id", "k"], [F.desc("s"), F.col("id")], 1)
-    return r.capped(once.drop("rank"), ["query_id"], "primary_type", [F.desc("s"), F.col("id")], 2, 6).select("id", "s", "rank")
+    """Own rails of twenty readers, who each like what one vector says, a type or two, and areas; articles that are published and of some quality."""
+    a, v = table(spark, sf_dir, "articles"), table(spark, sf_dir, "embeddings")
+    low = table(spark, sf_dir, "scores").filter("score < 0.1").select(F.col("entity_id").alias("id"))
+    shown = a.filter(f"status = 'published' AND published_day <= {AS_OF_DAY}").join(low, "id", "left_anti")
+    vecs = shown.select("id", "series_key", "primary_type", (F.col("id") % 500).alias("vec_id")).join(v.select("vec_id", "embedding"), "vec_id")
+    readers = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    q = F.col("query_id")
+    picked = F.array(F.struct(F.lit("type").alias("kind"), F.when(q % 3 == 0, "eat").when(q % 3 == 1, "stay").otherwise("do").alias("value")), F.struct(F.lit("type").alias("kind"), F.when(q % 2 == 0, "drink").otherwise("event").alias("value")), F.struct(F.lit("area").alias("kind"), (q % 10 + 100).cast("string").alias("value")), F.struct(F.lit("area").alias("kind"), (q % 7 + 110).cast("string").alias("value")))
+    picks = readers.select("query_id", F.explode(picked).alias("p")).select("query_id", "p.*")
+    areas = table(spark, sf_dir, "entity_terms").select(F.col("entity_id").alias("id"), F.col("term_id").cast("string").alias("term"))
+    return r.for_you(vecs, readers, picks, areas)
 
 
 def P5_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +123,11 @@ QUERIES = {x.__name__: x for x in (H6_blocks, H9_block_stats, H8_shortcodes, H10
 
 _M = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(p.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lng - s.lng) / 2), 2))))"
 ORACLE = {
+    "P4_for_you": f"""WITH {ctes("articles", "scores", "entity_terms")}, sh AS (SELECT id, series_key, primary_type, embedding FROM articles JOIN embeddings ON vec_id = id % 500 WHERE status = 'published' AND published_day <= {AS_OF_DAY} AND id NOT IN (SELECT entity_id FROM scores WHERE score < 0.1)),
+nn AS (SELECT q.vec_id AS q, sh.*, round(list_cosine_similarity(q.embedding::DOUBLE[], sh.embedding::DOUBLE[]), 6) AS sim FROM embeddings q, sh WHERE q.vec_id < 20 QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) <= 48),
+once AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY q, coalesce('s:' || series_key, 'no:' || id) ORDER BY sim DESC, id) = 1),
+sc AS (SELECT q, id, coalesce(primary_type, '') AS t, round(sim + CASE WHEN primary_type IN (CASE q % 3 WHEN 0 THEN 'eat' WHEN 1 THEN 'stay' ELSE 'do' END, CASE q % 2 WHEN 0 THEN 'drink' ELSE 'event' END) THEN 0.05 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM entity_terms e WHERE e.entity_id = once.id AND e.term_id IN (q % 10 + 100, q % 7 + 110)) THEN 0.05 ELSE 0 END, 6) AS s FROM once),
+two AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY q, t ORDER BY s DESC, id) <= 2) SELECT q AS query_id, id, s::DOUBLE AS s, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS rank FROM two QUALIFY rank <= 6""",
     "P5_affinity": f"""WITH {ctes("terms", "entity_terms")}, k AS (SELECT entity_id, facet || ':' || slug AS k, confidence AS v FROM entity_terms JOIN terms ON id = term_id) SELECT entity_id, '{{' || string_agg('"' || k || '":' || v::DOUBLE, ',' ORDER BY k) || '}}' AS affinity FROM k GROUP BY 1""",
     "I26_facet_centroids": f"""WITH {ctes("entity_terms")}, tg AS (SELECT entity_id, term_id, embedding FROM entity_terms JOIN embeddings ON vec_id = entity_id % 500 WHERE term_id >= 200),
 mv AS (SELECT term_id, list(m ORDER BY i) AS vector FROM (SELECT term_id, i, avg(x) AS m FROM (SELECT term_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM tg) GROUP BY 1, 2) GROUP BY 1) SELECT entity_id, term_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 6) AS similarity FROM tg JOIN mv USING (term_id)""",

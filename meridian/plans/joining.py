@@ -70,8 +70,11 @@ def C13_cross_source_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def C14_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs each block of places has, from its size alone, and those of its pairs that stand next to each other by id."""
     places = table(spark, sf_dir, "places").select("id", F.substring("name", 7, 9).alias("block"))
-    return j.block_pairs(places, "block").groupBy("a_block").agg(F.count("*").alias("pairs"))
+    sizes = places.groupBy(F.col("block").alias("a_block")).agg(F.count("*").alias("n")).filter("n > 1").select("a_block", F.expr("n * (n - 1) div 2").alias("pairs"))
+    near = j.block_pairs(places, "block").filter(F.col("b_id") - F.col("a_id") < 50).groupBy("a_block").agg(F.count("*").alias("near"))
+    return sizes.join(near, "a_block", "left").na.fill(0, ["near"])
 
 
 def C15_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +236,7 @@ ORACLE = {
     "C12_nearest_node": f"""WITH {ctes("places")}, n AS (SELECT n_nationkey::BIGINT AS node_id, -6.3e0 + n_nationkey % 5 * 0.05e0 AS lat, 106.7e0 + (n_nationkey // 5) * 0.05e0 AS lng FROM nation), x AS (SELECT p.id, node_id, {_dist("p.", "n.")} AS m FROM places p, n WHERE p.lat IS NOT NULL)
 SELECT id, node_id, round(m, 3) AS meters FROM x WHERE m <= 60000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY m, node_id) = 1""",
     "C13_cross_source_drift": f"WITH {ctes('terms', 'entity_terms')} SELECT term_id, count(*) AS n, min(entity_id) AS sample FROM entity_terms WHERE term_id NOT IN (SELECT id FROM terms WHERE id % 5 <> 0) GROUP BY 1",
-    "C14_block_pairs": f"WITH {ctes('places')}, p AS (SELECT id, substring(name, 7, 9) AS block FROM places) SELECT a.block AS a_block, count(*) AS pairs FROM p a JOIN p b ON a.block = b.block AND a.id < b.id GROUP BY 1",
+    "C14_block_pairs": f"WITH {ctes('places')}, p AS (SELECT id, substring(name, 7, 9) AS block FROM places) SELECT a.block AS a_block, count(*) AS pairs, count(*) FILTER (b.id - a.id < 50) AS near FROM p a JOIN p b ON a.block = b.block AND a.id < b.id GROUP BY 1",
     "C15_token_pairs": f"""WITH d AS (SELECT doc_id AS id, {_TOK} AS l FROM documents), s AS (SELECT min(id) AS id, s FROM (SELECT id, list_sort(list_distinct(l)) AS s FROM d WHERE len(l) > 2) GROUP BY s), e AS (SELECT id, unnest(s) AS t FROM s),
 p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y ON x.t = y.t AND x.id < y.id), q AS (SELECT a, b, len(list_intersect(x.s, y.s)) / len(list_distinct(list_concat(x.s, y.s))) AS sim FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b)
 SELECT a, b, round(sim, 6) AS similarity FROM q WHERE sim >= 0.5""",

@@ -86,8 +86,8 @@ def D17_duplicate_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def D18_series_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = table(spark, sf_dir, "documents").select("doc_id", c.normalize_name(F.substring_index("text", " ", 2)).alias("key"))
-    return titles.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n >= 2")
+    titles = table(spark, sf_dir, "documents").select("doc_id", c.normalize_name(F.substring_index("text", ".", 1)).alias("key"))
+    return titles.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n >= 2").select("first", "n", F.sha2("key", 256).alias("key_sha"))
 
 
 def D20_pick_current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,7 +430,7 @@ UNION ALL SELECT 'format', coalesce(format, 'null'), count(*) FROM articles WHER
     "D13_org_list": f"WITH {ctes('places')} SELECT org_id, count(*) AS places, count(*) FILTER (status = 'active') AS active, count(*) OVER () AS total FROM places WHERE org_id IS NOT NULL GROUP BY 1",
     "D14_blast_radius": f"WITH {ctes('places', 'mentions')} SELECT org_id, count(place_id) AS mentions, count(DISTINCT place_id) AS places, count(DISTINCT article_id) AS articles FROM places p LEFT JOIN mentions m ON place_id = p.id GROUP BY 1",
     "D17_duplicate_centroids": f"WITH {ctes('places')}, p AS (SELECT round(lat, 1) AS lat, round(lng, 1) AS lng, id FROM places WHERE lat IS NOT NULL) SELECT lat, lng, count(DISTINCT id)::INT AS n, min(id) AS first FROM p GROUP BY 1, 2 HAVING count(DISTINCT id) >= 2 AND count(*) FILTER (id % 2 <> 0) > 0",
-    "D18_series_keys": "WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(array_to_string(string_split(text, ' ')[1:2], ' '), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[’‘''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) SELECT key, count(*) AS n, min(doc_id) AS first FROM d GROUP BY 1 HAVING count(*) >= 2",
+    "D18_series_keys": "WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(split_part(text, '.', 1), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[’‘''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) SELECT sha256(key) AS key_sha, count(*) AS n, min(doc_id) AS first FROM d GROUP BY key HAVING count(*) >= 2",
     "D20_pick_current": f"WITH {ctes('articles')} SELECT series_key, arg_max(id, (coalesce(published_day, -1), id)) AS current, count(*) AS members FROM articles WHERE series_key IS NOT NULL GROUP BY 1",
     "D21_nearest_rank": "WITH l AS (SELECT lang, list_sort(list(n_chars)) AS l FROM documents GROUP BY 1) SELECT lang, l[least(floor(len(l) * 0.95)::BIGINT, len(l) - 1) + 1] AS value FROM l",
     "D22_population_share": f"WITH {ctes('articles')} SELECT primary_type, format, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY primary_type), 6) AS share FROM articles GROUP BY 1, 2",
