@@ -80,6 +80,29 @@ def D15_domain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.links_by_domain(_links(spark, sf_dir)).select("netloc", "links", "articles", "first_day", "last_day", "sponsored", "nofollow", "plain", F.array_join(F.slice("samples", 1, 2), " ").alias("samples"))
 
 
+def D16_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What speaks for each place: featured and other mentions, articles, the share that is featured."""
+    m = table(spark, sf_dir, "mentions")
+    own = m.groupBy("place_id").agg(F.count_if(F.col("role") == "featured").alias("featured"), F.count("*").alias("mentions"), F.count_distinct("article_id").alias("articles"))
+    return table(spark, sf_dir, "places").select(F.col("id").alias("place_id")).join(own, "place_id", "left").na.fill(0).withColumn("share", F.round(F.col("featured") / F.nullif("mentions", F.lit(0)), 6))
+
+
+def E1_best_of_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five surest members of each term, ties by id."""
+    return r.ranked(table(spark, sf_dir, "entity_terms").select("term_id", "entity_id", "confidence"), ["term_id"], [F.desc("confidence"), F.col("entity_id")], 5)
+
+
+def H32_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of texts, greatest and first known values, hours, and local days in another zone, counted."""
+    e = table(spark, sf_dir, "events")
+    local = F.convert_timezone(F.lit("UTC"), F.lit("Asia/Jakarta"), "ts")
+    return e.groupBy(
+        F.date_format(local, "yyyy-MM-dd").alias("local_day"),
+        F.split_part(F.col("event_type"), F.lit("a"), F.lit(1)).alias("part"),
+        F.date_format(F.date_trunc("month", "ts"), "yyyy-MM").alias("month"),
+    ).agg(F.count("*").alias("n"), F.round(F.sum(F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(10.0))), 4).alias("at_least"))
+
+
 def D17_duplicate_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = table(spark, sf_dir, "places").filter("lat IS NOT NULL").select(F.round("lat", 1).alias("lat"), F.round("lng", 1).alias("lng"), F.col("id").alias("key"), (F.col("id") % 2 == 0).alias("seeded"))
     return res.duplicate_centroids(pts, 5).select("lat", "lng", F.size("keys").alias("n"), F.col("keys")[0].alias("first"))
@@ -405,7 +428,7 @@ def N5_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     x.__name__: x
-    for x in (D8_review_clusters, D9_weakest_term, D10_facet_counts, D11_rollup, D12_dashboard, D13_org_list, D14_blast_radius, D15_domain_links, D17_duplicate_centroids, D18_series_keys, D20_pick_current, D21_nearest_rank, D22_population_share, D25_coverage_audit, D27_vocabulary, D31_facet_coverage, D32_term_counts, D33_normalised_groups, D34_campaigns, D35_cells, D37_agreement, K1_ndcg, K2_precision, K3_confusion, K3_accuracy, K4_wilson, K5_two_stage, K6_coverage_curve, K7_bootstrap, K9_z_test, K10_experiments, K11_gates, J1_name_similarity, J2_clusters, J3_merge_plan, J4_bucket_merge, J5_names, J6_lookup, J8_junk, J10_area_match, J11_geocode, J12_organisations, O1_drift, O2_orphans, O5_effective, O6_link_policy, B23_host_class, B24_triage, B19_bbox, N1_eligible, N2_precheck, N3_plan, N4_travel, N5_validate)
+    for x in (D8_review_clusters, D9_weakest_term, D10_facet_counts, D11_rollup, D12_dashboard, D13_org_list, D14_blast_radius, D15_domain_links, D16_evidence, E1_best_of_cluster, H32_scalars, D17_duplicate_centroids, D18_series_keys, D20_pick_current, D21_nearest_rank, D22_population_share, D25_coverage_audit, D27_vocabulary, D31_facet_coverage, D32_term_counts, D33_normalised_groups, D34_campaigns, D35_cells, D37_agreement, K1_ndcg, K2_precision, K3_confusion, K3_accuracy, K4_wilson, K5_two_stage, K6_coverage_curve, K7_bootstrap, K9_z_test, K10_experiments, K11_gates, J1_name_similarity, J2_clusters, J3_merge_plan, J4_bucket_merge, J5_names, J6_lookup, J8_junk, J10_area_match, J11_geocode, J12_organisations, O1_drift, O2_orphans, O5_effective, O6_link_policy, B23_host_class, B24_triage, B19_bbox, N1_eligible, N2_precheck, N3_plan, N4_travel, N5_validate)
 }
 
 _ERF = "(1 - (((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t) * exp(-x * x))"
@@ -430,6 +453,9 @@ UNION ALL SELECT 'format', coalesce(format, 'null'), count(*) FROM articles WHER
     "D13_org_list": f"WITH {ctes('places')} SELECT org_id, count(*) AS places, count(*) FILTER (status = 'active') AS active, count(*) OVER () AS total FROM places WHERE org_id IS NOT NULL GROUP BY 1",
     "D14_blast_radius": f"WITH {ctes('places', 'mentions')} SELECT org_id, count(place_id) AS mentions, count(DISTINCT place_id) AS places, count(DISTINCT article_id) AS articles FROM places p LEFT JOIN mentions m ON place_id = p.id GROUP BY 1",
     "D17_duplicate_centroids": f"WITH {ctes('places')}, p AS (SELECT round(lat, 1) AS lat, round(lng, 1) AS lng, id FROM places WHERE lat IS NOT NULL) SELECT lat, lng, count(DISTINCT id)::INT AS n, min(id) AS first FROM p GROUP BY 1, 2 HAVING count(DISTINCT id) >= 2 AND count(*) FILTER (id % 2 <> 0) > 0",
+    "D16_evidence": f"WITH {ctes('mentions', 'places')}, m AS (SELECT place_id, count(*) FILTER (role = 'featured') AS f, count(*) AS n, count(DISTINCT article_id) AS a FROM mentions GROUP BY 1) SELECT id AS place_id, coalesce(f, 0) AS featured, coalesce(n, 0) AS mentions, coalesce(a, 0) AS articles, round(f / n, 6) AS share FROM places LEFT JOIN m ON place_id = id",
+    "E1_best_of_cluster": f"WITH {ctes('entity_terms')} SELECT term_id, entity_id, confidence::DOUBLE AS confidence, row_number() OVER (PARTITION BY term_id ORDER BY confidence DESC, entity_id) AS rank FROM entity_terms QUALIFY rank <= 5",
+    "H32_scalars": "SELECT strftime(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Jakarta', '%Y-%m-%d') AS local_day, split_part(event_type, 'a', 1) AS part, strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n, round(sum(greatest(coalesce(value, 0), 10)), 4)::DOUBLE AS at_least FROM events GROUP BY 1, 2, 3",
     "D18_series_keys": "WITH d AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(translate(split_part(text, '.', 1), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[’‘''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) SELECT sha256(key) AS key_sha, count(*) AS n, min(doc_id) AS first FROM d GROUP BY key HAVING count(*) >= 2",
     "D20_pick_current": f"WITH {ctes('articles')} SELECT series_key, arg_max(id, (coalesce(published_day, -1), id)) AS current, count(*) AS members FROM articles WHERE series_key IS NOT NULL GROUP BY 1",
     "D21_nearest_rank": "WITH l AS (SELECT lang, list_sort(list(n_chars)) AS l FROM documents GROUP BY 1) SELECT lang, l[least(floor(len(l) * 0.95)::BIGINT, len(l) - 1) + 1] AS value FROM l",
