@@ -124,7 +124,7 @@ def coverage(rows: DataFrame, **known: Column) -> DataFrame:
 
 
 def from_export(items: DataFrame, kind: str) -> DataFrame:
-    """Articles, attachments or authors of an XML export's items (files.read_wxr), one row a key over several files."""
+    """Articles, attachments, authors, terms, points (geo) or events of an XML export's items (files.read_wxr), one row a key over several files."""
     once = files.dedupe_items(items)
     if kind == "articles":
         return once.filter("type = 'post' AND status = 'publish'").select("wp_id", "type", "status", "title", "slug", "content_html", "excerpt", "date", "permalink", "author", "categories", "tags")
@@ -135,6 +135,15 @@ def from_export(items: DataFrame, kind: str) -> DataFrame:
     if kind == "terms":
         each = once.select(F.explode(F.concat(F.transform("categories", lambda x: F.struct(F.lit("category").alias("taxonomy"), x.alias("slug"))), F.transform("tags", lambda x: F.struct(F.lit("post_tag").alias("taxonomy"), x.alias("slug"))))).alias("t"))
         return each.groupBy("t.taxonomy", "t.slug").agg(F.count("*").alias("items"))
+    if kind == "geo":  # points that posts carry themselves; maps of a plugin's own tables aren't in an export
+        read = F.from_json(php.php_to_json(F.col("meta").getItem("google_map")), "name string, address string, lat string, lng string, place_id string")
+        rows = once.withColumn("g", read).filter("g IS NOT NULL")
+        at = {k: F.col(f"g.{k}").try_cast("double") for k in ("lat", "lng")}
+        both = at["lat"].isNotNull() & at["lng"].isNotNull()
+        return rows.select("wp_id", F.col("g.name").alias("title"), F.col("g.address").alias("address"), *[F.when(both, x).alias(k) for k, x in at.items()], F.col("g.place_id").alias("place_id"))
+    if kind == "events":
+        value = lambda k: F.nullif(F.col("meta").getItem(k), F.lit(""))
+        return once.filter("type IN ('tribe_events', 'upcoming-events')").select("wp_id", "type", "status", "title", "slug", files.iso(value("_EventStartDate")).alias("start_date"), files.iso(value("_EventEndDate")).alias("end_date"), value("_EventVenueID").try_cast("long").alias("venue_id"), value("_EventCost").alias("cost"), "categories")
     raise ValueError(f"no extract {kind!r}")
 
 

@@ -39,10 +39,17 @@ def search_queries(export: DataFrame, permalinks: DataFrame, min_clicks: int = 1
     return rows.join(known, F.col("__p") == F.col("__u")).groupBy(F.col("Query").alias("query"), "wp_id").agg(F.sum("Clicks").alias("clicks"), F.sum("Impressions").alias("impressions"))
 
 
+def _last_of_key(metas: Column) -> Column:
+    """A map of meta values; of a key that comes more than once the last value."""
+    some = F.filter(F.coalesce(metas, F.array().cast("array<struct<`wp:meta_key`:string,`wp:meta_value`:string>>")), lambda m: m["wp:meta_key"].isNotNull())
+    keys = F.array_distinct(F.transform(some, lambda m: m["wp:meta_key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(some, lambda m: m["wp:meta_key"] == k), -1)["wp:meta_value"]))
+
+
 def read_wxr(spark: SparkSession, path: str) -> DataFrame:
     """Items of an XML export: one row an <item>, read split by split."""
     term = "array<struct<_VALUE:string,_domain:string,_nicename:string>>"
-    schema = f"title string, link string, `content:encoded` string, `excerpt:encoded` string, `wp:post_id` long, `wp:post_type` string, `wp:status` string, `wp:post_name` string, `wp:post_date` string, `dc:creator` string, `wp:attachment_url` string, category {term}"
+    schema = f"title string, link string, `content:encoded` string, `excerpt:encoded` string, `wp:post_id` long, `wp:post_type` string, `wp:status` string, `wp:post_name` string, `wp:post_date` string, `dc:creator` string, `wp:attachment_url` string, category {term}, `wp:postmeta` array<struct<`wp:meta_key`:string,`wp:meta_value`:string>>"
     rows = spark.read.format("xml").schema(schema).option("rowTag", "item").option("ignoreNamespace", False).load(path)
     terms = lambda d: F.transform(F.filter("category", lambda c: c["_domain"] == d), lambda c: c["_nicename"])
     return rows.select(
@@ -59,6 +66,7 @@ def read_wxr(spark: SparkSession, path: str) -> DataFrame:
         F.col("`wp:attachment_url`").alias("attachment_url"),
         F.coalesce(terms("category"), F.array().cast("array<string>")).alias("categories"),
         F.coalesce(terms("post_tag"), F.array().cast("array<string>")).alias("tags"),
+        _last_of_key(F.col("`wp:postmeta`")).alias("meta"),
         F.input_file_name().alias("file"),
     )
 
@@ -177,12 +185,6 @@ def stratified(urls: DataFrame, by: str, n: int, seed: str = "0") -> DataFrame:
     return each.orderBy("__t", F.sha2(F.concat_ws(":", F.lit(seed), by), 256), "url").limit(n).drop("__t")
 
 
-def project_rest(items: DataFrame) -> DataFrame:
-    """Posts of a REST answer, flat: raw text before rendered."""
-    pick = lambda f: F.coalesce(F.col(f"{f}.raw"), F.col(f"{f}.rendered"))
-    return items.select(F.col("id").alias("wp_id"), "slug", "status", pick("title").alias("title"), pick("content").alias("content_html"), pick("excerpt").alias("excerpt"), "date", "link")
-
-
 def side_metadata(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) with numbers only; values that aren't any are dropped, the largest of a key's stays."""
     return rows.select(F.expr(f"try_cast({key} AS long)").alias(key), F.expr(f"try_cast({value} AS long)").alias(value)).filter(f"{key} IS NOT NULL AND {value} IS NOT NULL").groupBy(key).agg(F.max(value).alias(value))
