@@ -7,10 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as c
+from .resolution import durable
 
 
 #: Pairs that draw their bootstrap weights together.
 BLOCK = 2000
+#: Distinct values that are placed by one sort a key; beyond that about so many in a range, and so many ranges at most.
+RANGE_ROWS, RANGES = 100_000, 4096
 
 
 def _gain(grade: Column, rank: Column) -> Column:
@@ -172,9 +175,22 @@ def gates(report: DataFrame, baseline: DataFrame, tolerance: float = 0.0) -> Dat
 
 
 def nearest_rank(rows: DataFrame, value: str, share: float, by: list[str] = ()) -> DataFrame:
-    """The value at index int(n * share) of the sorted values, not interpolated: values are counted first, then running sums of the counts say where it stands."""
+    """The value at index int(n * share) of the sorted values, not interpolated.
+
+    Values are counted first. Where a key may have more distinct values than a task should
+    sort, the counts are dealt out by ranges of the values; sums by range, a row a key and range,
+    tell in which range the value stands, and only that one is looked through.
+    """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("__n"))
     over = Window.partitionBy(*by)
-    upto, total = F.sum("__n").over(over.orderBy("value")), F.sum("__n").over(over)
-    placed = counts.withColumns({"__upto": upto, "__at": F.least(F.floor(total * share), total - 1)})
-    return placed.filter("__upto > __at").groupBy(*by).agg(F.min("value").alias("value"))
+    place = lambda total: F.least(F.floor(total * share), total - 1)
+    n = counts.count()
+    if n <= RANGE_ROWS:
+        placed = counts.withColumns({"__upto": F.sum("__n").over(over.orderBy("value")), "__at": place(F.sum("__n").over(over))})
+        return placed.filter("__upto > __at").groupBy(*by).agg(F.min("value").alias("value"))
+    dealt = durable(counts.repartitionByRange(min(RANGES, n // RANGE_ROWS + 1), "value").withColumn("__r", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "__r").agg(F.sum("__n").alias("__s"))
+    upto = sums.withColumns({"__upto": F.sum("__s").over(over.orderBy("__r")), "__at": place(F.sum("__s").over(over))})
+    here = upto.filter((F.col("__upto") > F.col("__at")) & (F.col("__upto") - F.col("__s") <= F.col("__at"))).select(*by, "__r", (F.col("__at") - F.col("__upto") + F.col("__s")).alias("__left"))
+    near = (dealt.join(here, [*by, "__r"]) if by else dealt.join(F.broadcast(here), "__r")).withColumn("__in", F.sum("__n").over(over.orderBy("value")))
+    return near.filter(F.col("__in") > F.col("__left")).groupBy(*by).agg(F.min("value").alias("value"))

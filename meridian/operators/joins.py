@@ -10,10 +10,11 @@ from ..functions import columns as c
 DEGREE_M = 111_000.0
 
 
-def within_distance(places: DataFrame, radius_m: float, key: str = "id", by: str | None = None) -> DataFrame:
+def within_distance(places: DataFrame, radius_m: float, key: str = "id", by: str | None = None, part: int = 1000) -> DataFrame:
     """(a, b, meters) of pairs of places, a < b, at most radius_m apart: by grid cells of at least the radius, then the distance.
 
     Each place is put in its own cell and asked for in the nine around it, so only neighbours meet. Cells are wider toward the poles.
+    A cell of many places falls into parts of about `part`, and who asks for it asks each of them, so a crowded cell is no one task's work; cells without places are asked by nobody.
     """
     cell = radius_m / DEGREE_M * 1.01
     own = places.filter("lat IS NOT NULL AND lng IS NOT NULL").select(key, "lat", "lng", *([by] if by else []), F.floor(F.col("lat") / cell).alias("__y"))
@@ -23,7 +24,10 @@ def within_distance(places: DataFrame, radius_m: float, key: str = "id", by: str
     left = left.withColumn("__x", F.explode(F.sequence(F.floor(F.col("lng") / width(F.col("__y2"))) - 1, F.floor(F.col("lng") / width(F.col("__y2"))) + 1)))
     right = own.select(F.col(key).alias("b"), F.col("lat").alias("lat_b"), F.col("lng").alias("lng_b"), F.col("__y").alias("__yb"), F.floor(F.col("lng") / width(F.col("__y"))).alias("__xb"), *([F.col(by).alias("__by")] if by else []))
     meters = c.haversine_m(F.col("lat"), F.col("lng"), F.col("lat_b"), F.col("lng_b"))
-    near = (F.col("__y2") == F.col("__yb")) & (F.col("__x") == F.col("__xb")) & (F.col(key) < F.col("b"))
+    sizes = right.groupBy(F.col("__yb").alias("__y2"), F.col("__xb").alias("__x")).agg(F.ceil(F.count("*") / part).cast("int").alias("__parts"))
+    left = left.join(sizes, ["__y2", "__x"]).withColumn("__p", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    right = right.join(sizes.withColumnsRenamed({"__y2": "__yb", "__x": "__xb"}), ["__yb", "__xb"]).withColumn("__pb", F.pmod(F.xxhash64("b"), F.col("__parts")).cast("int")).drop("__parts")
+    near = (F.col("__y2") == F.col("__yb")) & (F.col("__x") == F.col("__xb")) & (F.col("__p") == F.col("__pb")) & (F.col(key) < F.col("b"))
     if by:
         near = near & (F.col(by) == F.col("__by"))
     return left.join(right, near).withColumn("meters", meters).filter(F.col("meters") <= radius_m).select(F.col(key).alias("a"), "b", "meters")
@@ -97,15 +101,18 @@ def token_pairs(sets: DataFrame, at_least: float) -> DataFrame:
 def block_pairs(rows: DataFrame, block: str, key: str = "id", part: int = 1000) -> DataFrame:
     """Pairs of rows in one block, a < b, with all columns under a_ and b_.
 
-    One side of a large block falls into parts of about `part` rows and the
-    other meets each of them, so no join key has more work than part times the block.
+    A large block falls into parts of about `part` rows on both sides, and each
+    part of one meets each of the other, so no join key has more work than part
+    times part; of a block's rows as many copies are dealt out as it has parts.
     """
     known = rows.filter(F.col(block).isNotNull())
     parts = known.groupBy(F.col(block).alias("__block")).agg(F.ceil(F.count("*") / part).cast("int").alias("__parts"))
     sized = known.join(parts, F.col(block) == F.col("__block")).drop("__block")
-    a = sized.select(*[F.col(x).alias(f"a_{x}") for x in known.columns], F.pmod(F.xxhash64(key), F.col("__parts")).cast("int").alias("__a"))
-    b = sized.select(*[F.col(x).alias(f"b_{x}") for x in known.columns], F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__b"))
-    return a.join(b, (F.col(f"a_{block}") == F.col(f"b_{block}")) & (F.col("__a") == F.col("__b")) & (F.col(f"a_{key}") < F.col(f"b_{key}"))).drop("__a", "__b")
+    own, all_ = F.pmod(F.xxhash64(key), F.col("__parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+    a = sized.select(*[F.col(x).alias(f"a_{x}") for x in known.columns], own.alias("__a1"), all_.alias("__a2"))
+    b = sized.select(*[F.col(x).alias(f"b_{x}") for x in known.columns], own.alias("__b2"), all_.alias("__b1"))
+    met = (F.col(f"a_{block}") == F.col(f"b_{block}")) & (F.col("__a1") == F.col("__b1")) & (F.col("__a2") == F.col("__b2")) & (F.col(f"a_{key}") < F.col(f"b_{key}"))
+    return a.join(b, met).drop("__a1", "__a2", "__b1", "__b2")
 
 
 def fallback(rows: DataFrame, lookups: list[DataFrame], on: list[str], value: str) -> DataFrame:

@@ -127,13 +127,14 @@ def test_haversine_is_a_distance(spark, lat1, lng1, lat2, lng2):
     assert 0 <= d(lat1, lng1, lat2, lng2) <= math.pi * c.EARTH_M + 1
 
 
-def test_spatial_pairs_equal_all_pairs(spark):
+@pytest.mark.parametrize("part", [1000, 4])
+def test_spatial_pairs_equal_all_pairs(spark, part):
     import random
 
     rng = random.Random(3)
     pts = [(i, rng.uniform(59.9, 60.1), rng.uniform(10.0, 10.4)) for i in range(120)]
     places = spark.createDataFrame([*pts, (500, None, 1.0)], "id long, lat double, lng double")
-    got = {(r.a, r.b) for r in joins.within_distance(places, 3000.0).collect()}
+    got = {(r.a, r.b) for r in joins.within_distance(places, 3000.0, part=part).collect()}
 
     def far(p, q):
         x, y = math.radians(q[1] - p[1]) / 2, math.radians(q[2] - p[2]) / 2

@@ -110,12 +110,16 @@ def test_large_blocks_are_split(spark):
         assert sorted((r.a_id, r.b_id) for r in joins.block_pairs(df, "block", part=part).collect()) == want
 
 
-def test_nearest_rank_without_a_list(spark):
+@pytest.mark.parametrize("range_rows", [100_000, 3])
+def test_nearest_rank_without_a_list(spark, monkeypatch, range_rows):
+    monkeypatch.setattr(evaluation, "RANGE_ROWS", range_rows)
     rng = random.Random(1)
     rows = [(k, rng.randrange(30)) for k in "aabbbcccccccc" for _ in range(rng.randrange(1, 9))] + [("d", 5), ("e", None)]
     got = {r.k: r.value for r in evaluation.nearest_rank(spark.createDataFrame(rows, "k string, v int"), "v", 0.9, ["k"]).collect()}
     by = {k: sorted(v for q, v in rows if q == k and v is not None) for k in "abcd"}
     assert got == {k: v[min(int(len(v) * 0.9), len(v) - 1)] for k, v in by.items()}
+    whole = sorted(v for _, v in rows if v is not None)
+    assert evaluation.nearest_rank(spark.createDataFrame(rows, "k string, v int"), "v", 0.5).first().value == whole[int(len(whole) * 0.5)]
 
 
 def test_searches_agree_with_few_and_many_candidates(spark, monkeypatch):
