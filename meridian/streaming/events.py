@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -65,6 +65,49 @@ def route(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def isolated(handle: Callable[[DataFrame, int], None], quarantine: Callable[[DataFrame, int], None], key: str = "event_id") -> Callable[[DataFrame, int], None]:
+    """A handler under which a message that makes `handle` fail keeps no other one back.
+
+    A batch that fails is halved by key until the message stands alone; it goes to quarantine with its error. For bounded batches
+    (a source's messages or files a trigger), and for a handle that does nothing with a batch that it fails on.
+    """
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        try:
+            handle(batch, epoch)
+            return
+        except Exception as e:  # noqa: BLE001 - whatever a message provokes
+            error = str(e)[:500]
+        n = batch.count()
+        if n <= 1:
+            quarantine(batch.withColumn("error", F.lit(error)), epoch)
+            return
+        halves = batch.withColumn("__n", F.row_number().over(Window.orderBy(key))).persist()
+        try:
+            each(halves.filter(F.col("__n") <= n // 2).drop("__n"), epoch)
+            each(halves.filter(F.col("__n") > n // 2).drop("__n"), epoch)
+        finally:
+            halves.unpersist()
+
+    return each
+
+
+def at_most_once(handle: Callable[[DataFrame, int], None], begun: str) -> Callable[[DataFrame, int], None]:
+    """A handler that each batch passes once at most: it is acknowledged, by a mark in the folder `begun` (a URI), before it is handled, so one that a run was stopped in isn't handled again."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        store, root = pyarrow.fs.FileSystem.from_uri(begun)
+        store.create_dir(root, recursive=True)
+        mark = f"{root}/epoch-{epoch:012d}"
+        if store.get_file_info(mark).type != pyarrow.fs.FileType.NotFound:
+            return
+        with store.open_output_stream(mark) as f:
+            f.write(b"begun")
+        handle(batch, epoch)
+
+    return each
+
+
 def index_changes(messages: DataFrame, articles: DataFrame, index: DataFrame) -> DataFrame:
     """(entity_id, op, text_hash) that bring a text index up to date with the articles some messages name: upsert where the text's hash has changed, delete what isn't published any more. Idempotent: done twice, nothing is left to do.
 

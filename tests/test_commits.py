@@ -122,6 +122,52 @@ def test_state_by_hash(spark, tmp_path):
     assert sorted((r.entity_id, r.text_hash, r.event_id) for r in got.collect()) == [("a", "h1", 1), ("a", "h9", 7), ("b", "h1", 2), ("b", "h3", 6)]
 
 
+def test_messages_pass_once_at_most(spark, tmp_path):
+    class Stopped(BaseException):
+        pass
+
+    done, lost, stop = [], [], []
+
+    def handle(batch, epoch):
+        own = [(epoch, r.event_id) for r in batch.collect()]
+        if any(i % 10 == 7 for _, i in own):
+            raise ValueError("poison")
+        if stop and epoch == 1:
+            raise Stopped
+        done.extend(own)
+
+    each = events.at_most_once(events.isolated(handle, lambda b, e: lost.extend((e, r.event_id, r.error) for r in b.collect())), f"file://{tmp_path}/begun")
+    batch = lambda k: spark.range(k * 20, k * 20 + 20).withColumnRenamed("id", "event_id")
+    each(batch(0), 0)
+    assert sorted(done) == [(0, i) for i in range(20) if i % 10 != 7] and sorted(x[:2] for x in lost) == [(0, 7), (0, 17)] and {x[2] for x in lost} == {"poison"}
+    stop.append(1)
+    with pytest.raises(Stopped):
+        each(batch(1).filter("event_id % 10 <> 7"), 1)
+    stop.clear()
+    each(batch(1), 1)  # tried again after the stop: it was acknowledged
+    each(batch(2), 2)
+    assert len(done) == len(set(done)) == 36 and not any(e == 1 for e, _ in done)
+
+
+def test_a_stream_with_bounded_batches(spark, tmp_path):
+    for k in range(6):
+        spark.createDataFrame([(k * 2, "a"), (k * 2 + 1, "b")], "event_id long, type string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    done, lost = [], []
+
+    def handle(batch, epoch):
+        ids = [r.event_id for r in batch.collect()]
+        if 5 in ids:
+            raise ValueError("poison")
+        done.extend(ids)
+
+    each = events.at_most_once(events.isolated(handle, lambda b, e: lost.extend(r.event_id for r in b.collect())), f"file://{tmp_path}/begun")
+    for _ in range(2):
+        stream = spark.readStream.schema("event_id long, type string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        q = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted(done) == [i for i in range(12) if i != 5] and lost == [5]
+
+
 @pytest.mark.parametrize("sizes", [[5], [3, 0, 9, 1], list(range(1, 40))])
 def test_block_draws_are_one_multinomial(sizes):
     sizes, rounds = np.array(sizes), 4000
