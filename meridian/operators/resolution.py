@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import tempfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,19 +40,30 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """1 for equal normal names. With two core words in common their overlap weighs most, and equal core words are sure; else the sequence does."""
+def _similar(a: Column, b: Column, ratio: Callable[[Column, Column], Column]) -> Column:
+    """What two names' similarity is, given that of their letters' sequence; it grows with that."""
     na, nb = c.normalize_name(a), c.normalize_name(b)
     overlap, shared = c.jaccard(core_tokens(a), core_tokens(b), 0.0), F.size(F.array_intersect(core_tokens(a), core_tokens(b)))
-    ratio = sequence_ratio(na, nb)
-    main = F.when(shared >= 2, F.when(overlap == 1, F.greatest(F.lit(SAME_CORE), ratio)).otherwise(MAJOR * overlap + (1 - MAJOR) * ratio)).otherwise((1 - MAJOR) * overlap + MAJOR * ratio)
+    r = ratio(na, nb)
+    main = F.when(shared >= 2, F.when(overlap == 1, F.greatest(F.lit(SAME_CORE), r)).otherwise(MAJOR * overlap + (1 - MAJOR) * r)).otherwise((1 - MAJOR) * overlap + MAJOR * r)
     return F.when((na == nb) & (na != ""), 1.0).otherwise(main)
 
 
+def name_similarity(a: Column, b: Column) -> Column:
+    """1 for equal normal names. With two core words in common their overlap weighs most, and equal core words are sure; else the sequence does."""
+    return _similar(a, b, sequence_ratio)
+
+
+def _length_bound(a: Column, b: Column) -> Column:
+    """What the similarity of two sequences can be at most, by their lengths."""
+    return F.coalesce(2.0 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0)), F.lit(1.0))
+
+
 def candidate_pairs(names: DataFrame, key: str = "id") -> DataFrame:
-    """(a, b, similarity) of names that share their first core word, at least worth a review."""
+    """(a, b, similarity) of names that share their first core word, at least worth a review. Pairs that can't be, by their words and lengths alone, are left before any sequence is compared."""
     pairs = block_pairs(names.select(key, "name", block(F.col("name")).alias("block")), "block", key)
-    return pairs.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), name_similarity(F.col("a_name"), F.col("b_name")).alias("similarity")).filter(F.col("similarity") >= REVIEW)
+    able = pairs.filter(_similar(F.col("a_name"), F.col("b_name"), _length_bound) >= REVIEW - 1e-9)
+    return able.select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), name_similarity(F.col("a_name"), F.col("b_name")).alias("similarity")).filter(F.col("similarity") >= REVIEW)
 
 
 def _checkpoint_folder(spark: SparkSession) -> None:
