@@ -106,14 +106,20 @@ def stem(word: str) -> str:
     return (word if word in KEPT else _steps_2_to_5(word, r1, r2)).replace("Y", "y")
 
 
+@lru_cache(maxsize=64)
+def _heads(only: frozenset[str]) -> frozenset[str]:
+    """How words of some stems begin: a stem keeps the first two letters, but for irregular words, or is shorter."""
+    return frozenset(s[:2] for s in only)
+
+
 def lexemes(words: list[str], start: int = 0, only: frozenset[str] | None = None) -> list[tuple[str, int]]:
-    """(stem, position) of the words that aren't stop words; stop words take up positions."""
-    out = []
+    """(stem, position) of the words that aren't stop words; stop words take up positions. With only, of words with those stems; others aren't stemmed where their beginning rules them out."""
+    if only is None:
+        return [(stem(word), at) for at, word in enumerate(words, start + 1) if word not in STOP]
+    heads, out = _heads(only), []
     for at, word in enumerate(words, start + 1):
-        if word not in STOP:
-            lexeme = stem(word)
-            if only is None or lexeme in only:
-                out.append((lexeme, at))
+        if (word[:2] in heads or word[:1] in heads or word in IRREGULAR) and word not in STOP and (lexeme := stem(word)) in only:
+            out.append((lexeme, at))
     return out
 
 

@@ -31,6 +31,11 @@ def test_stems_equal_their_sql():
     ends = [*stemming.STEP_2, *stemming.STEP_3, *stemming.STEP_4, "ed", "edly", "ing", "ingly", "eed", "s", "sses", "ies", "ied", "y", "e", "ll", "li"]
     words = {"".join(rng.choice("aeiouybcdlnrstz") for _ in range(rng.randrange(1, 6))) + rng.choice(ends) * rng.randrange(2) + rng.choice(ends) for _ in range(6000)}
     words |= {*stemming.IRREGULAR, *stemming.KEPT, *(k + "ly" for k in stemming.KEPT), "generation", "arsenal", "commune", "2", "4th", "a1"}
+    for w in words:
+        assert len(stemming.stem(w)) == 1 or stemming.stem(w)[:2] == w[:2] or w in stemming.IRREGULAR
+    some = sorted(words)
+    only = frozenset(stemming.stem(w) for w in some[::7])
+    assert stemming.lexemes(some, 3, only) == [x for x in stemming.lexemes(some, 3) if x[0] in only]
     con = duckdb.connect()
     con.execute("CREATE TABLE words(t VARCHAR)")
     con.executemany("INSERT INTO words VALUES (?)", [(w,) for w in sorted(words)])
