@@ -75,7 +75,7 @@ def I13_rail_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "articles").filter("status = 'published' AND published_day IS NOT NULL").select("id", "lang", "primary_type", "published_day")
     subjects = a.filter("id % 100 = 2").select(F.col("id").alias("subject_id"), F.col("lang").alias("s_lang"), F.col("primary_type").alias("s_type"))
     order = [F.desc("published_day"), F.col("id")]
-    rail = lambda own, theirs: r.ranked(a.join(subjects.select("subject_id", F.col(own).alias(theirs)), theirs).filter("id <> subject_id"), ["subject_id"], order, 3)
+    rail = lambda own, theirs: r.ranked(r.heads(a.filter(F.col(theirs).isNotNull()), [theirs], order, 3).join(subjects.select("subject_id", F.col(own).alias(theirs)), theirs).filter("id <> subject_id"), ["subject_id"], order, 3)
     cached = subjects.filter("subject_id % 200 = 2").select("subject_id", F.explode(F.array(F.lit("language"), F.lit("type"))).alias("rail"), (F.col("subject_id") + 1).alias("id"), F.lit(1).alias("rank"), F.when(F.col("subject_id") % 400 == 2, 595).otherwise(500).alias("computed_at"))
     return runs.bundle(subjects, cached, {"language": rail("s_lang", "lang"), "type": rail("s_type", "primary_type")}, F.lit(600), F.lit(6))
 
