@@ -73,7 +73,7 @@ def C14_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pairs each block of places has, from its size alone, and those of its pairs that stand next to each other by id."""
     places = table(spark, sf_dir, "places").select("id", F.substring("name", 7, 9).alias("block"))
     sizes = places.groupBy(F.col("block").alias("a_block")).agg(F.count("*").alias("n")).filter("n > 1").select("a_block", F.expr("n * (n - 1) div 2").alias("pairs"))
-    near = j.block_pairs(places, "block").filter(F.col("b_id") - F.col("a_id") < 50).groupBy("a_block").agg(F.count("*").alias("near"))
+    near = j.close_pairs(places, "block", 50).groupBy(F.col("block").alias("a_block")).agg(F.count("*").alias("near"))
     return sizes.join(near, "a_block", "left").na.fill(0, ["near"])
 
 
