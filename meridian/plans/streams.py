@@ -17,11 +17,12 @@ def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("event_id", F.col("event_type").alias("type"), F.get_json_object("props", "$.k").alias("entity_id"), "user_id", F.expr("timestampadd(MICROSECOND, timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts), TIMESTAMP'1970-01-01 00:00:00Z')").alias("ts"))
 
 
-def _run(spark: SparkSession, out: DataFrame, keys: list[str] = (), append: bool = False) -> DataFrame:
+def _run(spark: SparkSession, out: DataFrame, keys: list[str] = (), append: bool = False, complete: bool = False) -> DataFrame:
     """A stateful stream run to its end into files, a folder for each epoch; the rows that hold then.
 
     In update mode the newest row of each key holds. In append mode rows are handed
     on once, when nothing changes them any more; with keys the newest of each holds, else all.
+    In complete mode (session windows can't be updated) the last epoch's rows are all.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
@@ -31,18 +32,20 @@ def _run(spark: SparkSession, out: DataFrame, keys: list[str] = (), append: bool
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
 
-    q = out.writeStream.outputMode("append" if append else "update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q = out.writeStream.outputMode("complete" if complete else "append" if append else "update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in out.dtypes)}, epoch int").parquet(f"{folder}/rows")
     if keys:
         rest = [c for c in out.columns if c not in keys]
         return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("__s")).select(*keys, "__s.*")
+    if complete:
+        rows = rows.join(rows.agg(F.max("epoch").alias("epoch")), "epoch")
     return rows.drop("epoch")
 
 
 def L6_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sessions that are over by the newest event; each is handed on once and leaves the state."""
-    found = _run(spark, ev.closed_sessions(_replay(spark, sf_dir)), append=True)
+    """All sessions of the log, those open at its end too: every epoch hands on all that there are, and no event is too late."""
+    found = _run(spark, ev.sessions(_replay(spark, sf_dir), delay=None), complete=True)
     return found.select("user_id", (F.unix_timestamp("end") - F.unix_timestamp("start") - 1800).alias("seconds"), "events")
 
 
@@ -64,7 +67,7 @@ def L4_stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {x.__name__: x for x in (L4_stream_gate, L6_stream_sessions, L8_stream_daily, L11_stream_limit)}
 ORACLE = {
     "L6_stream_sessions": """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), t AS (SELECT user_id, ts, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM s)
-SELECT user_id, CAST(floor(epoch_us(max(ts)) / 1e6) - floor(epoch_us(min(ts)) / 1e6) AS BIGINT) AS seconds, count(*) AS events FROM t GROUP BY user_id, n HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events)""",
+SELECT user_id, CAST(floor(epoch_us(max(ts)) / 1e6) - floor(epoch_us(min(ts)) / 1e6) AS BIGINT) AS seconds, count(*) AS events FROM t GROUP BY user_id, n""",
     "L4_stream_gate": """WITH e AS (SELECT json_extract_string(props, '$.k') AS entity_id, event_type AS kind, ts, event_id FROM events) SELECT entity_id, arg_max(kind, struct_pack(t := epoch_ms(ts), e := event_id)) AS text_hash, arg_max(event_id, struct_pack(t := epoch_ms(ts), e := event_id)) AS event_id FROM e WHERE entity_id IS NOT NULL GROUP BY 1""",
     "L8_stream_daily": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS type, count(*) AS n FROM events GROUP BY 1, 2",
     "L11_stream_limit": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2",

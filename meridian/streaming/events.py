@@ -31,9 +31,10 @@ def once(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """(user_id, start, end, events) of sessions that end after `gap` of nothing."""
-    return stream.withWatermark("ts", delay).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", "w.start", "w.end", "events")
+def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str | None = "10 minutes") -> DataFrame:
+    """(user_id, start, end, events) of sessions that end after `gap` of nothing; without a delay no event is too late, and every session stays in the state."""
+    some = stream if delay is None else stream.withWatermark("ts", delay)
+    return some.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", "w.start", "w.end", "events")
 
 
 def daily(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
