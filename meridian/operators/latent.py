@@ -28,11 +28,18 @@ def _terms(text: str | None) -> list[str]:
     return [w for w in _WORD.findall((text or "").lower().translate(_FOLD)) if len(w) > 2 and w not in c.STOPWORDS]
 
 
+def slices(batches: Iterator[pd.DataFrame], size: int = 256) -> Iterator[pd.DataFrame]:
+    """Batches of texts in slices, so that what is made of them isn't held for a whole batch."""
+    for b in batches:
+        for k in range(0, len(b), size):
+            yield b.iloc[k : k + size]
+
+
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf): how often each term stands in each document, counted inside the documents' tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             rows = [(k, term, n) for k, t in zip(b[key], b[text], strict=True) for term, n in Counter(_terms(t)).items()]
             yield pd.DataFrame(rows, columns=[key, "term", "tf"])
 
@@ -65,7 +72,7 @@ def sparse_rows(docs: DataFrame, key: str, text: str, min_df: int = 3, max_df: f
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, idf = sent.value
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for k, t in zip(b[key], b[text], strict=True):
                 found = sorted((place[w], n) for w, n in Counter(_terms(t)).items() if w in place)

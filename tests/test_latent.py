@@ -64,3 +64,13 @@ def test_no_documents_and_no_terms(spark):
     df = spark.createDataFrame([(1, "one"), (2, None)], "id long, text string")
     assert [(r.vector, r.kept) for r in latent.reduced_vectors(df, "id", "text").collect()] == [([], 0.0), ([], 0.0)]
     assert latent.reduced_vectors(df.limit(0), "id", "text").count() == 0
+
+
+def test_texts_are_taken_in_slices():
+    import pandas as pd
+
+    from meridian.operators import latent
+
+    batch = pd.DataFrame({"id": range(1000), "text": ["a"] * 1000})
+    parts = list(latent.slices(iter([batch, batch[:0], batch[:5]])))
+    assert max(map(len, parts)) <= 256 and pd.concat(parts)["id"].tolist() == [*range(1000), *range(5)]
