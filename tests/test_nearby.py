@@ -96,3 +96,13 @@ def test_nearest_holds_little_and_breaks_ties_by_key(spark, monkeypatch):
     for k in range(0, 100_000, 1000):
         best.take(np.array([0]), np.arange(k, k + 1000), rng.standard_normal((1, 1000)))
     assert len(best.q) == 7
+
+
+def test_pairs_near_poles_and_equator_are_merged_once_and_never_broadcast(spark):
+    rng = random.Random(11)
+    points = [(i, "x", lat + rng.uniform(-0.6, 0.6), rng.uniform(10, 13)) for i, lat in enumerate([-75, -0.1, 0.3, 75] * 40)]
+    df = spark.createDataFrame(points, "id long, type string, lat double, lng double")
+    got = joins.within_distance(df, 30_000.0, part=3)
+    small = spark.range(300).selectExpr("id", "-6.2 + id * 1e-4 AS lat", "106.8D AS lng")
+    assert "BroadcastHashJoin" not in joins.within_distance(small, 100.0)._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted((a[0], b[0]) for a in points for b in points if a[0] < b[0] and _meters(a, b) <= 30_000.0)
