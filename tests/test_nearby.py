@@ -106,3 +106,30 @@ def test_pairs_near_poles_and_equator_are_merged_once_and_never_broadcast(spark)
     small = spark.range(300).selectExpr("id", "-6.2 + id * 1e-4 AS lat", "106.8D AS lng")
     assert "BroadcastHashJoin" not in joins.within_distance(small, 100.0)._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.a, r.b) for r in got.collect()) == sorted((a[0], b[0]) for a in points for b in points if a[0] < b[0] and _meters(a, b) <= 30_000.0)
+
+
+def test_nearest_node_aggregates_one_row_a_place(spark):
+    rng = random.Random(13)
+    nodes = [(k, -6.3 + k % 5 * 0.05, 106.7 + k // 5 * 0.05) for k in range(25)] + [(99, -6.3, 106.7)]
+    points = _points(60)
+    df, vocabulary = spark.createDataFrame([*points, (20_000, "far", 50.0, 8.0), (20_001, "on", -6.3, 106.7)], "id long, type string, lat double, lng double"), spark.createDataFrame(rng.sample(nodes, 26), "node_id long, node_lat double, node_lng double")
+    want = {}
+    for p in [*points, (20_001, "on", -6.3, 106.7)]:
+        if p[2] is not None and p[3] is not None:
+            m, node = min((_meters(p, (0, "", y, x)), k) for k, y, x in nodes)
+            if m <= 60_000:
+                want[p[0]] = (node, round(m, 3))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = joins.nearest_node(df, vocabulary, 60_000)
+        assert {r.id: (r.node_id, round(r.meters, 3)) for r in got.collect()} == want
+
+        def most(plan):
+            own = plan.metrics().get("numOutputRows")
+            kids = plan.children()
+            return max([own.get().value() if own.isDefined() else 0, *(most(kids.apply(i)) for i in range(kids.size()))])
+
+        assert most(got._jdf.queryExecution().executedPlan()) <= len(points) + 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
