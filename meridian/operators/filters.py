@@ -231,17 +231,33 @@ def ladder_targets(k: Column, pool: Column) -> Column:
     return F.least(pool, F.greatest(FILL_TIMES * k, k))
 
 
-def climb_fetched(fetch: Callable[[Rung], DataFrame], holds_always: Column, slots: int, rungs: tuple[Rung, ...] = LADDER, by: list[str] = (), order: list[Column] = (), key: str = "id") -> DataFrame:
-    """climb() over what `fetch` gives for each rung, whatever that is: rows that break `holds_always` are dropped again at every rung, and a row counts from its first rung on."""
+def climb_fetched(fetch: Callable[[Rung], DataFrame], holds_always: Column, slots: int, rungs: tuple[Rung, ...] = LADDER, by: list[str] = (), order: list[Column] = (), key: str = "id", near: Column | None = None) -> DataFrame:
+    """climb() over what `fetch` gives for each rung, whatever that is: rows that break `holds_always` are dropped again at every rung, and a row counts from its first rung on.
+
+    near: the first of `order`, if it is a number that rises. Each rung is then cut to rows that a ladder can take before anything is sorted or shuffled; `by` has few values.
+    """
     found = None
     for i, rung in enumerate(rungs):
         part = fetch(rung).filter(holds_always).withColumn("rung", F.lit(i))
+        if near is not None:
+            part = _nearest(part, 2 * slots - 1, by, near, key)
         found = part if found is None else found.unionByName(part)
     rest = [x for x in found.columns if x not in (*by, key)]
     first = found.groupBy(*by, key).agg(F.min_by(F.struct(*rest), "rung").alias("__r")).select(*by, key, "__r.*")
     return _filled(first, slots, len(rungs), by, order)
 
 
+def _nearest(rows: DataFrame, k: int, by: list[str], near: Column, key: str) -> DataFrame:
+    """rows of each `by` without those that surely have k other keys before them: fewer than `slots` of a rung's rows are known from the rungs before, so 2 slots - 1 of it are enough.
+
+    Keys fall into 4 k buckets; k buckets' least values are those of k keys, so what lies beyond the k-th of them is left. That is one pass that holds a number a bucket.
+    """
+    least = rows.groupBy(*by, F.pmod(F.xxhash64(key), F.lit(4 * k)).alias("__b")).agg(F.min(near).alias("__m")).filter("__m IS NOT NULL")
+    limit = least.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy("__m", "__b"))).filter(F.col("__rn") == k).select(*by, F.col("__m").alias("__limit"))
+    met = rows.join(F.broadcast(limit), list(by), "left") if by else rows.join(F.broadcast(limit), F.lit(True), "left")
+    return met.filter(F.coalesce(near <= F.col("__limit"), F.lit(True))).drop("__limit")
+
+
 def _filled(ranked: DataFrame, slots: int, rungs: int, by: list[str], order: list[Column]) -> DataFrame:
     """Rows with their first rung, up to the rung where a key's ladder stops."""
     counts = ranked.groupBy(*by, "rung").agg(F.count("*").alias("__n"))

@@ -30,7 +30,7 @@ def B14_ladder_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = table(spark, sf_dir, "places").filter("lat IS NOT NULL").withColumn("m", meters).crossJoin(F.broadcast(subjects))
     fetch = lambda g: met if g.radius_m is None else met.filter(F.col("m") <= g.radius_m)
     always = f.invariant(F.col("excluded"), F.col("type"), F.col("status"))
-    return f.climb_fetched(fetch, always, f.ladder_target(6, 40), _RUNGS, ["subject_type"], [F.round("m", 6), F.col("id")]).select("subject_type", "id", "type", "rung")
+    return f.climb_fetched(fetch, always, f.ladder_target(6, 40), _RUNGS, ["subject_type"], [F.round("m", 6), F.col("id")], near=F.round("m", 6)).select("subject_type", "id", "type", "rung")
 
 
 def F13_ladder_target(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,21 @@ def test_no_rung_lets_a_competitor_in(spark):
     assert [filters.ladder_target(k, 40) for k in (1, 6, 20)] == [3, 18, 40]
 
 
+def test_a_rung_is_cut_to_what_a_ladder_can_take(spark):
+    import random
+
+    rng = random.Random(17)
+    rows = [(g, i, rng.choice("ab"), "active" if rng.random() < 0.9 else "closed", None if rng.random() < 0.01 else float(rng.randrange(300))) for g in ("x", "y", None) for i in range({"x": 2000, "y": 9, None: 700}[g])]
+    df = spark.createDataFrame([*rows, *rows[:300]], "g string, id long, type string, status string, m double")
+    rungs = (filters.Rung("a", 2), filters.Rung("b", 40), filters.Rung("c"))
+    fetch = lambda r: df if r.radius_m is None else df.filter(F.col("m") <= r.radius_m)
+    always = filters.invariant(F.array(F.lit("b")), F.col("type"), F.col("status"))
+    for slots in (1, 7, 60):
+        got = [sorted(tuple(map(str, r)) for r in filters.climb_fetched(fetch, always, slots, rungs, ["g"], [F.col("m"), F.col("id")], near=near).collect()) for near in (F.col("m"), None)]
+        assert got[0] == got[1] and len(got[0]) >= slots
+    assert filters._nearest(df.filter("g = 'x'").drop("g"), 13, [], F.col("m"), "id").filter("m IS NOT NULL").count() < 100
+
+
 def test_facets_as_similarity(spark):
     group = pd.DataFrame({"type": ["a", "a", "b", None], "band": ["x", "y", "x", "x"]})
     assert np.allclose(retrieval.facet_matrix("type", "band")(group), [[1, 0.5, 0.5, 1], [0.5, 1, 0, 0], [0.5, 0, 1, 1], [1, 0, 1, 1]])
