@@ -318,8 +318,7 @@ def J8_junk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the places' names, of which 39 in 60 are written over by names that one rule each takes; every fourth has blanks around."""
     made = F.get(F.array(*[F.lit(x.replace("''", "'")) for x, _ in _JUNK]), (F.col("id") % 60).cast("int"))
     p = table(spark, sf_dir, "places").select("id", F.coalesce(F.when(F.col("id") % 4 == 0, F.concat(F.lit("  "), made, F.lit(" "))).otherwise(made), F.col("name")).alias("name"))
-    verdict, reason = junk.verdict(F.col("name"), _JUNK_WORDS)
-    return p.groupBy(verdict.alias("verdict"), reason.alias("reason")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return junk.verdict_counts(p, _JUNK_WORDS)
 
 
 def J10_area_match(spark: SparkSession, sf_dir: str) -> DataFrame:

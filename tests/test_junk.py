@@ -1,5 +1,7 @@
 """Junk rules: for each rule names that it takes, and names that it must leave alone."""
 
+from pyspark.sql import functions as F
+
 from meridian.operators import junk
 
 HOTELS = junk.Words(brands=("conrad", "hilton", "ritz"), brand_pairs=(("ritz", "conrad"),), areas=("nusa dua",), phrases=("ubud centre",))
@@ -58,3 +60,13 @@ def test_every_rule(spark):
     assert got == {name: (why, "ok" if why is None else "junk" if sure[why] else "suspect") for _, why, name in rows}
 
 
+
+
+def test_each_distinct_name_is_judged_once_and_dealt_out(spark):
+    names = ["Kayu at Mulia", "Mozaic", None, "  ", "www.x.com", "Mozaic", "Kayu at Mulia", "Mozaic Gal"]
+    df = spark.createDataFrame([(i, names[i * 5 % 8]) for i in range(80)], "id long, name string")
+    verdict, reason = junk.verdict(df.name)
+    want = sorted(map(str, df.groupBy(verdict.alias("verdict"), reason.alias("reason")).agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()))
+    got = junk.verdict_counts(df)
+    assert sorted(map(str, got.collect())) == want and len(want) > 3
+    assert "RepartitionByExpression [name" in got._jdf.queryExecution().optimizedPlan().toString()
