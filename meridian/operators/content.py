@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from ..functions import columns as c
 
 #: Fixed values of the domain: hosts of embeds, and block types that count as rich structure.
 PROVIDERS = (("youtube", "(youtube\\.com|youtu\\.be)"), ("instagram", "instagram\\.com"), ("facebook", "facebook\\.com"), ("twitter", "(twitter|x)\\.com"), ("maps", "google\\.[a-z.]+/maps"), ("vimeo", "vimeo\\.com"), ("spotify", "spotify\\.com"))
+AT_ONCE = 256
 RICH = ("heading", "list", "quote", "gallery", "image", "embed", "columns")
 BLOCK = "struct<type:string,level:int,text:string,url:string,items:array<string>,path:string>"
 
@@ -129,12 +130,13 @@ def parse_blocks(html: str | None) -> list[dict]:
 
 
 def with_blocks(pages: DataFrame, html: str = "html", into: str = "blocks") -> DataFrame:
-    """pages with their blocks."""
-    kind = f"array<{BLOCK}>"
+    """pages with their blocks; a task holds those of AT_ONCE pages as objects, the rest of its batch as Arrow."""
+    fields = [("type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("url", pa.string()), ("items", pa.list_(pa.string())), ("path", pa.string())]
 
-    @F.pandas_udf(kind)
-    def read(text: pd.Series) -> pd.Series:
-        return text.map(parse_blocks)
+    @F.arrow_udf(f"array<{BLOCK}>")
+    def read(text: pa.Array) -> pa.Array:
+        parts = [pa.array([parse_blocks(t) for t in text[i : i + AT_ONCE].to_pylist()], pa.list_(pa.struct(fields))) for i in range(0, len(text), AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct(fields)))
 
     return pages.withColumn(into, read(F.col(html)))
 

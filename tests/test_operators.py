@@ -208,3 +208,12 @@ def test_blocks(spark):
 def test_sources_and_srcsets(spark):
     html = '<img src="a.jpg" srcset="b.jpg 300w, c.jpg 2x">'
     assert one(spark, c.sources(F.lit(html))) == ["a.jpg", "b.jpg", "c.jpg"]
+
+
+def test_blocks_of_many_pages_in_one_batch(spark):
+    """More pages in a batch than are held as objects at once, nulls among them, each with its own blocks."""
+    from meridian.operators import content
+
+    pages = [(i, None if i % 50 == 0 else f"<h2>T{i}</h2><p>a {i}</p>") for i in range(2 * content.AT_ONCE + 9)]
+    got = content.with_blocks(spark.createDataFrame(pages, "id long, html string").coalesce(1)).collect()
+    assert {r.id: [b.asDict() for b in r.blocks] for r in got} == {i: content.parse_blocks(h) for i, h in pages}
