@@ -244,13 +244,23 @@ def _link(radius: int):
 
 
 def _mark(radius: int):
-    """(bucket, rep) of every fingerprint that has another within the radius in its bucket."""
+    """(bucket, rep) of every fingerprint that has another within the radius in its bucket.
+
+    What hangs together over such pairs is a bucket of its own here, named by its
+    members, so one that several buckets hold has the same rows from each.
+    """
 
     def done(table: pa.Table) -> pa.RecordBatch:
-        near = np.zeros(table.num_rows, bool)
+        root, rep = np.arange(table.num_rows), table.column("rep").to_numpy()
         for i, j in near_pairs(_unsigned(table.column("fp")), _numbered(table), radius):
-            near[i] = near[j] = True
-        return table.filter(pa.array(near)).select(["bucket", "rep"]).combine_chunks().to_batches()[0] if near.any() else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["bucket", "rep"])
+            merge(root, i, j)
+        size = np.bincount(root, minlength=len(root))[root]
+        mixed = (rep.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        name = np.zeros(len(root), np.uint64)
+        np.add.at(name, root, mixed ^ (mixed >> np.uint64(32)))
+        near = np.flatnonzero(size > 1)
+        return pa.RecordBatch.from_arrays([pa.array(name[root[near]].view(np.int64)), pa.array(rep[near])], ["bucket", "rep"])
 
     return _by_bucket(done)
 
@@ -403,7 +413,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, hot
     groups = cut(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets-groups")
     keyed = groups.filter("n > 0").select("fp", "rep", "n", F.posexplode("keys").alias("t", "key"))
     ready = _dealt(keyed.select("fp", "rep", "n", F.xxhash64("t", "key").alias("bucket")), hot, groups.count() * BANDS)
-    marks = cut(map_batches(ready, _mark(radius), "bucket long, rep long"), "sets-marks")
+    marks = cut(map_batches(ready, _mark(radius), "bucket long, rep long").distinct(), "sets-marks")
     near = cut(groups.join(marks.select("rep").distinct(), "rep", "left_semi").select("key", "rep", "fp"), "sets-near")
     texts = docs.select("doc_id", "text").join(near.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     own = cut(_sets(texts, width, False).select("key", F.col("doc_id").alias("rep"), "shingles").dropDuplicates(["key", "rep"]).join(near, ["key", "rep"]), "sets-own")
