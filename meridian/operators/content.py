@@ -7,6 +7,9 @@ function; everything after it is column expressions.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -182,3 +185,39 @@ def content_loss(before: Column, after: Column) -> Column:
     n = F.length(F.regexp_replace(before, "[ \t\r\n]", ""))
     m = F.length(F.regexp_replace(after, "[ \t\r\n]", ""))
     return F.when(n > 0, F.greatest(F.lit(0.0), (n - m) * 100.0 / F.nullif(n, F.lit(0)))).otherwise(0.0)
+
+
+def _lost_and_gained(key: str):
+    words = re.compile("[^ \t\r\n]+").findall
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for at in range(0, b.num_rows, AT_ONCE):
+                few = b.slice(at, AT_ONCE)
+                for k, text, part in zip(*(few.column(i).to_pylist() for i in range(3)), strict=True):
+                    have, left = Counter(words(text or "")), Counter(words(part or ""))
+                    if have or left:
+                        rows.append((k, (have - left).total(), (left - have).total()))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], [key, "lost", "gained"])
+
+    return run
+
+
+def word_delta(docs: DataFrame, text: str, part: str, key: str = "id") -> DataFrame:
+    """(key, lost, gained): how many words `text` has more often than `part` has, and how many less often; a key without words isn't listed.
+
+    A document's words are counted inside its row, so none are shuffled. Only rows
+    that repeat a key are counted together, word by word, and so are rows without
+    a key, whose two sides don't meet.
+    """
+    again = docs.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n")).filter("__n > 1 OR __k IS NULL").select("__k")
+    own = lambda rows: rows.select(key, text, part).mapInArrow(_lost_and_gained(key), f"{key} {dict(docs.dtypes)[key]}, lost long, gained long")
+    if again.isEmpty():
+        return own(docs)
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    each = lambda t, n: docs.join(again, same, "left_semi").select(key, F.explode(F.split(F.col(t), "[ \t\r\n]+")).alias("w")).filter("w <> ''").groupBy(key, "w").agg(F.count("*").alias(n))
+    both = each(text, "a").join(each(part, "b"), [key, "w"], "full").na.fill(0, ["a", "b"])
+    sums = both.groupBy(key).agg(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("lost"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("gained"))
+    return own(docs.join(again, same, "left_anti")).unionByName(sums)

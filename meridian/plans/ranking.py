@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..functions.stemming import parse
 from ..operators import behaviour as b
-from ..operators import cues, latent, resolution
+from ..operators import content, cues, latent, resolution
 from ..operators import retrieval as r
 from . import behaviour as bp
 from .fixtures import AS_OF_DAY, ctes, interactions, table
@@ -244,10 +244,8 @@ def H33_vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def H10_word_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a text has more often than its first half has, by document."""
-    each = lambda t, n: _docs(spark, sf_dir).select("id", F.explode(F.split(F.lower(t), "[ \t\r\n]+")).alias("w")).filter("w <> ''").groupBy("id", "w").agg(F.count("*").alias(n))
-    a, half = each(F.col("text"), "a"), each(F.expr("substring(text, 1, cast(n_chars / 2 as int))"), "b")
-    both = a.join(half, ["id", "w"], "full").na.fill(0, ["a", "b"])
-    return both.groupBy("id").agg(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("lost"), F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))).alias("gained"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"), F.lower(F.expr("substring(text, 1, cast(n_chars / 2 as int))")).alias("half"))
+    return content.word_delta(docs, "text", "half")
 
 
 def I15_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
