@@ -115,8 +115,8 @@ def J14_geocode_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def P8_stated_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readers who picked two terms each; the last one's have no vector."""
-    picks = spark.range(1, 13).select(F.col("id").alias("user_id"), F.explode(F.array(F.col("id") % 10 + 200, F.col("id") % 25 + 100)).alias("term_id")).filter("user_id < 12").unionAll(spark.createDataFrame([(12, 9_000)], "user_id long, term_id long"))
+    """Readers who picked two terms each; the last one's is no term, so that no vector can have its id."""
+    picks = spark.range(1, 13).select(F.col("id").alias("user_id"), F.explode(F.array(F.col("id") % 10 + 200, F.col("id") % 25 + 100)).alias("term_id")).filter("user_id < 12").unionAll(spark.createDataFrame([(12, None)], "user_id long, term_id long"))
     v = _vectors(spark, sf_dir)
     terms, articles = v.select(F.col("vec_id").alias("term_id"), "embedding"), v.select(F.col("vec_id").alias("entity_id"), "embedding")
     seeds = runs.stated_seed(picks, terms, table(spark, sf_dir, "entity_terms"), articles)
