@@ -4,7 +4,7 @@ A byte goes if a string of `width` bytes that covers it also starts in a documen
 with a smaller doc_id. Equal strings meet in one group: each string of `width`
 bytes has a least hashed 16-gram, consecutive strings with the same one form a
 stretch, and stretches are dealt out by it. Every group puts its suffixes in order
-(doubling of ranks) with their longest common prefixes, finds for each the nearest
+(by their first 8 bytes, then what is equal there by the rest) with their longest common prefixes, finds for each the nearest
 place before and after it, in suffix order, that stands in a smaller document, and
 takes the greater of the two common prefixes: the longest previous factor. Orders
 and prefixes are looked at up to `width` bytes, which is all that decides.
@@ -12,7 +12,8 @@ and prefixes are looked at up to `width` bytes, which is all that decides.
 Steps, over batches of documents that are dealt out by a hash of doc_id:
  1. each batch lists the hashes of its stretches;
  2. hashes that several documents have are found, by ranges of hash, and among
-    them the hot ones that over `fan` batches have;
+    them the hot ones that over `fan` batches have in stretches of over `crowd`
+    bytes in all;
  3. each batch sends its stretches with such hashes, equal ones of later
     documents in the batch being resolved there and then;
  4. groups of stretches find what earlier documents have; those of a hot hash meet
@@ -39,13 +40,13 @@ from .common import small_batches
 
 WIDTH, GRAM = 50, 16
 #: Bytes of text in a batch of documents, and in a group of hashes or of stretches.
-BATCH, HASHES, STRETCHES = 2 << 20, 16 << 20, 2 << 20
+BATCH, HASHES, STRETCHES = 4 << 20, 32 << 20, 4 << 20
 #: Bytes of text that are dealt to one task of a shuffle.
-TASK = 8 << 20
-#: A hash is hot if more batches than this have it; its stretches meet so many batches at a time.
-FAN = 1024
-#: Bytes that are hashed at a time.
-PIECE = 1 << 20
+TASK = 16 << 20
+#: A hash is hot if more batches than this have it and its stretches have more bytes than CROWD; they meet so many batches at a time.
+FAN, CROWD = 1024, 4 << 20
+#: Bytes that are hashed at a time, and suffixes that are sorted by more than their first 8 bytes.
+PIECE, TIED = 1 << 20, 1 << 16
 
 _U = np.uint64
 
@@ -112,26 +113,28 @@ def stretches(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.nd
 
 def suffix_order(data: np.ndarray, places: np.ndarray, doc: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp) of the suffixes at `places` by their first `width` bytes, ties by document: lcp[k] is what the k-th shares with the one before, width at most."""
-    padded = np.r_[data, np.zeros(2 * width, np.uint8)]
+    padded = np.r_[data, np.zeros(width + 7, np.uint8)]
     eight = _eights(padded)
-    levels = [(8, np.unique(eight[: len(data) + width].byteswap(), return_inverse=True)[1].astype(np.int64))]
-    while 2 * levels[-1][0] < width:
-        have, rank = levels[-1]
-        both = rank[: len(rank) - have] * (1 + rank.max()) + rank[have:]
-        levels.append((2 * have, np.unique(both, return_inverse=True)[1].astype(np.int64)))
-    have, rank = levels[-1]
-    key = rank[places] * (1 + rank.max()) + rank[places + (width - have)]
-    order = np.lexsort((doc, key))
-    lcp = np.full(len(order), width)
-    apart = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])[1:]
-    a, b = places[order[apart - 1]], places[order[apart]]
-    common = np.zeros(len(apart), np.int64)
-    for have, rank in reversed(levels):
-        common += have * (rank[np.minimum(a + common, len(rank) - 1)] == rank[np.minimum(b + common, len(rank) - 1)])
-    differ = eight[np.minimum(a + common, len(eight) - 1)] ^ eight[np.minimum(b + common, len(eight) - 1)]
-    low = differ & (_U(0) - differ)  # its lowest bit, whose byte is the first that differs
-    lcp[apart] = np.minimum(common + np.bitwise_count(low - _U(1)) // 8, width)
-    lcp[:1] = 0
+    order = np.argsort(head := eight[places].byteswap())
+    # Most suffixes differ in their first 8 bytes; only what is equal there is sorted by the rest of its bytes.
+    apart = np.r_[True, head[order][1:] != head[order][:-1]][: len(order)]
+    at = np.flatnonzero(~(apart & np.r_[apart, True][1:]))
+    first = np.flatnonzero(apart[at])
+    cuts = np.unique(first[np.searchsorted(first, np.arange(0, first[-1] + 1, TIED))]) if len(first) else first
+    for some in np.split(at, cuts[1:]):
+        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)[places[order[some]]]).view(f"S{width}").reshape(-1)
+        order[some] = order[some][np.argsort(strings, kind="stable")]
+    a, b = places[order[:-1]], places[order[1:]]
+    lcp = np.zeros(len(order), np.int64)
+    open_ = np.arange(len(a))
+    for k in range(0, width, 8):
+        differ = eight[a[open_] + k] ^ eight[b[open_] + k]
+        low = differ & (_U(0) - differ)  # its lowest bit, whose byte is the first that differs
+        lcp[open_ + 1] = np.minimum(k + np.bitwise_count(low - _U(1)) // 8, width)
+        open_ = open_[differ == 0]
+    same = lcp >= width
+    tied = np.flatnonzero(same | np.r_[same, False][1:])
+    order[tied] = order[tied][np.lexsort((doc[order[tied]], np.cumsum(~same)[tied]))]
     return order, lcp
 
 
@@ -188,7 +191,8 @@ def _hashes(docs: list[int | None], texts: list[bytes], n: int, width: int):
     return text, first, count, value, known, which
 
 
-_LISTED = "grp int, batch int, hashes binary, several binary"
+#: Bytes of a hash's stretches in a batch, as four times their binary logarithm, rounded up.
+_LISTED = "grp int, batch int, hashes binary, several binary, sizes binary"
 _SHARED = "batch int, grp int, bits binary, hot binary"
 _SENT = "grp int, batch int, docs binary, rows binary, starts binary, lengths binary, data binary, entries binary"
 #: Of a row: a group (negative: of strings of hot hashes), what it sends, or with no data the spans that are known to go.
@@ -204,7 +208,8 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
 def _list(n: int, width: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         docs, texts = _rows(table)
-        text, _, _, _, known, which = _hashes(docs, texts, n, width)
+        text, _, count, _, known, which = _hashes(docs, texts, n, width)
+        sizes = np.ceil(4 * np.log2(np.bincount(which, count + width - 1, len(known)))).astype(np.uint8)
         ids = np.array([d or 0 for d in docs], np.int64)[text]
         low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
         np.minimum.at(low, which, ids)
@@ -213,7 +218,7 @@ def _list(n: int, width: int):
         grp = ((known >> _U(32)) % _U(n)).astype(np.int64)
         edge = np.flatnonzero(np.r_[True, grp[1:] != grp[:-1]]) if len(grp) else np.zeros(0, int)
         rows = [
-            (int(grp[a]), key[0].as_py(), (known[a:z] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), np.packbits(several[a:z]).tobytes())
+            (int(grp[a]), key[0].as_py(), (known[a:z] & _U(0xFFFFFFFF)).astype("<u4").tobytes(), np.packbits(several[a:z]).tobytes(), sizes[a:z].tobytes())
             for a, z in zip(edge, np.r_[edge[1:], len(grp)], strict=False)
         ]
         return _table(_LISTED, rows)
@@ -221,14 +226,15 @@ def _list(n: int, width: int):
     return run
 
 
-def _share(fan: int):
+def _share(fan: int, crowd: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         blobs = table.column("hashes").to_pylist()
         sizes = np.array([len(b) // 4 for b in blobs])
         values = np.frombuffer(b"".join(blobs), "<u4")
         several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8))[:n] for b, n in zip(table.column("several").to_pylist(), sizes, strict=True)]).astype(bool)
         known, inverse, times = np.unique(values, return_inverse=True, return_counts=True)
-        shared, hot = several | (times > 1)[inverse], (times > fan)[inverse]
+        size = np.exp2(np.frombuffer(b"".join(table.column("sizes").to_pylist()), np.uint8) / 4)
+        shared, hot = several | (times > 1)[inverse], ((times > fan) & (np.bincount(inverse, size, len(known)) > crowd))[inverse]
         ends = np.cumsum(sizes)
         return _table(_SHARED, [(b, key[0].as_py(), np.packbits(shared[z - n : z]).tobytes(), np.packbits(hot[z - n : z]).tobytes()) for b, n, z in zip(table.column("batch").to_pylist(), sizes, ends, strict=True) if shared[z - n : z].any()])
 
@@ -436,7 +442,7 @@ def _cut(width: int, texts_out: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, texts: bool = True, fan: int = FAN, batch: int = BATCH) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, texts: bool = True, fan: int = FAN, batch: int = BATCH, crowd: int = CROWD) -> DataFrame:
     """For every row: doc_id, spans [start, stop) of bytes removed, counts, the SHA-256 of what is kept and (with texts) the bytes kept."""
     if width < GRAM:
         raise ValueError(f"width must be {GRAM} at least")
@@ -448,7 +454,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, texts: bool = True, fa
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     dealt = lambda df, by: df.repartition(tasks, by).groupBy(by)
     listed = dealt(rows, "batch").applyInArrow(_list(n_hash, width), _LISTED)
-    shared = dealt(listed, "grp").applyInArrow(_share(fan), _SHARED)
+    shared = dealt(listed, "grp").applyInArrow(_share(fan, crowd), _SHARED)
     sent = dealt(rows, "batch").cogroup(dealt(shared, "batch")).applyInArrow(_send(n_hash, n_groups, width), _SENT)
     over = fan
     while True:
