@@ -4,7 +4,7 @@ A byte goes if a string of `width` bytes that covers it also starts in a documen
 with a smaller doc_id. Equal strings meet in one group: each string of `width`
 bytes has a least hashed 16-gram, consecutive strings with the same one form a
 stretch, and stretches are dealt out by it. Every group puts its suffixes in order
-(by their first 8 bytes, then what is equal there by the rest) with their longest common prefixes, finds for each the nearest
+(by 8 bytes at a time, each time only what is equal so far) with their longest common prefixes, finds for each the nearest
 place before and after it, in suffix order, that stands in a smaller document, and
 takes the greater of the two common prefixes: the longest previous factor. Orders
 and prefixes are looked at up to `width` bytes, which is all that decides.
@@ -45,8 +45,8 @@ BATCH, HASHES, STRETCHES = 4 << 20, 32 << 20, 4 << 20
 TASK = 16 << 20
 #: A hash is hot if more batches than this have it and its stretches have more bytes than CROWD; they meet so many batches at a time.
 FAN, CROWD = 1024, 4 << 20
-#: Bytes that are hashed at a time, and suffixes that are sorted by more than their first 8 bytes.
-PIECE, TIED = 1 << 20, 1 << 16
+#: Bytes that are hashed at a time.
+PIECE = 1 << 20
 
 _U = np.uint64
 
@@ -116,25 +116,24 @@ def suffix_order(data: np.ndarray, places: np.ndarray, doc: np.ndarray, width: i
     padded = np.r_[data, np.zeros(width + 7, np.uint8)]
     eight = _eights(padded)
     order = np.argsort(head := eight[places].byteswap())
-    # Most suffixes differ in their first 8 bytes; only what is equal there is sorted by the rest of its bytes.
     apart = np.r_[True, head[order][1:] != head[order][:-1]][: len(order)]
-    at = np.flatnonzero(~(apart & np.r_[apart, True][1:]))
-    first = np.flatnonzero(apart[at])
-    cuts = np.unique(first[np.searchsorted(first, np.arange(0, first[-1] + 1, TIED))]) if len(first) else first
-    for some in np.split(at, cuts[1:]):
-        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)[places[order[some]]]).view(f"S{width}").reshape(-1)
-        order[some] = order[some][np.argsort(strings, kind="stable")]
-    a, b = places[order[:-1]], places[order[1:]]
-    lcp = np.zeros(len(order), np.int64)
-    open_ = np.arange(len(a))
+    # Most suffixes differ in their first 8 bytes; only what is equal so far is sorted by the next ones.
+    for k in range(8, width, 8):
+        at = np.flatnonzero(~(apart & np.r_[apart, True][1:]))
+        word = eight[places[order[at]] + k].byteswap() >> _U(8 * max(0, k + 8 - width))
+        by = np.lexsort((word, np.cumsum(apart)[at]))
+        order[at], word = order[at][by], word[by]
+        apart[at[1:]] |= word[1:] != word[:-1]
+    tied = np.flatnonzero(~(apart & np.r_[apart, True][1:]))
+    order[tied] = order[tied][np.lexsort((doc[order[tied]], np.cumsum(apart)[tied]))]
+    lcp = np.where(apart, 0, width)
+    open_ = np.flatnonzero(apart[1:]) + 1
+    a, b = places[order[open_ - 1]], places[order[open_]]
     for k in range(0, width, 8):
-        differ = eight[a[open_] + k] ^ eight[b[open_] + k]
+        differ = eight[a + k] ^ eight[b + k]
         low = differ & (_U(0) - differ)  # its lowest bit, whose byte is the first that differs
-        lcp[open_ + 1] = np.minimum(k + np.bitwise_count(low - _U(1)) // 8, width)
-        open_ = open_[differ == 0]
-    same = lcp >= width
-    tied = np.flatnonzero(same | np.r_[same, False][1:])
-    order[tied] = order[tied][np.lexsort((doc[order[tied]], np.cumsum(~same)[tied]))]
+        lcp[open_] = np.minimum(k + np.bitwise_count(low - _U(1)) // 8, width)
+        a, b, open_ = a[differ == 0], b[differ == 0], open_[differ == 0]
     return order, lcp
 
 
